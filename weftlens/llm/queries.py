@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -24,6 +29,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """The word-level tokenizer file, where this machine's public tokenizers are."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -59,5 +77,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM e
 """
 
-QUERIES: dict[str, Query] = {"op4_sharding": op4_sharding, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {
+    "op3_token_group_join": op3_token_group_join,
+    "op4_sharding": op4_sharding,
+    "op6_best_two_fit": op6_best_two_fit,
+    "op10_mixing": op10_mixing,
+}
 ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
