@@ -29,6 +29,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def tokenizer_path() -> str:
     """The word-level tokenizer file, where this machine's public tokenizers are."""
     import public_tokenizers
@@ -42,6 +50,13 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", *base, "base_failed", "kept", "p_good")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -80,7 +95,9 @@ FROM e
 QUERIES: dict[str, Query] = {
     "op3_token_group_join": op3_token_group_join,
     "op4_sharding": op4_sharding,
+    "op5_mixture_language": op5_mixture_language,
     "op6_best_two_fit": op6_best_two_fit,
+    "op9_weak_supervision": op9_weak_supervision,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
