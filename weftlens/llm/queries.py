@@ -50,6 +50,12 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_mixture_language": op5_mixture_language,
     "op6_best_two_fit": op6_best_two_fit,
+    "op8_site_templates": op8_site_templates,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_mixing": op10_mixing,
 }
