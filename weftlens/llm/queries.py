@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op3_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -99,6 +105,7 @@ FROM e
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_pivot_permutation": op1_pivot_permutation,
     "op3_token_group_join": op3_token_group_join,
     "op4_sharding": op4_sharding,
     "op5_mixture_language": op5_mixture_language,
