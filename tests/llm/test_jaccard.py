@@ -37,7 +37,7 @@ def brute(rows, size, percent):
     return sorted((str(d), len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("size,percent,block", [(4, 85, 256), (5, 80, 256), (4, 85, 8)])
+@pytest.mark.parametrize("size,percent,block", [(4, 85, 256), (5, 80, 3)])
 def test_components_equal_brute_force(docs, corpus, size, percent, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     out = jaccard.jaccard_components(docs, size, percent).collect()
@@ -47,6 +47,7 @@ def test_components_equal_brute_force(docs, corpus, size, percent, block, monkey
 def test_chains_across_groups(spark, words, monkeypatch):
     """Texts that drift word by word: neighbours link, ends don't; a passage is shared by unlike texts."""
     monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "LONG", 4)
     rng = random.Random(4)
     rows, text = [], [rng.choice(words) for _ in range(60)]
     for i in range(40):

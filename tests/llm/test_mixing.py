@@ -30,9 +30,10 @@ def test_targets_and_taken(docs, corpus):
         sizes[c[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", c[1] or ""))
     want = expected_targets(sizes)
     for r in rows:
-        assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source]
-        assert 0 <= r.taken <= 2 * r.size
-        taken[r.source] += r.taken
+        source = r.row.source
+        assert r.target == pytest.approx(want[source]) and r.source_size == sizes[source]
+        assert 0 <= r.taken <= 2 * r.size and r.row.size == 1
+        taken[source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
 
 
@@ -44,6 +45,8 @@ def test_reruns_agree(docs):
 def test_copies_hold_what_is_taken(docs):
     mixed = mixing.mix(docs).cache()
     out = mixing.copies(mixed).collect()
+    assert set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "size"}
+    assert all(r.n_chars == len(r.text) for r in out)
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out) == mixed.agg({"taken": "sum"}).first()[0]
 
 

@@ -49,21 +49,21 @@ def source_targets(sources: DataFrame, weights=(5, 2, 1), share: float = 1.5, mo
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """Every row of docs (doc_id, text, source) with what the mix takes of it.
+    """Every row of docs (doc_id, text, source, ...) with what the mix takes of it.
 
     Each row gets a hash-random key.  Rows are sorted by key within ranges of the key in each source;
     running sums of sizes inside a range, added to the sums of the ranges before it, give each row's
     place in its source.  A source is repeated whole as often as its budget allows; the last epoch is
     cut at the exact word, so the row at the cut is taken in part.
 
-    Result: doc_id, text, source (as in docs), size, source_size, target, taken, epochs (whole times
+    Result: row (a struct of all columns of docs), doc_id, size, source_size, target, taken, epochs (whole times
     taken), part (words of the last, partial copy: 0 to size).  The same rows give the same result.
     Null text: size 0, never taken.  Null source: a source of its own.  Repeated rows are rows of their
-    own.  An empty table gives no rows.  Other columns are left out.
+    own.  An empty table gives no rows.  Columns of docs with the names of results stay apart, inside row.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id")).cast("binary"))
     place = F.substring(key, 1, RANGE_DIGITS)
-    rows = docs.select("doc_id", "text", "source", words_in(F.col("text")).alias("size"), key.alias("_key"), place.alias("_range"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", words_in(F.col("text")).alias("size"), key.alias("_key"), place.alias("_range"))
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
     before = F.sum("_sum").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
@@ -81,16 +81,22 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     part = F.greatest(F.lit(0), F.least("size", budget - whole * F.col("source_size") - F.col("_before") - F.col("_inside")))
     return rows.select(
-        "doc_id", "text", "r.source", "size", "source_size", "target",
+        "row", "doc_id", "size", "source_size", "target",
         (whole * F.col("size") + part).cast("long").alias("taken"), whole.alias("epochs"), part.cast("long").alias("part"),
     )
 
 
 def copies(mixed: DataFrame) -> DataFrame:
-    """The mix itself from mix()'s rows, one row for each copy taken; a partial copy holds its first words, single-spaced."""
+    """The mix itself from mix()'s rows: one row for each copy taken, with the columns that docs had.
+
+    A partial copy holds its first words, single-spaced; n_chars, where docs had it, is its length then.
+    """
+    names = mixed.schema["row"].dataType.names
     whole = F.when(F.col("part") == F.col("size"), F.col("epochs") + 1).otherwise(F.col("epochs"))
     whole = F.when(F.col("size") == 0, 0).otherwise(whole)
-    full = mixed.withColumn("_n", whole).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
-    some = mixed.where("part > 0 and part < size").withColumn("text", cut)
-    return full.drop("_n", "_copy").unionByName(some)
+    full = mixed.withColumn("_n", whole).where("_n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
+    some = mixed.where("part > 0 and part < size").withColumn("row", F.col("row").withField("text", cut))
+    if "n_chars" in names:
+        some = some.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(mixed.schema["row"].dataType["n_chars"].dataType)))
+    return full.select("row").union(some.select("row")).select(*[F.col("row").getField(n).alias(n) for n in names])

@@ -20,6 +20,12 @@ def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op3_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
@@ -106,6 +112,7 @@ FROM e
 
 QUERIES: dict[str, Query] = {
     "op1_pivot_permutation": op1_pivot_permutation,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_token_group_join": op3_token_group_join,
     "op4_sharding": op4_sharding,
     "op5_mixture_language": op5_mixture_language,
