@@ -62,6 +62,12 @@ def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), 100).drop("kept")
+
+
 def op8_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Query] = {
     "op4_sharding": op4_sharding,
     "op5_mixture_language": op5_mixture_language,
     "op6_best_two_fit": op6_best_two_fit,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_site_templates": op8_site_templates,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_mixing": op10_mixing,
