@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-IN_ORDER = Window.partitionBy("session").orderBy("t", "seq")
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("session").orderBy("t", "seq")
 
 
 def steps(observed: DataFrame) -> DataFrame:
     """Observations with pos (from 0) and the family just before, by session."""
-    return observed.withColumn("pos", F.row_number().over(IN_ORDER) - 1).withColumn("previous", F.lag("family").over(IN_ORDER))
+    return observed.withColumn("pos", F.row_number().over(in_order()) - 1).withColumn("previous", F.lag("family").over(in_order()))
 
 
 def gap_episodes(observed: DataFrame, gap: int) -> DataFrame:
     """Observations with episode: a new one after a pause of more than `gap`."""
-    pause = F.col("t") - F.lag("t").over(IN_ORDER)
-    return observed.withColumn("_new", F.when(pause > gap, 1).otherwise(0)).withColumn("episode", F.sum("_new").over(IN_ORDER)).drop("_new")
+    pause = F.col("t") - F.lag("t").over(in_order())
+    return observed.withColumn("_new", F.when(pause > gap, 1).otherwise(0)).withColumn("episode", F.sum("_new").over(in_order())).drop("_new")
 
 
 def episode_rows(with_episodes: DataFrame) -> DataFrame:
-    rows = with_episodes.withColumn("pos", F.row_number().over(IN_ORDER) - 1)
+    rows = with_episodes.withColumn("pos", F.row_number().over(in_order()) - 1)
     return rows.groupBy("session", "episode").agg(
         F.min("t").alias("start"), F.max("end").alias("end"), F.min("pos").alias("first_step"), F.max("pos").alias("last_step"),
         F.count("*").alias("exchanges"), F.count_distinct("family").alias("families"),

@@ -82,7 +82,7 @@ def stepped(spark: SparkSession, folder: str) -> DataFrame:
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:
     s = stepped(spark, folder)
-    tied = F.coalesce(F.lag("t").over(traces.IN_ORDER) == F.col("t"), F.lit(False))
+    tied = F.coalesce(F.lag("t").over(traces.in_order()) == F.col("t"), F.lit(False))
     sources = s.withColumn("tied", tied).select("session", "pos", "t", F.col("end").alias("available"), F.col("k").alias("value"), "tied")
     return traces.value_flows(sources, s.select("session", "pos", "t", F.col("k").alias("value")))
 
