@@ -29,3 +29,23 @@ def plain_text(text: Column, case: bool = True, whitespace: bool = True) -> Colu
     if whitespace:
         text = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.lower(text) if case else text
+
+
+DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
+YES, NO = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
+
+
+def date(text: Column) -> Column:
+    """The day a text names in one of the usual forms, or null."""
+    day = F.regexp_replace(F.trim(text), r"T.*$", "")
+    return F.coalesce(*[F.try_to_date(day, f) for f in DATE_FORMATS])
+
+
+def truth(text: Column) -> Column:
+    word = F.lower(F.trim(text))
+    return F.when(word.isin(*YES), True).when(word.isin(*NO), False)
+
+
+def fields_pass(matches: Column, extra: Column, allow_extra: Column) -> Column:
+    """Whether an answer passes: all required fields match, and others only if they are allowed."""
+    return F.forall(matches, lambda m: m) & (allow_extra | (F.size(extra) == 0))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import har, ids, score, text, url
+from .functions import har, headers, ids, score, text, url
 from .operators import families as fam
-from .operators import semantics, traces
+from .operators import decisions, semantics, traces
 from .operators import values as val
 from .sources import tables
 from .sources.tables import table
@@ -536,3 +536,92 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
     x = tables.exchanges(spark, folder)
     asked = x.select("session", "t", "seq", F.lit("request").alias("part"), F.concat(F.col("method"), F.lit(" /"), F.get("segments", F.lit(0))).alias("label"))
     return asked.union(x.select("session", "end", "seq", F.lit("response"), F.col("status").cast("string"))).orderBy("session", "t", "seq", "part")
+
+
+# --- decisions and revisions -----------------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT l_orderkey AS task, l_linenumber % 3 AS input_hash, l_returnflag AS prompt, 'm' AS model, l_linestatus AS params FROM lineitem WHERE l_linenumber <= 3),
+p AS (SELECT DISTINCT l_orderkey AS task, l_linenumber % 3 AS input_hash, l_returnflag AS prompt, 'm' AS model, l_linestatus AS params, l_returnflag || l_linestatus AS choice FROM lineitem WHERE l_quantity > 25)
+SELECT t.task, t.input_hash, t.prompt, t.model, t.params, p.choice, p.choice IS NOT NULL AS reused FROM t LEFT JOIN p USING (task, input_hash, prompt, model, params)""")
+def decision_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("task"), (F.col("l_linenumber") % 3).alias("input_hash"), F.col("l_returnflag").alias("prompt"), F.lit("m").alias("model"), F.col("l_linestatus").alias("params"),
+        F.concat("l_returnflag", "l_linestatus").alias("choice"), "l_linenumber", "l_quantity",
+    )
+    return decisions.reuse(rows.where("l_linenumber <= 3").select(*decisions.REUSE), rows.where("l_quantity > 25"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE p_brand END AS decision, CASE WHEN p_retailprice > 0 AND p_size > 10 AND p_size % 4 <> 0 THEN 'supported' ELSE 'rejected' END AS status FROM part""")
+def decision_checks(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "part")
+    choices = F.when(F.col("p_size") % 4 == 0, F.array(F.lit("unknown"))).otherwise(F.array(F.lit("unknown"), "p_brand", "p_type"))
+    made = decisions.decide_first(p.withColumn("choices", choices).withColumn("evidence", F.array("p_name")))
+    return decisions.checked(made, {"priced": "p_retailprice > 0", "large": "p_size > 10", "decided": "decision <> 'unknown'"}).select("p_partkey", "decision", "status")
+
+
+@query("""WITH p AS (SELECT c_custkey AS node, c_mktsegment AS name, CASE WHEN c_custkey % 5 = 0 THEN 'reviewed' ELSE 'proposed' END AS status FROM customer WHERE c_acctbal > 0),
+n AS (SELECT c_custkey AS node, upper(c_name) AS name, 'supported' AS status FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(p.node, n.node) AS node, CASE WHEN n.node IS NULL OR p.status = 'reviewed' THEN p.name ELSE n.name END AS name, CASE WHEN n.node IS NULL OR p.status = 'reviewed' THEN p.status ELSE n.status END AS status
+FROM p FULL JOIN n ON p.node = n.node""")
+def ir_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer")
+    status = F.when(F.col("c_custkey") % 5 == 0, "reviewed").otherwise("proposed")
+    prior = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("name"), status.alias("status"))
+    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node"), F.upper("c_name").alias("name"), F.lit("supported").alias("status"))
+    return decisions.upsert(prior, new, ["node"])
+
+
+@query("""SELECT family, array_to_string(list_sort(list(DISTINCT r)), ' ') AS refs FROM (
+  SELECT n_regionkey AS family, 'nation:' || n_nationkey AS r FROM nation UNION ALL SELECT n_regionkey, 'supplier:' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey) GROUP BY family""")
+def subject_index(spark: SparkSession, folder: str) -> DataFrame:
+    n = table(spark, folder, "nation")
+    s = table(spark, folder, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    parts = [("nation", n.select(F.col("n_regionkey").alias("family"), F.col("n_nationkey").alias("ref"))), ("supplier", s.select(F.col("n_regionkey").alias("family"), F.col("s_suppkey").alias("ref")))]
+    return decisions.subjects(parts).withColumn("refs", F.array_join("refs", " "))
+
+
+@query("SELECT text AS text, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return decisions.duplicates(table(spark, folder, "documents"), "text")
+
+
+@query("""SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN NOT o_totalprice > 50000 THEN 'small' END, CASE WHEN NOT o_orderstatus IN ('O', 'F') THEN 'status' END, CASE WHEN NOT (o_orderpriority <> '1-URGENT') THEN 'urgent' END], lambda x: x IS NOT NULL)) AS issue FROM orders""")
+def validation_issues(spark: SparkSession, folder: str) -> DataFrame:
+    rules = {"small": "o_totalprice > 50000", "status": "o_orderstatus in ('O', 'F')", "urgent": "o_orderpriority <> '1-URGENT'"}
+    return decisions.issues(table(spark, folder, "orders"), "o_orderkey", rules)
+
+
+@query("""WITH b AS (SELECT event_id AS ref, event_type AS family FROM events WHERE event_id % 10 <> 0), a AS (SELECT event_id AS ref, CASE WHEN value > 100 THEN 'POST ' || event_type ELSE event_type END AS family FROM events)
+SELECT coalesce(a.ref, b.ref) AS ref, b.family AS was, a.family AS now FROM b FULL JOIN a ON a.ref = b.ref WHERE a.family IS DISTINCT FROM b.family""")
+def live_regrouped(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    before = e.where("event_id % 10 <> 0").select(F.col("event_id").alias("ref"), F.col("event_type").alias("family"))
+    now = F.when(F.col("value") > 100, F.concat(F.lit("POST "), "event_type")).otherwise(F.col("event_type"))
+    return decisions.regrouped(before, e.select(F.col("event_id").alias("ref"), now.alias("family")))
+
+
+@query("""WITH v AS (SELECT o_custkey AS subject, o_orderpriority AS name, count(*) AS votes FROM orders GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY subject ORDER BY votes DESC, name) AS rank FROM v QUALIFY rank <= 3""")
+def ranked_names(spark: SparkSession, folder: str) -> DataFrame:
+    return decisions.ranked_names(table(spark, folder, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("name")), 3)
+
+
+@query("""SELECT o_orderpriority AS kind, count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+def hypothesis_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("status"))
+    return decisions.report(rows, ["O", "F", "P"])
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_sort(['role=' || role, 't=' || turn]), ';') AS cookies FROM conversations""")
+def cookie_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    sent = F.concat(F.lit("t="), F.col("turn").cast("string"), F.lit(" ; role ="), "role", F.lit("; flag"))
+    pairs = F.transform(headers.cookies(sent), lambda p: F.concat(p["name"], F.lit("="), p["value"]))
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(pairs, ";").alias("cookies"))
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'O' AS open FROM orders""")
+def answer_dates(spark: SparkSession, folder: str) -> DataFrame:
+    shown = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
+    open_ = score.truth(F.when(F.col("o_orderstatus") == "O", " Yes").otherwise("0"))
+    return table(spark, folder, "orders").select("o_orderkey", score.date(shown).alias("day"), open_.alias("open"))
