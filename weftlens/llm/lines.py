@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jobs import components, written
@@ -116,8 +116,9 @@ def _groups(keyed: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     groups, the lines of different groups with each other, those of the smaller group asking.
     """
     rows = lines.select("hash", "mark", F.explode(_keys(F.col("mark"))).alias("key"))
-    heads = rows.groupBy("key").agg(F.min(F.struct("hash", "mark")).alias("head"), F.count("*").alias("_n")).where("_n > 1").select("key", "head")
-    shared = written(rows.join(heads, "key"))
+    bucket = Window.partitionBy("key")
+    shared = rows.withColumn("head", F.min(F.struct("hash", "mark")).over(bucket)).withColumn("_n", F.count("*").over(bucket))
+    shared = written(shared.where("_n > 1").drop("_n"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
     pairs = shared.where(F.col("hash") != F.col("head.hash")).where(near("mark", "head.mark"))
     pairs = written(pairs.select(F.col("hash").alias("a"), F.col("head.hash").alias("b")).distinct())

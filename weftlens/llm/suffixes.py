@@ -184,12 +184,16 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _told_apart(found: DataFrame) -> DataFrame:
-    """Fragments whose gram occurs again, with `place` (1: the first of equal ones) and `kin` (other fragments with the gram)."""
-    by_gram, equal = Window.partitionBy("gram"), Window.partitionBy("gram", "whole")
+    """Fragments whose gram occurs again, with `place` (1: the first of equal ones) and `kin` (different fragments with the gram).
+
+    Rows without a gram pass through, each under a key of its own.
+    """
+    keyed = found.withColumn("_key", F.coalesce("gram", F.xxhash64("row", "start", "n")))
+    by_gram, equal = Window.partitionBy("_key"), Window.partitionBy("_key", "whole")
     order = equal.orderBy(F.col("doc_id").isNull(), "doc_id", "row", "start")
-    again = found.withColumn("_c", F.count("*").over(by_gram)).where("_c > 1")
-    again = again.withColumn("place", F.rank().over(order))
-    return again.withColumn("kin", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(by_gram)).drop("_c")
+    again = keyed.withColumn("_c", F.count("gram").over(by_gram)).where("_c > 1 or gram is null")
+    again = again.withColumn("place", F.when(F.col("gram").isNotNull(), F.rank().over(order)).otherwise(0))
+    return again.withColumn("kin", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(by_gram)).drop("_c", "_key")
 
 
 def _bytes(keyed: DataFrame, wanted: DataFrame, length: int, apart: bool) -> DataFrame:
@@ -250,7 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
     found = _occurrences(keyed, length)
-    apart = written(_told_apart(found.where("gram is not null")).unionByName(found.where("gram is null").withColumns({"place": F.lit(0), "kin": F.lit(0).cast("long")})))
+    apart = written(_told_apart(found))
     gone = apart.where("gram is null").select("row", "start", "n")
     gone = gone.union(apart.where("gram is not null and place > 1").select("row", "start", (F.col("n") - 1 + length).alias("n")))
     several = apart.where("gram is not null and place = 1 and kin > 1")
