@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jobs import components, written
 from .scan import Texts, mix, texts, windows
 
-#: Counters of the sketch of shingle frequencies: 8 MB whatever the corpus holds.
-SKETCH_BITS = 20
+#: Counters of the sketch of shingle frequencies: 16 MB whatever the corpus holds; a task counts to 255 in each.
+SKETCH_BITS = 22
 SKETCH_CHUNKS = 256
 #: Members of a block of a group, and queries that meet a block in one task.
 BLOCK = 256
+#: In lists of this many nodes or more, nodes are first compared with the list's most central node.
+LONG = 16
 
 
 def _sets(t: Texts, size: int) -> Iterator[np.ndarray]:
@@ -37,6 +40,10 @@ def _sets(t: Texts, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _node(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     for t in texts(column):
         yield from _sets(t, size)
@@ -47,41 +54,37 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
-
-
 def _frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
-    """For each counter of a count sketch over all documents: 0 if usual, else about the logarithm of how far above usual."""
+    """For each counter of a count sketch over all documents: 0 up to three deviations above the mean, else about the logarithm of how far."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for t in texts(batch.column(0)):
-                found = [s for s in _sets(t, size) if len(s)]
-                if found:
-                    sketch += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-        salt = int.from_bytes(np.random.default_rng().bytes(1), "little") % 64
-        parts = sketch.reshape(SKETCH_CHUNKS, -1)
-        for k in range(SKETCH_CHUNKS):
-            if parts[k].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], ["chunk", "salt", "counts"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNKS, np.int64)
-        for c in rows["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [0], "counts": [total.tobytes()]})
+                for s in _sets(t, size):
+                    np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        salt = TaskContext.get().partitionId() % 8
+        parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_CHUNKS, -1)
+        for k in np.flatnonzero(parts.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], ["chunk", "salt", "counts"])
+
+    def add(kind: type) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            total = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNKS, np.int32)
+            for c in rows["counts"]:
+                total += np.frombuffer(c, kind)
+            return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [0], "counts": [total.tobytes()]})
+
+        return run
 
     schema = "chunk int, salt int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema)
-    sums = parts.groupBy("chunk", "salt").applyInPandas(add, schema).groupBy("chunk").applyInPandas(add, schema)
-    sketch = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int64)
+    sums = parts.groupBy("chunk", "salt").applyInPandas(add(np.uint8), schema).groupBy("chunk").applyInPandas(add(np.int32), schema)
+    sketch = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int32)
     for r in sums.collect():
-        sketch[r.chunk] = np.frombuffer(r.counts, np.int64)
-    usual = 2 * sketch.mean() + 16
-    return np.clip(np.log2(np.maximum(sketch.reshape(-1) / usual, 0.5)) + 1, 0, 7).astype(np.uint64)
+        sketch[r.chunk] = np.frombuffer(r.counts, np.int32)
+    above = sketch.reshape(-1) - sketch.mean()
+    return np.clip(np.log2(np.maximum(above / (3 * np.sqrt(sketch.mean()) + 2), 0.5)) + 1, 0, 7).astype(np.uint8)
 
 
 def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -97,13 +100,13 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             sizes, nodes, prefixes = [], [], []
             for s in shingle_sets(batch.column(1), size):
-                node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                node = _node(s)
                 prefix = None
                 if len(s) and node not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
-                    tokens = (classes.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(60)) | (mix(s) >> np.uint64(4))
+                    tokens = (classes.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (mix(s) >> np.uint64(4))
                     k = len(s) - least_overlap(len(s), percent) + 1
                     prefix = np.sort(np.partition(tokens, k - 1)[:k]).astype(np.int64)
                 sizes.append(len(s))
@@ -117,49 +120,33 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, prefix array<long>")
 
 
-def _link_block(rows: pd.DataFrame, size: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect a block: pairs already connected are skipped, so copies cost one comparison each."""
-    rows = rows.drop_duplicates("node")
-    sets = list(shingle_sets(pa.array(rows["text"], pa.string()), size))
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    nodes, root, out = rows["node"].to_numpy(), list(range(len(sets))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for at, i in enumerate(order):
-        for j in order[at + 1 :]:
-            if 100 * len(sets[i]) < percent * len(sets[j]):
-                break
-            if find(i) != find(j) and linked(sets[i], sets[j], percent):
-                root[find(j)] = find(i)
-                out.append((int(nodes[i]), int(nodes[j])))
-    return out
-
-
 def _open_block(rows: pd.DataFrame, size: int, percent: int) -> list[tuple[int, int]]:
     """Links between queries and a block's members that lie in different components.
 
-    The block's token union bounds a query's overlap with every member; a block is opened for a query
-    only if that bound reaches what a link needs.
+    The block's tokens, each with the members that have it, give a query's overlap with their union and, if
+    that reaches what a link needs, with each member.
     """
     sets = list(shingle_sets(pa.array(rows["text"], pa.string()), size))
     query, comp = rows["query"].to_numpy(), rows["comp"].to_numpy()
-    members = [i for i in range(len(sets)) if not query[i]]
-    union = np.unique(np.concatenate([sets[i] for i in members])) if members else np.zeros(0, np.uint64)
+    members = np.flatnonzero(~query)
+    if not len(members):
+        return []
+    sizes = np.array([len(sets[i]) for i in members])
+    tokens = np.concatenate([sets[i] for i in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
     out: set[tuple[int, int]] = set()
     for q in np.flatnonzero(query):
-        need = least_overlap(len(sets[q]), percent)
-        if len(np.intersect1d(sets[q], union, assume_unique=True)) < need:
+        mine = sets[q]
+        left, right = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+        count = right - left
+        if np.count_nonzero(count) < least_overlap(len(mine), percent):
             continue
-        for i in members:
-            pair = (int(comp[q]), int(comp[i]))
-            short, long_ = sorted((len(sets[q]), len(sets[i])))
-            if pair[0] != pair[1] and pair not in out and 100 * short >= percent * long_ and linked(sets[q], sets[i], percent):
-                out.add(pair)
+        at = np.repeat(left - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(members))
+        link = (100 * both >= percent * (len(mine) + sizes - both)) & (both > 0) & (comp[members] != comp[q])
+        out.update((int(comp[q]), int(c)) for c in comp[members[link]])
     return list(out)
 
 
@@ -167,6 +154,41 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
+def _enough(common: str, a: str, b: str, percent: int) -> str:
+    """SQL: sets of sizes a and b may link, if their prefixes have `common` tokens in common.
+
+    Up to the earlier of the two prefix ends all common tokens are counted; beyond it lie at most
+    least_overlap(n) - 1 elements of the set whose prefix ends there.
+    """
+    return f"{100 + percent} * ({common} + ceil({percent} * greatest({a}, {b}) / 100.0) - 1) >= {percent} * ({a} + {b})"
+
+
+def _open_groups(docs: DataFrame, probes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, from probes (grp, blk, node, rep, comp) and members of the probed groups (same columns).
+
+    A group with many queries is opened in several tasks, each with about 256 of them.
+    """
+    probes, members = written(probes), members.distinct()
+    loads = probes.groupBy("grp", "blk").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(1)), "chunks").alias("chunk")
+    asked = probes.join(loads, ["grp", "blk"]).select("grp", "blk", chunk, "node", "rep", "comp", F.lit(True).alias("query"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    held = members.join(loads, ["grp", "blk"]).select("grp", "blk", chunks, "node", "rep", "comp", F.lit(False).alias("query"))
+    rows = written(asked.union(held))
+    absent = F.lit(-(1 << 63))
+
+    def belongs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [_node(s) for s in shingle_sets(batch.column(1), size)]
+            yield batch.filter(pa.array(np.array(nodes, np.int64) == batch.column(0).to_numpy(), pa.bool_()))
+
+    wanted = written(rows.select("node", F.coalesce("rep", absent).alias("_id")).distinct())
+    body = docs.withColumn("_id", F.coalesce("doc_id", absent)).join(wanted, "_id").select("node", "text")
+    body = written(body.mapInArrow(belongs, "node long, text string"))
+    opened = rows.join(body, "node").groupBy("grp", "blk", "chunk")
+    return opened.applyInPandas(lambda part: _frame(_open_block(part, size, percent)), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
@@ -174,13 +196,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     component's id is its smallest doc_id.
 
     Equal sets are one node.  Groups hold the nodes with the same rarest token (near copies mostly
-    share it) and large groups fall into blocks of about 256.  First each block is linked by itself,
-    together with its group's first node, so that a group of near copies becomes one component however
-    many blocks it has.  Then the token-group matrix, tokens x blocks, is probed with the prefix of
-    every node that shares a token with a node of another component; in a token's list the nodes of its
-    commonest component only wait to be found, so a list costs no pairs within a component.  A probe
-    that passes length and position filters opens its block if the block's token union allows a link.
-    No link between components is lost: each needs a common prefix token, and one of its two nodes probes.
+    share it), in blocks of about 256; the matrix says which tokens a group's union has.  A query's
+    overlap with a group is the number of its prefix tokens there; it bounds the overlap with every member, and only
+    groups that can hold a link are opened: the texts are fetched and the sets compared, again
+    under the bound of the group's whole token union.
+
+    To spare comparisons inside large groups of near copies, nodes in long lists of a token
+    are first compared with the list's most central node.  After that a node probes only
+    groups with a node of a larger component (or as large, with a larger name).  No link between components is
+    lost: it needs a common prefix token, and the node of its smaller component probes the other's group.
 
     Null or blank text: no shingles, linked with nothing.  Fewer than `size` words: the whole is one
     shingle.  A null doc_id gives a row too.  Repeated rows get the same component.  No rows: no rows.
@@ -188,66 +212,60 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = docs.select("doc_id", "text")
     signed = written(_signatures(docs, size, percent))
     nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix")))
-    groups = nodes.groupBy(F.col("prefix")[0].alias("grp")).agg(
-        F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("node").alias("leader"), F.count("*").alias("members")
-    )
-    block = F.pmod(F.xxhash64("node"), "blocks").alias("blk")
-    lists = nodes.select("node", "rep", "n", F.col("prefix")[0].alias("grp"), F.posexplode("prefix").alias("pos", "token"))
     same = Window.partitionBy("token")
-    lists = written(lists.withColumn("_c", F.count("*").over(same)).where("_c > 1").drop("_c"))
-    placed = lists.select("node", "rep", "n", "grp").distinct().join(groups, "grp").select("node", "rep", "n", "grp", "leader", "blocks", "members", block)
+    lists = nodes.select("node", F.posexplode("prefix").alias("pos", "token")).drop("pos")
+    lists = written(lists.withColumn("held", F.count("*").over(same)).where("held > 1"))
+    groups = nodes.groupBy(F.col("prefix")[0].alias("grp")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    listed = nodes.withColumn("grp", F.col("prefix")[0]).join(lists.select("node").distinct(), "node", "left_semi")
+    placed = listed.join(groups, "grp").select("node", "rep", "n", "grp", F.pmod(F.xxhash64("node"), "blocks").alias("blk"))
     placed = written(placed)
-    absent = F.lit(-(1 << 63))
-    source = docs.withColumn("_id", F.coalesce("doc_id", absent))
-    involved = placed.select("node", F.coalesce("rep", absent).alias("_id"))
 
-    def belongs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in shingle_sets(batch.column(1), size)]
-            yield batch.filter(pa.array(np.array(hashes, np.int64) == batch.column(0).to_numpy(), pa.bool_()))
-
-    body = written(source.join(involved, "_id").select("node", "text").mapInArrow(belongs, "node long, text string"))
-
-    inner = placed.where("members > 1")
-    heads = inner.select("grp", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk")).distinct()
-    inner = inner.select("grp", "node", "blk").union(heads.select("grp", "node", F.col("blk").cast("long"))).distinct()
-    first = inner.join(body, "node").groupBy("grp", "blk").applyInPandas(lambda rows: _frame(_link_block(rows, size, percent)), "a long, b long")
-    labels = written(components(first))
-    comp = F.coalesce("root", "node").alias("comp")
-    placed = placed.join(labels, "node", "left").select("node", "rep", "n", "grp", "blk", comp)
-
-    across = lists.drop("rep", "n", "grp").join(placed, "node").withColumn("_lo", F.min("comp").over(same)).withColumn("_hi", F.max("comp").over(same))
-    across = written(across.where("_lo < _hi").select("token", "pos", "node", "n", "grp", "blk", "comp"))
-    main = across.groupBy("token", "comp").agg(F.count("*").alias("_c")).groupBy("token").agg(F.max_by("comp", F.struct("_c", "comp")).alias("main"))
-    across = across.join(main, "token")
-    q, x = across.where("comp <> main").alias("q"), across.alias("x")
-    need = F.expr(f"{percent} * (q.n + x.n)")  # both sides times 100 + percent
-    meets = (
-        (F.col("q.token") == F.col("x.token"))
-        & (F.col("q.comp") != F.col("x.comp"))
-        & ((F.col("x.comp") == F.col("x.main")) | (F.col("q.node") < F.col("x.node")))
-        & F.expr(f"100 * least(q.n, x.n) >= {percent} * greatest(q.n, x.n)")
-        & (F.expr(f"{100 + percent} * least(q.n - q.pos, x.n - x.pos)") >= need)
-        & ((F.col("q.grp") != F.col("x.grp")) | (F.col("q.blk") != F.col("x.blk")))
-    )
-    probes = q.join(x, meets).select("q.node", F.col("q.comp").alias("comp"), "x.grp", "x.blk").distinct()
-    probes = written(probes)
-    loads = probes.groupBy("grp", "blk").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-    asked = probes.join(loads, ["grp", "blk"]).select("grp", "blk", F.pmod(F.xxhash64("node", F.lit(1)), "chunks").alias("chunk"), "node", "comp", F.lit(True).alias("query"))
-    held = placed.join(loads, ["grp", "blk"]).select(
-        "grp", "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "node", "comp", F.lit(False).alias("query")
+    long_ = lists.where(F.col("held") >= LONG)
+    # the node with most company in long lists: of copies that vary around one text, that text
+    company = long_.groupBy("node").agg(F.sum("held").alias("_sum"))
+    heads = long_.join(company, "node").groupBy("token").agg(F.max_by("node", F.struct("_sum", "node")).alias("head"))
+    pairs = long_.join(heads, "token").where("node <> head").select("node", "head").distinct()
+    a, b = nodes.select("node", "n", "prefix"), nodes.select(F.col("node").alias("head"), F.col("n").alias("_n"), F.col("prefix").alias("_prefix"))
+    pairs = pairs.join(a, "node").join(b, "head").withColumn("_c", F.size(F.array_intersect("prefix", "_prefix")))
+    pairs = written(pairs.where(f"100 * least(n, _n) >= {percent} * greatest(n, _n)").where(_enough("_c", "n", "_n", percent)).select("node", "head"))
+    at = placed.select(F.col("node").alias("head"), "grp", "blk")
+    comp = F.col("node").alias("comp")
+    probes = pairs.join(at, "head").select("grp", "blk", "node").join(placed.select("node", "rep"), "node").select("grp", "blk", "node", "rep", comp).distinct()
+    members = placed.join(pairs.select(F.col("head").alias("node")).distinct(), "node").select("grp", "blk", "node", "rep", comp)
+    labels = components(_open_groups(docs, probes, members, size, percent))
+
+    placed = placed.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    sizes = placed.groupBy("comp").agg(F.count("*").alias("nodes"))
+    placed = written(placed.join(sizes, "comp"))
+    across = lists.select("token", "node").join(placed, "node").repartition("token")
+    across = across.withColumn("_lo", F.min("comp").over(same)).withColumn("_hi", F.max("comp").over(same)).where("_lo < _hi")
+    across = across.select("token", "node", "n", "grp", "blk", F.struct("nodes", "comp").alias("rank"))
+    matrix = across.groupBy("token", "grp", "blk").agg(
+        F.count("*").alias("held"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rank").alias("top")
+    ).alias("m")
+    q = across.alias("q")
+    others = F.expr("not (q.grp = m.grp and q.blk = m.blk and m.held = 1) and q.rank < m.top")
+    fits = F.expr(f"100 * m.hi >= {percent} * q.n and 100 * q.n >= {percent} * m.lo")
+    overlap = (
+        q.join(matrix, (F.col("q.token") == F.col("m.token")) & others & fits)
+        .groupBy("q.node", "m.grp", "m.blk")
+        .agg(F.count("*").alias("_c"), F.first("q.n").alias("n"), F.min("m.lo").alias("lo"), F.max("m.hi").alias("hi"))
+        .withColumn("lo", F.expr(f"greatest(lo, ceil({percent} * n / 100.0))"))
+        .withColumn("hi", F.expr(f"least(hi, floor(100.0 * n / {percent}))"))
+        .where(f"lo <= hi and ({_enough('_c', 'n', 'lo', percent)} or {_enough('_c', 'n', 'hi', percent)})")
     )
-    second = asked.union(held).join(body, "node").groupBy("grp", "blk", "chunk").applyInPandas(lambda rows: _frame(_open_block(rows, size, percent)), "a long, b long")
-    merged = components(second).withColumnRenamed("node", "comp").withColumnRenamed("root", "_top")
-    final = labels.select("node", F.col("root").alias("comp")).join(merged.select("comp"), "comp", "left_anti").select("node", "comp")
-    joined = placed.join(merged, "comp").select("node", F.col("_top").alias("comp"))
-    final = final.union(joined).distinct()
-    tops = nodes.select("node", "rep").join(final, "node").groupBy("comp").agg(F.min("rep").alias("_top"))
-    final = final.join(tops, "comp").select("node", "_top")
-    own = nodes.join(final, "node", "left").select("node", F.coalesce("_top", "rep").alias("_top"))
+    overlap = written(overlap.select("node", "grp", "blk"))
+    probes = overlap.join(placed.select("node", "rep", "comp"), "node").select("grp", "blk", "node", "rep", "comp")
+    members = placed.join(overlap.select("grp", "blk").distinct(), ["grp", "blk"]).select("grp", "blk", "node", "rep", "comp")
+    merged = components(_open_groups(docs, probes, members, size, percent)).select(F.col("node").alias("comp"), F.col("root").alias("_top"))
+
+    final = placed.join(merged, "comp", "left").select("node", F.coalesce("_top", "comp").alias("comp"))
+    final = nodes.select("node", "rep").join(final, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
+    least = final.groupBy("comp").agg(F.min("rep").alias("_least"))
+    own = final.join(least, "comp").select("node", "_least")
     # a row without shingles has no node of its own
-    return signed.join(own, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_top")).otherwise(F.col("doc_id")).alias("component_id")
+    return signed.select("doc_id", "n", "node").join(own, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
