@@ -29,21 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node reachable.
 
     Alternates the two star operations of Kiveris et al. (2014), "Connected Components in MapReduce
-    and Beyond", until the stars stand still.  Each round only joins and groups by node; a hot node's
+    and Beyond", until every component is a star.  Each round only joins and groups by node; a hot node's
     edges are never gathered (its smallest neighbour is found with partial aggregates, and the join
     back is one that Spark can split).  Loops and repeated edges are allowed; no edges give no rows.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
     while True:
-        count, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (count, mark) == seen:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if unsettled.limit(1).count() == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        seen = (count, mark)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
