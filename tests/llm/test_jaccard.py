@@ -59,6 +59,23 @@ def test_chains_across_groups(spark, words, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in out) == brute(rows, 4, 85)
 
 
+def test_group_bound_holds_between_its_ends(spark, monkeypatch):
+    """Sets of 18, 19 and 20 in one group: 18 and 19 share 17 of 20, which neither end of the sizes tells."""
+    monkeypatch.setattr(jaccard, "_frequency_classes", lambda docs, size: np.zeros(1 << jaccard.SKETCH_BITS, np.uint8))
+    passage = "bbe cha ajg hgb hbc feb fjb bec ccd jfd fbi egh efh idh bce bbd ggg gca hcg cgh"
+    rows = [(1, f"{passage} bbe"), (2, f"{passage} hhe adj"), (3, "fbf eaf bhd cgd jfc gbc iii hei dfc dcd fjb bec ccd jfd chi icg eji dhf gaf aje iib hce dch")]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in out) == brute(rows, 4, 85) == [("1", 18, 1), ("2", 19, 1), ("3", 20, 3)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_group_bound_covers_every_size(spark, percent):
+    sizes = spark.range(1, 60).selectExpr("id as n").crossJoin(spark.range(1, 80).selectExpr("id as b")).crossJoin(spark.range(1, 12).selectExpr("id as c"))
+    sizes = sizes.where(f"100 * least(n, b) >= {percent} * greatest(n, b)").where(jaccard._enough("c", "n", "b", percent))
+    ends = sizes.selectExpr("*", "explode(sequence(greatest(b - 3, 1), b)) as lo").selectExpr("*", "explode(sequence(b, b + 3)) as hi")
+    assert ends.where(f"not {jaccard._any_enough('c', 'n', 'lo', 'hi', percent)}").count() == 0 < ends.count()
+
+
 def test_keep_one(docs, corpus):
     out = jaccard.keep_one(docs, 4, 85).collect()
     assert set(out[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "size"}

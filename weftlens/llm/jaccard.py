@@ -163,6 +163,16 @@ def _enough(common: str, a: str, b: str, percent: int) -> str:
     return f"{100 + percent} * ({common} + ceil({percent} * greatest({a}, {b}) / 100.0) - 1) >= {percent} * ({a} + {b})"
 
 
+def _any_enough(common: str, n: str, lo: str, hi: str, percent: int) -> str:
+    """SQL: a set of size n may link with one of some size from lo to hi, if their prefixes have `common` tokens in common.
+
+    Up to n, _enough is easiest met at lo.  Above n its ceil rises in steps, so the ends don't speak for the sizes
+    between them; with ceil(x) - 1 < x the bound has no steps, and is easiest met at hi.
+    """
+    above = f"{100 + percent} * (100 * {common} + {percent} * {hi}) > {100 * percent} * ({n} + {hi})"
+    return f"({_enough(common, n, lo, percent)} or ({hi} > {n} and {above}))"
+
+
 def _open_groups(docs: DataFrame, probes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between components, from probes (grp, blk, node, rep, comp) and members of the probed groups (same columns).
 
@@ -252,7 +262,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         .agg(F.count("*").alias("_c"), F.first("q.n").alias("n"), F.min("m.lo").alias("lo"), F.max("m.hi").alias("hi"))
         .withColumn("lo", F.expr(f"greatest(lo, ceil({percent} * n / 100.0))"))
         .withColumn("hi", F.expr(f"least(hi, floor(100.0 * n / {percent}))"))
-        .where(f"lo <= hi and ({_enough('_c', 'n', 'lo', percent)} or {_enough('_c', 'n', 'hi', percent)})")
+        .where(f"lo <= hi and {_any_enough('_c', 'n', 'lo', 'hi', percent)}")
     )
     overlap = written(overlap.select("node", "grp", "blk"))
     probes = overlap.join(placed.select("node", "rep", "comp"), "node").select("grp", "blk", "node", "rep", "comp")
