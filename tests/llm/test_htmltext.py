@@ -32,6 +32,22 @@ def test_main_text_of_one_page():
     assert Page("<div>" * 5000 + "deep").text(set()) == "deep"
 
 
+def test_articles_against_the_main_element():
+    long = "long text " * 50
+    for body, want in [
+        (f"<main><p>{long}</p><article class='card'>More</article></main>", f"{long}More"),
+        (f"<div class='entry-content'><p>{long}</p><article class='card'>More</article></div>", f"{long}More"),
+        (f"<main><p>{long}</p></main><article>More</article>", long.strip()),
+        (f"<main><p>Intro</p><article><p>{long}</p></article></main>", long.strip()),
+        ("<main><article><p>part one</p></article><article class=teaser>see also</article><article><p>part two, longer</p></article></main>", "part one part two, longer"),
+        ("<article><p>first</p></article><div><article><p>and the second</p></article></div>", "first and the second"),
+    ]:
+        assert Page(page(body)).text(set()) == want, body
+    parts = Page(page("<article><p>a part of its own, long enough</p></article><article><p>card</p></article>"))
+    card = next(n for n in parts.candidates if n.tag == "article")
+    assert parts.text({parts.hash[id(card)]}) == "a part of its own, long enough"
+
+
 def test_templates_go_and_articles_stay(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

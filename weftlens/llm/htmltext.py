@@ -185,7 +185,7 @@ def hashes(root: Node) -> dict[int, bytes]:
 
 
 class Page:
-    """A parsed page: its main element, and the elements that the site's template may own."""
+    """A parsed page: its main elements (main: the longest), and the elements that the site's template may own."""
 
     def __init__(self, page: str | None):
         self.root = parse(page or "")
@@ -208,13 +208,25 @@ class Page:
         for n in nodes:
             if id(n) in self.gone or (id(n) in above and id(above[id(n)]) in dropped):
                 dropped.add(id(n))
-        self.main, best = self.root, (0, 0)
+        sizes = {id(n): len(text_of(n, self.gone)) for n in nodes if id(n) in ranks and id(n) not in dropped}
+        articles, within = [], set()
         for n in nodes:
-            if id(n) in ranks and id(n) not in dropped:
-                found = (ranks[id(n)], len(text_of(n, self.gone)))
-                if found[1] and found > best:
-                    self.main, best = n, found
-        main = {id(n) for n in _walk(self.main)} if self.main is not self.root else set()
+            if id(above.get(id(n))) in within:
+                within.add(id(n))
+            elif ranks.get(id(n)) == 3 and sizes.get(id(n)):
+                within.add(id(n))
+                articles.append(n)
+        others = [n for n in nodes if sizes.get(id(n)) and ranks[id(n)] < 3 and id(n) not in within]
+        other = max(others, key=lambda n: (ranks[id(n)], sizes[id(n)]), default=None)
+        held = sum(sizes[id(a)] for a in articles)
+        if other is not None:
+            inside = {id(n) for n in _walk(other)}
+            rest = sizes[id(other)] + sum(sizes[id(a)] for a in articles if id(a) not in inside)
+            if 2 * held <= rest:
+                articles = []
+        self.mains = articles or [other or self.root]
+        self.main = max(self.mains, key=lambda n: sizes.get(id(n), 0))
+        main = {id(n) for m in self.mains for n in _walk(m)} if self.main is not self.root else set()
         around = {id(self.root), id(self.main), *(id(a) for a in ancestors(self.main))}
         for n in nodes:
             if n.tag == "header" and id(n) in in_article and id(n) not in self.gone:
@@ -227,13 +239,16 @@ class Page:
             if id(n) in self.hash and id(n) not in around and id(n) not in dropped and n.tag in BLOCK and n.tag not in ("html", "body") and not (id(n) in main and n.tag in prose)
         ]
 
+    def _read(self, gone: set[int]) -> str:
+        return " ".join(t for m in self.mains if id(m) not in gone and (t := text_of(m, gone)))
+
     def text(self, template: set[bytes]) -> str:
         """The main text without template subtrees; if they are over half of it, the text is a copy on the site, and stays."""
-        plain = text_of(self.main, self.gone)
+        plain = self._read(self.gone)
         if not template:
             return plain
         owned = {id(n) for n in self.candidates if self.hash[id(n)] in template}
-        less = text_of(self.main, self.gone | owned)
+        less = self._read(self.gone | owned)
         return less if self.main is self.root or 2 * len(less) >= len(plain) else plain
 
 
@@ -246,7 +261,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     Element subtrees are hashed (tag, texts, subtrees); those found in at least min_pages different pages of a host are
     the site's template and are deleted, besides elements that HTML itself or their class, id or role
     name as menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.  The text is that of the
-    largest article, else main element, else of the whole page.  Paragraphs and headings of an article are its
+    articles in page order, if they hold most of the text of the main element (or what is named as main content) and of
+    themselves; else that of this element, else of the whole page.  Paragraphs and headings of an article are its
     own even if they recur.
 
     Null or empty html: empty text.  A null or relative url: one host, "".  Pages equal in url and html
