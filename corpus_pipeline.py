@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines, and documents of which nothing else is left."""
-    out = lines.dedup_lines(docs.drop("n_chars"))
+    out = lines.dedup_lines(docs.drop("n_chars"), short_copies=True)
     left = out.where(~((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

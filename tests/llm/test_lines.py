@@ -88,5 +88,15 @@ def test_marks(words):
     assert re.sub(" +", " ", lines.normalised("A-b  c9é")) == "a b c0é" and isinstance(whole[0], np.int64)
 
 
+def test_query_joins_equal_short_lines(spark, tmp_path):
+    from weftlens.llm.queries import op2_fuzzy_lines
+
+    zh = "所有权利均予保留未经许可不得转载"
+    rows = [(1, f"All rights reserved.\n17\n{zh}\n\none two three four"), (2, f"all RIGHTS reserved\n42\n{zh}\n\none two three five"), (None, "All rights reserved!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in op2_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 0, rows[0][1]), 2: (3, 2, "42\n\none two three five"), None: (1, 1, "")}
+
+
 def test_no_rows(no_docs):
     assert lines.dedup_lines(no_docs).count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .jobs import components, written
 from .scan import Texts, mix, texts
 
-#: Lines with fewer words are left alone: what short lines share is chance.
+#: Lines with fewer words are never similar to others: what short lines share is chance.
 MIN_WORDS = 5
 #: Fingerprints of a pair differ in at most this many of 64 bits.
 MOST_BITS = 3
@@ -35,6 +35,11 @@ def normalised(line: str) -> str:
 
 def line_marks(t: Texts, min_words: int) -> tuple[np.ndarray, ...]:
     """For every line of at least min_words words: text, number in the text, hash of its words, and SimHash of them."""
+    return _line_marks(t, min_words)[:4]
+
+
+def _line_marks(t: Texts, min_words: int) -> tuple[np.ndarray, ...]:
+    """As line_marks; then the number of words, and whether there is a letter (any byte beyond ASCII counts)."""
     cuts = np.flatnonzero(t.data == 10)
     owner = np.concatenate([np.arange(t.n), np.searchsorted(t.offsets, cuts, "right") - 1])
     start = np.concatenate([t.offsets[:-1], cuts + 1])
@@ -52,7 +57,7 @@ def line_marks(t: Texts, min_words: int) -> tuple[np.ndarray, ...]:
     some = np.flatnonzero(b - a >= max(1, min_words))
     if not len(some):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none, none > 0
     a, count = a[some], (b - a)[some]
     line = np.repeat(np.arange(len(some)), count)
     place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
@@ -62,17 +67,23 @@ def line_marks(t: Texts, min_words: int) -> tuple[np.ndarray, ...]:
     bits = np.unpackbits(mine.view(np.uint8).reshape(-1, 8), axis=1)
     sums = np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
     marks = np.packbits(2 * sums > count[:, None], axis=1).copy().view(np.uint64)[:, 0]
-    return owner[some], number[some], whole.view(np.int64), marks.view(np.int64)
+    letters = np.append(0, np.cumsum(plain.data > 57))
+    return owner[some], number[some], whole.view(np.int64), marks.view(np.int64), count, letters[end[some]] > letters[start[some]]
+
 
+def _lines(keyed: DataFrame, min_words: int, short_copies: bool) -> DataFrame:
+    """(doc_id, row, line, hash, mark) of the lines to compare; with short_copies also shorter lines with a letter, without a mark."""
 
-def _lines(keyed: DataFrame, min_words: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column(2)):
-                owner, number, whole, marks = line_marks(t, min_words)
+                owner, number, whole, marks, count, letters = _line_marks(t, 1 if short_copies else min_words)
+                short = count < min_words
+                keep = ~short | letters
+                owner, number, whole, marks, short = owner[keep], number[keep], whole[keep], marks[keep], short[keep]
                 at = pa.array(owner + t.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(marks)],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(whole), pa.array(marks, mask=short)],
                     ["doc_id", "row", "line", "hash", "mark"],
                 )
 
@@ -135,7 +146,7 @@ def _groups(keyed: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     return components(first.union(_verified(keyed, lines, again, similarity)))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, short_copies: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) without repeated lines; adds n_lines and n_removed.
 
     Lines (split at line feeds) of at least min_words words are normalised and hashed.  Equal lines are one line;
@@ -143,16 +154,18 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     normalised lines have an edit similarity (1 - distance / longer length) of at least `similarity`.
     Pairs come from joins on pigeonhole blocks: of five blocks of the fingerprint, two agree.  Of each
     connected group one occurrence stays: the first by doc_id (null last), then line.  Other lines stay as they are.
+    With short_copies, shorter lines are one line too if they are equal when normalised and have a letter (so do lines
+    of scripts without spaces, which are one word); they are never similar to others.
 
     Null and empty texts stay.  Rows equal in doc_id and text count as one document and come out equal.
     Columns named n_lines or n_removed are replaced; all others are kept.  No rows: no rows.
     """
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    occurrences = written(_lines(keyed, min_words))
+    occurrences = written(_lines(keyed, min_words, short_copies))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     lines = occurrences.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("held"), F.first("mark").alias("mark"))
     lines = written(lines)
-    groups = _groups(keyed, lines, similarity)
+    groups = _groups(keyed, lines.where("mark is not null"), similarity)
     rooted = lines.join(groups.withColumnRenamed("node", "hash"), "hash", "left")
     best = rooted.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
     repeated = rooted.where("held > 1 or root is not null").join(best, "root", "left").select("hash", F.coalesce("best", "first").alias("best"))

@@ -23,7 +23,7 @@ def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(table(spark, sf_dir, "documents"), short_copies=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op3_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
