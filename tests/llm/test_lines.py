@@ -10,7 +10,15 @@ from weftlens.llm.scan import texts
 
 
 def marks(line):
-    return [int(x[0]) for x in lines.line_marks(next(texts(pa.array([line]))), 1)[2:]]
+    return [int(x[0]) for x in lines.Lines(next(texts(pa.array([line]))), 1).hashed()]
+
+
+def meet(a, b):
+    """Whether fingerprints share two of five blocks and differ in ten bits at most."""
+    a, b = a & (2**64 - 1), b & (2**64 - 1)
+    edges = [0, 13, 26, 38, 51, 64]
+    same = sum((a >> lo) % (1 << (hi - lo)) == (b >> lo) % (1 << (hi - lo)) for lo, hi in zip(edges, edges[1:]))
+    return same >= 2 and (a ^ b).bit_count() <= 10
 
 
 def distance(a, b):
@@ -25,7 +33,8 @@ def distance(a, b):
 
 def brute(rows, min_words=5, similarity=0.9):
     """Texts that stay, by (doc_id, text)."""
-    seen = sorted({(i is None, i or 0, t or "", k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if len(lines.normalised(x).split()) >= min_words})
+    counts = lambda x: len(lines.normalised(x).split()) >= min_words or re.search(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]", x)
+    seen = sorted({(i is None, i or 0, t or "", k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if counts(x)})
     norm = [lines.normalised(s[4]) for s in seen]
     mark = {n: marks(n)[1] for n in set(norm)}
     root = list(range(len(seen)))
@@ -38,7 +47,8 @@ def brute(rows, min_words=5, similarity=0.9):
     for i in range(len(seen)):
         for j in range(i):
             a, b = norm[i], norm[j]
-            if a == b or ((mark[a] ^ mark[b]) & (2**64 - 1)).bit_count() <= 3 and 1 - distance(a, b) / max(len(a), len(b)) >= similarity:
+            long = min(len(a.split()), len(b.split())) >= min_words
+            if a == b or long and meet(mark[a], mark[b]) and 1 - distance(a, b) / max(len(a), len(b)) >= similarity:
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     gone = {(s[0], s[1], s[2], s[3]) for i, s in enumerate(seen) if find(i) != i}
@@ -80,14 +90,98 @@ def test_against_brute_force(spark, rows):
 
 def test_marks(words):
     rng = random.Random(1)
-    text = "\n".join(["a b c d e", "", "A, b? c d e!", "x y", " ".join(rng.choice(words) for _ in range(30))])
-    got = [lines.line_marks(t, 5) for t in texts(pa.array(["", text, None, text + "\n"]))]
-    owner, number, whole, _ = got[0]
-    assert owner.tolist() == [1, 1, 1, 3, 3, 3] and number.tolist() == [0, 2, 4] * 2
-    assert whole[0] == whole[1] == whole[3] != whole[2] == whole[5]
+    text = "\n".join(["a b c d e", "", "A, b? c d e!", "x y", "12 34", " ".join(rng.choice(words) for _ in range(30))])
+    t = next(texts(pa.array(["", text, None, text + "\n"])))
+    found = lines.Lines(t, 5)
+    whole, mark = found.hashed()
+    assert found.owner.tolist() == [1] * 4 + [3] * 4 and found.number.tolist() == [0, 2, 3, 5] * 2 and found.count.tolist() == [5, 5, 2, 30] * 2
+    assert whole[0] == whole[1] == whole[4] != whole[2] == whole[6] and mark[3] == mark[7]
     assert re.sub(" +", " ", lines.normalised("A-b  c9é")) == "a b c0é" and isinstance(whole[0], np.int64)
 
 
+def test_simhash_of_many_words():
+    rng = np.random.default_rng(3)
+    sizes = [1, 3, 255, 256, 700, 2]
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    words = rng.integers(0, 1 << 63, len(line)).astype(np.uint64)
+    words = np.concatenate([words, words[5:9]])  # repeated words of a line count once
+    line = np.concatenate([line, line[5:9]])
+    order = np.argsort(line, kind="stable")
+    got = lines._simhash(words[order], line[order], len(sizes))
+    for k in range(len(sizes)):
+        own = lines.mix(np.unique(words[line == k] >> np.uint64(24)))
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+        assert int(got[k]) == int(np.packbits(2 * bits > len(own)).view(np.uint64)[0])
+
+
+def test_words_of_scripts_without_spaces():
+    found = lines.Lines(next(texts(pa.array(["所有权利 均予保留 abc\né à b", None]))), 5)
+    assert found.count.tolist() == [9, 3]
+
+
+@pytest.mark.parametrize("x,y,want", [("abcdef", "abxdef", ("c", "x")), ("aaaa", "aaaaa", ("", "a")), ("", "", ("", "")), ("abab", "ab", ("ab", ""))])
+def test_between(x, y, want):
+    assert lines.between(x, y, 0.0)[2] >= 0
+    k, m = lines._same_length(x, y, False), max(len(x), len(y))
+    a, b = x[k:], y[k:]
+    k = lines._same_length(a, b, True)
+    assert (a[: len(a) - k], b[: len(b) - k]) == want and m >= len(want[0])
+
+
+def test_verification_is_edit_similarity(words):
+    rng = random.Random(4)
+    for _ in range(200):
+        x = " ".join(rng.choice(words) for _ in range(rng.randint(5, 14)))
+        y = list(x)
+        for _ in range(rng.randint(0, 12)):
+            y[rng.randrange(len(y))] = rng.choice(["", "q", "zz"])
+        y = "".join(y)
+        a, b, most = lines.between(x, y, 0.9)
+        similar = most >= 0 and (not a and not b or distance(a, b) <= most)
+        assert similar == (1 - distance(x, y) / max(len(x), len(y)) >= 0.9 - 1e-12)
+
+
+def test_recall_against_edit_similarity_alone(words):
+    """Of lines in which one word is replaced and that are still similar, this share is found."""
+    rng = random.Random(8)
+    found = {}
+    for n in (16, 25, 40, 80):
+        hits = []
+        while len(hits) < 150:
+            x = [rng.choice(words) for _ in range(n)]
+            y = list(x)
+            y[rng.randrange(n)] = rng.choice(words)
+            a, b = " ".join(x), " ".join(y)
+            if a != b and 1 - distance(a, b) / max(len(a), len(b)) >= 0.9:
+                hits.append(meet(marks(a)[1], marks(b)[1]))
+        found[n] = sum(hits) / len(hits)
+    assert found[16] > 0.35 and found[25] > 0.5 and found[40] > 0.65 and found[80] > 0.8, found
+
+
+def test_a_large_bucket_over_tasks_and_batches(spark):
+    """Near copies of one line beyond a batch and beyond SMALL, in buckets dealt over several tasks."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[:30], f"x{i}", *base[31:]])) for i in range(400)]
+    kept = {"spark.sql.execution.arrow.maxRecordsPerBatch": "50", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # digits are alike, so copies with as many of them are equal; the others are near
+    assert sorted(r.doc_id for r in out if r.text) == [0] and len(out) == 400
+
+
+def test_clashing_names(spark):
+    line = "one two three four five six"
+    rows = [(1, line, 7, 8, 9, 10), (2, line, 7, 8, 9, 10)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, row int, gone int, _row int, line int")).collect()
+    assert {(r.doc_id, r.text, r.row, r.gone, r._row, r.line) for r in out} == {(1, line, 7, 8, 9, 10), (2, "", 7, 8, 9, 10)}
+
+
 def test_query_joins_equal_short_lines(spark, tmp_path):
     from weftlens.llm.queries import op2_fuzzy_lines
 

@@ -4,20 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset, a temporary folder of this machine in local mode; elsewhere an error, because other
+    machines would not see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="weftlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A column name like `name` that clashes with none of columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
     path = f"{shared_folder(df.sparkSession)}/weftlens-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -97,11 +97,10 @@ def texts(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[Texts]:
         at = end
 
 
-def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values over each text, where first[i]:first[i + 1] are the values of text i."""
-    sums = np.zeros(len(values) + 1, np.int64)
-    np.cumsum(values, out=sums[1:])
-    return sums[first[1:]] - sums[first[:-1]]
+def slices(batch: pa.RecordBatch, column: int, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in parts with about slice_bytes in the text column; a longer text is a part of its own."""
+    for t in texts(batch.column(column), slice_bytes):
+        yield batch.slice(t.first, t.n)
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
