@@ -158,10 +158,12 @@ def test_recall_against_edit_similarity_alone(words):
     assert found[16] > 0.35 and found[25] > 0.5 and found[40] > 0.65 and found[80] > 0.8, found
 
 
-def test_a_large_bucket_over_tasks_and_batches(spark):
+def test_a_large_bucket_over_tasks_and_batches(spark, words):
     """Near copies of one line beyond a batch and beyond SMALL, in buckets dealt over several tasks."""
-    base = [f"w{k}" for k in range(60)]
-    rows = [(i, " ".join([*base[:30], f"x{i}", *base[31:]])) for i in range(400)]
+    rng = random.Random(6)
+    base = [rng.choice(words) for _ in range(120)]
+    name = lambda i: "".join("qvwxyz"[i // 6**k % 6] for k in range(4))
+    rows = [(i, " ".join([*base[:60], name(i), *base[61:]])) for i in range(400)]
     kept = {"spark.sql.execution.arrow.maxRecordsPerBatch": "50", "spark.sql.shuffle.partitions": "7"}
     before = {k: spark.conf.get(k) for k in kept}
     try:
@@ -171,8 +173,8 @@ def test_a_large_bucket_over_tasks_and_batches(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    # digits are alike, so copies with as many of them are equal; the others are near
-    assert sorted(r.doc_id for r in out if r.text) == [0] and len(out) == 400
+    # all lie within four letters of each other; a line whose fingerprint strays from all others may stay
+    assert len(out) == 400 and 0 in {r.doc_id for r in out if r.text} and sum(bool(r.text) for r in out) <= 4
 
 
 def test_clashing_names(spark):

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import written
+from .scan import slices
 
-#: Different pages of a host that hold a subtree, from which on it is the site's template.
+#: Different main texts of a host that a subtree occurs with, from which on it is the site's template.
 MIN_PAGES = 5
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_SPLIT = re.compile(r"[^a-z0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
@@ -30,28 +30,24 @@ CLOSES_P = BLOCK - {"br", "body", "html", "head", "caption", "td", "th", "tr", "
 #: Elements that end an open element of the same family, and what that search stops at.
 FAMILY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 P_SCOPE = frozenset("article aside body blockquote div section main td th li table html form footer header nav dd figure details fieldset".split())
-#: Elements that are never part of an article.
+#: Elements that HTML itself says are not part of the text around them.
 NOISE_TAGS = frozenset("head nav footer aside form script style noscript template textarea title iframe svg canvas object embed button select input dialog menu noembed noframes xmp audio video map".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tooltip".split())
-#: Words in a class or id that name what is not part of an article.
-NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promoted promotion banner nav navbar navigation navi menu menus "
-    "breadcrumb breadcrumbs sidebar sidebars footer masthead topbar comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification "
-    "newsletter subscribe subscription signup signin login register popup modal overlay lightbox share sharing sharebar social related recommended recommendations readmore widget widgets toolbar "
-    "pagination pager search searchform hidden skip copyright disclaimer alert toast paywall feedback".split()
-)
-MAIN_NAMES = frozenset(("articlebody", "article-body", "entry-content", "post-content", "article-content", "main-content", "content", "post", "entry", "story", "article", "main"))
-STRONG_NAMES = frozenset(n for n in MAIN_NAMES if "-" in n or n == "articlebody")
+#: Types of the schema.org vocabulary for parts of a page that are not its text.
+NOISE_TYPES = frozenset("comment usercomments wpheader wpfooter wpsidebar wpadblock sitenavigationelement".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
+#: What an article's own text is made of: it stays, however often it recurs on the host.
+PROSE = HEADINGS | {"p", "blockquote", "pre", "br", "li", "td", "th", "tr", "tbody", "dt", "dd", "figcaption"}
+CONTAINERS = frozenset("article main div section td body center #page".split())
 
 
 class Node:
     """An element; parts are its texts (str) and child elements in page order."""
 
-    __slots__ = ("tag", "attributes", "parts", "inside_main")
+    __slots__ = ("tag", "attributes", "parts")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.parts, self.inside_main = tag, attributes, [], False
+        self.tag, self.attributes, self.parts = tag, attributes, []
 
     def named(self) -> dict[str, str]:
         if not self.attributes:
@@ -117,35 +113,18 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _is_noise(node: Node, in_article: bool) -> bool:
-    if node.tag in NOISE_TAGS:
-        return True
-    if node.tag in ("html", "body", "article", "main", "#page"):
-        named = node.named() if node.tag == "article" else {}
-        return bool(named) and bool({"comment", "comments", "reply", "teaser", "related"} & set(_SPLIT.split(f"{named.get('class', '')} {named.get('id', '')}".lower())))
-    if node.tag == "header" and not in_article:
+    if node.tag in NOISE_TAGS or (node.tag == "header" and not in_article):
         return True
     named = node.named()
     if not named:
         return False
     if named.get("role", "").lower() in NOISE_ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in named.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{named.get('class', '')} {named.get('id', '')}".lower()
-    if STRONG_NAMES & set(names.split()):
-        return False
-    words = set(_SPLIT.split(names))
-    return bool(words & NOISE_NAMES) or ("header" in words and not in_article)
+    return named.get("itemtype", "").lower().rstrip("/").rpartition("/")[2] in NOISE_TYPES or named.get("itemprop", "").lower() == "comment"
 
 
-def _is_main(node: Node) -> int:
-    """3: an article, 2: the main element, 1: named as main content."""
-    if node.tag == "article":
-        return 3
-    named = node.named()
-    if node.tag == "main" or named.get("role", "").lower() == "main" or named.get("itemprop", "").lower() == "articlebody":
-        return 2
-    return int(node.tag in ("div", "section", "td") and bool({*named.get("class", "").lower().split(), named.get("id", "").lower()} & MAIN_NAMES))
+def _is_main(node: Node) -> bool:
+    return node.tag in ("article", "main") or "main" in node.attributes and node.named().get("role", "").lower() == "main"
 
 
 def text_of(node: Node, gone: set[int]) -> str:
@@ -185,71 +164,93 @@ def hashes(root: Node) -> dict[int, bytes]:
 
 
 class Page:
-    """A parsed page: its main elements (main: the longest), and the elements that the site's template may own."""
+    """A parsed page: what HTML's own names say, hashes of its subtrees, and those that the site's template may own."""
 
     def __init__(self, page: str | None):
         self.root = parse(page or "")
-        nodes = _walk(self.root)
-        above: dict[int, Node] = {id(p): n for n in nodes for p in n.parts if type(p) is Node}
-
-        def ancestors(node: Node) -> Iterator[Node]:
-            while (node := above.get(id(node))) is not None:
-                yield node
-
-        in_article: set[int] = set()
-        for n in nodes:
-            if n.tag in ("article", "main") or (id(n) in above and id(above[id(n)]) in in_article):
-                in_article.add(id(n))
-        ranks = {id(n): r for n in nodes if (r := _is_main(n))}
-        self.gone = {id(n) for n in nodes if _is_noise(n, id(n) in in_article)}
-        holds_main = {id(a) for n in nodes if ranks.get(id(n), 0) >= 2 and id(n) not in self.gone for a in ancestors(n)}
-        self.gone = {id(n) for n in nodes if id(n) in self.gone and (id(n) not in holds_main or n.tag in NOISE_TAGS)}
-        dropped: set[int] = set()
-        for n in nodes:
-            if id(n) in self.gone or (id(n) in above and id(above[id(n)]) in dropped):
-                dropped.add(id(n))
-        sizes = {id(n): len(text_of(n, self.gone)) for n in nodes if id(n) in ranks and id(n) not in dropped}
-        articles, within = [], set()
+        self.nodes = nodes = _walk(self.root)
+        self.above = above = {id(p): n for n in nodes for p in n.parts if type(p) is Node}
+        self.inside: set[int] = set()  # main or article elements and all in them
+        self.gone: set[int] = set()
         for n in nodes:
-            if id(above.get(id(n))) in within:
-                within.add(id(n))
-            elif ranks.get(id(n)) == 3 and sizes.get(id(n)):
-                within.add(id(n))
-                articles.append(n)
-        others = [n for n in nodes if sizes.get(id(n)) and ranks[id(n)] < 3 and id(n) not in within]
-        other = max(others, key=lambda n: (ranks[id(n)], sizes[id(n)]), default=None)
-        held = sum(sizes[id(a)] for a in articles)
-        if other is not None:
-            inside = {id(n) for n in _walk(other)}
-            rest = sizes[id(other)] + sum(sizes[id(a)] for a in articles if id(a) not in inside)
-            if 2 * held <= rest:
-                articles = []
-        self.mains = articles or [other or self.root]
-        self.main = max(self.mains, key=lambda n: sizes.get(id(n), 0))
-        main = {id(n) for m in self.mains for n in _walk(m)} if self.main is not self.root else set()
-        around = {id(self.root), id(self.main), *(id(a) for a in ancestors(self.main))}
+            mine = id(above.get(id(n))) in self.inside
+            if mine or _is_main(n):
+                self.inside.add(id(n))
+            if _is_noise(n, mine):
+                self.gone.add(id(n))
         for n in nodes:
-            if n.tag == "header" and id(n) in in_article and id(n) not in self.gone:
+            if n.tag == "header" and id(n) in self.inside and id(n) not in self.gone:
                 self.gone.update(id(p) for p in n.parts if type(p) is Node and p.tag not in HEADINGS and not any(x.tag in HEADINGS for x in _walk(p)))
         self.hash = hashes(self.root)
-        # prose of the main element is the article's own, however often it is quoted elsewhere on the host
-        prose = HEADINGS | {"p", "blockquote", "pre", "br", "li", "td", "tr", "tbody"}
         self.candidates = [
             n for n in nodes
-            if id(n) in self.hash and id(n) not in around and id(n) not in dropped and n.tag in BLOCK and n.tag not in ("html", "body") and not (id(n) in main and n.tag in prose)
+            if n.tag in BLOCK and id(n) in self.hash and n.tag not in ("html", "body") and not (id(n) in self.inside and n.tag in PROSE)
         ]
 
-    def _read(self, gone: set[int]) -> str:
-        return " ".join(t for m in self.mains if id(m) not in gone and (t := text_of(m, gone)))
+    def _within(self, node: Node, tags: set[str] | frozenset[str]) -> bool:
+        while (node := self.above.get(id(node))) is not None:
+            if node.tag in tags:
+                return True
+        return False
+
+    def mains(self, gone: set[int]) -> list[Node]:
+        """The elements with the main text, of what is not gone: the articles in page order, if they hold most of the text of the
+        main element; else this element; else the element that holds most prose itself or through one element between."""
+        left: list[Node] = []
+        dropped: set[int] = set()
+        for n in self.nodes:
+            if id(n) in gone or id(self.above.get(id(n))) in dropped:
+                dropped.add(id(n))
+            else:
+                left.append(n)
+        articles = [n for n in left if n.tag == "article" and not self._within(n, {"article"})]
+        # an article inside an article is a reader's comment on it, unless the outer one has no text of its own
+        read = [(n, self._without_inner(n, gone)) for n in articles]
+        articles = [n for n, text in read if text]
+        others = [n for n in left if n.tag != "article" and _is_main(n) and not self._within(n, {"article"})]
+        other = max(others, key=lambda n: len(text_of(n, gone)), default=None)
+        if other is not None:
+            held = sum(len(t) for _, t in read)
+            outside = sum(len(t) for n, t in read if not self._is_in(n, other))
+            if articles and 2 * held > len(text_of(other, gone)) + outside:
+                return articles
+            if text_of(other, gone):
+                return [other]
+        if articles:
+            return articles
+        scores: dict[int, int] = {}
+        for n in left:
+            if n.tag in PROSE and not self._within(n, PROSE):
+                size, at = len(text_of(n, gone)), n
+                for _ in range(2):
+                    at = self.above.get(id(at), self.root)
+                    while at.tag not in CONTAINERS and id(at) in self.above:
+                        at = self.above[id(at)]
+                    scores[id(at)] = scores.get(id(at), 0) + size
+                    if at is self.root:
+                        break
+        return [max(enumerate(left), key=lambda x: (scores.get(id(x[1]), 0), x[0] if scores else -x[0]))[1]] if left else []
+
+    def _is_in(self, node: Node, outer: Node) -> bool:
+        while (node := self.above.get(id(node))) is not None:
+            if node is outer:
+                return True
+        return False
+
+    def _without_inner(self, article: Node, gone: set[int]) -> str:
+        inner = {id(n) for n in _walk(article) if n.tag == "article" and n is not article}
+        own = text_of(article, gone | inner) if inner else ""
+        return own or text_of(article, gone)
 
     def text(self, template: set[bytes]) -> str:
-        """The main text without template subtrees; if they are over half of it, the text is a copy on the site, and stays."""
-        plain = self._read(self.gone)
-        if not template:
-            return plain
-        owned = {id(n) for n in self.candidates if self.hash[id(n)] in template}
-        less = self._read(self.gone | owned)
-        return less if self.main is self.root or 2 * len(less) >= len(plain) else plain
+        """The main text of what is left without the template's subtrees and what HTML's names rule out."""
+        gone = self.gone | {id(n) for n in self.candidates if self.hash[id(n)] in template}
+        texts = (self._without_inner(m, gone) if m.tag == "article" else text_of(m, gone) for m in self.mains(gone))
+        return " ".join(t for t in texts if t)
+
+    def story(self) -> bytes:
+        """A hash of the main text by HTML's names alone: pages with equal ones are copies, and one witness of a template."""
+        return hashlib.blake2b(self.text(set()).encode("utf-8", "replace"), digest_size=8).digest()
 
 
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -258,40 +259,49 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html).
 
-    Element subtrees are hashed (tag, texts, subtrees); those found in at least min_pages different pages of a host are
-    the site's template and are deleted, besides elements that HTML itself or their class, id or role
-    name as menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments.  The text is that of the
-    articles in page order, if they hold most of the text of the main element (or what is named as main content) and of
-    themselves; else that of this element, else of the whole page.  Paragraphs and headings of an article are its
-    own even if they recur.
+    Element subtrees (menus, notices, adverts and footers included) are hashed: tag, texts, subtrees.  Those found with at least
+    min_pages different main texts on a host are the site's template and are deleted, wherever they stand; copies of one
+    article are one witness.  Only elements that HTML itself names as no part of the text (nav, footer, aside, form, script,
+    header outside an article, their ARIA roles, schema.org types, hidden ones) are deleted without being counted; names of classes
+    mean nothing.  Paragraphs, headings, items and cells inside an article or main element are its own and stay even if they recur.
+
+    The text is that of the articles in page order, if they hold most of the text of the main element; else that of this
+    element; else of the element that holds most prose.  Articles inside an article are comments on it.
 
     Null or empty html: empty text.  A null or relative url: one host, "".  Pages equal in url and html
-    count once as evidence and each give a row.  No rows: no rows.  Other columns are left out.
+    count once as evidence and each give a row.  No rows: no rows.  Other columns are left out, whatever their names.
     """
     rows = pages.select("page_id", "url", "html").withColumn("_page", F.xxhash64("url", "html"))
     rows = rows.withColumn("_host", F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit("")))
+    number = lambda h: int.from_bytes(h, "little", signed=True)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hosts, found = [], [], []
-            for key, host, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                page = Page(html)
-                mine = {page.hash[id(n)] for n in page.candidates}
-                keys += [key] * len(mine)
-                hosts += [host] * len(mine)
-                found += [int.from_bytes(h, "little", signed=True) for h in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["_page", "_host", "_tree"])
-
-    trees = written(rows.select("_page", "_host", "html").mapInArrow(find, "_page long, _host string, _tree long").distinct())
-    template = trees.groupBy("_host", "_tree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages)
-    owned = trees.join(template, ["_host", "_tree"]).groupBy("_page").agg(F.collect_list("_tree").alias("_template"))
+            for part in slices(batch, 2):
+                keys, hosts, found, stories = [], [], [], []
+                for key, host, html in zip(*(part.column(k).to_pylist() for k in range(3))):
+                    page = Page(html)
+                    mine = {page.hash[id(n)] for n in page.candidates}
+                    keys += [key] * len(mine)
+                    hosts += [host] * len(mine)
+                    found += [number(h) for h in mine]
+                    stories += [number(page.story())] * len(mine)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(stories, pa.int64())], ["_page", "_host", "_tree", "_story"]
+                )
+
+    trees = written(rows.select("_page", "_host", "html").mapInArrow(find, "_page long, _host string, _tree long, _story long"))
+    witnesses = trees.select("_host", "_tree", "_story").distinct()
+    template = written(witnesses.groupBy("_host", "_tree").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages))
+    owned = trees.join(template, ["_host", "_tree"]).groupBy("_page").agg(F.collect_set("_tree").alias("_template"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                out.append(Page(html).text({t.to_bytes(8, "little", signed=True) for t in template or ()}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for part in slices(batch, 2):
+                out = []
+                for html, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    out.append(Page(html).text({t.to_bytes(8, "little", signed=True) for t in template or ()}))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(owned, "_page", "left").select("page_id", "url", "html", "_template")
+    joined = rows.join(written(owned), "_page", "left").select("page_id", "url", "html", "_template")
     return joined.mapInArrow(read, "page_id long, url string, text string, n_chars long")
