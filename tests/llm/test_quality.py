@@ -40,18 +40,79 @@ def test_counts_equal_brute_force(spark, docs, corpus):
     assert sorted([str(r[0]), *r[1:]] for r in out) == sorted([str(c[0]), *brute(c[1])] for c in corpus)
 
 
+def plain_em(rows, rules, rounds):
+    """The same model one document and one rule at a time."""
+    good, says = 0.8, [[0.02, 0.3] for _ in range(rules)]
+    for _ in range(rounds):
+        weight = []
+        for votes in rows:
+            both = [good, 1 - good]
+            for k, v in enumerate(votes):
+                for c in (0, 1):
+                    both[c] *= 1.0 if v == 0 else says[k][c] if v < 0 else 1 - says[k][c]
+            weight.append([x / sum(both) for x in both])
+        good = min(max(sum(w[0] for w in weight) / len(rows), 0.0001), 0.9999)
+        new = []
+        for k in range(rules):
+            rate = []
+            for c, start in enumerate((0.02, 0.3)):
+                bad = start + sum(w[c] for w, votes in zip(weight, rows) if votes[k] < 0)
+                any_ = 1 + sum(w[c] for w, votes in zip(weight, rows) if votes[k])
+                rate.append(min(max(bad / any_, 0.0001), 0.9999))
+            new.append(rate)
+        says = new
+    return good, says
+
+
+def drawn(rng, n, good_share, bad_if_good, bad_if_bad):
+    kind = rng.random(n) < good_share
+    says = np.where(kind[:, None], bad_if_good, bad_if_bad)
+    votes = np.where(rng.random((n, len(bad_if_good))) < says, -1, 1) * (rng.random((n, len(bad_if_good))) < 0.8)
+    return kind, votes
+
+
+def test_estimate_equals_a_plain_em():
+    rng = np.random.default_rng(2)
+    _, votes = drawn(rng, 400, 0.8, np.array([0.02, 0.05, 0.1, 0.3]), np.array([0.9, 0.6, 0.5, 0.35]))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    a = quality.estimate(patterns.astype(float), counts.astype(float))
+    good, says = plain_em(votes.tolist(), 4, 400)
+    assert abs(a.good - good) < 1e-4 and np.allclose(a.says_bad, says, atol=1e-4)
+
+
 def test_accuracies_are_recovered():
     rng = np.random.default_rng(1)
-    n, rules = 20_000, 5
-    kind = rng.choice(rules + 1, n, p=[0.75, *[0.05] * 5])
-    says = np.full((rules + 1, rules), 0.97)
-    for k in range(rules):
-        says[k + 1, k] = 0.05
-    votes = np.where(rng.random((n, rules)) < says[kind], 1, -1) * (rng.random((n, rules)) < 0.8)
-    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    right, wrong = np.array([0.9, 0.7, 0.5, 0.6, 0.4]), np.array([0.01, 0.02, 0.05, 0.1, 0.2])
+    kind, votes = drawn(rng, 40_000, 0.85, wrong, right)
+    patterns, inverse, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     a = quality.estimate(patterns.astype(float), counts.astype(float))
-    assert abs(a.shares[0] - 0.75) < 0.05
-    assert np.allclose(a.says_good[0], 0.97, atol=0.02)
+    assert abs(a.good - 0.85) < 0.03 and np.allclose([x for x, _ in a.says_bad], wrong, atol=0.03) and np.allclose([y for _, y in a.says_bad], right, atol=0.06)
+    # of the rules that speak against a document, a weak one alone is overruled
+    odds = np.log((1 - a.good) / a.good) + (votes > 0) @ [np.log((1 - y) / (1 - x)) for x, y in a.says_bad] + (votes < 0) @ [np.log(y / x) for x, y in a.says_bad]
+    verdict, all_pass = odds <= 0, (votes >= 0).all(1)
+    assert (verdict == kind).mean() > (all_pass == kind).mean() + 0.1
+
+
+def test_no_documents_to_learn_from():
+    assert quality.estimate(np.zeros((0, 3)), np.zeros(0)) == (0.8, [(0.02, 0.3)] * 3)
+
+
+def test_judge_equals_a_plain_model(spark, docs):
+    """Rules voted by another engine, and the plain EM, give each document's probability and verdict."""
+    import duckdb
+
+    out = quality.judge(docs).toPandas()
+    sql = ", ".join(f"CASE WHEN {r.good} THEN 1 WHEN {r.bad} THEN -1 ELSE 0 END" for r in quality.RULES)
+    votes = duckdb.sql(f"SELECT {sql} FROM out").fetchall()
+    open_ = [v for v, failed in zip(votes, out.base_failed) if not failed]
+    good, says = plain_em(open_, len(quality.RULES), 3000)
+    for v, r in zip(votes, out.itertuples()):
+        both = [good, 1 - good]
+        for k, x in enumerate(v):
+            for c in (0, 1):
+                both[c] *= 1.0 if x == 0 else says[k][c] if x < 0 else 1 - says[k][c]
+        p = both[0] / sum(both)
+        assert abs(p - r.p_good) < 1e-4 and (r.kept == (not r.base_failed and p >= 0.5) or abs(p - 0.5) < 1e-4)
 
 
 def test_judge(spark, docs, corpus, words):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -131,63 +132,62 @@ RULES = (
 
 
 class Accuracies(NamedTuple):
-    """Shares of good documents and of each kind of bad ones, and how often a rule that votes says "good" of each."""
+    """The share of good documents, and for each rule how often its votes say "bad" of good and of bad documents."""
 
-    shares: list[float]  # good, then one kind a rule
-    says_good: list[list[float]]
+    good: float
+    says_bad: list[tuple[float, float]]
 
 
-def estimate(votes: np.ndarray, weights: np.ndarray, rounds: int = 100) -> Accuracies:
-    """Expectation-maximisation over vote patterns (patterns x rules, in -1, 0, 1) with their numbers of documents.
+#: Before any document is seen: most are good, and a rule seldom speaks against a good one.
+START = Accuracies(0.8, [(0.02, 0.3)])
 
-    Documents are good, or bad in one of several ways: one kind for each rule, that this rule
-    sees and others may or may not.  Votes are independent given the kind; an abstention says nothing.  Two bounds
-    keep the kinds' meanings: a rule is right at least half of the time on good documents and on its own kind.
+
+def estimate(votes: np.ndarray, weights: np.ndarray, tolerance: float = 1e-9) -> Accuracies:
+    """Expectation-maximisation (Dawid and Skene) over vote patterns (patterns x rules, in -1, 0, 1) with their numbers of documents.
+
+    Documents are good or bad; a rule's votes are independent given which; an abstention says nothing.  Each rule starts as
+    START says, which counts as much as one document of either class, and rates stay within 0.0001 of 0 and 1.  Rounds go on
+    until no rate moves by more than tolerance.  No documents: START.
     """
     rules = votes.shape[1]
-    start = np.full((rules + 1, rules), 0.9)
-    start[0] = 0.98
-    own = np.arange(rules)
-    start[own + 1, own] = 0.05
-    says, shares = start.copy(), np.append(0.8, np.full(rules, 0.2 / rules))
+    start = np.tile(np.array(START.says_bad[0]), (rules, 1)).T
+    says, good = start.copy(), START.good
     yes, no = (votes > 0).astype(float), (votes < 0).astype(float)
-    for _ in range(rounds):
-        logs = np.log(shares) + yes @ np.log(says).T + no @ np.log(1 - says).T
-        p = np.exp(logs - logs.max(1, keepdims=True))
-        w = (p / p.sum(1, keepdims=True) * weights[:, None]).T
-        says = np.clip((w @ yes + 5 * start) / (w @ (yes + no) + 5), 0.001, 0.999)
-        says[0] = np.maximum(says[0], 0.5)
-        says[own + 1, own] = np.minimum(says[own + 1, own], 0.5)
-        shares = np.maximum(w.sum(1), 1e-6 * max(weights.sum(), 1))
-        shares /= shares.sum()
-    return Accuracies(shares.tolist(), says.tolist())
+    total = weights.sum()
+    while total:
+        logs = np.log([[good], [1 - good]]) + np.log(1 - says) @ yes.T + np.log(says) @ no.T
+        p = np.exp(logs - logs.max(0))
+        w = p / p.sum(0) * weights
+        new = np.clip((w @ no + start) / (w @ (yes + no) + 1), 0.0001, 0.9999)
+        share = float(np.clip(w[0].sum() / total, 0.0001, 0.9999))
+        moved = max(abs(share - good), float(np.abs(new - says).max(initial=0)))
+        says, good = new, share
+        if moved <= tolerance:
+            break
+    return Accuracies(good, [(float(x), float(y)) for x, y in says.T])
 
 
 def posterior(a: Accuracies, votes: list[Column]) -> Column:
     """Probability that a document with these votes is good."""
-    against = F.lit(0.0)
-    for k in range(1, len(a.shares)):
-        odds = F.lit(float(np.log(a.shares[k] / a.shares[0])))
-        for vote, good, bad in zip(votes, a.says_good[0], a.says_good[k]):
-            odds = odds + F.when(vote > 0, float(np.log(bad / good))).when(vote < 0, float(np.log((1 - bad) / (1 - good)))).otherwise(0.0)
-        against = against + F.exp(odds)
-    return 1 / (1 + against)
+    odds = F.lit(math.log((1 - a.good) / a.good))
+    for vote, (good, bad) in zip(votes, a.says_bad):
+        odds = odds + F.when(vote > 0, math.log((1 - bad) / (1 - good))).when(vote < 0, math.log(bad / good)).otherwise(0.0)
+    return 1 / (1 + F.exp(odds))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """Every row of docs (doc_id, text) with its counts, base_failed, p_good and kept.
+    """Every row of docs (doc_id, text) with its counts, base_failed, p_good and kept; other columns are left out.
 
     The rules vote or abstain; their accuracies are estimated from the numbers of documents with each
-    pattern of votes (3 ** rules patterns at most, whatever the corpus) over all rows.  kept: not base_failed, and the
-    posterior probability of being good is `least` or more.  Null or blank text: no words, base_failed.
-    Repeated rows count each time.  No rows: no rows.
+    pattern of votes (3 ** rules patterns at most, whatever the corpus) over all rows that base_failed doesn't decide.
+    kept: not base_failed, and the posterior probability of being good is `least` or more.  Null or blank text: no words,
+    base_failed.  Repeated rows count each time.  No rows: no rows.
     """
     found = written(counts(docs))
     names = [f"_v{k}" for k in range(len(rules))]
-    voted = found.withColumns({name: rule.vote() for name, rule in zip(names, rules)})
-    patterns = voted.groupBy(*names).count().collect()
+    voted = found.withColumns({name: rule.vote() for name, rule in zip(names, rules)}).withColumn("base_failed", base_failed())
+    patterns = voted.where("not base_failed").groupBy(*names).count().collect()
     votes = np.array([[r[n] for n in names] for r in patterns], float).reshape(-1, len(rules))
     accuracies = estimate(votes, np.array([r["count"] for r in patterns], float))
-    good = posterior(accuracies, [F.col(n) for n in names])
-    out = voted.withColumn("base_failed", base_failed()).withColumn("p_good", F.round(good, 6))
+    out = voted.withColumn("p_good", F.round(posterior(accuracies, [F.col(n) for n in names]), 6))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least)).drop(*names)
