@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .jobs import components, written
 
-#: Pivots an index has at most; they come from a sample of at most four times as many vectors.
-MOST_PIVOTS = 1024
+#: Pivots of a vector length at most; they come from a sample of at most four times as many vectors.
+MOST_PIVOTS = 8192
 #: No two pivots are this close, so that one group of copies doesn't fill the pivots.
 PIVOTS_APART = 0.7
 #: A vector is described by its nearest pivots, in order; candidates share at least two of them.
@@ -39,20 +39,27 @@ def _unit(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.stack(rows) if rows else np.zeros((0, 0))), np.array(where, np.int64)
 
 
-def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Pivots by vector length: up to about 2 sqrt(count), spread out, from a bounded sample in the order of a hash."""
-    wanted = int(min(MOST_PIVOTS, max(64, 2 * math.sqrt(count))))
-    sample = vectors.where("_dim > 0").orderBy(F.xxhash64("_key", F.lit(7)), "_key").limit(4 * wanted).select("embedding", "_dim").collect()
+def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots for every vector length: up to about 2 sqrt(count) by the length's count, spread out, from bounded samples in the order of a hash.
+
+    A sample over all lengths may hold none of a rare one; lengths that are still without pivots are sampled again.
+    """
+    counts = {r["_dim"]: r["count"] for r in vectors.where("_dim > 0").groupBy("_dim").count().collect()}
+    wanted = {dim: int(min(MOST_PIVOTS, max(64, 2 * math.sqrt(n)))) for dim, n in counts.items()}
     out: dict[int, np.ndarray] = {}
-    for dim in sorted({r["_dim"] for r in sample}):
-        units, _ = _unit([r["embedding"] for r in sample if r["_dim"] == dim])
-        chosen: list[int] = []
-        nearest = np.full(len(units), -1.0)
-        for k in range(len(units)):
-            if len(chosen) < wanted and nearest[k] < PIVOTS_APART:
-                chosen.append(k)
-                nearest = np.maximum(nearest, units @ units[k])
-        if chosen:
+    while left := [dim for dim in counts if dim not in out]:
+        some = vectors.where(F.col("_dim").isin(left)).orderBy(F.xxhash64("_key", F.lit(7)), "_key").limit(4 * max(wanted[dim] for dim in left))
+        by_dim: dict[int, list] = {}
+        for r in some.select("embedding", "_dim").collect():
+            by_dim.setdefault(r["_dim"], []).append(r["embedding"])
+        for dim, rows in sorted(by_dim.items()):
+            units, _ = _unit(rows)
+            chosen: list[int] = []
+            nearest = np.full(len(units), -1.0)
+            for k in range(len(units)):
+                if len(chosen) < wanted[dim] and nearest[k] < PIVOTS_APART:
+                    chosen.append(k)
+                    nearest = np.maximum(nearest, units @ units[k])
             out[dim] = units[chosen]
     return out
 
@@ -148,7 +155,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     pivot (every large one does) is counted, not compared.  A vector from outside can reach a member only
     if it lies within one and a half linking angles of the pivot, and only such are compared with the ball.
 
-    Pivots are fitted on a sample of at most 4096 vectors; all vectors are indexed.  Retrieval is by the
+    Every length of vectors has pivots of its own, fitted on samples of at most 4 * MOST_PIVOTS vectors; all vectors are indexed.  Retrieval is by the
     pivots shared, so a link may be missed; tests and the README give the recall.  Null, zero, or non-finite vectors, or
     with null components, link with nothing.  Vectors of different lengths don't link.  Repeated rows are vectors of
     their own and link; a null vec_id gives a row with n_links, and is no component's id.  No rows: no rows.
@@ -160,7 +167,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     keyed = wide.withColumn("_dim", dim).withColumn("_copy", F.row_number().over(copy))
     keyed = written(keyed.select("vec_id", "embedding", "_dim", F.xxhash64("vec_id", "embedding", "_copy").alias("_key")))
     spark = keyed.sparkSession
-    pivots = spark.sparkContext.broadcast(choose_pivots(keyed, keyed.where("_dim > 0").count()))
+    pivots = spark.sparkContext.broadcast(choose_pivots(keyed))
     half, reach = math.cos(math.acos(least) / 2) + MARGIN, math.cos(min(math.pi, 1.5 * math.acos(least))) - MARGIN
     most = max((len(p) for p in pivots.value.values()), default=1)
 
@@ -169,7 +176,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims):
                 mine = batch.filter(pa.array(dims == dim))
-                if dim not in pivots.value:
+                if not dim:
                     continue
                 x, _ = _unit(mine.column(1).to_numpy(zero_copy_only=False))
                 sims = x @ pivots.value[dim].T
