@@ -12,12 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import components, written
+from .jobs import beside, components, fresh, written
 from .scan import Texts, mix, texts, windows
 
 #: Counters of the sketch of shingle frequencies: 16 MB whatever the corpus holds; a task counts to 255 in each.
 SKETCH_BITS = 22
 SKETCH_CHUNKS = 256
+#: Sketches that one task adds up at a time.
+FAN_IN = 32
 #: Members of a block of a group, and queries that meet a block in one task.
 BLOCK = 256
 #: In lists of this many nodes or more, nodes are first compared with the list's most central node.
@@ -63,7 +65,7 @@ def _frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
             for t in texts(batch.column(0)):
                 for s in _sets(t, size):
                     np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        salt = TaskContext.get().partitionId() % 8
+        salt = TaskContext.get().partitionId() // FAN_IN
         parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_CHUNKS, -1)
         for k in np.flatnonzero(parts.any(1)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], ["chunk", "salt", "counts"])
@@ -73,13 +75,14 @@ def _frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
             total = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNKS, np.int32)
             for c in rows["counts"]:
                 total += np.frombuffer(c, kind)
-            return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [0], "counts": [total.tobytes()]})
+            return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "salt": [rows["salt"].iloc[0] // FAN_IN], "counts": [total.tobytes()]})
 
         return run
 
     schema = "chunk int, salt int, counts binary"
     parts = docs.select("text").mapInArrow(count, schema)
-    sums = parts.groupBy("chunk", "salt").applyInPandas(add(np.uint8), schema).groupBy("chunk").applyInPandas(add(np.int32), schema)
+    sums = parts.groupBy("chunk", "salt").applyInPandas(add(np.uint8), schema).groupBy("chunk", "salt").applyInPandas(add(np.int32), schema)
+    sums = sums.groupBy("chunk").applyInPandas(add(np.int32), schema)
     sketch = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int32)
     for r in sums.collect():
         sketch[r.chunk] = np.frombuffer(r.counts, np.int32)
@@ -193,7 +196,7 @@ def _open_groups(docs: DataFrame, probes: DataFrame, members: DataFrame, size: i
             yield batch.filter(pa.array(np.array(nodes, np.int64) == batch.column(0).to_numpy(), pa.bool_()))
 
     wanted = written(rows.select("node", F.coalesce("rep", absent).alias("_id")).distinct())
-    body = docs.withColumn("_id", F.coalesce("doc_id", absent)).join(wanted, "_id").select("node", "text")
+    body = docs.withColumn("_id", F.coalesce("doc_id", absent)).join(beside(wanted), "_id").select("node", "text")
     body = written(body.mapInArrow(belongs, "node long, text string"))
     opened = rows.join(body, "node").groupBy("grp", "blk", "chunk")
     return opened.applyInPandas(lambda part: _frame(_open_block(part, size, percent)), "a long, b long")
@@ -205,16 +208,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of `size`-word shingles; the
     component's id is its smallest doc_id.
 
-    Equal sets are one node.  Groups hold the nodes with the same rarest token (near copies mostly
-    share it), in blocks of about 256; the matrix says which tokens a group's union has.  A query's
-    overlap with a group is the number of its prefix tokens there; it bounds the overlap with every member, and only
-    groups that can hold a link are opened: the texts are fetched and the sets compared, again
-    under the bound of the group's whole token union.
+    Equal sets are one node.  To spare comparisons inside large groups of near copies, nodes in long lists of a token
+    are first compared with the list's most central node.  What that links is a group of the matrix; other nodes fall
+    into groups by the commonest token of their prefix that another node has too; groups lie in blocks of about 256.
+    The matrix says which prefix tokens a block's union has.  A query's overlap with a block is the number of its prefix
+    tokens there; it bounds the overlap with every member, and only blocks that can hold a link are opened: the
+    texts are fetched and the sets compared, again under the bound of the block's whole token union.
 
-    To spare comparisons inside large groups of near copies, nodes in long lists of a token
-    are first compared with the list's most central node.  After that a node probes only
-    groups with a node of a larger component (or as large, with a larger name).  No link between components is
-    lost: it needs a common prefix token, and the node of its smaller component probes the other's group.
+    A node probes only blocks with a node of a larger component (or as large, with a larger name).  No link between components is
+    lost: it needs a common prefix token, and the node of its smaller component probes the other's block.
 
     Null or blank text: no shingles, linked with nothing.  Fewer than `size` words: the whole is one
     shingle.  A null doc_id gives a row too.  Repeated rows get the same component.  No rows: no rows.
@@ -222,34 +224,37 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = docs.select("doc_id", "text")
     signed = written(_signatures(docs, size, percent))
     nodes = written(signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("prefix").alias("prefix")))
-    same = Window.partitionBy("token")
-    lists = nodes.select("node", F.posexplode("prefix").alias("pos", "token")).drop("pos")
-    lists = written(lists.withColumn("held", F.count("*").over(same)).where("held > 1"))
-    groups = nodes.groupBy(F.col("prefix")[0].alias("grp")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    listed = nodes.withColumn("grp", F.col("prefix")[0]).join(lists.select("node").distinct(), "node", "left_semi")
-    placed = listed.join(groups, "grp").select("node", "rep", "n", "grp", F.pmod(F.xxhash64("node"), "blocks").alias("blk"))
-    placed = written(placed)
+    lists = nodes.select("node", F.explode("prefix").alias("token"))
+    held = written(lists.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"))
+    lists = written(lists.join(held, "token").select("node", "token", "held"))
 
     long_ = lists.where(F.col("held") >= LONG)
     # the node with most company in long lists: of copies that vary around one text, that text
     company = long_.groupBy("node").agg(F.sum("held").alias("_sum"))
-    heads = long_.join(company, "node").groupBy("token").agg(F.max_by("node", F.struct("_sum", "node")).alias("head"))
+    heads = written(long_.join(company, "node").groupBy("token").agg(F.max_by("node", F.struct("_sum", "node")).alias("head")))
     pairs = long_.join(heads, "token").where("node <> head").select("node", "head").distinct()
     a, b = nodes.select("node", "n", "prefix"), nodes.select(F.col("node").alias("head"), F.col("n").alias("_n"), F.col("prefix").alias("_prefix"))
     pairs = pairs.join(a, "node").join(b, "head").withColumn("_c", F.size(F.array_intersect("prefix", "_prefix")))
     pairs = written(pairs.where(f"100 * least(n, _n) >= {percent} * greatest(n, _n)").where(_enough("_c", "n", "_n", percent)).select("node", "head"))
-    at = placed.select(F.col("node").alias("head"), "grp", "blk")
-    comp = F.col("node").alias("comp")
-    probes = pairs.join(at, "head").select("grp", "blk", "node").join(placed.select("node", "rep"), "node").select("grp", "blk", "node", "rep", comp).distinct()
-    members = placed.join(pairs.select(F.col("head").alias("node")).distinct(), "node").select("grp", "blk", "node", "rep", comp)
+    alone = F.col("node").alias("comp")
+    block = (F.col("head").alias("grp"), F.lit(0).cast("long").alias("blk"))
+    reps = nodes.select("node", "rep")
+    probes = pairs.select(*block, "node").join(reps, "node").select("grp", "blk", "node", "rep", alone)
+    members = pairs.select(*block, F.col("head").alias("node")).distinct().join(reps, "node").select("grp", "blk", "node", "rep", alone)
     labels = components(_open_groups(docs, probes, members, size, percent))
 
-    placed = placed.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    sizes = placed.groupBy("comp").agg(F.count("*").alias("nodes"))
-    placed = written(placed.join(sizes, "comp"))
-    across = lists.select("token", "node").join(placed, "node").repartition("token")
-    across = across.withColumn("_lo", F.min("comp").over(same)).withColumn("_hi", F.max("comp").over(same)).where("_lo < _hi")
-    across = across.select("token", "node", "n", "grp", "blk", F.struct("nodes", "comp").alias("rank"))
+    common = lists.groupBy("node").agg(F.max(F.struct("held", "token")).alias("_most")).select("node", F.col("_most.token").alias("_token"))
+    placed = common.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    placed = placed.withColumn("grp", F.coalesce("root", "_token")).join(nodes.select("node", "rep", "n"), "node")
+    placed = written(placed.select("node", "rep", "n", "comp", "grp"))
+    groups = written(placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    sizes = written(placed.groupBy("comp").agg(F.count("*").alias("nodes")))
+    placed = placed.join(groups, "grp").join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = written(placed.select("node", "rep", "n", "comp", "nodes", "grp", "blk"))
+    across = lists.select("token", "node").join(placed, "node")
+    across = written(across.select("token", "node", "n", "grp", "blk", F.struct("nodes", "comp").alias("rank")))
+    mixed = across.groupBy("token").agg(F.min("rank.comp").alias("_lo"), F.max("rank.comp").alias("_hi")).where("_lo < _hi")
+    across = across.join(written(mixed.select("token")), "token")
     matrix = across.groupBy("token", "grp", "blk").agg(
         F.count("*").alias("held"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rank").alias("top")
     ).alias("m")
@@ -288,5 +293,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = jaccard_components(docs, size, percent)
     gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
+    row = fresh(docs.columns, "row")
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_row", F.row_number().over(once)).where("_row = 1 or doc_id is null or text is null").drop("_row")
+    return kept.withColumn(row, F.row_number().over(once)).where(F.expr(f"`{row}` = 1 or doc_id is null or text is null")).drop(row)

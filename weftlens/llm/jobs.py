@@ -40,6 +40,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many bytes on disk are sent whole to every executor.
+SMALL_TABLE = 16 << 20
+
+
+def beside(table: DataFrame) -> DataFrame:
+    """A written table for the smaller side of a join: broadcast if its files hold at most SMALL_TABLE bytes, else as it is."""
+    held = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if held <= SMALL_TABLE else table
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node reachable.
 
