@@ -25,13 +25,26 @@ def brute(rows, length):
     return out
 
 
-def test_order_is_the_suffix_order():
+def test_repeats_of_aligned_rows():
+    """Rows with a gram in common, against a comparison of all strings that stand as far from it."""
     rng = random.Random(5)
-    for _ in range(40):
-        rows = [bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 9))]
-        owner, start = suffixes.bwt_order(rows)
-        got = [(rows[o][s:], o) for o, s in zip(owner, start)]
-        assert got == sorted((r[s:], k) for k, r in enumerate(rows) for s in range(len(r) + 1))
+    for _ in range(60):
+        length, letters = rng.randint(3, 6), rng.choice([b"ab", b"a", b"abc\x00\xff"])
+        rows, ahead = [], []
+        for _ in range(rng.randint(1, 30)):
+            left, right = rng.randint(0, 5), rng.randint(2, 7)
+            rows.append(bytes(rng.choice(letters) for _ in range(left)) + b"GG" + bytes(rng.choice(letters) for _ in range(right)))
+            ahead.append(left)
+        rank = np.array(rng.sample(range(100), len(rows)))
+        want = set()
+        for k, (r, a) in enumerate(zip(rows, ahead)):
+            for s in range(min(a + 1, len(r) - length + 1)):
+                others = (o[b - a + s : b - a + s + length] for o, b, low in zip(rows, ahead, rank) if low < rank[k] and b - a + s >= 0)
+                if r[s : s + length] in list(others):
+                    want.add((k, s))
+        row, start, count = suffixes.repeats(rows, np.array(ahead), rank, length)
+        got = [(int(r), int(s) + j) for r, s, n in zip(row, start, count) for j in range(n)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_sliding_least():

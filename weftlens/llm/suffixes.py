@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import written
-from .scan import Texts, mix, texts
+from .jobs import beside, written
+from .scan import Texts, slices, texts
 
 #: Bytes of the grams by which equal strings find each other; a string holds LENGTH - GRAM + 1 of them.
 GRAM = 32
-#: Fragments of a bucket, in which suffixes are sorted together; a group of more falls apart into its strings.
-BUCKET, LARGE = 16_384, 4_096
+#: Fragments of a bucket, about, in which suffixes are sorted together; a group of more than LARGE falls apart into its strings.
+BUCKET, LARGE = 16_384, 16_384
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -35,11 +35,11 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 def fragments(t: Texts, length: int) -> tuple[np.ndarray, ...]:
     """Runs of strings (of `length` bytes, inside one text) that have their least gram in common.
 
-    Returns text, first start, number of starts, hash of the gram, and hash of all bytes of the run.  Which gram of
+    Returns text, first start, number of starts, distance from the first start to the gram, hash of the gram, and hash of all bytes of the run.  Which gram of
     a string is the least depends on its bytes alone (the leftmost of equals), so equal strings lie in runs
     with equal grams, at equal distances from them.
     """
-    none = (np.zeros(0, np.int64),) * 5
+    none = (np.zeros(0, np.int64),) * 6
     if len(t.data) < length:
         return none
     sums = t.prefix_hash(t.data)
@@ -59,82 +59,49 @@ def fragments(t: Texts, length: int) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(first, len(starts)))
     begin = starts[first]
     whole = t.span_hash(sums, begin, begin + count - 1 + length)
-    return text[first], begin - t.offsets[text[first]], count, grams[anchor[first]].view(np.int64), whole.view(np.int64)
+    return text[first], begin - t.offsets[text[first]], count, anchor[first] - begin, grams[anchor[first]].view(np.int64), whole.view(np.int64)
 
 
-def bwt_order(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of the rows in sorted order: row and start of each.
+def repeats(rows: list[bytes], ahead: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, number of starts) of the runs of strings of `length` bytes that are also in a row of lower rank, as far from its gram.
 
-    Round j adds to every row with that many symbols its suffix of j symbols (multi-document BWT construction
-    by columns, after Bauer, Cox and Rosone): where the suffix of j - 1 symbols stands, the transform
-    holds the symbol before it; the number of equal symbols further up, after all smaller symbols, is the place of the
-    longer suffix.  Suffixes that are equal stand in the order of their rows.
+    Rows are laid with their grams, `ahead` bytes from their starts, in one column.  From the last column to the first, each round
+    inserts one symbol of every row (the multi-document construction of the Burrows-Wheeler transform by columns, after Bauer, Cox
+    and Rosone): the symbols in the order of the suffixes behind them are the transform's column; sorting them by
+    value, the sort being stable, gives the order of the longer suffixes.  The common prefix of two neighbours that have the same
+    symbol is one more than the least of the common prefixes between them in the order before; else it is zero.
+    Neighbours with a common prefix of `length` or more start with the same string.
     """
-    m = len(rows)
     size = np.array([len(r) for r in rows], np.int64)
-    flat = np.frombuffer(b"\0".join([*rows, b""]) or b"\0", np.uint8)
-    head = np.cumsum(size + 1) - size - 1
-    symbol = lambda r, left: np.where(left > 0, flat[head[r] + np.maximum(left - 1, 0)].astype(np.int16) + 1, 0)
-    every = np.arange(m)
-    transform = symbol(every, size)  # what stands before the empty suffix of each row
-    owner, start = every.copy(), size.copy()
-    place = every.copy()
-    going = every[size > 0]
-    for j in range(1, int(size.max(initial=0)) + 1):
-        order = np.argsort(transform, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        ended = int(np.count_nonzero(transform == 0))  # symbols of suffixes that have no longer one
-        target = m + rank[place[going]] - ended
-        by = np.argsort(target, kind="stable")
-        rows_now, target = going[by], target[by]
-        total = len(transform) + len(going)
-        new = np.zeros(total, bool)
-        new[target] = True
-        old_at, grown = np.flatnonzero(~new), np.empty(total, np.int16)
-        grown[old_at] = transform
-        grown[target] = symbol(rows_now, size[rows_now] - j)
-        for array, value in (("owner", rows_now), ("start", size[rows_now] - j)):
-            wide = np.empty(total, np.int64)
-            wide[old_at] = owner if array == "owner" else start
-            wide[target] = value
-            if array == "owner":
-                owner = wide
-            else:
-                start = wide
-        transform = grown
-        place[rows_now] = target
-        going = going[size[going] > j]
-    return owner, start
-
-
-def repeats(rows: list[bytes], rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start) of each string of `length` bytes in rows that is also in a row of lower rank.
-
-    Suffixes with a common prefix of that length are neighbours in the order; a comparison of neighbours
-    tells where such a run ends.
-    """
-    owner, start = bwt_order(rows)
-    size = np.array([len(r) for r in rows], np.int64)
-    long_ = size[owner] - start >= length
-    owner, start = owner[long_], start[long_]
-    if len(owner) < 2:
-        return owner[:0], start[:0]
-    flat = np.frombuffer(b"".join(rows), np.uint8)
-    at = np.cumsum(size)[owner] - size[owner] + start
-    same = np.zeros(len(owner), bool)
-    for k in range(1, len(owner), 1 << 16):
-        to = min(k + (1 << 16), len(owner))
-        view = np.lib.stride_tricks.sliding_window_view(flat, length)
-        same[k:to] = (view[at[k:to]] == view[at[k - 1 : to - 1]]).all(1)
-    run = np.cumsum(~same)
-    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, rank[owner])
-    later = rank[owner] > least[run]
-    return owner[later], start[later]
-
-
-FOUND = "gram long, whole long, doc_id long, row long, start long, n long"
+    m, base = len(rows), int(ahead.max(initial=0))
+    width = int((base - ahead + size).max(initial=0))
+    symbols = np.zeros((width, m), np.uint16)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    symbols[np.repeat(base - ahead, size) + inside, np.repeat(np.arange(m), size)] = np.frombuffer(b"".join(rows), np.uint8).astype(np.uint16) + 1
+    order, common = np.arange(m), np.zeros(m + 1, np.int32)
+    later = np.zeros((m, base + 2), bool)
+    for column in range(width - 1, -1, -1):
+        mine = symbols[column][order]
+        place = np.argsort(mine, kind="stable")
+        mine = mine[place]
+        k = np.flatnonzero((mine[1:] == mine[:-1]) & (mine[1:] > 0)) + 1
+        longer = np.zeros(m + 1, np.int32)
+        if len(k):
+            between = np.stack([place[k - 1] + 1, place[k] + 1], 1).reshape(-1)
+            longer[k] = np.minimum.reduceat(common, between)[::2] + 1
+        order, common = order[place], longer
+        if column <= base and (common >= length).any():
+            run = np.flatnonzero(common[:m] < length)
+            least = np.minimum.reduceat(rank[order], run)
+            again = rank[order] > np.repeat(least, np.diff(np.append(run, m)))
+            later[order[again], column + 1] = True
+    step = np.diff(later.astype(np.int8), axis=1, append=0)
+    row, first = np.nonzero(step == 1)
+    _, last = np.nonzero(step == -1)
+    return row, first - (base - ahead[row]), last - first
+
+
+FOUND = "gram long, whole long, doc_id long, row long, start long, n long, ahead long"
 
 
 def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
@@ -146,7 +113,7 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
             if not parts:
                 continue
             text = np.concatenate([p[0] + p[1] for p in parts])
-            start, n, gram, whole = (np.concatenate([p[k] for p in parts]) for k in range(2, 6))
+            start, n, ahead, gram, whole = (np.concatenate([p[k] for p in parts]) for k in range(2, 7))
             ids = batch.column(0)
             blank = np.asarray(ids.is_null())
             docs, row = ids.fill_null(0).to_numpy(), batch.column(1).to_numpy()
@@ -154,7 +121,7 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
             keys = np.stack([blank.astype(np.int64), docs, row], 1)
             place[:] = np.unique(keys, axis=0, return_inverse=True)[1].reshape(-1)
             order = np.lexsort((start, place[text], whole))
-            text, start, n, gram, whole = (x[order] for x in (text, start, n, gram, whole))
+            text, start, n, ahead, gram, whole = (x[order] for x in (text, start, n, ahead, gram, whole))
             again = np.zeros(len(whole), bool)
             again[1:] = whole[1:] == whole[:-1]
             first = np.flatnonzero(~again)[np.cumsum(~again) - 1] if len(whole) else np.zeros(0, np.int64)
@@ -176,8 +143,9 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
                     pa.concat_arrays([pa.array(whole[held]), pa.array(none, pa.int64())]),
                     ids.take(at), batch.column(1).take(at),
                     pa.array(np.concatenate([start[held], g_start[heads]])), pa.array(np.concatenate([n[held], g_end[tails] - g_start[heads]])),
+                    pa.array(np.concatenate([ahead[held], np.zeros(len(heads), np.int64)])),
                 ],
-                ["gram", "whole", "doc_id", "row", "start", "n"],
+                ["gram", "whole", "doc_id", "row", "start", "n", "ahead"],
             )
 
     return keyed.select("doc_id", "_row", "text").mapInArrow(find, FOUND)
@@ -196,44 +164,56 @@ def _told_apart(found: DataFrame) -> DataFrame:
     return again.withColumn("kin", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(by_gram)).drop("_c", "_key")
 
 
-def _bytes(keyed: DataFrame, wanted: DataFrame, length: int, apart: bool) -> DataFrame:
-    """wanted with the bytes of each fragment; with `apart`, its strings one by one, under keys of their first and last gram."""
+def _read(keyed: DataFrame, wanted: DataFrame, length: int, apart: bool) -> DataFrame:
+    """wanted with the bytes of each fragment; with `apart`, its strings one by one, each under its own hash as gram.  A text is read once."""
+    parts = wanted.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_set(F.struct("start", "n", "ahead", "gram", "whole")).alias("parts"))
+    parts = written(parts)
+    names = ["gram", "whole", "doc_id", "row", "start", "n", "ahead"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, gram, whole, doc, row, start, n in zip(*(c.to_pylist() for c in batch.columns)):
-                body = text.encode()[start : start + n - 1 + length]
-                if not apart:
-                    rows.append((gram, whole, doc, row, start, n, body))
+            for some in slices(batch, 0):
+                out: list[list[np.ndarray]] = []
+                ids, bodies = [], []
+                for text, doc, row, held in zip(*(c.to_pylist() for c in some.columns)):
+                    raw = text.encode()
+                    for x in held:
+                        body = raw[x["start"] : x["start"] + x["n"] - 1 + length]
+                        if not apart:
+                            out.append([np.array([v]) for v in (x["gram"], x["whole"], row, x["start"], x["n"], x["ahead"])])
+                            ids.append(doc)
+                            bodies.append(body)
+                            continue
+                        t, at = Texts(np.frombuffer(body, np.uint8), np.array([0, len(body)]), 0), np.arange(x["n"])
+                        string = t.span_hash(t.prefix_hash(t.data), at, at + length).view(np.int64)
+                        one = np.ones(len(at), np.int64)
+                        out.append([string, string, row * one, x["start"] + at, one, 0 * one])
+                        ids += [doc] * len(at)
+                if not out:
                     continue
-                t = next(texts(pa.array([body], pa.binary())))
-                sums, at = t.prefix_hash(t.data), np.arange(n)
-                key = mix(t.span_hash(sums, at, at + GRAM) * np.uint64(3) + t.span_hash(sums, at + length - GRAM, at + length)).view(np.int64)
-                string = t.span_hash(sums, at, at + length).view(np.int64)
-                rows += [(int(key[k]), int(string[k]), doc, row, start + k, 1, None) for k in range(n)]
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["gram", "whole", "doc_id", "row", "start", "n", "body"])
+                gram, whole, row, start, n, ahead = (np.concatenate(c) for c in zip(*out))
+                columns = [pa.array(gram), pa.array(whole), pa.array(ids, pa.int64()), pa.array(row), pa.array(start), pa.array(n), pa.array(ahead)]
+                yield pa.RecordBatch.from_arrays(columns + ([] if apart else [pa.array(bodies, pa.binary())]), names + ([] if apart else ["body"]))
 
-    text = keyed.select(F.col("_row").alias("row"), "text").dropDuplicates(["row"])
-    joined = text.join(wanted.select("gram", "whole", "doc_id", "row", "start", "n").distinct(), "row")
-    return joined.select("text", "gram", "whole", "doc_id", "row", "start", "n").mapInArrow(cut, FOUND + ", body binary")
+    text = keyed.select(F.col("_row").alias("row"), "text")
+    joined = text.join(beside(parts), "row").select("text", "doc_id", "row", "parts")
+    return joined.mapInArrow(cut, FOUND + ("" if apart else ", body binary"))
 
 
 def _variants(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """(row, start, n): bytes of strings in `wanted` that another fragment with the same gram has earlier."""
-    total = wanted.count()
-    buckets = max(1, -(-total // BUCKET))
+    wanted = written(wanted.select("gram", "whole", "doc_id", "row", "start", "n", "ahead"))
+    buckets = max(1, -(-wanted.count() // BUCKET))
 
     def resolve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.reset_index(drop=True)
+        part = part.drop_duplicates(["gram", "row", "start"]).reset_index(drop=True)  # a document that is there twice is one
         order = part.assign(_blank=part["doc_id"].isna()).sort_values(["_blank", "doc_id", "row", "start"]).index.to_numpy()
         rank = np.empty(len(part), np.int64)
         rank[order] = np.arange(len(part))
-        row, at = repeats([bytes(b) for b in part["body"]], rank, length)
-        return pd.DataFrame({"row": part["row"].to_numpy()[row], "start": part["start"].to_numpy()[row] + at, "n": np.full(len(row), length)}).astype("int64")
+        row, at, count = repeats([bytes(b) for b in part["body"]], part["ahead"].to_numpy(), rank, length)
+        return pd.DataFrame({"row": part["row"].to_numpy()[row], "start": part["start"].to_numpy()[row] + at, "n": count - 1 + length}).astype("int64")
 
-    body = _bytes(keyed, wanted, length, False).withColumn("_bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+    body = _read(keyed, wanted, length, False).withColumn("_bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     return body.groupBy("_bucket").applyInPandas(resolve, "row long, start long, n long")
 
 
@@ -246,8 +226,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     Equal strings are brought together by their least gram: a text falls into fragments, runs of strings with the same one.
     Of equal fragments all but the first are repeats as a whole.  Different fragments that share a gram
     go to a bucket, whose suffixes are sorted by building the Burrows-Wheeler transform of the collection column by
-    column; neighbours with a common prefix of `length` are repeats.  A gram with more than LARGE
-    different fragments is split into its strings by their first and last gram, equal strings again counting once.
+    column, with the common prefixes of neighbours; those of `length` or more are repeats.  A gram with more than LARGE
+    different fragments falls apart into its strings, which are told apart by their hashes alone.  Other columns are left out.
 
     Null text: no bytes.  Rows equal in doc_id and text are one document.  A null doc_id comes after all others.
     Documents with the same id and other texts are ordered by a hash.  No rows: no rows.
@@ -258,34 +238,34 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     gone = apart.where("gram is null").select("row", "start", "n")
     gone = gone.union(apart.where("gram is not null and place > 1").select("row", "start", (F.col("n") - 1 + length).alias("n")))
     several = apart.where("gram is not null and place = 1 and kin > 1")
-    large = _told_apart(_bytes(keyed, several.where(F.col("kin") > LARGE), length, True).drop("body"))
-    large = written(large)
+    large = written(_told_apart(_read(keyed, several.where(F.col("kin") > LARGE), length, True)))
     gone = gone.union(large.where("place > 1").select("row", "start", F.lit(length).cast("long").alias("n")))
-    gone = gone.union(_variants(keyed, several.where(F.col("kin") <= LARGE).unionByName(large.where("place = 1 and kin > 1")), length))
+    gone = gone.union(_variants(keyed, several.where(F.col("kin") <= LARGE), length))
     spans = gone.groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("start", "n")).alias("_gone"))
     joined = keyed.join(spans, "_row", "left").select("doc_id", "text", F.col("_gone.start").alias("_start"), F.col("_gone.n").alias("_n"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, starts, sizes in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                raw = (text or "").encode()
-                kept, at, removed, n_spans = [], 0, 0, 0
-                for a, n in sorted(zip(starts or (), sizes or ())):
-                    if a > at or not n_spans:
-                        kept.append(raw[at:a])
-                        n_spans += 1
-                        at = a
-                    if a + n > at:
-                        removed += a + n - at
-                        at = a + n
-                kept.append(raw[at:])
-                rest = b"".join(kept)
-                rows.append((len(raw), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+            for part in slices(batch, 1):
+                rows = []
+                for text, starts, sizes in zip(*(c.to_pylist() for c in part.columns[1:])):
+                    raw = (text or "").encode()
+                    kept, at, removed, n_spans = [], 0, 0, 0
+                    for a, n in sorted(zip(starts or (), sizes or ())):
+                        if a > at or not n_spans:
+                            kept.append(raw[at:a])
+                            n_spans += 1
+                            at = a
+                        if a + n > at:
+                            removed += a + n - at
+                            at = a + n
+                    kept.append(raw[at:])
+                    rest = b"".join(kept)
+                    rows.append((len(raw), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                )
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
