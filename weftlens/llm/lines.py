@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import components, fresh, written
+from .jobs import beside, components, fresh, written
 from .scan import Texts, mix, slices, texts
 
 #: Lines with fewer words are never similar to others, only equal: what short lines share is chance.
@@ -232,7 +232,7 @@ def _bodies(keyed: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
                     bodies += [normalised(parts[x["line"]]) for x in at]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(bodies, pa.string())], ["hash", "body"])
 
-    found = keyed.select("row", "text").join(places, "row").select("text", "at")
+    found = keyed.select("row", "text").join(beside(places), "row").select("text", "at")
     return written(found.mapInArrow(fetch, "hash long, body string").dropDuplicates(["hash"]))
 
 
@@ -248,8 +248,17 @@ def _same_length(x: str, y: str, ends: bool) -> int:
     return lo
 
 
+def _pairs_of_letters(x: str) -> np.ndarray:
+    """How many neighbouring letters of each kind x has; kinds are dealt to 1024 counters."""
+    code = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((code[:-1] * np.uint32(31) + code[1:]) & np.uint32(1023), minlength=1024)
+
+
 def between(x: str, y: str, similarity: float) -> tuple[str, str, int]:
-    """x and y without what they have in common at their ends, and the edits that similar ones have at most; None if too many or few enough already."""
+    """x and y without what they have in common at their ends, and the edits that similar ones have at most.
+
+    -1 if there must be more (one edit changes at most four counts of neighbouring letters); two empty strings if there can't be.
+    """
     most = int((1 - similarity + 1e-9) * max(len(x), len(y)))
     if abs(len(x) - len(y)) > most:
         return "", "", -1
@@ -257,7 +266,11 @@ def between(x: str, y: str, similarity: float) -> tuple[str, str, int]:
     x, y = x[k:], y[k:]
     k = _same_length(x, y, True)
     x, y = x[: len(x) - k], y[: len(y) - k]
-    return ("", "", most) if max(len(x), len(y)) <= most else (x, y, most)
+    if max(len(x), len(y)) <= most:
+        return "", "", most
+    if np.abs(_pairs_of_letters(x) - _pairs_of_letters(y)).sum() > 4 * most:
+        return "", "", -1
+    return x, y, most
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
@@ -328,7 +341,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     lists = written(gone.groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(gone_)))
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     at = [c.lower() for c in kept].index("text")
-    joined = hashed.select(*kept, row).join(lists, row, "left").select(*kept, gone_)
+    joined = hashed.select(*kept, row).join(beside(lists), row, "left").select(*kept, gone_)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
