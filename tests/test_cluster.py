@@ -27,7 +27,8 @@ def shop():
             })
 
         html = [{"name": "Sec-Fetch-Dest", "value": "document"}, {"name": "Sec-Fetch-Mode", "value": "navigate"}]
-        add("/", "text/html", False, f"{s}-secret", html)
+        add("/", "text/html", False, f"{s}-secret", [*html, {"name": "Sec-Fetch-Site", "value": "none"}])
+        html += [{"name": "Sec-Fetch-Site", "value": "same-origin"}, {"name": "Sec-Fetch-User", "value": "?1"}]
         add("/static/app.js", "text/javascript")
         add(f"/s?k={s}", "application/json")
         for item in items:
@@ -55,7 +56,11 @@ def test_whole_pass(spark, tmp_path):
     assert (edges[product, product].ordered, edges[product, product]["without"]) == (2, 2)
     flows = {(r["from"], r["to"]) for r in out["edge_flows"].collect()}
     assert (home, product) in flows and (home, offer) in flows
-    assert {r.exchanges for r in out["episodes"].collect()} == {9}
+    cookies = {(r["from"], r["to"]): r for r in out["edge_flows"].collect() if r.carrier == "cookie"}
+    assert (cookies[home, product].matches, cookies[home, product]["values"], cookies[home, product].from_place) == (4, 2, "sid")
+    episodes = out["episodes"].collect()
+    assert sorted(r.trigger for r in episodes) == ["typed"] * 2 + ["user"] * 4 and {r.exchanges for r in episodes} == {3}
+    assert {(r.name, r.n) for r in out["browser"].collect() if r.family == product and r.counted == "trigger"} == {("user", 4)}
     random.Random(1).shuffle(rows)
     first = plain(out)
     assert plain(cluster(spark.createDataFrame(rows, EXCHANGE).repartition(3), ["shop.test"])) == first
@@ -97,3 +102,62 @@ def test_revisions(spark, tmp_path):
     two.limit(2).write.mode("overwrite").parquet(f"{folder}/r0002")
     with pytest.raises(ValueError):
         results.load_revision(spark, folder, 2)
+
+
+def exchange(n, path, media="text/html", status=200, method="GET", asked=(), given=(), start=None, end=None, body=None, answer=None):
+    pairs = lambda x: [{"name": k, "value": v} for k, v in x]
+    start = n * 10**9 if start is None else start
+    return {
+        "id": f"ex_{n:06d}", "seq": n, "session_id": "rec_1", "started_at": {"t": start},
+        "request": {"method": method, "host": "a.test", "url": f"https://a.test{path}", "headers": pairs(asked), "body": body},
+        "response": {"status": status, "headers": pairs([("Content-Type", media), *given]), "body": answer},
+        "timing": {"request_start": start, "response_start": 0, "response_end": start + 10**7 if end is None else end},
+    }
+
+
+def test_bodies_make_families(spark):
+    """POSTs to one path with bodies of different shapes are different families; codings are undone."""
+    import gzip
+    import hashlib
+
+    rows, stored = [], {}
+    coded = [b'{"a": 1}', b'{"a": 2}', b'{"b": [1, 2.5]}', b'{"b": []}', b"x=1&y=2", b"{broken", gzip.compress(b'{"a": 3}')]
+    kinds = ["application/json"] * 4 + ["application/x-www-form-urlencoded"] + ["application/json"] * 2
+    for n, (raw, kind) in enumerate(zip(coded, kinds), 1):
+        sha = hashlib.sha256(raw).hexdigest()
+        stored[sha] = raw
+        body = {"sha256": sha, "size": len(raw), "content_type": kind, "content_encoding": "gzip" if raw[:2] == b"\x1f\x8b" else None}
+        rows.append(exchange(n, "/api", method="POST", body=body))
+    contents = spark.createDataFrame([(k, bytearray(v)) for k, v in stored.items()], "sha256 string, content binary")
+    out = cluster(spark.createDataFrame(rows, EXCHANGE), contents=contents)
+    got = sorted((r.body_kind, r.body_shape) for r in out["bodies"].collect())
+    assert got == [("form", "{x:string,y:string}"), ("json", "{a:integer}"), ("json", "{b:[]}"), ("json", "{b:[number]}"), ("opaque", "application/json")]
+    slots = {(r.location, r.cardinality) for r in out["slots"].collect()}
+    assert ("body.a", 3) in slots and ("body.x", 1) in slots
+
+
+def test_redirects_and_views(spark):
+    doc = [("Sec-Fetch-Dest", "document"), ("Sec-Fetch-Mode", "navigate")]
+    rows = [
+        exchange(1, "/early.js", "text/javascript"),
+        exchange(2, "/go", status=302, asked=[*doc, ("Sec-Fetch-Site", "none")], given=[("Location", "/landed?x=1#part")]),
+        exchange(3, "/landed?x=1", asked=doc),
+        exchange(4, "/api/data", "application/json", asked=[("Referer", "https://a.test/landed?x=1")]),
+        exchange(5, "/next", asked=[*doc, ("Sec-Fetch-User", "?1")]),
+        exchange(6, "/api/late", "application/json", asked=[("Referer", "https://a.test/landed?x=1")]),
+        exchange(7, "/api/origin", "application/json", asked=[("Referer", "https://a.test/")]),
+    ]
+    out = cluster(spark.createDataFrame(rows, EXCHANGE))
+    got = {(r.first_step, r.last_step, r.exchanges, r.trigger) for r in out["episodes"].collect()}
+    assert got == {(0, 0, 1, None), (1, 5, 4, "typed"), (4, 6, 2, "user")}
+    assert [(r.from_pos, r.to_pos, r.carrier) for r in out["flows"].collect() if r.carrier == "redirect"] == [(1, 2, "redirect")]
+
+
+def test_a_step_without_a_family_is_skipped(spark):
+    rows = spark.createDataFrame([("s", 1, 1, "x"), ("s", 2, 2, None), ("s", 3, 3, "y")], "session string, seq int, t long, family string")
+    from weftlens.operators import traces
+
+    steps = traces.steps(rows)
+    assert [r.previous for r in steps.orderBy("pos").collect()] == [None, "x", "x"]
+    edge = traces.edges(steps).collect()
+    assert [(r["from"], r["to"], r.immediate, r.median) for r in edge] == [("x", "y", 1, 2)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAMESPACE = "weftlens/v1"
@@ -18,7 +18,12 @@ def hash_order(value: Column) -> Column:
     return F.sha2(value, 256)
 
 
-def hash_sample(value: Column, most: int) -> Column:
-    """Aggregate: up to `most` distinct values, the first in hash order."""
-    drawn = F.array_sort(F.collect_set(F.struct(hash_order(value).alias("h"), value.alias("v"))))
-    return F.transform(F.slice(drawn, 1, most), lambda x: x["v"])
+def hash_samples(values: DataFrame, key: list[str], value: str, most: int) -> DataFrame:
+    """(key, examples): up to `most` distinct values of each key, the first in hash order.
+
+    Ranks are cut in each task before they are shuffled, so a key's values are never gathered.
+    """
+    best = Window.partitionBy(*key).orderBy(hash_order(F.col(value)), value)
+    top = values.select(*key, value).distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most)
+    listed = top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_r", value))).alias("_l"))
+    return listed.select(*key, F.transform("_l", lambda x: x[value]).alias("examples"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import urldefrag, urljoin
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
 
@@ -100,3 +103,44 @@ def own_host(host: Column, hosts: list[str]) -> Column:
         h = h.lower().rstrip(".")
         out = out | (F.lower(host) == h) | F.lower(host).endswith(f".{h}")
     return out
+
+
+def answer_url(url: Column) -> Column:
+    """A url as answers are compared by: lower-case scheme and host, no fragment, no slashes at the end of the path."""
+    bare = without_fragment(F.trim(url))
+    start = F.regexp_extract(bare, r"^((?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?]*)?)", 1)
+    rest = F.substr(bare, F.length(start) + 1)
+    ends = F.regexp_replace(F.substring_index(rest, "?", 1), r"/+\z", "")
+    return F.concat(F.lower(start), ends, F.when(F.contains(rest, F.lit("?")), F.concat(F.lit("?"), F.regexp_replace(rest, r"^[^?]*\?", ""))).otherwise(""))
+
+
+def _resolve(base: str | None, location: str | None) -> str | None:
+    if not base or not location:
+        return None
+    try:
+        return urldefrag(urljoin(base, location)).url
+    except ValueError:
+        return None
+
+
+def resolved(base: Column, location: Column) -> Column:
+    """The absolute url, without fragment, that a Location header means; null if either can't be read or is empty."""
+    return F.udf(_resolve, StringType(), useArrow=True)(base, location)
+
+
+def numbered_names(pairs: Column) -> Column:
+    """Names of query pairs, where repeats of a name are name[1], name[2] and so on."""
+    names = F.transform(pairs, lambda p: p["name"])
+    before = lambda name, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda n: n == name))
+    return F.transform(names, lambda n, i: F.when(before(n, i) == 0, n).otherwise(F.concat(n, F.lit("["), before(n, i).cast("string"), F.lit("]"))))
+
+
+def safe_tree_path(path_: Column) -> Column:
+    """A path inside a tree, without leading slashes, double slashes and dots; "." for the tree itself, null if it leads out of it."""
+    parts = F.filter(F.split(F.trim(path_), "/", -1), lambda x: ~x.isin("", "."))
+    step = lambda s, x: F.struct(
+        F.when((x == "..") & (F.size(s["kept"]) > 0), F.slice(s["kept"], F.lit(1), F.greatest(F.size(s["kept"]) - 1, F.lit(0)))).when(x == "..", s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
+        (s["out"] | ((x == "..") & (F.size(s["kept"]) == 0))).alias("out"),
+    )
+    end = F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("out")), step)
+    return F.when(~end["out"], F.when(F.size(end["kept"]) == 0, ".").otherwise(F.array_join(end["kept"], "/")))

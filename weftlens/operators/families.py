@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import url
-from ..functions.ids import hash_id, hash_sample
+from ..functions.ids import hash_id, hash_samples
+from ..lineage import written
 
 #: So many different siblings of a class make it a slot.
 SIBLINGS = 3
@@ -17,9 +18,9 @@ def route_templates(paths: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
 
     Level by level: among paths with the same template so far, segments of one class become a slot if
     there are at least `siblings` different ones; else the segment stays as it is.  One aggregate and join a
-    level, on different paths only.
+    level, on different paths only; each level is written, so plans don't grow with depth.
     """
-    rows = paths.select("method", "host", "segments").distinct()
+    rows = written(paths.select("method", "host", "segments").distinct())
     depth = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     rows = rows.withColumn("_made", F.lit("")).withColumn("_slots", F.array().cast("array<int>"))
     for d in range(depth):
@@ -35,6 +36,7 @@ def route_templates(paths: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
             F.when(F.col("_seg").isNull(), F.col("_made")).otherwise(step).alias("_made"),
             F.when(slot, F.array_append("_slots", F.lit(d))).otherwise(F.col("_slots")).alias("_slots"),
         )
+        rows = written(rows)
     made = F.when(F.col("_made") == "", "/").otherwise(F.col("_made"))
     return rows.select("method", "host", "segments", made.alias("template"), F.col("_slots").alias("slots"))
 
@@ -69,25 +71,40 @@ def merged_type(types: Column) -> Column:
 
 def slot_stats(values: DataFrame, most: int = 5) -> DataFrame:
     """Per (family, location) of values (family, location, value, type, ref): observations, cardinality, type, examples."""
-    return values.groupBy("family", "location").agg(
+    key = ["family", "location"]
+    stats = values.groupBy(*key).agg(
         F.count_distinct("ref").alias("observations"),
         F.count_distinct("value").alias("cardinality"),
         merged_type(F.array_sort(F.collect_set("type"))).alias("type"),
-        hash_sample(F.col("value"), most).alias("examples"),
     )
+    return stats.join(hash_samples(values, key, "value", most), key)
 
 
-def response_variants(observed: DataFrame, most: int = 3) -> DataFrame:
-    """Per family and (status, media, body), with transport errors as one: count, first examples, and rank by count."""
-    key = F.when(F.col("error") != "", "error").otherwise(F.concat_ws(" ", F.col("status").cast("string"), "media", F.concat(F.col("body_kind"), F.lit(":"), "body_shape")))
+def response_variants(observed: DataFrame, most: int = 3, kind: str = "body_kind", shape: str = "body_shape") -> DataFrame:
+    """Per family and (status, media, body), with transport errors as one: count, first examples, and rank by count.
+
+    kind and shape are the columns of the response's body.
+    """
+    key = F.when(F.col("error") != "", "error").otherwise(F.concat_ws(" ", F.col("status").cast("string"), "media", F.concat(F.col(kind), F.lit(":"), shape)))
     rows = observed.withColumn("variant", hash_id("variant", key))
+    counts = rows.groupBy("family", "variant").agg(F.min("status").alias("status"), F.min("media").alias("media"), F.count("*").alias("count"))
     first = Window.partitionBy("family", "variant").orderBy("session", "seq")
-    rows = rows.withColumn("_n", F.row_number().over(first))
-    refs = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", "ref")))), lambda x: x["ref"])
-    out = rows.groupBy("family", "variant").agg(F.min("status").alias("status"), F.min("media").alias("media"), F.count("*").alias("count"), refs.alias("examples"))
+    top = rows.select("family", "variant", "session", "seq", "ref").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("_n", "ref"))), lambda x: x["ref"])
+    out = counts.join(top.groupBy("family", "variant").agg(refs.alias("examples")), ["family", "variant"])
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("count"), "variant")))
 
 
+def request_bodies(observed: DataFrame) -> DataFrame:
+    """(family, body_kind, body_shape, size_class) of families of observations (family, session, seq, body_kind, body_shape, size_class).
+
+    Members agree on kind and shape; the size class of an opaque body is left empty where it varies.
+    """
+    first = F.min(F.struct("session", "seq", "body_kind", "body_shape", "size_class")).alias("_f")
+    rows = observed.groupBy("family").agg(first, F.count_distinct("size_class").alias("_n"))
+    return rows.select("family", "_f.body_kind", "_f.body_shape", F.when(F.col("_n") == 1, F.col("_f.size_class")).otherwise("").alias("size_class"))
+
+
 def host_counts(paths: DataFrame, hosts: list[str]) -> DataFrame:
     """How many exchanges belong to the given hosts or below them, and how many are left out."""
     own = url.own_host(F.col("host"), hosts)

@@ -33,6 +33,31 @@ def observations(exchanges: DataFrame) -> DataFrame:
     )
 
 
+def body_references(exchanges: DataFrame) -> DataFrame:
+    """(ref, side, sha256, size, content_type, content_encoding) of the bodies of exchanges; the type is the stored one, else the header's."""
+    rows = None
+    for side in ("request", "response"):
+        message = F.col(side)
+        given = F.coalesce(message["headers"], F.array().cast(PAIRS))
+        kind = F.when(F.coalesce(message["body"]["content_type"], F.lit("")) != "", message["body"]["content_type"]).otherwise(headers.header(given, "Content-Type"))
+        part = exchanges.where(F.coalesce(message["body"]["size"], F.lit(0)) > 0).select(
+            F.concat_ws("#", "session_id", "id").alias("ref"), F.lit(side).alias("side"), message["body"]["sha256"].alias("sha256"), message["body"]["size"].alias("size"),
+            kind.alias("content_type"), message["body"]["content_encoding"].alias("content_encoding"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def navigation_steps(observed: DataFrame) -> DataFrame:
+    """What page views need of observations: (session, seq, t, url, document, redirect_to, referer, site, user, mode)."""
+    asked = lambda name: headers.header(F.col("request_headers"), name)
+    target = F.when(F.col("status").between(300, 399), headers.header(F.col("response_headers"), "Location"))
+    return observed.select(
+        "session", "seq", "t", url.without_fragment(F.col("url")).alias("url"), (F.col("kind") == "document").alias("document"), url.resolved(F.col("url"), F.nullif(target, F.lit(""))).alias("redirect_to"),
+        url.usable_referer(asked("Referer")).alias("referer"), F.lower(asked("Sec-Fetch-Site")).alias("site"), (asked("Sec-Fetch-User") == "?1").alias("user"), asked("Sec-Fetch-Mode").alias("mode"),
+    )
+
+
 def query_shape(pairs: Column) -> Column:
     """Shape of query pairs: each name once, as a string, or a list where it repeats."""
     names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"])))

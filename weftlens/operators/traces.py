@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..lineage import written
+
 
 def in_order() -> WindowSpec:
     return Window.partitionBy("session").orderBy("t", "seq")
 
 
 def steps(observed: DataFrame) -> DataFrame:
-    """Observations with pos (from 0) and the family just before, by session."""
-    return observed.withColumn("pos", F.row_number().over(in_order()) - 1).withColumn("previous", F.lag("family").over(in_order()))
+    """Observations with pos (from 0) and the family of the last step before that has one, by session."""
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    return observed.withColumn("pos", F.row_number().over(in_order()) - 1).withColumn("previous", F.last("family", ignorenulls=True).over(before))
 
 
 def gap_episodes(observed: DataFrame, gap: int) -> DataFrame:
@@ -46,35 +49,56 @@ def value_flows(sources: DataFrame, receivers: DataFrame) -> DataFrame:
     return out.select("session", "value", F.col("_last.from_pos").alias("from_pos"), "to_pos", (F.col("at") - F.col("_last.at")).alias("delay"))
 
 
+def lower_medians(counted: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, median): the lower median of values counted as (key, value, n); values are not negative.
+
+    The half of each key's count is looked for among values without their last 32 bits, then without the last 16 among those
+    that begin so, then among these: no step gathers more than a key's ranges of one size.
+    """
+    left = counted.groupBy(*key).agg(((F.sum("n") + 1) / 2).cast("long").alias("_k")).withColumn("_in", F.lit(0).cast("long"))
+    for bits in (32, 16, 0):
+        part = F.shiftright(F.col(value), bits)
+        near = counted.join(left, key)
+        if bits < 32:
+            near = near.where(F.shiftright(F.col(value), bits + 16) == F.col("_in"))
+        sums = near.groupBy(*key, "_k", part.alias("_part")).agg(F.sum("n").alias("_n"))
+        upto = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("_sum", F.sum("_n").over(upto))
+        here = sums.where((F.col("_sum") >= F.col("_k")) & (F.col("_sum") - F.col("_n") < F.col("_k")))
+        left = here.select(*key, (F.col("_k") - F.col("_sum") + F.col("_n")).alias("_k"), F.col("_part").alias("_in"))
+    return left.select(*key, F.col("_in").alias("median"))
+
+
 def edges(stepped: DataFrame) -> DataFrame:
     """Per (from, to) of families in steps (session, pos, t, family, previous): how often `from` came before `to`, and how long before.
 
     ordered: steps of `to` with an earlier `from` in the session; immediate: with `from` just before; without: the other
     steps of `to` in all sessions; together: steps of `to` in sessions that have both.  Deltas are from the latest earlier `from`.
     Each step is paired with the families of its session, not with its steps: the latest earlier step of each comes
-    from a running maximum, so the rows are steps x families.
+    from a running maximum, so the rows are steps x families.  Deltas are counted, never gathered.
     """
-    named = stepped.where("family is not null")
+    named = stepped.where("family is not null").select("session", "pos", "t", "family", "previous")
     kinds = named.select("session", F.col("family").alias("from")).distinct()
     grid = named.join(kinds, "session")
     before = Window.partitionBy("session", "from").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("_last", F.max(F.when(F.col("family") == F.col("from"), F.col("t"))).over(before))
     hits = grid.where("_last is not null")
-    totals = named.groupBy(F.col("family").alias("to")).agg(F.count("*").alias("to_total"))
     per = named.groupBy("session", "family").agg(F.count("*").alias("_n"))
+    totals = per.groupBy(F.col("family").alias("to")).agg(F.sum("_n").alias("to_total"))
     pairs = per.select("session", F.col("family").alias("from"), F.col("_n").alias("_m")).join(per.select("session", F.col("family").alias("to"), "_n"), "session")
     pairs = pairs.where("`from` <> to or _n >= 2").groupBy("from", "to").agg(F.sum("_n").alias("together"), F.count("*").alias("sessions"))
-    delta = F.col("t") - F.col("_last")
-    out = hits.groupBy("from", F.col("family").alias("to")).agg(
-        F.count("*").alias("ordered"),
-        F.count_if(F.col("previous") == F.col("from")).alias("immediate"),
-        F.sort_array(F.collect_list(delta)).alias("_d"),
+    counted = written(
+        hits.groupBy("from", F.col("family").alias("to"), (F.col("t") - F.col("_last")).alias("delta")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("previous") == F.col("from")).alias("immediate")
+        )
+    )
+    out = counted.groupBy("from", "to").agg(
+        F.sum("n").alias("ordered"), F.sum("immediate").alias("immediate"), F.min("delta").alias("least"), F.max("delta").alias("most")
     )
-    middle = F.element_at("_d", ((F.size("_d") + 1) / 2).cast("int"))
+    out = out.join(lower_medians(counted, ["from", "to"], "delta"), ["from", "to"])
     return out.join(totals, "to").join(pairs, ["from", "to"]).select(
-        "from", "to", "ordered", "immediate", (F.col("to_total") - F.col("ordered")).alias("without"), "together", "sessions",
-        F.element_at("_d", 1).alias("least"), middle.alias("median"), F.element_at("_d", -1).alias("most"),
-    )
+        "from", "to", "ordered", "immediate", (F.col("to_total") - F.col("ordered")).alias("without"), "together", "sessions", "least", "median", "most"
+    )
 
 
 def edge_flows(flows: DataFrame, stepped: DataFrame) -> DataFrame:
@@ -87,6 +111,82 @@ def edge_flows(flows: DataFrame, stepped: DataFrame) -> DataFrame:
     )
 
 
+def placed_flows(flows: DataFrame, located: DataFrame) -> DataFrame:
+    """Flows with the places of the value in the response and in the request, and the carrier.
+
+    located: (session, pos, side, part, pattern, value) of everything that steps carry.  A cookie is the carrier where a
+    response set it under the same name; a cookie from elsewhere came as a header.
+    """
+    here = located.select("session", "pos", "side", "part", "pattern", "value").distinct()
+    source = here.where("side = 'response'").select("session", F.col("pos").alias("from_pos"), "value", F.col("part").alias("from_part"), F.col("pattern").alias("from_place"))
+    target = here.where("side = 'request'").select("session", F.col("pos").alias("to_pos"), "value", F.col("part").alias("to_part"), F.col("pattern").alias("to_place"))
+    rows = flows.join(source, ["session", "from_pos", "value"]).join(target, ["session", "to_pos", "value"])
+    set_before = (F.col("from_part") == "set-cookie") & (F.col("from_place") == F.col("to_place"))
+    part = F.col("to_part")
+    carrier = F.when((part == "cookie") & set_before, "cookie").when(part.isin("cookie", "header"), "header").when(part.isin("query", "path"), part).otherwise("body")
+    return rows.withColumn("carrier", carrier)
+
+
+def redirect_flows(stepped: DataFrame) -> DataFrame:
+    """(session, value, from_pos, to_pos, delay) of requests for the url that a response before redirected to; each redirect is used once.
+
+    stepped: (session, pos, t, available, url, target, tied), target the absolute url of a redirecting response.  The last redirect to a url counts,
+    and the first request for it takes it: by session and url, a request follows a redirect if nothing lies between them.
+    """
+    sent = stepped.where("target is not null and (available > t or tied)")
+    sources = sent.select("session", F.col("target").alias("value"), F.col("available").alias("at"), F.lit(0).alias("reads"), "pos")
+    readers = stepped.select("session", F.col("url").alias("value"), F.col("t").alias("at"), F.lit(1).alias("reads"), "pos")
+    order = Window.partitionBy("session", "value").orderBy("at", "reads", "pos")
+    before = F.lag(F.struct("reads", "pos", "at")).over(order)
+    rows = sources.union(readers).withColumn("_b", before)
+    return rows.where("reads = 1 and _b.reads = 0 and _b.pos <> pos").select("session", "value", F.col("_b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), (F.col("at") - F.col("_b.at")).alias("delay"))
+
+
+def flow_carriers(placed: DataFrame, stepped: DataFrame, flags: DataFrame, most: int = 3) -> DataFrame:
+    """Flows by (from, to) family, carrier and places: receivers, different values, flags that all values have, and first examples.
+
+    placed: placed_flows; flags: (value, low_information, ubiquitous).  Examples are values by receiver, source and value.
+    """
+    a = stepped.select("session", F.col("pos").alias("from_pos"), F.col("family").alias("from"))
+    b = stepped.select("session", F.col("pos").alias("to_pos"), F.col("family").alias("to"))
+    rows = placed.join(a, ["session", "from_pos"]).join(b, ["session", "to_pos"]).where("`from` is not null and to is not null").join(flags, "value", "left")
+    key = ["from", "to", "carrier", "from_part", "from_place", "to_part", "to_place"]
+    rows = rows.select(*key, "session", "from_pos", "to_pos", "value", *(F.coalesce(f, F.lit(False)).alias(f) for f in ("low_information", "ubiquitous")))
+    stats = rows.groupBy(*key).agg(
+        F.count_distinct("session", "to_pos").alias("matches"), F.count_distinct("value").alias("values"),
+        F.bool_and("low_information").alias("low_information"), F.bool_and("ubiquitous").alias("ubiquitous"),
+    )
+    first = Window.partitionBy(*key).orderBy("session", "to_pos", "from_pos", "value")
+    top = rows.select(*key, "session", "to_pos", "from_pos", "value").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    listed = top.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("examples"))
+    return stats.join(listed, key)
+
+
+def visible_flows(carriers: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """Flows that evidence shows: without flags, or flagged but there in nine of ten ordered steps and twice at least."""
+    rows = carriers.join(edge_rows.select("from", "to", "ordered"), ["from", "to"])
+    return rows.where("not (low_information or ubiquitous) or (matches >= 2 and matches * 10 >= ordered * 9)")
+
+
+def evidence_links(links: DataFrame, most: int = 5) -> DataFrame:
+    """Each family's first `most` links without flags, from value_links: those of most families, then sightings, then by id; omitted and hidden are counted."""
+    rows = links.select("link", "value", "count", "n_families", (F.col("low_information") | F.col("ubiquitous")).alias("_f"), F.explode("families").alias("family"))
+    totals = rows.groupBy("family").agg(F.count_if(~F.col("_f")).alias("_n"), F.count_if("_f").alias("hidden"))
+    best = Window.partitionBy("family").orderBy(F.desc("n_families"), F.desc("count"), "link")
+    top = rows.where("not _f").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    return top.join(totals, "family").select("family", "rank", "link", "value", "count", "n_families", F.greatest(F.lit(0), F.col("_n") - most).alias("omitted"), "hidden")
+
+
+def browser_contexts(viewed: DataFrame) -> DataFrame:
+    """(family, counted, name, n): how often a family's steps (family, trigger, kind) came in page views of each trigger, and with each request kind.
+
+    Steps outside page views count as untriggered; an empty kind isn't counted.
+    """
+    named = viewed.where("family is not null")
+    pairs = F.array(F.struct(F.lit("trigger").alias("counted"), F.coalesce("trigger", F.lit("untriggered")).alias("name")), F.struct(F.lit("kind").alias("counted"), F.col("kind").alias("name")))
+    return named.select("family", F.inline(pairs)).where("name <> ''").groupBy("family", "counted", "name").agg(F.count("*").alias("n"))
+
+
 def neighbours(edge_rows: DataFrame, flow_rows: DataFrame, most: int = 5) -> DataFrame:
     """Each family's first `most` predecessors: those with flows, then by ordered, immediate and name; with how many are left out."""
     rows = edge_rows.join(flow_rows.select("from", "to", "matches"), ["from", "to"], "left")

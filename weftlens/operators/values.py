@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.ids import hash_id, hash_order
+from ..functions.ids import hash_id
+from ..lineage import components
 
 #: A value of more families than this is everywhere and links nothing.
 UBIQUITOUS = 10
@@ -31,11 +32,26 @@ def value_links(values: DataFrame, ubiquitous: int = UBIQUITOUS) -> DataFrame:
 
 
 def occurrences(values: DataFrame, most: int = 3) -> DataFrame:
-    """Per value, family and location: how often, and the first refs."""
-    per_ref = values.where("value <> ''").groupBy("value", "family", "side", "part", "pattern", "ref").agg(F.count("*").alias("_n"))
-    return per_ref.groupBy("value", "family", "side", "part", "pattern").agg(
-        F.sum("_n").alias("count"), F.slice(F.array_sort(F.collect_set("ref")), 1, most).alias("examples")
-    )
+    """Per value, family and location: how often, and the first refs.  A location that a ref has twice is counted twice."""
+    key = ["value", "family", "side", "part", "pattern"]
+    rows = values.where("value <> ''").groupBy(*key, "ref").agg(F.count("*").alias("_n"))
+    first = Window.partitionBy(*key).orderBy("ref")
+    top = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    listed = top.groupBy(*key).agg(F.array_sort(F.collect_list("ref")).alias("examples"))
+    return rows.groupBy(*key).agg(F.sum("_n").alias("count")).join(listed, key)
+
+
+#: Media types of bodies that are text though not structured, and the largest that are scanned (fixed values).
+SCANNED_MEDIA = (
+    "text/html", "application/xhtml+xml", "text/plain", "text/xml", "application/xml", "text/javascript", "application/javascript",
+    "application/x-javascript", "application/json",
+)
+SCANNED_BYTES = 16 << 20
+
+
+def scanned_bodies(bodies: DataFrame) -> DataFrame:
+    """Bodies (ref, text, kind, media, size) that are searched for values: opaque text of at most 16 MiB."""
+    return bodies.where((F.col("kind") == "opaque") & F.col("media").isin(*SCANNED_MEDIA) & (F.col("size") <= SCANNED_BYTES))
 
 
 def text_hits(bodies: DataFrame, values: DataFrame, least: int = 6) -> DataFrame:
@@ -45,6 +61,19 @@ def text_hits(bodies: DataFrame, values: DataFrame, least: int = 6) -> DataFrame
     return found.join(wanted, "value", "left_semi").select("ref", "value")
 
 
+def identity_values(values: DataFrame) -> DataFrame:
+    """Values by slot that may identify something: linked, without flags, not redacted; consumer: a place of a request's path, query or body.
+
+    values: (value, type, family, side, part, pattern).  Places that produce them are a response's body, text and redirect target;
+    headers and cookies are left out.  Gives distinct (value, slot, consumer).
+    """
+    links = value_links(values).where("not low_information and not ubiquitous").where(~F.contains("value", F.lit("{{redacted:"))).select("value")
+    consumer = (F.col("side") == "request") & F.col("part").isin("path", "query", "body")
+    producer = (F.col("side") == "response") & F.col("part").isin("body", "text", "location")
+    rows = values.where(consumer | producer).select("value", F.concat_ws(".", "side", "family", "part", "pattern").alias("slot"), consumer.alias("consumer")).distinct()
+    return rows.join(links, "value", "left_semi")
+
+
 def slot_shapes(values: DataFrame) -> DataFrame:
     """Per slot (side, family, part, pattern) of different values: byte length if they have one, characters, and whether any is id-like."""
     return values.groupBy("slot").agg(
@@ -72,23 +101,22 @@ def joinable_slots(values: DataFrame, least: int = 2) -> DataFrame:
     return shared.join(left, "a").join(right, "b").where(fits & ((F.col("shared") >= least) | F.col("_id"))).select("a", "b", "shared")
 
 
-def key_classes(values: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """(slot, key_class): components of joinable slots, named by their smallest slot.
+def key_classes(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(slot, key_class): connected slots, from all slots of values (slot) and pairs (a, b), named by their smallest slot."""
+    labels = components(pairs.select("a", "b")).withColumnRenamed("node", "slot")
+    return values.select("slot").distinct().join(labels, "slot", "left").select("slot", F.coalesce("root", "slot").alias("key_class"))
+
 
-    Slots are locations of families, not rows: labels spread by joins until they stand still.
+def class_stats(classes: DataFrame, values: DataFrame) -> DataFrame:
+    """Per class of several slots: its consumer slots, distinct values, and slots that produce its values.
+
+    classes: (slot, key_class) of consumers; values: (value, slot, consumer).
     """
-    slots = values.select("slot").distinct()
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = slots.withColumn("key_class", F.col("slot"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("slot")).groupBy("a").agg(F.min("key_class").alias("_near"))
-        new = labels.join(near, F.col("slot") == F.col("a"), "left").select("slot", F.least("key_class", F.coalesce("_near", "key_class")).alias("key_class"), (F.col("_near") < F.col("key_class")).alias("_moved"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        moved = new.where("_moved").limit(1).count()
-        labels = new.select("slot", "key_class")
-        if not moved:
-            break
-    return labels
+    mine = classes.join(values.where("consumer").select("slot", "value"), "slot")
+    sized = mine.groupBy("key_class").agg(F.count_distinct("slot").alias("slots"), F.count_distinct("value").alias("values")).where("slots > 1")
+    made = values.where("not consumer").select("value", F.col("slot").alias("_from"))
+    makers = mine.select("key_class", "value").distinct().join(made, "value").groupBy("key_class").agg(F.count_distinct("_from").alias("producers"))
+    return sized.join(makers, "key_class", "left").na.fill(0, ["producers"])
 
 
 def held_out(values: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -100,16 +128,18 @@ def held_out(values: DataFrame, pairs: DataFrame) -> DataFrame:
     return shared.groupBy("a", "b").agg(F.count_if(half == 0).alias("even"), F.count_if(half == 1).alias("odd")).withColumn("reproduced", (F.col("even") > 0) & (F.col("odd") > 0))
 
 
-def functional_relations(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, support, one_to_one) from co-occurring values (a, va, b, vb): kinds where each va has one vb, with at least `least` of them."""
-    per_value = pairs.groupBy("a", "b", "va").agg(F.count_distinct("vb").alias("_n"))
-    forward = per_value.groupBy("a", "b").agg(F.count("*").alias("support"), F.max("_n").alias("_most"))
-    back = pairs.groupBy("a", "b", "vb").agg(F.count_distinct("va").alias("_m")).groupBy("a", "b").agg(F.max("_m").alias("_back"))
-    kept = forward.where((F.col("_most") == 1) & (F.col("support") >= least)).join(back, ["a", "b"])
-    return kept.select("a", "b", "support", (F.col("_back") == 1).alias("one_to_one"))
-
+def functional_relations(sightings: DataFrame, least: int = 2) -> DataFrame:
+    """(a, b, support, one_to_one): entities whose values always come with one value of another, from sightings (ref, entity, value).
 
-def first_examples(values: DataFrame, most: int = 5) -> DataFrame:
-    """Distinct values of each slot, the first `most` in hash order."""
-    drawn = values.groupBy("slot").agg(F.array_sort(F.collect_set(F.struct(hash_order(F.col("value")).alias("h"), F.col("value").alias("v")))).alias("_d"))
-    return drawn.select("slot", F.transform(F.slice("_d", 1, most), lambda x: x["v"]).alias("examples"))
+    Values are paired by exchange.  a relates to b if no value of a is seen with two of b; support is the number of value pairs
+    in at least `least` exchanges, and there must be one.  A relation that holds both ways is listed from the smaller entity.
+    """
+    seen = sightings.select("ref", "entity", "value").distinct()
+    x = seen.select("ref", F.col("entity").alias("a"), F.col("value").alias("va"))
+    y = seen.select("ref", F.col("entity").alias("b"), F.col("value").alias("vb"))
+    pairs = x.join(y, "ref").where("a <> b").groupBy("a", "b", "va", "vb").agg(F.count("*").alias("_n"))
+    per_value = pairs.groupBy("a", "b", "va").agg(F.count("*").alias("_to"), F.count_if(F.col("_n") >= least).alias("_s"))
+    kinds = per_value.groupBy("a", "b").agg(F.max("_to").alias("_most"), F.sum("_s").alias("support")).where("_most = 1")
+    back = kinds.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("_back"))
+    rows = kinds.join(back, ["a", "b"], "left").where("support > 0 and (_back is null or a < b)")
+    return rows.select("a", "b", "support", F.coalesce("_back", F.lit(False)).alias("one_to_one"))

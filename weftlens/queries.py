@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import har, headers, ids, score, text, url
 from .operators import families as fam
-from .operators import decisions, semantics, traces
+from .operators import decisions, navigation, semantics, traces
 from .operators import values as val
 from .sources import tables
 from .sources.tables import table
@@ -119,8 +119,6 @@ WHERE rank <= 5""")
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Which families exist, what precedes each, how often and how long before."""
     s = stepped(spark, folder)
-    from pyspark.sql import Window
-
     best = Window.partitionBy("to").orderBy(F.desc("ordered"), F.desc("immediate"), "from")
     ranked = traces.edges(s).withColumn("rank", F.row_number().over(best)).where("rank <= 5")
     names = fam.families(s).select(F.col("family").alias("to"), "shown")
@@ -134,13 +132,24 @@ def request_families(spark: SparkSession, folder: str) -> DataFrame:
     return fam.families(observed(spark, folder))
 
 
-@query("WITH " + SQL_FAMILIES + """
-SELECT family, 'path.1' AS location, count(DISTINCT ref) AS observations, count(DISTINCT k) AS cardinality, 'integer' AS type,
-  array_to_string(list_slice(list_transform(list_sort(list_distinct(list({'h': sha256(k), 'v': k}))), lambda x: x.v), 1, 5), ',') AS examples
-FROM f GROUP BY family""")
+@query("WITH " + SQL_FAMILIES + """, sl AS (
+  SELECT family, 'path.1' AS location, k AS value, CASE WHEN strlen(k) = 1 THEN 'integer' ELSE 'number' END AS type, ref FROM f
+  UNION ALL SELECT family, 'path.0', kind, 'string', ref FROM f
+  UNION ALL SELECT family, 'query.v', k, CASE WHEN strlen(k) = 1 THEN 'string' ELSE 'integer' END, ref FROM f WHERE method = 'POST')
+SELECT family, location, count(DISTINCT ref) AS observations, count(DISTINCT value) AS cardinality,
+  CASE WHEN count(DISTINCT type) = 1 THEN min(type) WHEN bool_and(type IN ('integer', 'number')) THEN 'number' ELSE 'any' END AS type,
+  array_to_string(list_slice(list_transform(list_sort(list_distinct(list({'h': sha256(value), 'v': value}))), lambda x: x.v), 1, 5), ',') AS examples
+FROM sl GROUP BY family, location""")
 def family_slots(spark: SparkSession, folder: str) -> DataFrame:
-    rows = observed(spark, folder).select("family", F.lit("path.1").alias("location"), F.col("k").alias("value"), F.lit("integer").alias("type"), "ref")
-    return fam.slot_stats(rows).withColumn("examples", F.array_join("examples", ","))
+    rows = observed(spark, folder)
+    one = F.length("k") == 1
+    slot = lambda location, value, kind: F.struct(F.lit(location).alias("location"), value.alias("value"), kind.alias("type"))
+    slots = F.array(
+        slot("path.1", F.col("k"), F.when(one, "integer").otherwise("number")), slot("path.0", F.get("segments", F.lit(0)), F.lit("string")),
+        F.when(F.col("method") == "POST", slot("query.v", F.col("k"), F.when(one, "string").otherwise("integer"))),
+    )
+    values = rows.select("family", "ref", F.inline(F.filter(slots, lambda x: x.isNotNull())))
+    return fam.slot_stats(values).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("WITH " + SQL_FAMILIES + f""", v AS (SELECT *, substr(sha256('{NS}/variant|' || status || ' ' || media || ' none:'), 1, 12) AS variant FROM f),
@@ -214,6 +223,67 @@ def prerequisites(spark: SparkSession, folder: str) -> DataFrame:
     return traces.producers(traces.edge_flows(flows(spark, folder), stepped(spark, folder)))
 
 
+SQL_VIEWS = SQL_EXCHANGES + """, d AS (SELECT *, sum(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY t, seq) - 1 AS latest FROM x),
+v AS (SELECT session, latest AS view, k, CASE WHEN strlen(k) = 1 THEN 'typed' WHEN k LIKE '%3' THEN 'user' ELSE 'link' END AS trigger FROM d WHERE kind = 'view'),
+m AS (SELECT d.session, d.seq, d.kind, CAST(coalesce(max(v.view), any_value(d.latest)) AS INTEGER) AS view FROM d LEFT JOIN v ON v.session = d.session AND d.kind = 'click' AND v.k = d.k AND v.view <= d.latest GROUP BY d.session, d.seq, d.kind),
+pv AS (SELECT m.session, m.seq, m.kind, m.view, v.trigger, m.kind = 'view' AS document FROM m LEFT JOIN v ON v.session = m.session AND v.view = m.view)"""
+
+
+@query("WITH " + SQL_VIEWS + " SELECT session, seq, view, trigger, document FROM pv")
+def page_views(spark: SparkSession, folder: str) -> DataFrame:
+    return navigation.page_views(tables.navigation(spark, folder))
+
+
+@query("WITH " + SQL_VIEWS + """, c AS (SELECT kind AS family, coalesce(trigger, 'untriggered') AS trigger, CASE WHEN document THEN 'document' WHEN kind = 'click' THEN 'fetch' ELSE '' END AS k FROM pv)
+SELECT family, 'trigger' AS counted, trigger AS name, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT family, 'kind', k, count(*) FROM c WHERE k <> '' GROUP BY ALL""")
+def browser_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = navigation.page_views(tables.navigation(spark, folder)).join(tables.exchanges(spark, folder).select("session", "seq", F.get("segments", F.lit(0)).alias("family")), ["session", "seq"])
+    kind = F.when(F.col("document"), "document").when(F.col("family") == "click", "fetch").otherwise("")
+    return traces.browser_contexts(rows.select("family", "trigger", kind.alias("kind")))
+
+
+@query("WITH " + SQL_STEPS + """, rf AS (
+  SELECT r.session, r.k, r.t, r.pos AS to_pos, arg_max(a.pos, (a."end", a.pos)) AS from_pos, max(a."end") AS ready
+  FROM s r JOIN s a ON a.session = r.session AND a.kind = 'signup' AND r.kind = 'view' AND a.k = r.k AND a."end" <= r.t GROUP BY r.session, r.k, r.t, r.pos)
+SELECT session, 'https://app.test/view/' || k AS value, from_pos, to_pos, t - ready AS delay FROM rf
+WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.session = rf.session AND o.kind = 'view' AND o.k = rf.k AND o.t >= rf.ready AND (o.t, o.pos) < (rf.t, rf.to_pos))""")
+def redirect_flows(spark: SparkSession, folder: str) -> DataFrame:
+    s = stepped(spark, folder)
+    kind = F.get("segments", F.lit(0))
+    target = F.when(kind == "signup", url.resolved(F.concat(F.lit("https://app.test/signup/"), "k"), F.concat(F.lit("../view/"), "k", F.lit("#top"))))
+    tied = F.coalesce(F.lag("t").over(traces.in_order()) == F.col("t"), F.lit(False))
+    return traces.redirect_flows(s.select("session", "pos", "t", F.col("end").alias("available"), F.concat(F.lit("https://app.test/"), kind, F.lit("/"), "k").alias("url"), target.alias("target"), tied.alias("tied")))
+
+
+SQL_CARRIERS = SQL_FLOWS + """, ap AS (SELECT session, pos, 'body' AS part, 'id' AS place FROM s UNION ALL SELECT session, pos, 'set-cookie', 'k' FROM s WHERE kind = 'signup'),
+bp AS (SELECT session, pos, 'path' AS part, '1' AS place FROM s UNION ALL SELECT session, pos, 'cookie', 'k' FROM s WHERE kind = 'purchase'
+  UNION ALL SELECT session, pos, 'query', 'q' FROM s WHERE kind = 'click' UNION ALL SELECT session, pos, 'header', 'X-K' FROM s WHERE kind = 'error'),
+pf AS (SELECT fl.*, a.family AS "from", b.family AS "to", ap.part AS from_part, ap.place AS from_place, bp.part AS to_part, bp.place AS to_place,
+    CASE WHEN bp.part = 'cookie' AND ap.part = 'set-cookie' AND ap.place = bp.place THEN 'cookie' WHEN bp.part IN ('cookie', 'header') THEN 'header' WHEN bp.part IN ('query', 'path') THEN bp.part ELSE 'body' END AS carrier
+  FROM fl JOIN s a ON a.session = fl.session AND a.pos = fl.from_pos JOIN s b ON b.session = fl.session AND b.pos = fl.to_pos
+  JOIN ap ON ap.session = fl.session AND ap.pos = fl.from_pos JOIN bp ON bp.session = fl.session AND bp.pos = fl.to_pos),
+cf AS (SELECT "from", "to", carrier, from_part, from_place, to_part, to_place, count(DISTINCT (session, to_pos)) AS matches, count(DISTINCT value) AS "values", bool_and(strlen(value) <= 3) AS low_information,
+    false AS ubiquitous, array_to_string(list_slice(list(value ORDER BY session, to_pos, from_pos, value), 1, 3), ',') AS examples FROM pf GROUP BY ALL)"""
+
+
+def carriers(spark: SparkSession, folder: str) -> DataFrame:
+    s = stepped(spark, folder)
+    flags = s.select(F.col("k").alias("value")).distinct().withColumns({"low_information": text.low_information(F.lit("integer"), F.col("value")), "ubiquitous": F.lit(False)})
+    return traces.flow_carriers(traces.placed_flows(flows(spark, folder), tables.places(s)), s, flags)
+
+
+@query("WITH " + SQL_CARRIERS + " SELECT * FROM cf")
+def flow_carriers(spark: SparkSession, folder: str) -> DataFrame:
+    return carriers(spark, folder).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("WITH " + SQL_EDGES.replace(SQL_STEPS, SQL_CARRIERS) + """
+SELECT cf."from", cf."to", carrier, from_place, to_place, matches, ordered FROM cf JOIN e ON e."from" = cf."from" AND e."to" = cf."to" WHERE NOT low_information OR (matches >= 2 AND matches * 10 >= ordered * 9)""")
+def evidence_flows(spark: SparkSession, folder: str) -> DataFrame:
+    shown = traces.visible_flows(carriers(spark, folder), traces.edges(stepped(spark, folder)))
+    return shown.select("from", "to", "carrier", "from_place", "to_place", "matches", "ordered")
+
+
 @query("WITH " + SQL_FAMILIES + """
 SELECT (SELECT count(*) FROM f) AS exchanges, (SELECT count(DISTINCT session) FROM f) AS sessions, (SELECT count(DISTINCT family) FROM f) AS families,
   (SELECT count(*) FROM f WHERE status >= 500) AS failures""")
@@ -323,8 +393,6 @@ def har_select(spark: SparkSession, folder: str) -> DataFrame:
 @query("WITH " + SQL_PAGES + " SELECT host, count(*) AS pages, row_number() OVER (ORDER BY count(*) DESC, host) AS rank FROM p GROUP BY host QUALIFY rank <= 10")
 def top_hosts(spark: SparkSession, folder: str) -> DataFrame:
     """The ten hosts with most pages: a report."""
-    from pyspark.sql import Window
-
     counts = tables.page_paths(spark, folder).groupBy("host").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "host").limit(10)
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pages"), "host")))
 
@@ -358,17 +426,33 @@ SQL_VALUES = """kv AS (
   UNION ALL SELECT 'ORD' || lpad(CAST(l_orderkey AS VARCHAR), 7, '0'), 'get_order', 'request', 'path', '1', CAST(l_linenumber AS VARCHAR) FROM lineitem
   UNION ALL SELECT 'PRT' || lpad(CAST(l_partkey AS VARCHAR), 7, '0'), 'get_order', 'response', 'body', 'lines[].part', CAST(l_orderkey AS VARCHAR) FROM lineitem
   UNION ALL SELECT 'CUS' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'), 'get_customer', 'request', 'path', '1', CAST(c_nationkey AS VARCHAR) FROM customer
-  UNION ALL SELECT 'PRT' || lpad(CAST(p_partkey AS VARCHAR), 7, '0'), 'get_part', 'request', 'query', 'part', CAST(p_size AS VARCHAR) FROM part),
-sv AS (SELECT DISTINCT side || '.' || family || '.' || part || '.' || pattern AS slot, value FROM kv)"""
+  UNION ALL SELECT 'PRT' || lpad(CAST(p_partkey AS VARCHAR), 7, '0'), 'get_part', 'request', 'query', 'part', CAST(p_size AS VARCHAR) FROM part
+  UNION ALL SELECT 'CUS' || lpad(CAST(o_custkey AS VARCHAR), 7, '0'), 'orders_of_customer', 'request', 'query', 'customer', CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT 'ORD' || lpad(CAST(l_orderkey AS VARCHAR), 7, '0'), 'cancel_order', 'request', 'body', 'order.id', CAST(l_linenumber AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'PRT' || lpad(CAST(l_partkey AS VARCHAR), 7, '0'), 'part_stock', 'request', 'path', '2', CAST(l_suppkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT o_orderstatus, 'list_orders', 'request', 'query', 'status', CAST(o_orderkey AS VARCHAR) FROM orders
+  UNION ALL SELECT l_linestatus, 'get_order', 'request', 'query', 'status', CAST(l_orderkey AS VARCHAR) FROM lineitem),
+lk AS (SELECT value FROM kv GROUP BY value HAVING count(DISTINCT family) BETWEEN 2 AND 10 AND NOT bool_or(strlen(value) < 4)),
+iv AS (SELECT DISTINCT value, side || '.' || family || '.' || part || '.' || pattern AS slot, side = 'request' AS consumer FROM kv
+  WHERE ((side = 'request' AND part IN ('path', 'query', 'body')) OR (side = 'response' AND part IN ('body', 'text', 'location'))) AND value IN (SELECT value FROM lk)),
+sv AS (SELECT slot, value FROM iv WHERE consumer),
+sh AS (SELECT slot, CASE WHEN min(strlen(value)) = max(strlen(value)) THEN min(strlen(value)) ELSE 0 END AS n,
+  bit_or(CASE WHEN regexp_matches(value, '[A-Z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(value, '[a-z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(value, '[0-9]') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(value, '[^A-Za-z0-9]') THEN 8 ELSE 0 END) AS m
+  FROM sv GROUP BY slot)"""
 
 
 def slot_values(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.key_values(spark, folder).withColumn("slot", F.concat_ws(".", "side", "family", "part", "pattern"))
+    """Values of the slots that consume them."""
+    return identities(spark, folder).where("consumer").select("slot", "value")
+
+
+def identities(spark: SparkSession, folder: str) -> DataFrame:
+    return val.identity_values(tables.key_values(spark, folder).withColumn("type", F.lit("string")))
 
 
 @query("WITH " + SQL_VALUES + f"""
 SELECT substr(sha256('{NS}/link|' || value), 1, 12) AS link, value, 'string' AS types, count(*) AS count, count(DISTINCT family) AS n_families,
-  array_to_string(list_sort(list(DISTINCT family)), ',') AS families, false AS low_information, count(DISTINCT family) > 10 AS ubiquitous
+  array_to_string(list_sort(list(DISTINCT family)), ',') AS families, bool_or(strlen(value) < 4) AS low_information, count(DISTINCT family) > 10 AS ubiquitous
 FROM kv GROUP BY value HAVING count(DISTINCT family) >= 2""")
 def value_links(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.key_values(spark, folder).withColumn("type", F.lit("string"))
@@ -381,7 +465,10 @@ def link_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     return val.occurrences(tables.key_values(spark, folder)).withColumn("examples", F.array_join("examples", ","))
 
 
-SQL_PAIRS = SQL_VALUES + """, jp AS (SELECT a.slot AS a, b.slot AS b, count(*) AS shared FROM sv a JOIN sv b ON a.value = b.value AND a.slot < b.slot GROUP BY ALL)"""
+SQL_PAIRS = SQL_VALUES + """, jp AS (
+  SELECT a.slot AS a, b.slot AS b, count(*) AS shared FROM sv a JOIN sv b ON a.value = b.value AND a.slot < b.slot JOIN sh x ON x.slot = a.slot JOIN sh y ON y.slot = b.slot
+  WHERE x.n >= 6 AND x.n = y.n AND x.m < 8 AND y.m < 8 AND (x.m & y.m = x.m OR x.m & y.m = y.m)
+  GROUP BY a.slot, b.slot HAVING count(*) >= 2 OR bool_or(strlen(a.value) >= 6 AND regexp_matches(a.value, '[A-Za-z]') AND regexp_matches(a.value, '[0-9]')))"""
 
 
 @query("WITH " + SQL_PAIRS + " SELECT * FROM jp")
@@ -397,38 +484,56 @@ def key_classes(spark: SparkSession, folder: str) -> DataFrame:
     return val.key_classes(rows, val.joinable_slots(rows))
 
 
+@query("WITH RECURSIVE " + SQL_PAIRS + """, e AS (SELECT a, b FROM jp UNION SELECT b, a FROM jp),
+r AS (SELECT DISTINCT slot, slot AS c FROM sv UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.slot), k AS (SELECT slot, min(c) AS key_class FROM r GROUP BY slot),
+z AS (SELECT key_class, count(DISTINCT slot) AS slots, count(DISTINCT value) AS "values" FROM k JOIN sv USING (slot) GROUP BY key_class HAVING count(DISTINCT slot) > 1)
+SELECT key_class, slots, "values", (SELECT count(DISTINCT p.slot) FROM iv p WHERE NOT p.consumer AND p.value IN (SELECT value FROM sv JOIN k USING (slot) WHERE k.key_class = z.key_class)) AS producers FROM z""")
+def key_class_stats(spark: SparkSession, folder: str) -> DataFrame:
+    every = identities(spark, folder)
+    rows = every.where("consumer").select("slot", "value")
+    return val.class_stats(val.key_classes(rows, val.joinable_slots(rows)), every)
+
+
+@query("WITH " + SQL_VALUES + """, g AS (SELECT value, count(*) AS n, count(DISTINCT family) AS nf, bool_or(strlen(value) < 4) OR count(DISTINCT family) > 10 AS flagged FROM kv GROUP BY value HAVING count(DISTINCT family) >= 2),
+o AS (SELECT DISTINCT family, value FROM kv), j AS (SELECT o.family, g.*, substr(sha256('""" + NS + """/link|' || g.value), 1, 12) AS link FROM o JOIN g USING (value)),
+t AS (SELECT family, count(*) FILTER (NOT flagged) AS m, count(*) FILTER (flagged) AS hidden FROM j GROUP BY family)
+SELECT family, row_number() OVER (PARTITION BY family ORDER BY nf DESC, n DESC, link) AS rank, link, value, n AS count, nf AS n_families, greatest(0, m - 5) AS omitted, hidden
+FROM j JOIN t USING (family) WHERE NOT flagged QUALIFY rank <= 5""")
+def evidence_links(spark: SparkSession, folder: str) -> DataFrame:
+    return traces.evidence_links(val.value_links(tables.key_values(spark, folder).withColumn("type", F.lit("string"))))
+
+
 @query("WITH " + SQL_PAIRS + """, h AS (
   SELECT a.slot AS a, b.slot AS b, list_position(['0','1','2','3','4','5','6','7','8','9','a','b','c','d','e','f'], substr(sha256(a.value), 2, 1)) % 2 = 1 AS even
-  FROM sv a JOIN sv b ON a.value = b.value AND a.slot < b.slot)
+  FROM sv a JOIN sv b ON a.value = b.value AND a.slot < b.slot JOIN jp ON jp.a = a.slot AND jp.b = b.slot)
 SELECT a, b, count(*) FILTER (even) AS even, count(*) FILTER (NOT even) AS odd, count(*) FILTER (even) > 0 AND count(*) FILTER (NOT even) > 0 AS reproduced FROM h GROUP BY a, b""")
 def heldout_join(spark: SparkSession, folder: str) -> DataFrame:
     rows = slot_values(spark, folder)
     return val.held_out(rows, val.joinable_slots(rows))
 
 
-@query("WITH " + SQL_VALUES + """
-SELECT slot, count(*) AS "values", 10 AS length, bit_or(CASE WHEN regexp_matches(value, '[A-Z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(value, '[0-9]') THEN 4 ELSE 0 END) AS mask FROM sv GROUP BY slot""")
+@query("WITH " + SQL_VALUES + """ SELECT slot, count(*) AS "values", any_value(sh.n) AS length, any_value(sh.m) AS mask FROM sv JOIN sh USING (slot) GROUP BY slot""")
 def slot_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    return val.slot_shapes(slot_values(spark, folder).select("slot", "value").distinct())
-
-
-@query("""WITH r AS (
-  SELECT 'order' AS a, 'customer' AS b, CAST(o_orderkey AS VARCHAR) AS va, CAST(o_custkey AS VARCHAR) AS vb FROM orders
-  UNION ALL SELECT 'line', 'order', l_orderkey || '-' || l_linenumber, CAST(l_orderkey AS VARCHAR) FROM lineitem
-  UNION ALL SELECT 'order', 'part', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR) FROM lineitem
-  UNION ALL SELECT 'nation', 'name', CAST(n_nationkey AS VARCHAR), n_name FROM nation),
-p AS (SELECT a, b, va, count(DISTINCT vb) AS n FROM r GROUP BY ALL), f AS (SELECT a, b, count(*) AS support, max(n) AS most FROM p GROUP BY a, b),
-k AS (SELECT a, b, max(m) AS back FROM (SELECT a, b, vb, count(DISTINCT va) AS m FROM r GROUP BY ALL) GROUP BY a, b)
-SELECT a, b, support, back = 1 AS one_to_one FROM f JOIN k USING (a, b) WHERE most = 1 AND support >= 2""")
+    return val.slot_shapes(slot_values(spark, folder))
+
+
+@query("""WITH every AS (
+  SELECT l_orderkey || '-' || l_linenumber AS ref, 'order' AS entity, CAST(l_orderkey AS VARCHAR) AS value FROM lineitem
+  UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'customer', CAST(o_custkey AS VARCHAR) FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'part', CAST(l_partkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'brand', p_brand FROM lineitem JOIN part ON p_partkey = l_partkey
+  UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'label', p_brand || '!' FROM lineitem JOIN part ON p_partkey = l_partkey), x AS (SELECT DISTINCT * FROM every),
+s AS (SELECT a.entity AS a, b.entity AS b, a.value AS va, b.value AS vb, count(*) AS n FROM x a JOIN x b ON a.ref = b.ref AND a.entity <> b.entity GROUP BY ALL),
+f AS (SELECT a, b, max(m) = 1 AS functional, sum(k) AS support FROM (SELECT a, b, va, count(*) AS m, count(*) FILTER (n >= 2) AS k FROM s GROUP BY a, b, va) GROUP BY a, b)
+SELECT f.a, f.b, CAST(f.support AS BIGINT) AS support, coalesce(r.functional, false) AS one_to_one FROM f LEFT JOIN f r ON r.a = f.b AND r.b = f.a
+WHERE f.functional AND f.support > 0 AND (NOT coalesce(r.functional, false) OR f.a < f.b)""")
 def relations_functional(spark: SparkSession, folder: str) -> DataFrame:
-    def pairs(name, a, b, va, vb):
-        return table(spark, folder, name).select(F.lit(a).alias("a"), F.lit(b).alias("b"), va.cast("string").alias("va"), vb.cast("string").alias("vb"))
-
     c = F.col
-    rows = pairs("orders", "order", "customer", c("o_orderkey"), c("o_custkey"))
-    rows = rows.union(pairs("lineitem", "line", "order", F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")), c("l_orderkey")))
-    rows = rows.union(pairs("lineitem", "order", "part", c("l_orderkey"), c("l_partkey"))).union(pairs("nation", "nation", "name", c("n_nationkey"), c("n_name")))
-    return val.functional_relations(rows)
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), c("l_orderkey") == c("o_orderkey")).join(table(spark, folder, "part"), c("l_partkey") == c("p_partkey"))
+    ref = F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))
+    of = lambda name, value: F.struct(F.lit(name).alias("entity"), value.cast("string").alias("value"))
+    seen = F.array(of("order", c("l_orderkey")), of("customer", c("o_custkey")), of("part", c("l_partkey")), of("brand", c("p_brand")), of("label", F.concat("p_brand", F.lit("!"))))
+    return val.functional_relations(lines.select(ref.alias("ref"), F.inline(seen)))
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber AS "from", l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""")
@@ -541,7 +646,7 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
 # --- decisions and revisions -----------------------------------------------------------------------------------------
 
 
-@query("""WITH t AS (SELECT l_orderkey AS task, l_linenumber % 3 AS input_hash, l_returnflag AS prompt, 'm' AS model, l_linestatus AS params FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH t AS (SELECT l_orderkey AS task, l_linenumber % 3 AS input_hash, l_returnflag AS prompt, 'm' AS model, l_linestatus AS params FROM lineitem),
 p AS (SELECT DISTINCT l_orderkey AS task, l_linenumber % 3 AS input_hash, l_returnflag AS prompt, 'm' AS model, l_linestatus AS params, l_returnflag || l_linestatus AS choice FROM lineitem WHERE l_quantity > 25)
 SELECT t.task, t.input_hash, t.prompt, t.model, t.params, p.choice, p.choice IS NOT NULL AS reused FROM t LEFT JOIN p USING (task, input_hash, prompt, model, params)""")
 def decision_reuse(spark: SparkSession, folder: str) -> DataFrame:
@@ -549,7 +654,7 @@ def decision_reuse(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("task"), (F.col("l_linenumber") % 3).alias("input_hash"), F.col("l_returnflag").alias("prompt"), F.lit("m").alias("model"), F.col("l_linestatus").alias("params"),
         F.concat("l_returnflag", "l_linestatus").alias("choice"), "l_linenumber", "l_quantity",
     )
-    return decisions.reuse(rows.where("l_linenumber <= 3").select(*decisions.REUSE), rows.where("l_quantity > 25"))
+    return decisions.reuse(rows.select(*decisions.REUSE), rows.where("l_quantity > 25"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'unknown' ELSE p_brand END AS decision, CASE WHEN p_retailprice > 0 AND p_size > 10 AND p_size % 4 <> 0 THEN 'supported' ELSE 'rejected' END AS status FROM part""")
@@ -560,15 +665,15 @@ def decision_checks(spark: SparkSession, folder: str) -> DataFrame:
     return decisions.checked(made, {"priced": "p_retailprice > 0", "large": "p_size > 10", "decided": "decision <> 'unknown'"}).select("p_partkey", "decision", "status")
 
 
-@query("""WITH p AS (SELECT c_custkey AS node, c_mktsegment AS name, CASE WHEN c_custkey % 5 = 0 THEN 'reviewed' ELSE 'proposed' END AS status FROM customer WHERE c_acctbal > 0),
-n AS (SELECT c_custkey AS node, upper(c_name) AS name, 'supported' AS status FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH p AS (SELECT c_custkey AS node, c_mktsegment AS name, CASE WHEN c_nationkey < 5 THEN 'reviewed' ELSE 'proposed' END AS status FROM customer WHERE c_mktsegment <> 'BUILDING'),
+n AS (SELECT c_custkey AS node, upper(c_name) AS name, 'supported' AS status FROM customer WHERE c_acctbal > 0 OR c_mktsegment = 'BUILDING')
 SELECT coalesce(p.node, n.node) AS node, CASE WHEN n.node IS NULL OR p.status = 'reviewed' THEN p.name ELSE n.name END AS name, CASE WHEN n.node IS NULL OR p.status = 'reviewed' THEN p.status ELSE n.status END AS status
 FROM p FULL JOIN n ON p.node = n.node""")
 def ir_upsert(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer")
-    status = F.when(F.col("c_custkey") % 5 == 0, "reviewed").otherwise("proposed")
-    prior = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("name"), status.alias("status"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("node"), F.upper("c_name").alias("name"), F.lit("supported").alias("status"))
+    status = F.when(F.col("c_nationkey") < 5, "reviewed").otherwise("proposed")
+    prior = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("name"), status.alias("status"))
+    new = c.where("c_acctbal > 0 or c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("node"), F.upper("c_name").alias("name"), F.lit("supported").alias("status"))
     return decisions.upsert(prior, new, ["node"])
 
 
@@ -592,11 +697,11 @@ def validation_issues(spark: SparkSession, folder: str) -> DataFrame:
     return decisions.issues(table(spark, folder, "orders"), "o_orderkey", rules)
 
 
-@query("""WITH b AS (SELECT event_id AS ref, event_type AS family FROM events WHERE event_id % 10 <> 0), a AS (SELECT event_id AS ref, CASE WHEN value > 100 THEN 'POST ' || event_type ELSE event_type END AS family FROM events)
+@query("""WITH b AS (SELECT event_id AS ref, event_type AS family FROM events WHERE event_type <> 'signup'), a AS (SELECT event_id AS ref, CASE WHEN value > 100 THEN 'POST ' || event_type ELSE event_type END AS family FROM events)
 SELECT coalesce(a.ref, b.ref) AS ref, b.family AS was, a.family AS now FROM b FULL JOIN a ON a.ref = b.ref WHERE a.family IS DISTINCT FROM b.family""")
 def live_regrouped(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    before = e.where("event_id % 10 <> 0").select(F.col("event_id").alias("ref"), F.col("event_type").alias("family"))
+    before = e.where("event_type <> 'signup'").select(F.col("event_id").alias("ref"), F.col("event_type").alias("family"))
     now = F.when(F.col("value") > 100, F.concat(F.lit("POST "), "event_type")).otherwise(F.col("event_type"))
     return decisions.regrouped(before, e.select(F.col("event_id").alias("ref"), now.alias("family")))
 

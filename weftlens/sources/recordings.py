@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+
 _BODY = "struct<ref:string,size:bigint,sha256:string,content_type:string,content_encoding:string>"
 _HEADERS = "array<struct<name:string,value:string>>"
 _TIME = "struct<t:bigint,wall:timestamp>"
@@ -24,14 +27,34 @@ def sessions(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.col("id").rlike(SESSION_ID)).orderBy("started_at", "id")
 
 
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a growing file of JSON lines.  Blank lines are skipped; a last line that can't be read and has no line end is being
+    written, and left out; any other line that can't be read is an error.  No file: no rows.
+
+    Whether the file ends with a line end follows from the lengths of its lines and of the file, in one pass.
+    """
+    try:
+        lines = spark.read.option("lineSep", "\n").text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = lines.select("value", place.alias("at"), F.col("_metadata.file_size").alias("size"))
+    rows = rows.withColumn("x", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("x._bad").isNotNull() & (F.trim(F.regexp_replace("value", r"[\r\t]", " ")) != "")
+    seen = rows.agg(
+        F.count_if(bad).alias("bad"), F.max_by("value", F.when(bad, F.col("at"))).alias("line"), F.max("at").alias("last"),
+        F.max(F.when(bad, F.col("at"))).alias("last_bad"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"),
+    ).first()
+    if seen["bad"] > 1 or seen["bad"] and (seen["last"] != seen["last_bad"] or seen["bytes"] == seen["size"]):
+        raise ValueError(f"unreadable line in {path}: {seen['line'][:80]}")
+    return rows.where(F.col("x._bad").isNull() & (F.trim("value") != "")).select("x.*").drop("_bad")
+
+
 def exchanges(spark: SparkSession, folder: str) -> DataFrame:
     """Exchanges of one recording.  A last line that is cut off is left out; any other line that can't be read is an error."""
-    lines = spark.read.text(f"{folder}/http.jsonl").where(F.trim("value") != "")
-    rows = lines.select("value", F.from_json("value", EXCHANGE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
-    cut = ~F.trim("value").endswith("}")
-    broken = F.col("x._bad").isNotNull() & ~cut
-    checked = rows.where(~(F.col("x._bad").isNotNull() & cut)).withColumn("_ok", F.when(broken, F.raise_error(F.concat(F.lit("unreadable exchange: "), F.substring("value", 1, 80)))))
-    return checked.where("_ok is null").select("x.*").drop("_bad")
+    return json_lines(spark, f"{folder}/http.jsonl", EXCHANGE)
 
 
 def bodies(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,9 +63,61 @@ def bodies(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([0-9a-f]{64})\.bin$", 1).alias("sha256"), "content").where("sha256 <> ''")
 
 
-def store_bodies(contents: DataFrame, folder: str) -> None:
-    """Writes different contents (content) once each, as a table by their hash."""
-    contents.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["sha256"]).write.mode("append").parquet(folder)
+def body_reference(sha256: Column) -> Column:
+    """The path of a stored body in its recording; null where the hash is none."""
+    return F.when(sha256.rlike(r"^[0-9a-f]{64}\z"), F.concat(F.lit("bodies/"), sha256, F.lit(".bin")))
+
+
+def store_bodies(contents: DataFrame, folder: str) -> DataFrame:
+    """Appends contents (content) that the table in folder doesn't hold yet, once each, by their hash; gives (sha256, ref, size) of all."""
+    spark = contents.sparkSession
+    mine = contents.select(F.sha2("content", 256).alias("sha256"), "content", F.octet_length("content").cast("long").alias("size"))
+    new = mine.dropDuplicates(["sha256"])
+    try:
+        new = new.join(spark.read.parquet(folder).select("sha256"), "sha256", "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new.write.mode("append").parquet(folder)
+    return mine.select("sha256", body_reference(F.col("sha256")).alias("ref"), "size")
+
+
+def append_exchanges(new: DataFrame, folder: str, session: str) -> DataFrame:
+    """Appends exchanges (in the order of started_at and seq) to a recording's table, numbered on from what it holds; gives what was added.
+
+    The numbers of one append follow the start times by a range sort, so they don't need one task.
+    """
+    spark = new.sparkSession
+    try:
+        held = spark.read.schema(EXCHANGE).json(f"{folder}/http.jsonl").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("n")).first()["n"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        held = 0
+    ordered = written(new.repartitionByRange(F.col("started_at.t"), F.col("seq")).sortWithinPartitions("started_at.t", "seq").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = {r["_part"]: r["count"] for r in ordered.groupBy("_part").count().collect()}
+    start, offsets = held, {}
+    for part in sorted(sizes):
+        offsets[part] = start
+        start += sizes[part]
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    before = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.create_map(F.lit(0), F.lit(0))
+    numbered = ordered.withColumn("seq", (place + before[F.col("_part")]).cast("long")).drop("_part", "_at")
+    numbered = numbered.withColumns({"id": F.format_string("ex_%06d", "seq"), "session_id": F.lit(session)})
+    numbered.write.mode("append").json(f"{folder}/http.jsonl")
+    return numbered
+
+
+def next_session(spark: SparkSession, root: str, day: str) -> str:
+    """The id of the next recording of a day (yyyymmdd) below root: rec_<day>_<number>, from 001."""
+    try:
+        taken = spark.read.schema(SESSION).option("multiLine", True).json(f"{root}/*/session.json")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return f"rec_{day}_001"
+    last = taken.where(F.col("id").rlike(rf"^rec_{day}_\d{{3,4}}\z")).agg(F.max(F.substring_index("id", "_", -1).cast("int"))).first()[0]
+    return f"rec_{day}_{(last or 0) + 1:03d}"
 
 
 _PAIRS = "array<struct<name:string,value:string>>"

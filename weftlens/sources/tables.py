@@ -47,7 +47,7 @@ def page_paths(spark: SparkSession, folder: str) -> DataFrame:
 def key_values(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of the order tables as values seen at locations of request families: (value, family, side, part, pattern, ref)."""
     def seen(name, column, prefix, family, side, part, pattern, ref):
-        value = F.concat(F.lit(prefix), F.lpad(F.col(column).cast("string"), 7, "0"))
+        value = F.concat(F.lit(prefix), F.lpad(F.col(column).cast("string"), 7, "0")) if prefix else F.col(column)
         return table(spark, folder, name).select(
             value.alias("value"), F.lit(family).alias("family"), F.lit(side).alias("side"), F.lit(part).alias("part"), F.lit(pattern).alias("pattern"), F.col(ref).cast("string").alias("ref")
         )
@@ -59,8 +59,36 @@ def key_values(spark: SparkSession, folder: str) -> DataFrame:
         seen("lineitem", "l_partkey", "PRT", "get_order", "response", "body", "lines[].part", "l_orderkey"),
         seen("customer", "c_custkey", "CUS", "get_customer", "request", "path", "1", "c_nationkey"),
         seen("part", "p_partkey", "PRT", "get_part", "request", "query", "part", "p_size"),
+        seen("orders", "o_custkey", "CUS", "orders_of_customer", "request", "query", "customer", "o_orderkey"),
+        seen("lineitem", "l_orderkey", "ORD", "cancel_order", "request", "body", "order.id", "l_linenumber"),
+        seen("lineitem", "l_partkey", "PRT", "part_stock", "request", "path", "2", "l_suppkey"),
+        # values that say little
+        seen("orders", "o_orderstatus", None, "list_orders", "request", "query", "status", "o_orderkey"),
+        seen("lineitem", "l_linestatus", None, "get_order", "request", "query", "status", "l_orderkey"),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def navigation(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as steps of page views: views are documents, clicks name the last view of their k as referer."""
+    x = exchanges(spark, folder)
+    kind = F.get("segments", F.lit(0))
+    at = lambda what: F.concat(F.lit("https://app.test/"), what, F.lit("/"), F.col("k"))
+    return x.select(
+        "session", "seq", "t", at(kind).alias("url"), (kind == "view").alias("document"), F.lit(None).cast("string").alias("redirect_to"), F.when(kind == "click", at(F.lit("view"))).alias("referer"),
+        F.when(F.length("k") == 1, "none").otherwise("same-origin").alias("site"), F.endswith("k", F.lit("3")).alias("user"), F.lit("navigate").alias("mode"),
+    )
+
+
+def places(stepped: DataFrame) -> DataFrame:
+    """What the events' steps carry, by place: k in every path and response, and by kind in cookies, queries and headers."""
+    kind = F.get("segments", F.lit(0))
+    place = lambda side, part, pattern: F.struct(F.lit(side).alias("side"), F.lit(part).alias("part"), F.lit(pattern).alias("pattern"))
+    some = F.array(
+        place("response", "body", "id"), place("request", "path", "1"), F.when(kind == "signup", place("response", "set-cookie", "k")), F.when(kind == "purchase", place("request", "cookie", "k")),
+        F.when(kind == "click", place("request", "query", "q")), F.when(kind == "error", place("request", "header", "X-K")),
+    )
+    return stepped.select("session", "pos", F.col("k").alias("value"), F.inline(F.filter(some, lambda x: x.isNotNull())))
