@@ -57,6 +57,72 @@ def test_grams_stay_inside_texts():
     assert bucket.tolist() == sum(one_by_one, []) and np.diff(first).tolist() == [1, 0, 2, 1] and len(starts) == 4
 
 
+def plain(text, model):
+    """The same inference a word and a language at a time: main language, its share among the selected ones, and these."""
+    fold = "".join(chr(langid._FOLD[b]) for b in text.encode())
+    words = [[model.logp[(((ord(f" {w} "[k - 1]) << 16 | ord(f" {w} "[k]) << 8 | ord(f" {w} "[k + 1])) * 2654435761) % 2**32) >> 16] for k in range(1, len(w) + 1)] for w in fold.split()]
+    logs = np.array([np.sum(np.array(w, dtype=np.float64), 0) for w in words])
+    like = np.exp(logs - logs.max(1, keepdims=True))
+
+    def em(active):
+        share = np.array([1.0 if k in active else 0.0 for k in range(len(model.languages))]) / len(active)
+        for round_ in range(4000):
+            part = like * share
+            part /= part.sum(1, keepdims=True)
+            new = part.mean(0)
+            done = round_ % 4 == 3 and np.abs(new - share).max() <= langid.STILL
+            share = new
+            if done:
+                break
+        return share, np.log((like * share).sum(1)).sum()
+
+    every, _ = em(range(len(model.languages)))
+    active = [int(logs.sum(0).argmax())]
+    share, reached = em(active)
+    for _ in range(len(model.languages) - 1):
+        trial = [*active, max((k for k in range(len(model.languages)) if k not in active), key=lambda k: every[k])]
+        got, gain = em(trial)
+        if gain - reached <= np.log(len(words)) / 2 + 2:
+            break
+        active, share, reached = trial, got, gain
+    return active, share
+
+
+def test_mixture_equals_a_plain_one():
+    import pyarrow as pa
+
+    from weftlens.llm.scan import texts
+
+    rng = np.random.default_rng(4)
+    logp = np.log(rng.dirichlet(np.full(6, 0.3), langid.BUCKETS) + 1e-4).astype(np.float32)
+    model = langid.Model([f"l{k}" for k in range(6)], logp, np.log(np.full(6, 1 / 6)))
+    words = ["".join(rng.choice(list("abcdefg")) for _ in range(rng.integers(1, 5))) for _ in range(300)]
+    column = [" ".join(rng.choice(words[k * 50 : (k % 3 + k + 1) * 50], n)) for k in (0, 1, 2, 4) for n in (1, 3, 20, 150)]
+    _, _, shares = langid.infer(next(texts(pa.array(column))), model)
+    several = 0
+    for text, got in zip(column, shares):
+        active, share = plain(text, model)
+        assert np.allclose(got, share, atol=1e-6), text
+        several += len(active) > 1
+    assert several > 3
+
+
+def test_five_languages_in_a_text():
+    """No number of languages is the most that a text may have."""
+    import pyarrow as pa
+
+    from weftlens.llm.scan import texts
+
+    logp = np.full((langid.BUCKETS, 5), np.log(1e-6), np.float32)
+    parts = ["aaa", "bbb", "ccc", "ddd", "eee"]
+    for k, p in enumerate(parts):
+        bucket, _, _ = langid._grams(next(texts(pa.array([p]))))
+        logp[bucket, k] = np.log(0.3)
+    model = langid.Model([p[0] for p in parts], logp, np.log(np.full(5, 0.2)))
+    _, _, shares = langid.infer(next(texts(pa.array([" ".join(parts * 30)]))), model)
+    assert np.allclose(shares[0], 0.2, atol=0.01)
+
+
 def test_nothing_to_learn(spark, no_docs):
     model = langid.fit(no_docs)
     assert langid.identify(no_docs, model).count() == 0

@@ -7,7 +7,8 @@ from weftlens.llm import sharding
 
 def test_rows_groups_and_slots(docs, corpus):
     rows = sharding.shard_by_bytes(docs, 16).collect()
-    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in rows) == sorted((c[0] is None, c[0], c[1]) for c in corpus) or len(rows) == len(corpus)
+    by = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in rows), key=by) == sorted(((c[0], c[1]) for c in corpus), key=by)
     homes, slots = defaultdict(set), defaultdict(list)
     for r in rows:
         raw = (r.text or "").encode()
@@ -53,5 +54,32 @@ def test_cuts_from_spans_are_exact(spark):
         assert max(loads.values()) == brute([s for _, s in sorted(groups)], 5)
 
 
+def test_shards_are_near_equal(spark, words):
+    """Many texts of like sizes, one text with a third of all bytes aside: the largest shard is near the average of the others."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(5, 60)))) for i in range(4000)]
+    rows += [(10_000 + i, "the same text in a third of all rows, and always the same") for i in range(2000)]
+    loads = defaultdict(int)
+    for r in sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect():
+        loads[r.shard] += r.size
+    hot = sum(len(t.encode()) + 1 for i, t in rows if i >= 10_000)
+    rest = [v for v in loads.values() if v != hot]
+    assert len(loads) == 16 and len(rest) == 15 and max(rest) <= 1.02 * sum(rest) / 15
+
+
+def test_query_columns(spark, tmp_path, docs, corpus):
+    from weftlens.llm.queries import op4_sharding
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op4_sharding(spark, str(tmp_path)).collect()
+    assert set(rows[0].asDict()) >= {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    assert len(rows) == len(corpus) and {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(r.size for r in rows) == sorted(len((c[1] or "").encode()) + 1 for c in corpus)
+
+
 def test_empty(no_docs):
     assert sharding.shard_by_bytes(no_docs, 16).count() == 0

@@ -16,9 +16,8 @@ from .scan import Texts, texts
 BUCKETS = 1 << 16
 #: Labelled rows of a language that the model is fitted on, at most (chosen by a hash of doc_id).
 ROWS_A_LANGUAGE = 20_000
-ROUNDS = 12
-#: A text is called by up to this many languages.
-LANGUAGES = 4
+#: Expectation-maximisation of a text ends when no language's share moves by more than this in a round.
+STILL = 0.001
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -87,11 +86,19 @@ def fit(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
 def _em(like: np.ndarray, begin: np.ndarray, owner: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of the active languages of each text, and its log likelihood, from relative likelihoods of its words."""
     share = active / active.sum(1, keepdims=True)
+    left, some, at, edge = np.arange(len(begin)), like, owner, begin
     n = np.diff(np.append(begin, len(like)))[:, None]
-    for _ in range(ROUNDS):
-        part = like * share[owner]
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-        share = np.add.reduceat(part, begin) / n
+    while len(left):
+        for _ in range(4):
+            before = share[left]
+            part = some * before[at]
+            part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
+            share[left] = np.add.reduceat(part, edge) / n[left]
+        moved = np.abs(share[left] - before).max(1) > STILL
+        keep = moved[at]
+        left, some = left[moved], some[keep]
+        at = np.repeat(np.arange(len(left)), n[left, 0])
+        edge = np.cumsum(n[left, 0]) - n[left, 0]
     return share, np.add.reduceat(np.log(np.maximum((like * share[owner]).sum(1), 1e-300)), begin)
 
 
@@ -122,7 +129,7 @@ def infer(t: Texts, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     active[np.arange(len(some)), chosen] = 1
     share, reached = active.copy(), single.max(1) - base
     going = np.arange(len(some))
-    for _ in range(min(LANGUAGES, len(model.languages)) - 1):
+    for _ in range(len(model.languages) - 1):
         ahead = np.where(active[going] > 0, -1, every[going])
         trial = active[going]
         trial[np.arange(len(going)), ahead.argmax(1)] = 1
@@ -170,7 +177,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is the language with the largest share; score is that share if several languages were
     selected, else the probability of the language against the other single ones.  `languages` lists the
-    selected set with shares.  A null text, one without a letter, or a model without languages: `und`, 0.
+    selected set with shares.  A null text, one without a letter, or a model without languages: `und`, 0.  Repeated rows each
+    give a row; other columns are left out, whatever their names.  No rows: no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -187,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is known with a score of `least` or more, all columns as they are."""
+    """The rows of docs whose language is known with a score of `least` or more, all columns as they are; repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

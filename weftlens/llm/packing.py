@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .jobs import written
 from .scan import Texts, texts
 
-#: Parts of a size class that are ranked separately.
-RANK_PARTS = 64
+#: Pieces that one task ranks, if they are all of one size.
+RANKED = 1 << 18
 #: Distinct words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
 
@@ -235,7 +235,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing: int = 1
     cut = written(pieces(docs, tokenizer, capacity, closing))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     slots = docs.sparkSession.sparkContext.broadcast(_slots(best_two_fit(counts, capacity)))
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS))
+    parts = max(64, -(-sum(counts.values()) // RANKED))
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts))
     rows = cut.withColumn("_part", part)
     sums = rows.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
