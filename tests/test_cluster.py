@@ -68,10 +68,45 @@ def test_whole_pass(spark, tmp_path):
     some = {k: out[k] for k in ("families", "edges")}
     results.write_result(some, str(tmp_path / "r"))
     assert plain(results.read_result(spark, str(tmp_path / "r"))) == {k: first[k] for k in some}
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+    with pytest.raises(ValueError, match="no complete result"):
         results.read_result(spark, str(tmp_path / "none"))
 
 
+def test_results_are_whole(spark, tmp_path):
+    folder = str(tmp_path / "r")
+    one = {"families": spark.createDataFrame([("f1", "mail a@b.org"), ("f2", None)], "family string, note string"), "links": spark.createDataFrame([("l1", 2)], "link string, n int")}
+    results.write_result(one, folder)
+    two = {**one, "links": one["links"].limit(0)}
+    results.write_result(two, folder)
+    assert results.read_result(spark, folder, check=True)["links"].count() == 0
+    assert {tuple(r) for r in results.references(one).collect()} == {("family", "f1"), ("family", "f2"), ("link", "l1")}
+    results.write_redacted(one, str(tmp_path / "clean"), {}, "k")
+    clean = results.read_result(spark, str(tmp_path / "clean"))["families"].orderBy("family").collect()
+    assert clean[0].family == "f1" and clean[0].note.startswith("mail {{redacted:email:") and clean[1].note is None
+    run = next(p for p in (tmp_path / "clean").iterdir() if p.name.startswith("run_"))
+    one["families"].limit(1).write.mode("overwrite").parquet(str(run / "families"))
+    with pytest.raises(ValueError, match="not what was written"):
+        results.read_result(spark, str(tmp_path / "clean"), check=True)
+
+
+def test_ledgers_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1), ("a", None)], "kind string, n int")
+    for run in ("r1", "r2"):
+        results.append_ledger(rows, str(tmp_path / "decisions"), run)
+    assert results.read_ledger(spark, str(tmp_path / "decisions"), "kind string, n int").count() == 4
+    assert results.read_ledger(spark, str(tmp_path / "decisions"), "kind string, n int", "r2").where("kind = 'b'").first().n == 1
+    assert results.markdown(rows, "Runs") == "# Runs\n\n| kind | n |\n| --- | --- |\n| a |  |\n| b | 1 |\n"
+
+
+def test_role_scores(spark):
+    from weftlens.operators import semantics
+
+    e = spark.createDataFrame([("f1", "read"), ("f2", "read"), ("f3", "write"), ("f4", "write")], "family string, role string")
+    p = spark.createDataFrame([("f1", "read"), ("f2", "write"), ("f3", "write"), ("f4", "unknown"), ("f5", "read")], "family string, role string")
+    got = {r.measure: tuple(r)[1:] for r in semantics.role_scores(e, p).collect()}
+    assert got == {"read": (1, 2, 2, 0.5, 0.5), "write": (1, 2, 2, 0.5, 0.5)}
+
+
 def test_request_kinds(spark):
     pair = "array<struct<name:string,value:string>>"
     of = lambda **h: [{"name": k.replace("_", "-"), "value": v} for k, v in h.items()]

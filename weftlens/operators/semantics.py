@@ -86,9 +86,35 @@ def unresolved(references: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def tree_digest(files: DataFrame) -> DataFrame:
-    """Per tree a digest of its files (tree, path, size, content_hash), whatever their order; a tree's list of files is gathered."""
+    """Per tree a digest of its files (tree, path, size, content_hash), whatever their order.
+
+    Files fall into 4096 parts by a hash of their path; a part's sorted lines are digested, then the tree's sorted parts.
+    """
     line = F.concat_ws(" ", "path", F.col("size").cast("string"), "content_hash")
-    return files.groupBy("tree").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    part = F.substring(F.sha2("path", 256), 1, 3)
+    joined = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n"), 256)
+    parts = files.groupBy("tree", part.alias("_p")).agg(F.count("*").alias("_n"), joined(line).alias("_d"))
+    return parts.groupBy("tree").agg(F.sum("_n").alias("files"), joined(F.concat_ws(" ", "_p", "_d")).alias("digest"))
+
+
+def identity_scores(members: DataFrame) -> DataFrame:
+    """Precision and recall of pairs of members (expected, found) that classes join: from class sizes, so that no pairs are made."""
+    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2).cast("long")
+    both = members.groupBy("expected", "found").agg(F.count("*").alias("n"))
+    one = lambda c: both.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs("n").alias("p"))
+    rows = both.agg(pairs("n").alias("correct")).crossJoin(one("found").toDF("given")).crossJoin(one("expected").toDF("wanted"))
+    return rows.withColumn("precision", ratio(F.col("correct"), F.col("given"))).withColumn("recall", ratio(F.col("correct"), F.col("wanted")))
+
+
+def role_scores(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per role of families (family, role): how many are predicted rightly, given and wanted, with precision and recall; a role `unknown` isn't given."""
+    e = expected.select("family", F.col("role").alias("_e"))
+    p = predicted.where("role <> 'unknown'").select("family", F.col("role").alias("_p"))
+    both = e.join(p, "family", "full_outer")
+    sides = F.array(F.struct(F.col("_e").alias("measure"), F.lit(True).alias("wanted"), F.lit(False).alias("given"), F.lit(False).alias("right")), F.struct(F.col("_p").alias("measure"), F.lit(False).alias("wanted"), F.lit(True).alias("given"), F.col("_e").eqNullSafe(F.col("_p")).alias("right")))
+    rows = both.select(F.inline(sides)).where("measure is not null")
+    sums = rows.groupBy("measure").agg(F.count_if("right").alias("correct"), F.count_if("given").alias("given"), F.count_if("wanted").alias("wanted"))
+    return sums.withColumn("precision", ratio(F.col("correct"), F.col("given"))).withColumn("recall", ratio(F.col("correct"), F.col("wanted")))
 
 
 def search_lines(lines: DataFrame, wanted: str, most: int = 40) -> DataFrame:
@@ -96,8 +122,3 @@ def search_lines(lines: DataFrame, wanted: str, most: int = 40) -> DataFrame:
     found = lines.where(F.contains(F.lower("line"), F.lit(wanted.lower())))
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy("path", "line_no").limit(most).crossJoin(F.broadcast(total))
-
-
-def timeline(events: DataFrame) -> DataFrame:
-    """Lines of (t, seq, part, label) in order, as fixed-width text."""
-    return events.withColumn("line", F.format_string("%9.3f %-24s %s", F.col("t") / 1e9, F.col("part"), F.col("label")))

@@ -138,8 +138,10 @@ def redirect_flows(stepped: DataFrame) -> DataFrame:
     readers = stepped.select("session", F.col("url").alias("value"), F.col("t").alias("at"), F.lit(1).alias("reads"), "pos")
     order = Window.partitionBy("session", "value").orderBy("at", "reads", "pos")
     before = F.lag(F.struct("reads", "pos", "at")).over(order)
-    rows = sources.union(readers).withColumn("_b", before)
-    return rows.where("reads = 1 and _b.reads = 0 and _b.pos <> pos").select("session", "value", F.col("_b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), (F.col("at") - F.col("_b.at")).alias("delay"))
+    # a request right after its own redirect, to its own url, doesn't take it
+    rows = sources.union(readers).withColumn("_b", before).where("not coalesce(reads = 1 and _b.reads = 0 and _b.pos = pos, false)")
+    rows = rows.withColumn("_b", before)
+    return rows.where("reads = 1 and _b.reads = 0").select("session", "value", F.col("_b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), (F.col("at") - F.col("_b.at")).alias("delay"))
 
 
 def flow_carriers(placed: DataFrame, stepped: DataFrame, flags: DataFrame, most: int = 3) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import har, headers, ids, score, text, url
+from .functions import har, headers, ids, rewrite, score, text, url
 from .operators import families as fam
-from .operators import decisions, navigation, semantics, traces
+from .operators import decisions, navigation, operations, semantics, traces
 from .operators import values as val
-from .sources import tables
+from .sources import sanitize, tables
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +284,47 @@ def evidence_flows(spark: SparkSession, folder: str) -> DataFrame:
     return shown.select("from", "to", "carrier", "from_place", "to_place", "matches", "ordered")
 
 
+SQL_GROUPS = SQL_EDGES.replace(SQL_STEPS, SQL_CARRIERS) + """, pg AS (
+  SELECT cf."to" AS consumer, cf."from" AS producer, CASE WHEN carrier IN ('cookie', 'header', 'redirect') THEN carrier ELSE 'parameter' END AS kind, to_part || '.' || to_place AS key,
+    from_part || '.' || from_place AS source, matches, ordered + without AS of, without, sessions
+  FROM cf JOIN e ON e."from" = cf."from" AND e."to" = cf."to" WHERE NOT low_information AND cf."from" <> cf."to"),
+gk AS (SELECT consumer, producer, kind, key, max(matches) AS m, any_value(of) AS of FROM pg GROUP BY ALL HAVING true),
+g AS (SELECT p.consumer, p.producer, p.kind, array_to_string(list_sort(list(DISTINCT p.key)), ',') AS keys, array_to_string(list_sort(list(DISTINCT p.source)), ',') AS sources, max(p.matches) AS matches,
+    (SELECT coalesce(array_to_string(list_sort(list(k.key) FILTER (k.m >= k.of)), ','), '') FROM gk k WHERE k.consumer = p.consumer AND k.producer = p.producer AND k.kind = p.kind) AS always,
+    max(p.of) AS of, max(p.without) AS without, max(p.sessions) AS sessions FROM pg p GROUP BY p.consumer, p.producer, p.kind)""".replace("GROUP BY ALL HAVING true", "GROUP BY consumer, producer, kind, key")
+
+
+def state_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return operations.prerequisite_groups(carriers(spark, folder), traces.edges(stepped(spark, folder)))
+
+
+@query("WITH " + SQL_GROUPS + " SELECT * FROM g")
+def prerequisite_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return state_groups(spark, folder).withColumns({c: F.array_join(c, ",") for c in ("keys", "sources", "always")})
+
+
+@query("WITH " + SQL_GROUPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY consumer, kind ORDER BY matches DESC, producer) AS rank, greatest(0, count(*) OVER (PARTITION BY consumer, kind) - 3) AS pruned FROM g)
+SELECT consumer, producer, kind, matches, rank, pruned, of - matches + without AS contradicting FROM r WHERE rank <= 3""")
+def prerequisite_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return operations.ranked_prerequisites(state_groups(spark, folder)).select("consumer", "producer", "kind", "matches", "rank", "pruned", "contradicting")
+
+
+@query("WITH " + SQL_GROUPS + """ SELECT a.consumer, a.producer, a.kind, array_to_string(list_sort(list(DISTINCT b.producer)), ',') AS alternates
+FROM pg a JOIN pg b ON a.consumer = b.consumer AND a.key = b.key AND (a.producer <> b.producer OR a.kind <> b.kind) GROUP BY a.consumer, a.producer, a.kind""")
+def prerequisite_alternates(spark: SparkSession, folder: str) -> DataFrame:
+    return operations.alternates(state_groups(spark, folder)).withColumn("alternates", F.array_join("alternates", ","))
+
+
+@query("WITH " + SQL_FAMILIES + """, sl AS (
+  SELECT family, 'query.k' AS location, k AS value, 'string' AS type, ref FROM f UNION ALL SELECT family, 'query.kind', kind, 'string', ref FROM f UNION ALL SELECT family, 'path.1', k, 'string', ref FROM f)
+SELECT family, location, count(DISTINCT ref) AS observations, count(DISTINCT value) AS cardinality FROM sl WHERE location LIKE 'query.%' GROUP BY ALL HAVING count(DISTINCT value) >= 3 AND count(DISTINCT value) * 2 >= count(DISTINCT ref)""".replace("GROUP BY ALL", "GROUP BY family, location"))
+def free_text_slots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = observed(spark, folder)
+    of = lambda location, value: F.struct(F.lit(location).alias("location"), value.alias("value"))
+    slots = rows.select("family", "ref", F.lit("string").alias("type"), F.inline(F.array(of("query.k", F.col("k")), of("query.kind", F.get("segments", F.lit(0))), of("path.1", F.col("k")))))
+    return operations.free_text_slots(fam.slot_stats(slots)).select("family", "location", "observations", "cardinality")
+
+
 @query("WITH " + SQL_FAMILIES + """
 SELECT (SELECT count(*) FROM f) AS exchanges, (SELECT count(DISTINCT session) FROM f) AS sessions, (SELECT count(DISTINCT family) FROM f) AS families,
   (SELECT count(*) FROM f WHERE status >= 500) AS failures""")
@@ -550,6 +591,14 @@ def ir_diff(spark: SparkSession, folder: str) -> DataFrame:
     return semantics.node_diff(side("O"), side("F"))
 
 
+@query("""WITH c AS (SELECT l_suppkey AS e, l_partkey AS f, count(*) AS n FROM lineitem GROUP BY ALL), e AS (SELECT e, sum(n) AS n FROM c GROUP BY e), f AS (SELECT f, sum(n) AS n FROM c GROUP BY f),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS correct, (SELECT sum(n * (n - 1) / 2) FROM f) AS given, (SELECT sum(n * (n - 1) / 2) FROM e) AS wanted)
+SELECT CAST(correct AS BIGINT) AS correct, CAST(given AS BIGINT) AS given, CAST(wanted AS BIGINT) AS wanted, round(correct / given, 3) AS precision, round(correct / wanted, 3) AS recall FROM s""")
+def identity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("expected"), F.col("l_partkey").alias("found"))
+    return semantics.identity_scores(rows)
+
+
 # --- documents, labels, events as values ---------------------------------------------------------------------------
 
 
@@ -583,8 +632,9 @@ def low_information(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("type", "value").agg(F.count("*").alias("n")).withColumn("low", text.low_information(F.col("type"), F.col("value")))
 
 
-@query("""SELECT source AS tree, count(*) AS files, sha256(string_agg(l, chr(10) ORDER BY l)) AS digest FROM (
-  SELECT source, 'doc-' || doc_id || ' ' || strlen(text) || ' ' || sha256(text) AS l FROM documents) GROUP BY source""")
+@query("""SELECT tree, CAST(sum(files) AS BIGINT) AS files, sha256(string_agg(d, chr(10) ORDER BY p)) AS digest FROM (
+  SELECT tree, p, count(*) AS files, p || ' ' || sha256(string_agg(l, chr(10) ORDER BY l)) AS d FROM (
+    SELECT source AS tree, substr(sha256('doc-' || doc_id), 1, 3) AS p, 'doc-' || doc_id || ' ' || strlen(text) || ' ' || sha256(text) AS l FROM documents) GROUP BY tree, p) GROUP BY tree""")
 def tree_digest(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
     return semantics.tree_digest(d.select(F.col("source").alias("tree"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size"), F.sha2("text", 256).alias("content_hash")))
@@ -730,3 +780,87 @@ def answer_dates(spark: SparkSession, folder: str) -> DataFrame:
     shown = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))
     open_ = score.truth(F.when(F.col("o_orderstatus") == "O", " Yes").otherwise("0"))
     return table(spark, folder, "orders").select("o_orderkey", score.date(shown).alias("day"), open_.alias("open"))
+
+
+# --- descriptions ------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT source AS family, CASE WHEN lang = 'en' THEN 'opaque' ELSE 'json' END AS kind,
+  CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN '{items:[{id:string}],n:integer}' WHEN 'de' THEN '{id:string,tags:[string]}' ELSE '[{id:string}]' END AS shape,
+  CASE WHEN n_chars > 500 THEN 'text/html' ELSE 'image/png' END AS media, CASE WHEN n_chars < 1024 THEN 'tiny' ELSE 'small' END AS size_class FROM documents)
+SELECT family, bool_or(kind = 'json' AND shape LIKE '%[{%') AS lists, bool_or(kind = 'json' AND shape LIKE '{%' AND shape NOT LIKE '%[{%') AS objects,
+  bool_or(kind = 'opaque' AND size_class <> 'tiny' AND media = 'text/html') AS pages, bool_or(kind = 'opaque' AND size_class <> 'tiny' AND media <> 'text/html') AS other FROM v GROUP BY family""")
+def response_features(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    lang, n = F.col("lang"), F.col("n_chars")
+    shape = F.when(lang == "en", "").when(lang == "fr", "{items:[{id:string}],n:integer}").when(lang == "de", "{id:string,tags:[string]}").otherwise("[{id:string}]")
+    return operations.response_features(
+        d.select(F.col("source").alias("family"), F.when(lang == "en", "opaque").otherwise("json").alias("kind"), shape.alias("shape"), F.when(n > 500, "text/html").otherwise("image/png").alias("media"), F.when(n < 1024, "tiny").otherwise("small").alias("size_class"))
+    )
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'supplier ' || s_suppkey AS a, 'nation ' || s_nationkey AS b FROM supplier UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation
+  UNION SELECT 'region ' || r_regionkey, 'region ' || (r_regionkey + 1) FROM region WHERE r_name > 'ASIA'),
+n AS (SELECT 'supplier ' || s_suppkey AS entity, s_acctbal > 8000 AS object FROM supplier UNION SELECT 'nation ' || n_nationkey, false FROM nation UNION SELECT 'region ' || r_regionkey, false FROM region),
+r AS (SELECT entity FROM n WHERE object UNION SELECT n.entity FROM r JOIN e ON e.a = r.entity JOIN n ON n.entity = e.b) SELECT entity FROM r""")
+def object_like(spark: SparkSession, folder: str) -> DataFrame:
+    t = lambda name: table(spark, folder, name)
+    named = lambda kind, c: F.concat(F.lit(f"{kind} "), c.cast("string"))
+    s, n, r = t("supplier"), t("nation"), t("region")
+    edges = s.select(named("supplier", F.col("s_suppkey")).alias("from"), named("nation", F.col("s_nationkey")).alias("to")).union(n.select(named("nation", F.col("n_nationkey")), named("region", F.col("n_regionkey"))))
+    edges = edges.union(r.where("r_name > 'ASIA'").select(named("region", F.col("r_regionkey")), named("region", F.col("r_regionkey") + 1)))
+    nodes = s.select(named("supplier", F.col("s_suppkey")).alias("entity"), (F.col("s_acctbal") > 8000).alias("object"))
+    nodes = nodes.union(n.select(named("nation", F.col("n_nationkey")), F.lit(False))).union(r.select(named("region", F.col("r_regionkey")), F.lit(False)))
+    return operations.object_like(nodes, edges)
+
+
+@query("""SELECT subject, 'E' || r AS alias, ref FROM (SELECT subject, ref, row_number() OVER (PARTITION BY subject ORDER BY ref) AS r FROM (SELECT DISTINCT o_custkey AS subject, o_orderkey AS ref FROM orders)) WHERE r <= 10""")
+def evidence_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    return operations.aliases(table(spark, folder, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("ref")))
+
+
+@query("WITH " + SQL_SEGMENTS + """, o AS (SELECT 'GET' AS role, host, segs[1] AS first, path AS family, CASE WHEN len(segs) > 2 THEN 'b' WHEN ends_with(path, '.html') THEN 'a' ELSE 'c' END AS v FROM g),
+f AS (SELECT role, host, first, family, array_to_string(list_sort(list(DISTINCT v)), ',') AS k FROM o GROUP BY role, host, first, family)
+SELECT role, host, first, array_to_string(list_sort(list(DISTINCT family)), ' ') AS families FROM f GROUP BY role, host, first HAVING count(DISTINCT k) > 1""")
+def operation_misses(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.page_paths(spark, folder)
+    variant = F.when(F.size("segments") > 2, "b").when(F.col("path").endswith(".html"), "a").otherwise("c")
+    rows = rows.withColumn("v", variant).groupBy(F.col("method").alias("role"), "host", F.get("segments", F.lit(0)).alias("first"), F.col("path").alias("family")).agg(F.collect_set("v").alias("variants"))
+    return operations.merge_misses(rows).withColumn("families", F.array_join("families", " "))
+
+
+@query("""SELECT conv_id, array_to_string(list(role || CASE WHEN n = 0 THEN '' ELSE '[' || n || ']' END ORDER BY turn), ' ') AS names FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS n FROM conversations) GROUP BY conv_id""")
+def numbered_names(spark: SparkSession, folder: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("name"))))
+    return table(spark, folder, "conversations").groupBy("conv_id").agg(turns.alias("p")).select("conv_id", F.array_join(url.numbered_names(F.col("p")), " ").alias("names"))
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(b, '^([a-zA-Z]+://[^/?]*)', 1)) || regexp_replace(regexp_extract(b, '^[a-zA-Z]+://[^/?]*([^?]*)', 1), '/+$', '') || regexp_extract(b, '(\?.*)$', 1) AS answer
+FROM (SELECT page_id, string_split(url, '#')[1] AS b FROM pages)""")
+def answer_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", url.answer_url(F.col("url")).alias("answer"))
+
+
+@query("WITH " + SQL_PAGES + """ SELECT page_id, coalesce(array_to_string(list_transform(string_split(query, '&'), lambda x: CASE WHEN x LIKE 'ref=%' THEN 'ref=REDACTED' ELSE x END), '&'), '') AS clean FROM p""")
+def sanitized_queries(spark: SparkSession, folder: str) -> DataFrame:
+    config = sanitize.Config(params=("ref",), params_with=("secret",))
+    return tables.page_paths(spark, folder).select("page_id", sanitize.sanitized_query(F.col("query"), config).alias("clean"))
+
+
+@query("""WITH h AS (SELECT conv_id, turn, unnest([{'w': 'request', 'n': 'Cookie', 'v': 'sid=' || turn, 'ok': role = 'user'}, {'w': 'response', 'n': 'Set-Cookie', 'v': 'REDACTED', 'ok': true}, {'w': 'request', 'n': 'X-Role', 'v': role, 'ok': false}]) AS x FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS file, turn AS sequence, 'request header Cookie' AS found FROM h WHERE x.n = 'Cookie' AND x.ok
+UNION ALL SELECT CAST(conv_id AS VARCHAR), turn, turn || ' cookie(s)' FROM conversations WHERE turn > 2""")
+def unsanitized_entries(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "conversations")
+    pair = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    asked = F.array(pair("Cookie", F.when(F.col("role") == "user", F.concat(F.lit("sid="), F.col("turn").cast("string"))).otherwise("")), pair("X-Role", F.col("role")))
+    rows = c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("sequence"), F.when(F.col("turn") > 2, F.col("turn").cast("int")).otherwise(0).alias("cookies"), asked.alias("request_headers"), F.array(pair("Set-Cookie", F.lit(sanitize.REDACTED))).alias("response_headers"))
+    return sanitize.unsanitized(rows)
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) = floor(value) AS same FROM events""")
+def json_answers(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "events")
+    shown = F.concat(F.lit('{ "k" : '), F.floor("value").cast("string"), F.lit(".0 }"))
+    return e.select("event_id", rewrite.same_json(F.col("props"), shown).alias("same"))

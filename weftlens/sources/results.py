@@ -2,28 +2,105 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.privacy import redacted_table
+
 VERSION = 1
 
 
+MANIFEST = "number int, run string, output string, rows long, digest string, version int"
+
+
+def table_digest(rows: DataFrame) -> str:
+    """A digest of a table, whatever the order of its rows, from counts and sums of hashes of its columns by name."""
+    names = sorted(rows.columns)
+    parts = rows.agg(F.count("*"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(*reversed(names), F.lit(1)))).first()
+    return ":".join(map(str, parts))
+
+
+def _manifests(spark: SparkSession, folder: str) -> list:
+    try:
+        rows = spark.read.schema(MANIFEST).json(f"{folder}/manifest").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    last = max((r.number for r in rows), default=0)
+    return [r for r in rows if r.number == last]
+
+
 def write_result(outputs: dict[str, DataFrame], folder: str) -> None:
-    """Writes each output as Parquet and the manifest last: without it the result is not complete."""
-    counts = []
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        counts.append((name, df.sparkSession.read.parquet(f"{folder}/{name}").count(), VERSION))
+    """Writes each output as Parquet below a run of its own, then the manifest that names the run: readers see the old result or the new one, whole."""
     spark = next(iter(outputs.values())).sparkSession
-    spark.createDataFrame(counts, "output string, rows long, version int").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+    before = _manifests(spark, folder)
+    number, run = (before[0].number if before else 0) + 1, f"run_{uuid.uuid4().hex}"
+    rows = []
+    for name, df in outputs.items():
+        df.write.parquet(f"{folder}/{run}/{name}")
+        held = spark.read.parquet(f"{folder}/{run}/{name}")
+        rows.append((number, run, name, held.count(), table_digest(held), VERSION))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
 
 
-def read_result(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The outputs of a complete result of this version."""
-    manifest = spark.read.schema("output string, rows long, version int").json(f"{folder}/manifest").collect()
+def read_result(spark: SparkSession, folder: str, check: bool = False) -> dict[str, DataFrame]:
+    """The outputs of the last complete result; with check, only if they are what was written."""
+    manifest = _manifests(spark, folder)
     if not manifest or any(r.version != VERSION for r in manifest):
         raise ValueError(f"{folder}: no complete result of version {VERSION}")
-    return {r.output: spark.read.parquet(f"{folder}/{r.output}") for r in manifest}
+    found = {r.output: spark.read.parquet(f"{folder}/{r.run}/{r.output}") for r in manifest}
+    if check and (odd := [r.output for r in manifest if table_digest(found[r.output]) != r.digest]):
+        raise ValueError(f"{folder}: {odd} is not what was written")
+    return found
+
+
+#: What each output is known by.
+IDS = {"families": ("family", "family"), "links": ("link", "link"), "variants": ("variant", "variant"), "steps": ("observation", "ref"), "episodes": ("session", "session")}
+
+
+def references(outputs: dict[str, DataFrame]) -> DataFrame:
+    """(kind, ref) of everything that a result's rows can be referred to by."""
+    rows = None
+    for name, (kind, column) in IDS.items():
+        if name in outputs:
+            one = outputs[name].select(F.lit(kind).alias("kind"), F.col(column).cast("string").alias("ref")).distinct()
+            rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        raise ValueError("a result without families, links, variants, steps or episodes")
+    return rows
+
+
+def write_redacted(outputs: dict[str, DataFrame], folder: str, known: dict[str, str], key: str) -> None:
+    """A copy of a result in which secrets (value: label), tokens and mail addresses are tags; ids stay, because they are hashes."""
+    kept = {column for _, column in IDS.values()} | {"from", "to"}
+    clean = {}
+    for name, df in outputs.items():
+        ids = [c for c in df.columns if c in kept]
+        hidden = redacted_table(df.select([F.struct(*ids).alias("_ids")] + [c for c in df.columns if c not in kept]), known, key) if ids else redacted_table(df, known, key)
+        clean[name] = hidden.select(*(f"_ids.{c}" if c in kept else c for c in df.columns)) if ids else hidden
+    write_result(clean, folder)
+
+
+def append_ledger(rows: DataFrame, folder: str, run: str) -> None:
+    """Adds rows to a ledger of JSON lines, below their run."""
+    rows.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(folder)
+
+
+def read_ledger(spark: SparkSession, folder: str, schema: str, run: str | None = None) -> DataFrame:
+    """Rows of a ledger, of one run or of all."""
+    rows = spark.read.schema(f"{schema}, run string").json(folder)
+    return rows if run is None else rows.where(F.col("run") == run)
+
+
+def markdown(report: DataFrame, title: str) -> str:
+    """A report (a few rows: kinds, measures or models) as a Markdown table in the order of its first column."""
+    rows = report.orderBy(report.columns[0]).collect()
+    lines = [f"# {title}", "", "| " + " | ".join(report.columns) + " |", "|" + " --- |" * len(report.columns)]
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
 def _content_hash(nodes: DataFrame) -> str:
