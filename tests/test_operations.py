@@ -155,3 +155,54 @@ def test_only_the_last_unended_line_may_be_broken(spark, tmp_path, content, rows
     else:
         assert sorted(r.seq for r in recordings.exchanges(spark, str(tmp_path)).collect()) == rows
     assert recordings.exchanges(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_clipping_keeps_characters_whole(spark):
+    from weftlens.functions import text
+
+    rows = spark.createDataFrame([("aé€😀b",), ("ascii only",), (None,)], "t string")
+    for most in range(0, 12):
+        got = [r[0] for r in rows.select(text.clipped(F.col("t"), most)).collect()]
+        want = ["", None]
+        for k in range(len("aé€😀b") + 1):
+            if len("aé€😀b"[:k].encode()) <= most:
+                want[0] = "aé€😀b"[:k]
+        assert (got[0], got[2]) == tuple(want) and got[1] == "ascii only"[:most]
+    assert spark.createDataFrame([(["b", "a", None, "b"],)], "l array<string>").select(text.clean_list(F.col("l"))).first()[0] == ["a", "b"]
+
+
+def test_arrays_of_objects(spark):
+    from weftlens.functions import shape
+
+    rows = spark.createDataFrame([("r", '{"a":{"items":[{"id":1,"n":null,"tags":["x"],"sub":[{"k":true}]}]},"b":[1,2]}'), ("s", "[{}]"), ("t", "bad"), ("u", None)], "ref string, text string")
+    got = {(r.ref, r.path, r.scalars) for r in shape.arrays_of_objects(rows).collect()}
+    assert got == {("r", ".a.items[]", 2), ("r", ".a.items[].sub[]", 1), ("s", "[]", 0)}
+
+
+def test_answer_trees(spark):
+    from weftlens.operators import answers
+
+    files = spark.createDataFrame([("a/b/c.txt", 3), ("a/d.txt", 5), ("e.txt", 0)], "path string, size int")
+    look = lambda *a, **k: [(r.entry, r.more) for r in answers.listed(files, *a, **k).collect()]
+    assert look() == [("a/", 0), ("e.txt (0 bytes)", 0)] and look("a") == [("a/b/", 0), ("a/d.txt (5 bytes)", 0)]
+    assert look(recursive=True, most=2) == [("a/", 3), ("a/b/", 3)]
+    lines = spark.createDataFrame([("f", k, f"l{k}") for k in range(6)] + [("g", 0, "x")], "path string, line_no int, line string")
+    assert sorted(r.line for r in answers.read_lines(lines, "f", 3, 2).collect()) == ["l2", "l3"]
+
+
+def test_outputs_and_preconditions(spark):
+    members = spark.createDataFrame([("o1", "item-read", "f"), ("o1", "item-read", "g"), ("o2", "collection-read", "h"), ("o3", "mutation", "i")], "operation string, role string, family string")
+    producers = spark.createDataFrame([("e1", "f", "response.body.id"), ("e2", "g", "response.body.items[].id"), ("e1", "h", "response.body.id")], "entity string, family string, place string")
+    variants = spark.createDataFrame([("i", "v", "text/html"), ("i", "w", ""), ("f", "x", "a/b")], "family string, variant string, media string")
+    got = {(r.operation, r.entity, r.many, tuple(r.sources)) for r in operations.operation_outputs(members, producers, variants).collect()}
+    assert got == {("o1", "e1", False, ("f#response.body.id",)), ("o1", "e2", True, ("g#response.body.items[].id",)), ("o2", "e1", True, ("h#response.body.id",)), ("o3", None, False, ("text/html",))}
+    groups = spark.createDataFrame([("c", "p", "cookie", ["cookie.sid"], ["cookie.sid"], 3, 4)], "consumer string, producer string, kind string, keys array<string>, always array<string>, matches int, of int")
+    assert operations.preconditions(groups).first().confidence == 0.75
+
+
+def test_result_ids(spark):
+    from weftlens.functions.ids import result_id
+
+    one = spark.createDataFrame([("rec_1", 5), ("rec_2", 7)], "session string, exchanges int")
+    assert result_id(one, ["B.org.", "a.org"]) == result_id(one.orderBy(F.desc("session")).repartition(2), ["a.org", "b.org", ""]) != result_id(one)
+    assert result_id(one.limit(1)) != result_id(one)

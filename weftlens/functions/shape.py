@@ -153,3 +153,30 @@ def merged_shapes(bodies: DataFrame, key: str) -> DataFrame:
         return pa.table({key: pa.array([rows.column(key)[0].as_py()], pa.string()), "shape": pa.array([canonical(out)], pa.string())})
 
     return bodies.select(F.col(key).cast("string"), "text").mapInArrow(part, f"{key} string, tree string").groupBy(key).applyInArrow(whole, f"{key} string, shape string")
+
+
+def _arrays(shape: Any, path: str = "") -> Iterator[tuple[str, int]]:
+    if isinstance(shape, dict):
+        for name, inner in shape.items():
+            yield from _arrays(inner, f"{path}.{name}")
+    elif isinstance(shape, list):
+        if isinstance(shape[0], dict):
+            yield f"{path}[]", sum(isinstance(v, str) for v in shape[0].values())
+        yield from _arrays(shape[0], f"{path}[]")
+
+
+def arrays_of_objects(bodies: DataFrame) -> DataFrame:
+    """(ref, path, scalars) of every array of objects in JSON bodies (ref, text): its place, as .a.b[], and how many fields of its objects are scalars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for ref, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found += [(ref, *a) for a in _arrays(walk(parse_json(text))[0])]
+                except (ValueError, TypeError, RecursionError):
+                    continue
+            refs, paths, counts = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int32())], ["ref", "path", "scalars"])
+
+    return bodies.select(F.col("ref").cast("string"), "text").mapInArrow(run, "ref string, path string, scalars int")

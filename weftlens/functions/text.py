@@ -100,3 +100,14 @@ def singular(name: Column) -> Column:
         .when(name.rlike("s$") & (F.length(name) > 1), F.regexp_replace(name, "s$", ""))
         .otherwise(name)
     )
+
+
+def clipped(text: Column, most: int) -> Column:
+    """The first characters of a text that take no more than `most` bytes of UTF-8."""
+    part = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(part, "\uFFFD+\\z", ""))
+
+
+def clean_list(values: Column) -> Column:
+    """A list in canonical form: sorted, once each, without nulls."""
+    return F.array_sort(F.array_distinct(F.array_compact(values)))

@@ -48,6 +48,11 @@ def display(template: Column) -> Column:
     return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
 
+def route_label(method: Column, host: Column, shown: Column, names: Column) -> Column:
+    """A family as a person reads it: method, host, template, and the names in its query."""
+    return F.concat(method, F.lit(" "), host, shown, F.when(F.size(names) > 0, F.concat(F.lit("?"), F.array_join(names, "&"))).otherwise(""))
+
+
 def with_family(observations: DataFrame, siblings: int = SIBLINGS) -> DataFrame:
     """Observations (method, host, segments, query_shape, body_kind, body_shape, ...) with template and family id."""
     routes = route_templates(observations, siblings)

@@ -156,3 +156,29 @@ def merge_misses(operations: DataFrame) -> DataFrame:
     key = F.array_join(F.array_sort(F.col("variants")), ",")
     rows = operations.groupBy("role", "host", "first").agg(F.count_distinct(key).alias("_k"), F.array_sort(F.collect_set("family")).alias("families"))
     return rows.where("_k > 1").drop("_k")
+
+
+def operation_outputs(members: DataFrame, producers: DataFrame, variants: DataFrame) -> DataFrame:
+    """(operation, entity, many, sources): entities that the responses of an operation's families carry; without any, the raw response.
+
+    members: (operation, role, family); producers: (entity, family, place); variants: (family, variant, media).  Several are given where a
+    place repeats ([]), or where the operation reads a collection.  A raw response has no entity, and its media types as sources.
+    """
+    held = members.join(producers, "family")
+    found = held.groupBy("operation", "entity").agg(
+        F.bool_or((F.col("role") == "collection-read") | F.contains("place", F.lit("[]"))).alias("many"), F.array_sort(F.collect_set(F.concat_ws("#", "family", "place"))).alias("sources")
+    )
+    raw = members.join(found.select("operation").distinct(), "operation", "left_anti").join(variants, "family", "left")
+    plain = raw.groupBy("operation").agg(F.array_sort(F.collect_set(F.nullif("media", F.lit("")))).alias("sources"))
+    return found.unionByName(plain.select("operation", F.lit(None).cast("string").alias("entity"), F.lit(False).alias("many"), "sources"))
+
+
+def standing(hypotheses: DataFrame) -> DataFrame:
+    """Hypotheses (status) that hold: supported by checks, or reviewed by a person."""
+    return hypotheses.where(F.col("status").isin("supported", "mechanically_supported", "reviewed"))
+
+
+def preconditions(groups: DataFrame) -> DataFrame:
+    """Ranked prerequisites as an interface description lists them: (operation, needs, carrier, keys, always, confidence)."""
+    share = F.round(F.col("matches") / F.greatest("of", F.lit(1)), 3)
+    return groups.select(F.col("consumer").alias("operation"), F.col("producer").alias("needs"), F.col("kind").alias("carrier"), "keys", "always", share.alias("confidence"))

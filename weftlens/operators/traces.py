@@ -170,6 +170,17 @@ def visible_flows(carriers: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return rows.where("not (low_information or ubiquitous) or (matches >= 2 and matches * 10 >= ordered * 9)")
 
 
+def into_slots(carriers: DataFrame, routes: DataFrame) -> DataFrame:
+    """Flows without those into a literal path segment, from flow_carriers and routes (family, slots): a fixed word isn't state."""
+    rows = carriers.join(routes.select(F.col("family").alias("to"), "slots").distinct(), "to", "left")
+    return rows.where((F.col("to_part") != "path") | F.coalesce(F.array_contains("slots", F.col("to_place").try_cast("int")), F.lit(True))).drop("slots")
+
+
+def in_receiver_order(placed: DataFrame) -> DataFrame:
+    """Flow instances as they are listed: by receiver, source, carrier, places and value."""
+    return placed.orderBy("session", "to_pos", "from_pos", "carrier", "from_part", "from_place", "to_part", "to_place", "value")
+
+
 def evidence_links(links: DataFrame, most: int = 5) -> DataFrame:
     """Each family's first `most` links without flags, from value_links: those of most families, then sightings, then by id; omitted and hidden are counted."""
     rows = links.select("link", "value", "count", "n_families", (F.col("low_information") | F.col("ubiquitous")).alias("_f"), F.explode("families").alias("family"))

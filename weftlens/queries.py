@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import har, headers, ids, rewrite, score, text, url
 from .operators import families as fam
-from .operators import decisions, navigation, operations, semantics, traces
+from .operators import answers, decisions, navigation, operations, semantics, traces
 from .operators import values as val
 from .sources import sanitize, tables
 from .sources.tables import table
@@ -864,3 +864,39 @@ def json_answers(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     shown = F.concat(F.lit('{ "k" : '), F.floor("value").cast("string"), F.lit(".0 }"))
     return e.select("event_id", rewrite.same_json(F.col("props"), shown).alias("same"))
+
+
+@query("""WITH f AS (SELECT lang || '/' || source || '/doc-' || doc_id AS path, strlen(coalesce(text, '')) AS size FROM documents), e AS (
+  SELECT DISTINCT 'en/' || string_split(path, '/')[2] || '/' AS entry FROM f WHERE starts_with(path, 'en/') UNION ALL SELECT path || ' (' || size || ' bytes)' FROM f WHERE starts_with(path, 'en/'))
+SELECT entry, greatest((SELECT count(*) FROM e) - 300, 0) AS more FROM e ORDER BY entry LIMIT 300""")
+def tree_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 300 entries below a folder: a report."""
+    d = table(spark, folder, "documents")
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/doc-"), F.col("doc_id").cast("string"))
+    return answers.listed(d.select(path.alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")), "en", recursive=True)
+
+
+@query("""WITH c AS (SELECT o_custkey AS subject, o_orderpriority AS choice, count(*) AS given FROM orders GROUP BY ALL)
+SELECT subject, choice, given, CAST(sum(given) OVER (PARTITION BY subject) AS BIGINT) AS all_given, round(given / sum(given) OVER (PARTITION BY subject), 3) AS confidence
+FROM c QUALIFY row_number() OVER (PARTITION BY subject ORDER BY given DESC, choice) = 1""")
+def answer_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return answers.agreement(table(spark, folder, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("choice")))
+
+
+@query("WITH " + SQL_FAMILIES + """ SELECT family, method || ' app.test' || replace(template, '{int}', '{slot_1}') || '?v' AS label FROM (SELECT DISTINCT family, method, template FROM f)""")
+def route_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fam.families(observed(spark, folder))
+    return rows.select("family", fam.route_label(F.col("method"), F.col("host"), F.col("shown"), F.array(F.lit("v"))).alias("label"))
+
+
+@query("WITH " + SQL_CARRIERS + """ SELECT cf."from", cf."to", to_part, to_place, matches FROM cf WHERE to_part <> 'path' OR to_place = '1' AND cf."to" IN (SELECT family FROM f WHERE ends_with(template, '{int}'))""")
+def flows_into_slots(spark: SparkSession, folder: str) -> DataFrame:
+    s = stepped(spark, folder)
+    slots = F.when(F.endswith("template", F.lit("}")), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return traces.into_slots(carriers(spark, folder), s.select("family", slots.alias("slots"))).select("from", "to", "to_part", "to_place", "matches")
+
+
+@query("""SELECT doc_id, substr(text, 1, 40) AS start FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS text FROM documents)""")
+def clipped_texts(spark: SparkSession, folder: str) -> DataFrame:
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
+    return table(spark, folder, "documents").select("doc_id", text.clipped(plain, 40).alias("start"))

@@ -140,3 +140,8 @@ def archive_entries(spark: SparkSession, path: str) -> DataFrame:
         F.col("e.response.status").alias("status"), F.col("e.response.content.mimeType").alias("mime"), body.alias("body"), F.col("e.request.headers").alias("request_headers"),
         F.col("e.response.headers").alias("response_headers"), F.try_to_timestamp("e.startedDateTime").alias("started_at"), (F.col("e.time") * 1_000_000).cast("long").alias("duration"),
     )
+
+
+def expected_description(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An expected description, one JSON document a file, strictly by schema: anything else is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
