@@ -1,28 +1,18 @@
-"""What several operators need from Spark: tables cut from their lineage, and connected components."""
+"""What several operators need from Spark, besides tables cut from their lineage and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import components, shared_folder, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir).
+__all__ = ["beside", "components", "fresh", "shared_folder", "written"]
 
-    Where that is unset, a temporary folder of this machine in local mode; elsewhere an error, because other
-    machines would not see it.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="weftlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Tables of at most so many bytes on disk are sent whole to every executor.
+SMALL_TABLE = 16 << 20
 
 
 def fresh(columns: Iterable[str], name: str) -> str:
@@ -33,47 +23,7 @@ def fresh(columns: Iterable[str], name: str) -> str:
     return name
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/weftlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-#: Tables of at most so many bytes on disk are sent whole to every executor.
-SMALL_TABLE = 16 << 20
-
-
 def beside(table: DataFrame) -> DataFrame:
     """A written table for the smaller side of a join: broadcast if its files hold at most SMALL_TABLE bytes, else as it is."""
     held = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(table) if held <= SMALL_TABLE else table
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node reachable.
-
-    Alternates the two star operations of Kiveris et al. (2014), "Connected Components in MapReduce
-    and Beyond", until every component is a star.  Each round only joins and groups by node; a hot node's
-    edges are never gathered (its smallest neighbour is found with partial aggregates, and the join
-    back is one that Spark can split).  Loops and repeated edges are allowed; no edges give no rows.
-    """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    while True:
-        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
-        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
-        if unsettled.limit(1).count() == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # a node that is its own smallest keeps no edge to itself; what pointed at it stays
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
