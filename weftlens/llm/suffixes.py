@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import beside, written
+from .jobs import written
 from .scan import Texts, slices, texts
 
 #: Bytes of the grams by which equal strings find each other; a string holds LENGTH - GRAM + 1 of them.
@@ -196,7 +196,7 @@ def _read(keyed: DataFrame, wanted: DataFrame, length: int, apart: bool) -> Data
                 yield pa.RecordBatch.from_arrays(columns + ([] if apart else [pa.array(bodies, pa.binary())]), names + ([] if apart else ["body"]))
 
     text = keyed.select(F.col("_row").alias("row"), "text")
-    joined = text.join(beside(parts), "row").select("text", "doc_id", "row", "parts")
+    joined = text.join(parts, "row").select("text", "doc_id", "row", "parts")
     return joined.mapInArrow(cut, FOUND + ("" if apart else ", body binary"))
 
 
