@@ -80,8 +80,8 @@ def stepped(spark: SparkSession, folder: str) -> DataFrame:
     return traces.steps(observed(spark, folder))
 
 
-def flows(spark: SparkSession, folder: str) -> DataFrame:
-    s = stepped(spark, folder)
+def flows(s: DataFrame) -> DataFrame:
+    """Value flows between steps, each step carrying its k both ways."""
     tied = F.coalesce(F.lag("t").over(traces.in_order()) == F.col("t"), F.lit(False))
     sources = s.withColumn("tied", tied).select("session", "pos", "t", F.col("end").alias("available"), F.col("k").alias("value"), "tied")
     return traces.value_flows(sources, s.select("session", "pos", "t", F.col("k").alias("value")))
@@ -181,7 +181,7 @@ def evidence_context(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH " + SQL_FLOWS + " SELECT session, value, from_pos, to_pos, delay FROM fl")
 def value_flows(spark: SparkSession, folder: str) -> DataFrame:
-    return flows(spark, folder)
+    return flows(stepped(spark, folder))
 
 
 @query("WITH " + SQL_EDGES + " SELECT * FROM e")
@@ -204,7 +204,8 @@ def conversation_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("WITH " + SQL_EDGE_FLOWS + " SELECT * FROM ef")
 def edge_flows(spark: SparkSession, folder: str) -> DataFrame:
-    return traces.edge_flows(flows(spark, folder), stepped(spark, folder))
+    s = stepped(spark, folder)
+    return traces.edge_flows(flows(s), s)
 
 
 @query("WITH " + SQL_EDGES.replace(SQL_STEPS, SQL_EDGE_FLOWS) + """, r AS (
@@ -213,14 +214,15 @@ def edge_flows(spark: SparkSession, folder: str) -> DataFrame:
 SELECT "to", rank, "from", ordered, immediate, coalesce(matches, 0) AS matches, omitted FROM r WHERE rank <= 5""")
 def evidence_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     s = stepped(spark, folder)
-    return traces.neighbours(traces.edges(s), traces.edge_flows(flows(spark, folder), s))
+    return traces.neighbours(traces.edges(s), traces.edge_flows(flows(s), s))
 
 
 @query("WITH " + SQL_EDGE_FLOWS + """, r AS (
   SELECT *, row_number() OVER (PARTITION BY "to" ORDER BY matches DESC, "from") AS rank, greatest(0, count(*) OVER (PARTITION BY "to") - 3) AS pruned FROM ef)
 SELECT "to" AS consumer, "from" AS producer, matches, "values", rank, pruned FROM r WHERE rank <= 3""")
 def prerequisites(spark: SparkSession, folder: str) -> DataFrame:
-    return traces.producers(traces.edge_flows(flows(spark, folder), stepped(spark, folder)))
+    s = stepped(spark, folder)
+    return traces.producers(traces.edge_flows(flows(s), s))
 
 
 SQL_VIEWS = SQL_EXCHANGES + """, d AS (SELECT *, sum(CASE WHEN kind = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY t, seq) - 1 AS latest FROM x),
@@ -266,21 +268,21 @@ cf AS (SELECT "from", "to", carrier, from_part, from_place, to_part, to_place, c
     false AS ubiquitous, array_to_string(list_slice(list(value ORDER BY session, to_pos, from_pos, value), 1, 3), ',') AS examples FROM pf GROUP BY ALL)"""
 
 
-def carriers(spark: SparkSession, folder: str) -> DataFrame:
-    s = stepped(spark, folder)
+def carriers(s: DataFrame) -> DataFrame:
     flags = s.select(F.col("k").alias("value")).distinct().withColumns({"low_information": text.low_information(F.lit("integer"), F.col("value")), "ubiquitous": F.lit(False)})
-    return traces.flow_carriers(traces.placed_flows(flows(spark, folder), tables.places(s)), s, flags)
+    return traces.flow_carriers(traces.placed_flows(flows(s), tables.places(s)), s, flags)
 
 
 @query("WITH " + SQL_CARRIERS + " SELECT * FROM cf")
 def flow_carriers(spark: SparkSession, folder: str) -> DataFrame:
-    return carriers(spark, folder).withColumn("examples", F.array_join("examples", ","))
+    return carriers(stepped(spark, folder)).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("WITH " + SQL_EDGES.replace(SQL_STEPS, SQL_CARRIERS) + """
 SELECT cf."from", cf."to", carrier, from_place, to_place, matches, ordered FROM cf JOIN e ON e."from" = cf."from" AND e."to" = cf."to" WHERE NOT low_information OR (matches >= 2 AND matches * 10 >= ordered * 9)""")
 def evidence_flows(spark: SparkSession, folder: str) -> DataFrame:
-    shown = traces.visible_flows(carriers(spark, folder), traces.edges(stepped(spark, folder)))
+    s = stepped(spark, folder)
+    shown = traces.visible_flows(carriers(s), traces.edges(s))
     return shown.select("from", "to", "carrier", "from_place", "to_place", "matches", "ordered")
 
 
@@ -295,7 +297,8 @@ g AS (SELECT p.consumer, p.producer, p.kind, array_to_string(list_sort(list(DIST
 
 
 def state_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return operations.prerequisite_groups(carriers(spark, folder), traces.edges(stepped(spark, folder)))
+    s = stepped(spark, folder)
+    return operations.prerequisite_groups(carriers(s), traces.edges(s))
 
 
 @query("WITH " + SQL_GROUPS + " SELECT * FROM g")
@@ -893,7 +896,7 @@ def route_labels(spark: SparkSession, folder: str) -> DataFrame:
 def flows_into_slots(spark: SparkSession, folder: str) -> DataFrame:
     s = stepped(spark, folder)
     slots = F.when(F.endswith("template", F.lit("}")), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return traces.into_slots(carriers(spark, folder), s.select("family", slots.alias("slots"))).select("from", "to", "to_part", "to_place", "matches")
+    return traces.into_slots(carriers(s), s.select("family", slots.alias("slots"))).select("from", "to", "to_part", "to_place", "matches")
 
 
 @query("""SELECT doc_id, substr(text, 1, 40) AS start FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS text FROM documents)""")
