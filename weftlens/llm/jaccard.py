@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -210,7 +211,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     Equal sets are one node.  To spare comparisons inside large groups of near copies, nodes in long lists of a token
     are first compared with the list's most central node.  What that links is a group of the matrix; other nodes fall
-    into groups by the commonest token of their prefix that another node has too; groups lie in blocks of about 256.
+    into groups by the commonest token of their prefix that another node has too, and by the band of their size; groups lie in blocks of about 256.
     The matrix says which prefix tokens a block's union has.  A query's overlap with a block is the number of its prefix
     tokens there; it bounds the overlap with every member, and only blocks that can hold a link are opened: the
     texts are fetched and the sets compared, again under the bound of the block's whole token union.
@@ -245,7 +246,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     common = lists.groupBy("node").agg(F.max(F.struct("held", "token")).alias("_most")).select("node", F.col("_most.token").alias("_token"))
     placed = common.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    placed = placed.withColumn("grp", F.coalesce("root", "_token")).join(nodes.select("node", "rep", "n"), "node")
+    # sets of a band differ by no more than two that link may
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent))) if percent < 100 else F.col("n")
+    placed = placed.join(nodes.select("node", "rep", "n"), "node").withColumn("grp", F.coalesce("root", F.xxhash64("_token", band)))
     placed = written(placed.select("node", "rep", "n", "comp", "grp"))
     groups = written(placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
     sizes = written(placed.groupBy("comp").agg(F.count("*").alias("nodes")))
