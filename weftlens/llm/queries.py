@@ -87,6 +87,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import Manifest
+
+    rows = Manifest(table(spark, sf_dir, "documents")).rows()
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -116,6 +123,50 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM e
 """
 
+_CRC = """list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+#: The unsigned CRC-32 of a whole number's decimal digits.
+_CRC = f"xor({_CRC}, 4294967295)"
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS i, CAST(n_chars AS VARCHAR) AS n, lang, text,
+         CASE WHEN CRC % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS found FROM documents),
+p AS (
+  SELECT *, coalesce(octet_length(encode(i)) || ':' || i, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n)) || ':' || n, '-') AS head FROM d),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(found)) || ':' || found, '-')) AS altered FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, altered) - 1 AS place, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM l),
+nodes AS (
+  SELECT s, 0 AS level, place, leaf AS h, count(*) OVER (PARTITION BY s) AS n FROM r
+  UNION ALL
+  SELECT s, min(level) + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (min(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY s, place // 3),
+subroots AS (SELECT s, level, h FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, s AS place, h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT min(level) + 1, place // 3, sha256(string_agg(h, '' ORDER BY place)), (min(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY place // 3),
+every AS (
+  SELECT s, level, place, h FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT s, b.level + tops.level, tops.place, tops.h FROM tops, (SELECT s, level FROM subroots) b WHERE n > 1),
+walk AS (
+  SELECT r.s, r.place AS row_place, r.place, 0 AS level, altered AS node, '' AS proof, (SELECT level FROM subroots b WHERE b.s = r.s) AS height FROM r
+  UNION ALL
+  SELECT w.s, w.row_place, u.parent, w.level + 1, sha256(u.a || w.node || u.b), w.proof || u.a || u.b, w.height
+  FROM (SELECT *, CASE WHEN level = height THEN s ELSE place END AS at FROM walk) w
+  JOIN (
+    SELECT m.s, m.level, m.place, m.place // 3 AS parent, coalesce(string_agg(x.h, '' ORDER BY x.place) FILTER (x.place < m.place), '') AS a,
+           coalesce(string_agg(x.h, '' ORDER BY x.place) FILTER (x.place > m.place), '') AS b
+    FROM every m JOIN every x ON x.s = m.s AND x.level = m.level AND x.place // 3 = m.place // 3 GROUP BY m.s, m.level, m.place) u
+  ON u.s = w.s AND u.level = w.level AND u.place = w.at),
+last AS (SELECT s, row_place, arg_max(node, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM walk GROUP BY s, row_place)
+SELECT r.doc_id, r.leaf, b.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, k.proof_sha256, k.folded_root, k.folded_root = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM r JOIN subroots b ON b.s = r.s JOIN last k ON k.s = r.s AND k.row_place = r.place
+""".replace("CRC", _CRC.format("doc_id"))
+
 QUERIES: dict[str, Query] = {
     "op1_pivot_permutation": op1_pivot_permutation,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -127,5 +178,6 @@ QUERIES: dict[str, Query] = {
     "op8_site_templates": op8_site_templates,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
