@@ -94,6 +94,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("d1", "d2")
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -167,6 +173,38 @@ SELECT r.doc_id, r.leaf, b.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS roo
 FROM r JOIN subroots b ON b.s = r.s JOIN last k ON k.s = r.s AND k.row_place = r.place
 """.replace("CRC", _CRC.format("doc_id"))
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) - 1 AS i, m, chars
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+               md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS m
+        FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, CRC % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+  SELECT c.conv_id, 0 AS kind, t.i, t.m, t.chars FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.i, t.m, t.chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h),
+p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(m, '') OVER (w ROWS UNBOUNDED PRECEDING) AS node, chars,
+         count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY kind, i)),
+every AS (
+  SELECT conv_id, depth, node, chars, turns FROM p
+  UNION ALL
+  SELECT c.conv_id, 0, '', 0, (SELECT count(*) FROM b WHERE b.conv_id = c.conv_id) FROM c),
+n AS (
+  SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = turns), '')) AS ends_sha256
+  FROM every GROUP BY node),
+k AS (SELECT left(node, CAST(32 * (depth - 1) AS BIGINT)) AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+s AS (
+  SELECT left(node, CAST(32 * up AS BIGINT)) AS node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (node) LEFT JOIN n u ON v.depth > 0 AND u.node = left(v.node, CAST(32 * (v.depth - 1) AS BIGINT))
+""".replace("CRC", _CRC.format("conv_id"))
+
 QUERIES: dict[str, Query] = {
     "op1_pivot_permutation": op1_pivot_permutation,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -179,5 +217,6 @@ QUERIES: dict[str, Query] = {
     "op9_weak_supervision": op9_weak_supervision,
     "op10_mixing": op10_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_prefix_trie": OP12_SQL}
