@@ -100,6 +100,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("d1", "d2")
 
 
+def op13_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -218,5 +224,6 @@ QUERIES: dict[str, Query] = {
     "op10_mixing": op10_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_collision_counting": op13_collision_counting,
 }
 ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_prefix_trie": OP12_SQL}
