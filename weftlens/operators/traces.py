@@ -127,11 +127,12 @@ def placed_flows(flows: DataFrame, located: DataFrame) -> DataFrame:
     return rows.withColumn("carrier", carrier)
 
 
-def redirect_flows(stepped: DataFrame) -> DataFrame:
+def redirect_flows(stepped: DataFrame, within: int | None = None) -> DataFrame:
     """(session, value, from_pos, to_pos, delay) of requests for the url that a response before redirected to; each redirect is used once.
 
     stepped: (session, pos, t, available, url, target, tied), target the absolute url of a redirecting response.  The last redirect to a url counts,
-    and the first request for it takes it: by session and url, a request follows a redirect if nothing lies between them.
+    and the first request for it takes it: by session and url, a request follows a redirect if nothing lies between them.  With `within`, a
+    redirect can't be followed later than that after it was there.
     """
     sent = stepped.where("target is not null and (available > t or tied)")
     sources = sent.select("session", F.col("target").alias("value"), F.col("available").alias("at"), F.lit(0).alias("reads"), "pos")
@@ -141,7 +142,8 @@ def redirect_flows(stepped: DataFrame) -> DataFrame:
     # a request right after its own redirect, to its own url, doesn't take it
     rows = sources.union(readers).withColumn("_b", before).where("not coalesce(reads = 1 and _b.reads = 0 and _b.pos = pos, false)")
     rows = rows.withColumn("_b", before)
-    return rows.where("reads = 1 and _b.reads = 0").select("session", "value", F.col("_b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), (F.col("at") - F.col("_b.at")).alias("delay"))
+    out = rows.where("reads = 1 and _b.reads = 0").select("session", "value", F.col("_b.pos").alias("from_pos"), F.col("pos").alias("to_pos"), (F.col("at") - F.col("_b.at")).alias("delay"))
+    return out if within is None else out.where(F.col("delay") <= within)
 
 
 def flow_carriers(placed: DataFrame, stepped: DataFrame, flags: DataFrame, most: int = 3) -> DataFrame:
