@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +12,11 @@ from .functions import har, headers, ids, rewrite, score, text, url
 from .operators import families as fam
 from .operators import answers, decisions, navigation, operations, semantics, traces
 from .operators import values as val
+from .lineage import shared_folder
 from .sources import sanitize, tables
 from .sources.tables import table
+from .streaming import flows as streamed
+from .streaming.routes import Routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -903,3 +907,56 @@ def flows_into_slots(spark: SparkSession, folder: str) -> DataFrame:
 def clipped_texts(spark: SparkSession, folder: str) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
     return table(spark, folder, "documents").select("doc_id", text.clipped(plain, 40).alias("start"))
+
+
+# --- streams over the events table ---------------------------------------------------------------------------------
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/weftlens-{uuid.uuid4().hex}"
+
+
+def live_steps(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """The events as a stream that is put in order, to the end of all sessions; the folder, and the stream of ordered steps."""
+    own, kind = own_folder(spark), F.get("segments", F.lit(0))
+    x = tables.exchanges(spark, folder)
+    target = F.when(kind == "signup", F.concat(F.lit("https://app.test/view/"), "k"))
+    here = F.concat(F.lit("https://app.test/"), kind, F.lit("/"), "k")
+    rows = x.select("session", "seq", "t", F.lit(False).alias("ended"), F.col("end").alias("available"), here.alias("url"), target.alias("target"), F.array("k").alias("carried"))
+    rows.write.parquet(f"{own}/events")
+    ends = rows.groupBy("session").agg(F.max("t").alias("t")).select("session", F.lit(None).cast("long").alias("seq"), "t", F.lit(True).alias("ended"))
+    for c in rows.columns[4:]:
+        ends = ends.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
+    ends.write.mode("append").parquet(f"{own}/events")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{own}/events")
+    streamed.append(streamed.ordered_steps(stream, "1 day"), f"{own}/steps", f"{own}/c-steps").awaitTermination()
+    body = "available long, url string, target string, carried array<string>"
+    return own, streamed.read_steps(spark, f"{own}/steps", body)
+
+
+@query("WITH " + SQL_FLOWS + " SELECT session, value, from_pos, to_pos, delay FROM fl")
+def live_value_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """The value flows of the events as a stream finds them."""
+    own, steps = live_steps(spark, folder)
+    steps = steps.withColumns({"given": F.col("carried"), "asked": F.col("carried")})
+    streamed.append(streamed.value_flow_stream(steps), f"{own}/flows", f"{own}/c-flows").awaitTermination()
+    return spark.read.schema(streamed.FLOWS).parquet(f"{own}/flows")
+
+
+@query(ORACLE_SQL["redirect_flows"] + " AND t - ready <= 43200000000000")
+def live_redirect_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """The redirects of the events that a request follows within twelve hours, as a stream finds them."""
+    own, steps = live_steps(spark, folder)
+    streamed.append(streamed.redirect_flow_stream(steps, 12 * 3600 * 10**9, "1 day"), f"{own}/flows", f"{own}/c-flows").awaitTermination()
+    return spark.read.schema(streamed.FLOWS).parquet(f"{own}/flows")
+
+
+@query("WITH " + SQL_FAMILIES + """
+SELECT method, 'app.test' AS host, template, count(DISTINCT k) AS paths, count(*) AS observations FROM f GROUP BY method, template""")
+def live_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """Templates of the events' paths, maintained over three batches: by the day's first, second and last eight hours."""
+    routes = Routes(spark, own_folder(spark))
+    x = tables.exchanges(spark, folder).withColumn("_part", F.floor(F.hour(F.timestamp_micros(F.floor(F.col("t") / 1000))) / 8))
+    for part in range(3):
+        routes.apply(x.where(F.col("_part") == part).select("method", "host", "segments"), part)
+    return routes.families()
