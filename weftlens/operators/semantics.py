@@ -60,17 +60,20 @@ def precision_recall(predicted: DataFrame) -> DataFrame:
 
 
 def best_matches(expected: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
-    """For each expected set (name, item) the found set (id, item) with the largest Jaccard similarity of at least `least`.
+    """For each found set (id, item) the expected set (name, item) with the largest Jaccard similarity of at least `least`, and whether it takes it.
 
-    Only sets that share an item meet.
+    Of several found sets that chose the same expected one the most similar takes it, the first id among equals; the others split it.  Only sets
+    that share an item meet.
     """
     e, f = expected.distinct(), found.distinct()
     sizes_e = e.groupBy("name").agg(F.count("*").alias("_n"))
     sizes_f = f.groupBy("id").agg(F.count("*").alias("_m"))
     shared = e.join(f, "item").groupBy("name", "id").agg(F.count("*").alias("_c")).join(sizes_e, "name").join(sizes_f, "id")
     scored = shared.withColumn("overlap", F.col("_c") / (F.col("_n") + F.col("_m") - F.col("_c"))).where(F.col("overlap") >= least)
-    best = Window.partitionBy("name").orderBy(F.desc("overlap"), "id")
-    return scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("name", "id", "overlap")
+    best = Window.partitionBy("id").orderBy(F.desc("overlap"), "name")
+    chosen = scored.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    strongest = Window.partitionBy("name").orderBy(F.desc("overlap"), "id")
+    return chosen.select("id", "name", "overlap", (F.row_number().over(strongest) == 1).alias("taken"))
 
 
 def node_diff(prior: DataFrame, current: DataFrame) -> DataFrame:

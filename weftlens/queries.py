@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import har, headers, ids, rewrite, score, text, url
 from .operators import families as fam
-from .operators import answers, decisions, navigation, operations, semantics, traces
+from .operators import answers, decisions, navigation, operations, scoring, semantics, traces
 from .operators import values as val
-from .lineage import shared_folder
+from .lineage import shared_folder, written
 from .sources import sanitize, tables
 from .sources.tables import table
 from .streaming import flows as streamed
@@ -676,8 +676,9 @@ def entity_nesting(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT p_brand AS name, p_type AS item FROM part GROUP BY ALL), f AS (SELECT p_size AS id, p_type AS item FROM part GROUP BY ALL),
 j AS (SELECT name, id, count(*) AS c FROM e JOIN f USING (item) GROUP BY ALL),
-s AS (SELECT name, id, c / ((SELECT count(*) FROM e WHERE e.name = j.name) + (SELECT count(*) FROM f WHERE f.id = j.id) - c) AS overlap FROM j)
-SELECT name, id, overlap FROM s WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY overlap DESC, id) = 1""")
+s AS (SELECT name, id, c / ((SELECT count(*) FROM e WHERE e.name = j.name) + (SELECT count(*) FROM f WHERE f.id = j.id) - c) AS overlap FROM j),
+b AS (SELECT id, name, overlap FROM s WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, name) = 1)
+SELECT id, name, overlap, row_number() OVER (PARTITION BY name ORDER BY overlap DESC, id) = 1 AS taken FROM b""")
 def best_matches(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part")
     return semantics.best_matches(p.select(F.col("p_brand").alias("name"), F.col("p_type").alias("item")), p.select(F.col("p_size").alias("id"), F.col("p_type").alias("item")))
@@ -960,3 +961,110 @@ def live_routes(spark: SparkSession, folder: str) -> DataFrame:
     for part in range(3):
         routes.apply(x.where(F.col("_part") == part).select("method", "host", "segments"), part)
     return routes.families()
+
+
+# --- scores of descriptions: regions are runs, nations are what is expected, suppliers and customers by balance what is found -------------------
+
+
+def descriptions(spark: SparkSession, folder: str) -> tuple[scoring.Expected, scoring.Found]:
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("run"), "n_nationkey", "n_name")
+    band = lambda c, n: F.floor(F.col(c) / n).cast("string")
+    c = table(spark, folder, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = written(c.select("run", "n_name", F.concat(F.lit("c"), "c_custkey").alias("family"), "c_custkey", "c_acctbal", F.col("c_mktsegment").alias("segment"), band("c_acctbal", 1000).alias("band"), F.concat(F.lit("o"), "c_mktsegment", band("c_acctbal", 500)).alias("id")))
+    s = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    s = written(s.select("run", "n_name", F.concat(F.lit("s"), "s_suppkey").alias("ref"), "s_suppkey", "s_acctbal", band("s_acctbal", 1000).alias("band"), F.concat(F.lit("e"), band("s_acctbal", 1000)).alias("id")))
+    label = F.when(F.col("segment") == "BUILDING", "background").when(F.col("segment") == "MACHINERY", "presentation").otherwise(F.col("segment"))
+    named = nations.select("run", F.col("n_name").alias("entity"), F.col("n_nationkey").alias("place"))
+    following = F.lead("entity").over(Window.partitionBy("run").orderBy("place"))
+    expected = scoring.Expected(
+        roles=c.where("c_acctbal > 0").select("run", "family", label.alias("role")),
+        entities=named.withColumn("names", F.array("entity")),
+        identity=s.where("s_acctbal >= 0").select("run", F.col("n_name").alias("entity"), "ref"),
+        not_identity=s.where("s_acctbal < 0").select("run", "ref"),
+        fields=c.where("c_acctbal > 9900").select("run", F.col("n_name").alias("entity"), F.col("segment").alias("field")).distinct(),
+        relations=named.withColumn("target", following).where("target is not null").select("run", "entity", F.lit("next").alias("kind"), "target"),
+        operations=named.select("run", F.col("entity").alias("operation"), "place", F.lit("HOUSEHOLD").alias("role")),
+        families=c.where("c_acctbal > 5000").select("run", F.col("n_name").alias("operation"), "family"),
+        inputs=s.select("run", F.col("n_name").alias("operation"), F.concat(F.lit("b"), "band").alias("slot")).distinct(),
+        outputs=named.select("run", F.col("entity").alias("operation"), "entity", F.lit(True).alias("many")),
+    )
+    made = s.groupBy("run", "id").agg(F.min(F.col("band").cast("long")).alias("place"), F.min_by("n_name", "s_suppkey").alias("name"))
+    found = scoring.Found(
+        roles=c.select("run", "family", F.col("segment").alias("role"), F.when(F.col("c_acctbal") > 2000, "reviewed").otherwise("proposed").alias("status"), F.col("c_custkey").alias("place")),
+        entities=made,
+        identity=s.select("run", "id", "ref", F.concat(F.lit("f"), "n_name").alias("family")),
+        fields=c.select("run", F.concat(F.lit("e"), "band").alias("id"), F.col("segment").alias("field")).distinct().withColumn("families", F.array(F.lit("f"))),
+        relations=made.select("run", "id", F.lit("next").alias("kind"), F.concat(F.lit("e"), (F.col("place") + 1).cast("string")).alias("target")),
+        operations=c.groupBy("run", "id").agg(F.min("c_custkey").alias("place"), F.min("segment").alias("role")),
+        families=c.select("run", "id", "family"),
+        inputs=c.select("run", "id", F.concat(F.lit("b"), "band").alias("slot")).distinct(),
+        outputs=c.select("run", "id", F.concat(F.lit("e"), "band").alias("entity"), (F.col("segment") != "BUILDING").alias("many")).distinct(),
+    )
+    return expected, found
+
+
+SQL_DESCRIPTIONS = """na AS (SELECT r_name AS run, n_nationkey AS place, n_name AS entity FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT run, entity AS nation, 'c' || c_custkey AS family, c_custkey, c_acctbal, c_mktsegment AS segment, CAST(floor(c_acctbal / 1000) AS BIGINT) AS band,
+    'o' || c_mktsegment || CAST(floor(c_acctbal / 500) AS BIGINT) AS id FROM customer JOIN na ON c_nationkey = place),
+s AS (SELECT run, entity AS nation, 's' || s_suppkey AS ref, s_suppkey, s_acctbal, CAST(floor(s_acctbal / 1000) AS BIGINT) AS band, 'e' || CAST(floor(s_acctbal / 1000) AS BIGINT) AS id FROM supplier JOIN na ON s_nationkey = place),
+ei AS (SELECT run, nation AS entity, ref FROM s WHERE s_acctbal >= 0), ni AS (SELECT run, ref FROM s WHERE s_acctbal < 0),
+ef AS (SELECT DISTINCT run, nation AS entity, segment AS field FROM c WHERE c_acctbal > 9900),
+fe AS (SELECT run, id, min(band) AS place, arg_min(nation, s_suppkey) AS name FROM s GROUP BY run, id),
+ff AS (SELECT DISTINCT run, 'e' || band AS id, segment AS field FROM c),
+w AS (SELECT s.run, s.id, ei.entity, count(*) AS weight FROM s JOIN ei USING (run, ref) GROUP BY ALL),
+b AS (SELECT w.run, w.id, w.entity, w.weight FROM w JOIN na USING (run, entity) QUALIFY row_number() OVER (PARTITION BY w.run, w.id ORDER BY weight DESC, place) = 1),
+m AS (SELECT fe.run, fe.id, fe.name, b.entity, row_number() OVER (PARTITION BY fe.run, b.entity ORDER BY b.weight DESC, fe.place, fe.id) = 1 AND b.entity IS NOT NULL AS taken,
+    b.entity IS NOT NULL OR EXISTS (SELECT 1 FROM s JOIN ni USING (run, ref) WHERE s.run = fe.run AND s.id = fe.id) AS scored FROM fe LEFT JOIN b ON b.run = fe.run AND b.id = fe.id),
+lab AS (SELECT run, family, CASE segment WHEN 'BUILDING' THEN 'background' WHEN 'MACHINERY' THEN 'presentation' ELSE segment END AS role FROM c WHERE c_acctbal > 0),
+eo AS (SELECT run, nation AS operation, family FROM c WHERE c_acctbal > 5000), eon AS (SELECT run, operation, count(*) AS n FROM eo GROUP BY ALL),
+fo AS (SELECT run, id, min(c_custkey) AS place, min(segment) AS role, count(*) AS n FROM c GROUP BY run, id),
+ov AS (SELECT c.run, c.id, eo.operation, count(*) AS k FROM c JOIN eo USING (run, family) GROUP BY ALL),
+oj AS (SELECT ov.run, ov.id, ov.operation, k / (fo.n + eon.n - k) AS weight FROM ov JOIN fo ON fo.run = ov.run AND fo.id = ov.id JOIN eon ON eon.run = ov.run AND eon.operation = ov.operation WHERE 2 * k >= fo.n),
+ob AS (SELECT oj.run, oj.id, oj.operation, weight FROM oj JOIN na ON na.run = oj.run AND na.entity = oj.operation QUALIFY row_number() OVER (PARTITION BY oj.run, oj.id ORDER BY weight DESC, place) = 1),
+om AS (SELECT fo.run, fo.id, fo.role, ob.operation, ob.operation IS NOT NULL AND row_number() OVER (PARTITION BY fo.run, ob.operation ORDER BY weight DESC, fo.place, fo.id) = 1 AS taken,
+    ob.operation IS NOT NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.run = fo.run AND c.id = fo.id AND c_acctbal <= 0) AS scored FROM fo LEFT JOIN ob ON ob.run = fo.run AND ob.id = fo.id)"""
+
+
+@query("WITH " + SQL_DESCRIPTIONS + """, rl AS (
+  SELECT DISTINCT x.entity, y.entity AS target, x.run FROM fe JOIN m a ON a.run = fe.run AND a.id = fe.id AND a.scored JOIN m z ON z.run = fe.run AND z.id = 'e' || (fe.place + 1) AND z.scored,
+    LATERAL (SELECT fe.run AS run, coalesce(a.entity, '') AS entity) x, LATERAL (SELECT coalesce(z.entity, '') AS entity) y),
+er AS (SELECT * FROM (SELECT run, entity, lead(entity) OVER (PARTITION BY run ORDER BY place) AS target FROM na) WHERE target IS NOT NULL),
+sl AS (SELECT a.run, a.ref AS r1, b.ref AS r2, bool_or(a.nation = b.nation AND a.s_acctbal >= 0 AND b.s_acctbal >= 0) AS same FROM s a JOIN s b ON a.run = b.run AND a.id = b.id AND a.ref < b.ref GROUP BY ALL),
+fl AS (SELECT coalesce(g.run, h.run) AS run, g.id IS NOT NULL AS g, h.field IS NOT NULL AS h FROM
+  (SELECT m.run, m.entity, m.id, ff.field FROM m JOIN ff USING (run, id) WHERE m.taken AND EXISTS (SELECT 1 FROM ef WHERE ef.run = m.run AND ef.entity = m.entity)) g FULL JOIN ef h ON h.run = g.run AND h.entity = g.entity AND h.field = g.field),
+si AS (SELECT DISTINCT run, nation AS operation, 'b' || band AS slot FROM s),
+ip AS (SELECT coalesce(g.run, si.run) AS run, g.slot IS NOT NULL AS g, si.slot IS NOT NULL AS h FROM
+  (SELECT DISTINCT om.run, om.operation, 'b' || c.band AS slot FROM om JOIN c USING (run, id) WHERE om.taken) g FULL JOIN si ON si.run = g.run AND si.operation = g.operation AND si.slot = g.slot),
+op AS (SELECT DISTINCT om.run, om.operation, coalesce(m.entity, '') AS entity, c.segment <> 'BUILDING' AS many FROM om JOIN c USING (run, id) JOIN m ON m.run = om.run AND m.id = 'e' || c.band WHERE om.taken AND m.scored),
+z AS (
+  SELECT lab.run, 'roles' AS measure, CAST(sum(CASE WHEN c.c_acctbal > 2000 AND c.segment = lab.role THEN 1 ELSE 0 END) AS BIGINT) AS correct, CAST(sum(CASE WHEN c.c_acctbal > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS predicted, count(*) AS expected
+    FROM lab JOIN c USING (run, family) GROUP BY lab.run
+  UNION ALL SELECT run, 'identity_joins', (SELECT count(*) FROM sl WHERE sl.run = r.run AND same), (SELECT count(*) FROM sl WHERE sl.run = r.run),
+    (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM ei WHERE ei.run = r.run GROUP BY entity)) FROM (SELECT DISTINCT run FROM na) r
+  UNION ALL SELECT run, 'entities', count(*) FILTER (taken), count(*) FILTER (scored), (SELECT count(*) FROM na WHERE na.run = m.run) FROM m GROUP BY run
+  UNION ALL SELECT run, 'entity_names', count(*) FILTER (lower(name) = lower(entity)), count(*), count(*) FROM m WHERE taken GROUP BY run
+  UNION ALL SELECT run, 'entity_fields', count(*) FILTER (g AND h), count(*) FILTER (g), count(*) FILTER (h) FROM fl GROUP BY run
+  UNION ALL SELECT run, 'relations', (SELECT count(*) FROM rl JOIN er USING (run, entity, target) WHERE rl.run = r.run), (SELECT count(*) FROM rl WHERE rl.run = r.run), (SELECT count(*) FROM er WHERE er.run = r.run) FROM (SELECT DISTINCT run FROM na) r
+  UNION ALL SELECT run, 'operations', count(*) FILTER (taken AND role = 'HOUSEHOLD'), count(*) FILTER (scored), (SELECT count(*) FROM na WHERE na.run = om.run) FROM om GROUP BY run
+  UNION ALL SELECT r.run, 'operation_merges',
+    (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c JOIN eo USING (run, family) WHERE c.run = r.run GROUP BY c.id, eo.operation)),
+    (SELECT CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM c JOIN eo USING (run, family) WHERE c.run = r.run GROUP BY c.id)),
+    (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM eon WHERE eon.run = r.run) FROM (SELECT DISTINCT run FROM na) r
+  UNION ALL SELECT run, 'required_inputs', count(*) FILTER (g AND h), count(*) FILTER (g), count(*) FILTER (h) FROM ip GROUP BY run
+  UNION ALL SELECT r.run, 'outputs', (SELECT count(*) FROM op WHERE op.run = r.run AND op.operation = op.entity AND op.many), (SELECT count(*) FROM op WHERE op.run = r.run), (SELECT count(*) FROM na WHERE na.run = r.run) FROM (SELECT DISTINCT run FROM na) r
+  UNION ALL SELECT run, 'unscored', 0, count(*), 0 FROM (SELECT run FROM m WHERE NOT scored UNION ALL SELECT run FROM om WHERE NOT scored) GROUP BY run)
+SELECT run, measure, correct, predicted, expected, CASE WHEN predicted = 0 THEN 0.0 ELSE round(correct / predicted, 3) END AS precision, CASE WHEN expected = 0 THEN 0.0 ELSE round(correct / expected, 3) END AS recall FROM z""")
+def description_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every measure of the found descriptions of all regions."""
+    return scoring.scores(*descriptions(spark, folder))
+
+
+@query("WITH " + SQL_DESCRIPTIONS + """
+SELECT run, id, entity AS expected, 'entity ' || CASE WHEN entity IS NULL THEN 'matches none' ELSE 'splits' END AS what FROM m WHERE scored AND NOT taken
+UNION ALL SELECT run, NULL, entity, 'entity not found' FROM na WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.run = na.run AND m.entity = na.entity AND taken)
+UNION ALL SELECT run, id, operation, 'operation ' || CASE WHEN operation IS NULL THEN 'matches none' ELSE 'splits' END FROM om WHERE scored AND NOT taken
+UNION ALL SELECT run, NULL, entity, 'operation not found' FROM na WHERE NOT EXISTS (SELECT 1 FROM om WHERE om.run = na.run AND om.operation = na.entity AND taken)""")
+def description_mistakes(spark: SparkSession, folder: str) -> DataFrame:
+    """What was split, matched none, or wasn't found."""
+    e, f = descriptions(spark, folder)
+    return scoring.mistakes(e, written(scoring.match_entities(e, f)), written(scoring.match_operations(e, f)))
