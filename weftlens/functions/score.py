@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,26 @@ def truth(text: Column) -> Column:
 def fields_pass(matches: Column, extra: Column, allow_extra: Column) -> Column:
     """Whether an answer passes: all required fields match, and others only if they are allowed."""
     return F.forall(matches, lambda m: m) & (allow_extra | (F.size(extra) == 0))
+
+
+def first_fit(want: Column, got: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Whether two arrays hold the same items in any order, if each wanted item, in turn, takes the first one left that `same` accepts.
+
+    `same` need not be transitive (numbers within a tolerance aren't), so what an item takes matters to those after it.  A null item is the same
+    as a null only.  A null array is the same as nothing.
+    """
+    def accepts(w: Column, g: Column) -> Column:
+        return F.coalesce(same(w, g), F.lit(False)) | (w.isNull() & g.isNull())
+
+    def take(state: Column, w: Column) -> Column:
+        k = F.array_position(F.transform(state["left"], lambda g: accepts(w, g)), True)
+        return F.struct(F.filter(state["left"], lambda _, i: i + 1 != k).alias("left"), (state["fits"] & (k > 0)).alias("fits"))
+
+    begin = F.struct(F.filter(got, lambda g: F.lit(True)).alias("left"), F.lit(True).alias("fits"))
+    return F.coalesce((F.size(want) == F.size(got)) & F.aggregate(want, begin, take, lambda s: s["fits"]), F.lit(False))
+
+
+def in_order(want: Column, got: Column, same: Callable[[Column, Column], Column]) -> Column:
+    """Whether two arrays hold the same items in the same order, by `same`."""
+    pairs = F.zip_with(want, got, lambda w, g: F.coalesce(same(w, g), F.lit(False)) | (w.isNull() & g.isNull()))
+    return F.coalesce((F.size(want) == F.size(got)) & F.forall(pairs, lambda m: m), F.lit(False))

@@ -1068,3 +1068,40 @@ def description_mistakes(spark: SparkSession, folder: str) -> DataFrame:
     """What was split, matched none, or wasn't found."""
     e, f = descriptions(spark, folder)
     return scoring.mistakes(e, written(scoring.match_entities(e, f)), written(scoring.match_operations(e, f)))
+
+
+# --- answers with lists ----------------------------------------------------------------------------------------------------
+
+
+SQL_ANSWERS = """RECURSIVE a AS (
+  SELECT o_custkey, list(o_totalprice ORDER BY o_orderkey) AS want, list(CAST(round(shown, 2) AS DOUBLE) ORDER BY o_orderdate, o_orderkey) AS got,
+    count(*) FILTER (o_orderstatus = 'P') AS extra FROM (SELECT *, o_totalprice + CASE WHEN o_orderpriority LIKE '1%' THEN 4000.0 WHEN o_orderpriority LIKE '2%' THEN -4500.0 ELSE 0.0 END AS shown FROM orders) GROUP BY o_custkey),
+w AS (
+  SELECT o_custkey, want, got AS rest, 0 AS i, true AS fits FROM a
+  UNION ALL
+  SELECT o_custkey, want, list_filter(rest, lambda x, j: j <> k), i + 1, fits AND k > 0 FROM (
+    SELECT *, coalesce(list_position(list_transform(rest, lambda g: abs(g - want[i + 1]) <= 5000.0 + 1e-9 * greatest(1.0, abs(want[i + 1]))), true), 0) AS k FROM w WHERE i < len(want)))"""
+
+
+@query("WITH " + SQL_ANSWERS + """
+SELECT a.o_custkey, f.fits AS any_order, list_sort(a.want) = list_sort(a.got) AS exact,
+  coalesce((SELECT bool_and(abs(a.want[j] - a.got[j]) <= 5000.0 + 1e-9 * greatest(1.0, abs(a.want[j]))) FROM range(1, len(a.want) + 1) t(j)), true) AS in_order, f.fits AND extra = 0 AS passed
+FROM a JOIN w f ON f.o_custkey = a.o_custkey AND f.i = len(f.want)""")
+def answer_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's prices as an answer lists them, with currency signs and within 5,000, against the prices themselves; an answer with other fields doesn't pass."""
+    priority = F.substring("o_orderpriority", 1, 1)
+    off = F.when(priority == "1", 4000.0).when(priority == "2", -4500.0).otherwise(0.0)
+    shown = F.concat(F.lit("$ "), F.round(F.col("o_totalprice") + off, 2).cast("decimal(20,2)").cast("string"))
+    rows = table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda x: x["o_totalprice"]).alias("want"),
+        F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", shown.alias("shown")))), lambda x: x["shown"]).alias("got"),
+        F.filter(F.collect_list("o_orderstatus"), lambda s: s == "P").alias("extra"),
+    )
+    close = lambda w, g: score.numbers_equal(w, score.number(g, currency=True), 5000.0)
+    fits = score.first_fit(F.col("want"), F.col("got"), close)
+    numbers = F.transform("got", lambda g: score.number(g, currency=True))
+    rows = rows.withColumn("any_order", fits)
+    return rows.select(
+        "o_custkey", "any_order", rewrite.same_items(F.col("want"), numbers).alias("exact"), score.in_order(F.col("want"), F.col("got"), close).alias("in_order"),
+        score.fields_pass(F.array("any_order"), F.col("extra"), F.lit(False)).alias("passed"),
+    )
