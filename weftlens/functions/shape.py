@@ -155,28 +155,60 @@ def merged_shapes(bodies: DataFrame, key: str) -> DataFrame:
     return bodies.select(F.col(key).cast("string"), "text").mapInArrow(part, f"{key} string, tree string").groupBy(key).applyInArrow(whole, f"{key} string, shape string")
 
 
-def _arrays(shape: Any, path: str = "") -> Iterator[tuple[str, int]]:
+#: Types of fields that hold one value (fixed values).
+SCALAR_TYPES = ("string", "integer", "number", "bool", "null")
+
+
+def _kind(shape: Any) -> str:
+    """A field's type as rows have it: a scalar type, any, object, array, or items for an array of objects."""
     if isinstance(shape, dict):
+        return "object"
+    if isinstance(shape, list):
+        return "items" if isinstance(shape[0], dict) else "array"
+    return shape or "any"
+
+
+def _containers(shape: Any, path: str, item: bool, level: int | None) -> Iterator[tuple[str, bool, int | None, dict[str, Any]]]:
+    if isinstance(shape, dict):
+        yield path, item, level, shape
         for name, inner in shape.items():
-            yield from _arrays(inner, f"{path}.{name}")
+            yield from _containers(inner, f"{path}.{name}", False, None if level is None else level + 1)
     elif isinstance(shape, list):
-        if isinstance(shape[0], dict):
-            yield f"{path}[]", sum(isinstance(v, str) for v in shape[0].values())
-        yield from _arrays(shape[0], f"{path}[]")
+        yield from _containers(shape[0], f"{path}[]", isinstance(shape[0], dict), None)
 
 
-def arrays_of_objects(bodies: DataFrame) -> DataFrame:
-    """(ref, path, scalars) of every array of objects in JSON bodies (ref, text): its place, as .a.b[], and how many fields of its objects are scalars."""
+FIELDS = "ref string, root string, container string, item boolean, level int, field string, type string"
+
+
+def containers(bodies: DataFrame) -> DataFrame:
+    """One row for each field of each object in the shape of JSON bodies (ref, text); one walk over a body finds all.
+
+    root (array, object, or the body's scalar type), container (as body.a.b[].c), item (whether it is the elements of an array), level (objects
+    above it, null below an array), field and type (a scalar type, any, object, array, items for an array of objects).  An object without
+    fields, and a body without objects, give one row with no field.  Bodies that aren't JSON give none.
+    """
+    schema = pa.schema([("ref", pa.string()), ("root", pa.string()), ("container", pa.string()), ("item", pa.bool_()), ("level", pa.int32()), ("field", pa.string()), ("type", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            rows = []
             for ref, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    found += [(ref, *a) for a in _arrays(walk(parse_json(text))[0])]
+                    shape = walk(parse_json(text))[0]
                 except (ValueError, TypeError, RecursionError):
                     continue
-            refs, paths, counts = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(paths, pa.string()), pa.array(counts, pa.int32())], ["ref", "path", "scalars"])
+                root = "array" if isinstance(shape, list) else _kind(shape)
+                found = list(_containers(shape, "body", False, 0))
+                for path, item, level, fields in found:
+                    rows += [(ref, root, path, item, level, name, _kind(inner)) for name, inner in fields.items()] or [(ref, root, path, item, level, None, None)]
+                if not found:
+                    rows.append((ref, root, None, None, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, schema.types)], schema=schema)
+
+    return bodies.select(F.col("ref").cast("string"), "text").mapInArrow(run, FIELDS)
 
-    return bodies.select(F.col("ref").cast("string"), "text").mapInArrow(run, "ref string, path string, scalars int")
+
+def arrays_of_objects(bodies: DataFrame) -> DataFrame:
+    """(ref, path, scalars) of every array of objects in JSON bodies (ref, text): its place, as .a.b[], and how many fields of its objects are scalars."""
+    items = containers(bodies).where("item")
+    return items.groupBy("ref", F.substring("container", 5, (1 << 31) - 1).alias("path")).agg(F.count_if(F.col("type").isin(*SCALAR_TYPES)).cast("int").alias("scalars"))

@@ -95,13 +95,30 @@ def redact_patterns(text: Column) -> Column:
 def singular(name: Column) -> Column:
     """English singular of a collection's name, by its ending."""
     return (
-        F.when(name.rlike("ies$") & (F.length(name) > 3), F.regexp_replace(name, "ies$", "y"))
-        .when(name.rlike("(ss|us|is)$"), name)
-        .when(name.rlike("s$") & (F.length(name) > 1), F.regexp_replace(name, "s$", ""))
+        F.when(name.rlike(r"ies\z") & (F.length(name) > 4), F.regexp_replace(name, r"ies\z", "y"))
+        .when(name.rlike(r"(ses|xes)\z"), F.regexp_replace(name, r"es\z", ""))
+        .when(name.rlike(r"(?<!s)s\z") & (F.length(name) > 3), F.regexp_replace(name, r"s\z", ""))
         .otherwise(name)
     )
 
 
+def last_name(pattern: Column) -> Column:
+    """The last key of a pattern such as events[].data.id, without the mark of an array."""
+    return F.regexp_replace(F.substring_index(pattern, ".", -1), r"(\[\]){0,2}\z", "")
+
+
+#: Answers that stand for no name (fixed values).
+NO_NAMES = ("unknown", "not_an_object")
+
+
+def clean_name(name: Column) -> Column:
+    """A name of letters, digits and underscores that begins with a letter; null if less than two or more than forty are left, or it stands for none."""
+    kept = F.regexp_replace(name, r"[^A-Za-z0-9_-]", "")
+    kept = F.regexp_replace(F.regexp_replace(kept, r"^[^A-Za-z]+", ""), "-", "_")
+    kept = F.regexp_replace(kept, r"_+\z", "")
+    return F.when(F.length(kept).between(2, 40) & ~kept.isin(*NO_NAMES) & ~F.contains(kept, F.lit("redacted")), kept)
+
+
 def clipped(text: Column, most: int) -> Column:
     """The first characters of a text that take no more than `most` bytes of UTF-8."""
     part = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))

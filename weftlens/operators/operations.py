@@ -20,15 +20,21 @@ def free_text_slots(slots: DataFrame) -> DataFrame:
     return rows.where("cardinality >= 3 and cardinality * 2 >= observations")
 
 
+def listed(structure: DataFrame, levels: int = 2) -> DataFrame:
+    """(ref, root, listed) of shape.containers: whether a body is an array, or an object that holds an array of objects within so many levels of objects."""
+    near = (F.col("type") == "items") & (F.col("level") <= levels)
+    return structure.groupBy("ref").agg(F.first("root").alias("root"), F.bool_or((F.col("root") == "array") | F.coalesce(near, F.lit(False))).alias("listed"))
+
+
 def response_features(variants: DataFrame) -> DataFrame:
-    """Per family of variants (family, kind, shape, media, size_class): lists of objects, single objects, pages, and other content.
+    """Per family of variants (family, kind, root, listed, media, size_class): lists of objects, single objects, pages, and other content.
 
-    A list is a JSON array, or an object that holds one of objects within two levels; an opaque body counts if it isn't tiny.
+    root and listed are those of listed(); an opaque body counts if it isn't tiny.
     """
-    array = F.startswith("shape", F.lit("[")) | F.col("shape").rlike(r"^\{([^{}\[]*:\{){0,2}[^{}\[]*:\[\{") | F.col("shape").rlike(r":\[\{")
     big = (F.col("kind") == "opaque") & ~F.col("size_class").isin("empty", "tiny")
+    json, lists = F.col("kind") == "json", F.coalesce("listed", F.lit(False))
     return variants.groupBy("family").agg(
-        F.bool_or((F.col("kind") == "json") & array).alias("lists"), F.bool_or((F.col("kind") == "json") & F.startswith("shape", F.lit("{")) & ~array).alias("objects"),
+        F.bool_or(json & lists).alias("lists"), F.bool_or(json & F.coalesce(F.col("root") == "object", F.lit(False)) & ~lists).alias("objects"),
         F.bool_or(big & F.contains("media", F.lit("html"))).alias("pages"), F.bool_or(big & ~F.contains("media", F.lit("html"))).alias("other"),
     )
 

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import har, headers, ids, rewrite, score, text, url
+from .functions import har, headers, ids, rewrite, score, shape, text, url
 from .operators import families as fam
-from .operators import answers, decisions, navigation, operations, scoring, semantics, traces
+from .operators import answers, decisions, entities, navigation, operations, scoring, semantics, traces
 from .operators import values as val
 from .lineage import shared_folder, written
 from .sources import sanitize, tables
@@ -793,18 +793,72 @@ def answer_dates(spark: SparkSession, folder: str) -> DataFrame:
 # --- descriptions ------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH v AS (SELECT source AS family, CASE WHEN lang = 'en' THEN 'opaque' ELSE 'json' END AS kind,
-  CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN '{items:[{id:string}],n:integer}' WHEN 'de' THEN '{id:string,tags:[string]}' ELSE '[{id:string}]' END AS shape,
-  CASE WHEN n_chars > 500 THEN 'text/html' ELSE 'image/png' END AS media, CASE WHEN n_chars < 1024 THEN 'tiny' ELSE 'small' END AS size_class FROM documents)
-SELECT family, bool_or(kind = 'json' AND shape LIKE '%[{%') AS lists, bool_or(kind = 'json' AND shape LIKE '{%' AND shape NOT LIKE '%[{%') AS objects,
-  bool_or(kind = 'opaque' AND size_class <> 'tiny' AND media = 'text/html') AS pages, bool_or(kind = 'opaque' AND size_class <> 'tiny' AND media <> 'text/html') AS other FROM v GROUP BY family""")
+SQL_FEATURES = """WITH v AS (SELECT source AS family, CASE WHEN lang = 'en' THEN 'opaque' ELSE 'json' END AS kind,
+  CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN '{"items":[{"id":"a"}],"n":1}' WHEN 'de' THEN '{"a":{"b":{"rows":[{"id":1}]},"tags":["x"]}}' ELSE '{"a":{"b":{"c":{"rows":[{"id":1}]}}},"rows":[[{"id":2}]]}' END AS body,
+  CASE WHEN n_chars > 500 THEN 'text/html' ELSE 'image/png' END AS media, CASE WHEN n_chars < 1024 THEN 'tiny' ELSE 'small' END AS size_class FROM documents),
+w AS (SELECT *, list_bool_or(list_transform(list_concat(json_extract(body, '$.*'), json_extract(body, '$.*.*'), json_extract(body, '$.*.*.*')), lambda x: json_type(x) = 'ARRAY' AND coalesce(json_type(x, '$[0]') = 'OBJECT', false))) AS listed FROM v)
+SELECT family, bool_or(kind = 'json' AND listed) AS lists, bool_or(kind = 'json' AND NOT listed) AS objects,
+  bool_or(kind = 'opaque' AND size_class <> 'tiny' AND media = 'text/html') AS pages, bool_or(kind = 'opaque' AND size_class <> 'tiny' AND media <> 'text/html') AS other FROM w GROUP BY family"""
+
+
+@query(SQL_FEATURES)
 def response_features(spark: SparkSession, folder: str) -> DataFrame:
+    """What the responses of each source hold; the bodies nest lists at different depths."""
     d = table(spark, folder, "documents")
     lang, n = F.col("lang"), F.col("n_chars")
-    shape = F.when(lang == "en", "").when(lang == "fr", "{items:[{id:string}],n:integer}").when(lang == "de", "{id:string,tags:[string]}").otherwise("[{id:string}]")
-    return operations.response_features(
-        d.select(F.col("source").alias("family"), F.when(lang == "en", "opaque").otherwise("json").alias("kind"), shape.alias("shape"), F.when(n > 500, "text/html").otherwise("image/png").alias("media"), F.when(n < 1024, "tiny").otherwise("small").alias("size_class"))
-    )
+    body = F.when(lang == "fr", '{"items":[{"id":"a"}],"n":1}').when(lang == "de", '{"a":{"b":{"rows":[{"id":1}]},"tags":["x"]}}')
+    body = F.when(lang == "en", None).otherwise(F.coalesce(body, F.lit('{"a":{"b":{"c":{"rows":[{"id":1}]}}},"rows":[[{"id":2}]]}')))
+    rows = d.select(F.col("doc_id").cast("string").alias("ref"), F.col("source").alias("family"), F.when(lang == "en", "opaque").otherwise("json").alias("kind"), body.alias("text"), F.when(n > 500, "text/html").otherwise("image/png").alias("media"), F.when(n < 1024, "tiny").otherwise("small").alias("size_class"))
+    found = operations.listed(shape.containers(rows.where("text is not null").select("ref", "text")))
+    return operations.response_features(rows.join(found, "ref", "left"))
+
+
+def order_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """(ref, host, text): for each customer a JSON body with its orders, and their lines below them."""
+    line = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"))
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    note = F.when(~F.startswith("o_orderpriority", F.lit("1")), F.col("o_orderpriority"))
+    order = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"), note.alias("note"), F.struct(F.lit(1).alias("from"), "lines").alias("more"))
+    orders = table(spark, folder, "orders").join(lines, "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    body = F.to_json(F.struct(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).alias("customer"), "orders"), {"ignoreNullFields": "false"})
+    return table(spark, folder, "customer").join(orders, "c_custkey").select(F.col("c_custkey").cast("string").alias("ref"), F.col("c_mktsegment").alias("host"), body.alias("text"))
+
+
+SQL_BODIES = """c AS (SELECT c_custkey, c_mktsegment AS host, bool_or(n IS NULL) AS some_null, bool_or(n IS NOT NULL) AS some_text FROM customer JOIN (
+    SELECT o_custkey, CASE WHEN o_orderpriority NOT LIKE '1%' THEN o_orderpriority END AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) ON o_custkey = c_custkey GROUP BY ALL),
+fs AS (SELECT * FROM (VALUES ('body.orders[]', 'id', 'integer'), ('body.orders[]', 'status', 'string'), ('body.orders[]', 'total', 'number'), ('body.orders[].more.lines[]', 'part', 'integer'),
+    ('body.orders[].more.lines[]', 'quantity', 'integer'), ('body.orders[].more.lines[]', 'price', 'number'), ('body.orders[].more.lines[]', 'flag', 'string')) v(container, field, type))"""
+
+
+@query("WITH " + SQL_BODIES + """
+SELECT host, container, field, type, 0 AS nulls, count(*) AS observations, min(c_custkey || '#response.' || container || '.' || field) AS first_source, count(*) AS n_sources FROM c, fs GROUP BY host, container, field, type
+UNION ALL SELECT host, 'body.orders[]', 'note', CASE WHEN bool_or(some_text) THEN 'string' ELSE 'null' END, count(*) FILTER (some_null), count(*), min(c_custkey || '#response.body.orders[].note'), count(*)
+FROM c WHERE some_null <> some_text GROUP BY host""")
+def item_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of what the lists in nested bodies hold."""
+    bodies = order_bodies(spark, folder)
+    rows = entities.item_fields(shape.containers(bodies.select("ref", "text")), bodies.select("ref", "host", F.lit(1).alias("count")))
+    return rows.withColumn("first_source", F.get("sources", F.lit(0))).drop("sources")
+
+
+@query("WITH " + SQL_BODIES + """
+SELECT DISTINCT host, container, CASE WHEN container LIKE '%lines[]' THEN 'body.orders[]' END AS parent, CASE WHEN container LIKE '%lines[]' THEN 'line,more' ELSE 'order' END AS names FROM c, fs""")
+def item_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """What the lists in nested bodies hold, inside what, and what it may be called."""
+    bodies = order_bodies(spark, folder)
+    fields = entities.item_fields(shape.containers(bodies.select("ref", "text")), bodies.select("ref", "host", F.lit(1).alias("count")))
+    return entities.item_entities(fields).withColumn("names", F.array_join("names", ","))
+
+
+@query("WITH " + SQL_BODIES + """
+SELECT 'customer' AS entity, field, type, 0 AS nulls, count(*) AS observations, min(host || '/' || c_custkey || '#body.customer.' || field) AS first_source, count(*) AS n_sources FROM c, (VALUES ('id', 'integer'), ('name', 'string')) v(field, type) GROUP BY field, type
+UNION ALL SELECT 'part', field, type, 0, count(*), min(host || '/' || c_custkey || '#' || container || '.' || field), count(*) FROM c JOIN fs ON container LIKE '%lines[]' GROUP BY field, type""")
+def keyed_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of the objects that hold a customer's and a part's key."""
+    bodies = order_bodies(spark, folder)
+    producers = bodies.select(F.col("host").alias("family"), F.inline(F.array(*[F.struct(F.lit(a).alias("entity"), F.lit(b).alias("path")) for a, b in (("customer", "body.customer.id"), ("part", "body.orders[].more.lines[].part"))])))
+    rows = entities.keyed_fields(producers.distinct(), shape.containers(bodies.select("ref", "text")), bodies.select("ref", F.col("host").alias("family"), F.lit(1).alias("count")))
+    return rows.withColumn("first_source", F.get("sources", F.lit(0))).drop("sources")
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'supplier ' || s_suppkey AS a, 'nation ' || s_nationkey AS b FROM supplier UNION SELECT 'nation ' || n_nationkey, 'region ' || n_regionkey FROM nation
