@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import har, headers, ids, rewrite, score, shape, text, url
 from .operators import families as fam
-from .operators import answers, decisions, entities, navigation, operations, scoring, semantics, traces
+from .operators import answers, decisions, entities, navigation, operations, scoring, secrets, semantics, traces
 from .operators import values as val
 from .lineage import shared_folder, written
 from .sources import sanitize, tables
@@ -1159,3 +1159,21 @@ def answer_lists(spark: SparkSession, folder: str) -> DataFrame:
         "o_custkey", "any_order", rewrite.same_items(F.col("want"), numbers).alias("exact"), score.in_order(F.col("want"), F.col("got"), close).alias("in_order"),
         score.fields_pass(F.array("any_order"), F.col("extra"), F.lit(False)).alias("passed"),
     )
+
+
+# --- secrets as a table ----------------------------------------------------------------------------------------------------
+
+
+SQL_SECRETS = f"""e AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{text.EMAIL}')) AS value FROM documents),
+s AS (SELECT value FROM e WHERE octet_length(encode(value)) >= 16 UNION SELECT left(text, 40) FROM benchmark WHERE octet_length(encode(left(text, 40))) >= 16)"""
+
+
+@query("WITH " + SQL_SECRETS + """
+SELECT value, count(*) AS documents, CAST(sum(CAST((length(text) - length(replace(text, value, ''))) / length(value) AS BIGINT)) AS BIGINT) AS places FROM documents JOIN s ON contains(text, value) GROUP BY value""")
+def secret_places(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many documents each secret stands, and how often: mail addresses of the documents, and the beginnings of benchmark items."""
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    mails = d.select(F.explode(F.regexp_extract_all("text", F.lit(text.EMAIL), F.lit(0))).alias("value"))
+    known = mails.union(table(spark, folder, "benchmark").select(F.substring("text", 1, 40))).distinct().where(F.octet_length("value") >= 16)
+    found = secrets.occurrences(d, known.withColumn("label", F.lit("text"))).where("at >= 0")
+    return found.groupBy(F.col("value").cast("string").alias("value")).agg(F.count_distinct("id").alias("documents"), F.count("*").alias("places"))
