@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -134,11 +135,45 @@ def test_revisions(spark, tmp_path):
     two = one.union(spark.createDataFrame([("c", "z")], one.schema))
     assert results.commit_revision(two, folder) == (2, True)
     assert results.load_revision(spark, folder, 1).count() == 2
-    two.limit(2).write.mode("overwrite").parquet(f"{folder}/r0002")
-    with pytest.raises(ValueError):
+    run = json.loads((tmp_path / "ir/index/00000002.json").read_text())["run"]
+    two.limit(2).write.mode("overwrite").parquet(f"{folder}/{run}")
+    with pytest.raises(ValueError, match="not what was committed"):
         results.load_revision(spark, folder, 2)
 
 
+def test_revisions_survive_a_crash(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ir")
+    one = spark.createDataFrame([("a", "x")], "node string, content string")
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:  # after the rows, before the index
+        m.setattr(results, "_claim", dies)
+        with pytest.raises(RuntimeError):
+            results.commit_revision(one, folder)
+    assert results.commit_revision(one, folder, base=0) == (1, True)
+    assert results.drop_orphans(spark, folder) == [] and len(results.drop_orphans(spark, folder, 0)) == 1
+    assert results.load_revision(spark, folder, 1).count() == 1
+    two = one.union(spark.createDataFrame([("b", None)], one.schema))
+    with pytest.raises(results.Conflict):
+        results.commit_revision(two, folder, base=0)
+    with monkeypatch.context() as m:  # two writers that have seen the same index
+        first = results._entries(spark, folder)
+        assert results.commit_revision(two, folder, base=1) == (2, True)
+        m.setattr(results, "_entries", lambda *_: first)
+        with pytest.raises(results.Conflict, match="meanwhile"):
+            results.commit_revision(one.limit(0), folder, base=1)
+    assert [r.revision for r in results._entries(spark, folder)] == [1, 2]
+
+
+def test_digests_see_nulls(spark):
+    digest = lambda rows: results.table_digest(spark.createDataFrame(rows, "a string, b string"))
+    assert len({digest(r) for r in ([("x", None)], [(None, "x")], [("x", "")], [("x", None)] * 2, [])}) == 5
+    rows = [("x", None), ("y", "z"), ("y", "z")]
+    assert digest(rows) == digest(rows[::-1]) == results.table_digest(spark.createDataFrame([(b, a) for a, b in rows], "b string, a string").repartition(3))
+
+
 def exchange(n, path, media="text/html", status=200, method="GET", asked=(), given=(), start=None, end=None, body=None, answer=None):
     pairs = lambda x: [{"name": k, "value": v} for k, v in x]
     start = n * 10**9 if start is None else start

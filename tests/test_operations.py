@@ -126,6 +126,34 @@ def test_sanitized_archives(spark, tmp_path):
     assert [(r.sequence, r.url) for r in again] == [(0, e["request"]["url"])]
 
 
+def test_archives_keep_numbers_names_and_no_secrets_in_lists(spark, tmp_path):
+    entry = '{"time": 1e400, "big": 12345678901234567890.10, "request": {"url": "https://a.test/p", "queryString": [{"name": "q", "value": "{\\"token\\":\\"s3cret\\",\\"n\\":1.50}"}, {"name": "r", "value": "%7B%22sid%22%3A7%2C%22password%22%3A%22p%22%7D"}, {"name": "s", "value": "[1,"}], "postData": {"params": [{"name": "q", "value": "[{\\"email\\":\\"a@b.c\\"}]"}]}}}'
+    rows = spark.createDataFrame([("x/a-b.har", 0, entry), ("x/a_b.har", 0, entry), ("y/a_b.har", 0, entry)], "file string, sequence int, entry string")
+    out = sanitize.sanitize_entries(rows)
+    text = out.first().entry
+    assert '"time": 1e400' in text and '"big": 12345678901234567890.10' in text and "s3cret" not in text and "a@b.c" not in text
+    e = json.loads(text)["request"]
+    assert e["queryString"][0]["value"] == '{"token":"REDACTED","n":1.50}' and e["queryString"][2]["value"] == "[1,"
+    assert e["queryString"][1]["value"] == "%7B%22sid%22%3A7%2C%22password%22%3A%22REDACTED%22%7D" and out.first().params == 3
+    sanitize.write_archives(out, str(tmp_path / "clean"))
+    assert len([p for p in (tmp_path / "clean").iterdir() if p.name.startswith("archive=")]) == 3
+
+
+def test_bodies_that_grow_when_decoded():
+    import gzip
+    import zlib
+
+    from weftlens.functions import bodies
+
+    assert bodies.decoded(gzip.compress(b"a") + gzip.compress(b"bc"), "gzip") == b"abc"
+    raw = zlib.compressobj(wbits=-15)
+    assert bodies.decoded(raw.compress(b"xyz") + raw.flush(), "deflate") == b"xyz"
+    large = gzip.compress(b"\0" * (bodies.MOST_DECODED + 1))
+    for content, coding, says in ((large, "gzip", "when decoded"), (gzip.compress(b"abc")[:-4], "gzip", "ends before"), (b"?", "gzip", "gzip:"), (b"?", "br", "unsupported")):
+        with pytest.raises(ValueError, match=says):
+            bodies.decoded(content, coding)
+
+
 def test_recordings_grow(spark, tmp_path):
     folder = str(tmp_path / "rec_20260101_001")
     row = lambda t: {"started_at": {"t": t}, "request": {"method": "GET", "host": "a", "url": f"https://a/{t}"}}

@@ -27,6 +27,18 @@ def test_recording(spark, tmp_path):
         recordings.exchanges(spark, str(one)).collect()
 
 
+def test_broken_lines_in_a_folder_of_files(spark, tmp_path):
+    good, cut = '{"id": "a"}\n', '{"id": "b'
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/x.json").write_text(good * 3)
+    (tmp_path / "one/y.json").write_text(good + cut)
+    (tmp_path / "one/z.json").write_text(cut)
+    assert recordings.json_lines(spark, str(tmp_path / "one"), "id string").count() == 4
+    (tmp_path / "one/z.json").write_text(good + cut + "\n")  # whole, and broken
+    with pytest.raises(ValueError, match="unreadable line in .*z.json"):
+        recordings.json_lines(spark, str(tmp_path / "one"), "id string")
+
+
 def test_archive(spark, tmp_path):
     entry = lambda text, enc=None: {"startedDateTime": "2026-01-01T00:00:00.5Z", "time": 1.5, "request": {"method": "GET", "url": "https://a/x"}, "response": {"status": 200, "content": {"mimeType": "text/html", "text": text, "encoding": enc}}}
     path = tmp_path / "a.har"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import gzip
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -21,19 +20,32 @@ MOST_BYTES, MOST_PART = 8 << 20, 1 << 20
 RECORD = f"ref string, side string, kind string, media string, size long, size_class string, text string, {PARSED}"
 
 
+#: What a body may take once its coding is undone.
+MOST_DECODED = 4 * MOST_BYTES
+
+
+def _inflated(content: bytes, wbits: int) -> bytes:
+    """Inflated content of one or more members, in steps, so that a small body can't fill the memory of a task."""
+    out = bytearray()
+    while content:
+        one = zlib.decompressobj(wbits)
+        out += one.decompress(content, MOST_DECODED + 1 - len(out))
+        if len(out) > MOST_DECODED:
+            raise ValueError(f"body over {MOST_DECODED} bytes when decoded")
+        if not one.eof:
+            raise EOFError("ends before its end")
+        content = one.unused_data.lstrip(b"\0") if wbits > 0 else b""
+    return bytes(out)
+
+
 def decoded(content: bytes, coding: str | None) -> bytes:
-    """The content without its codings, undone in the reverse order of the header; ValueError for one that can't be."""
+    """The content without its codings, undone in the reverse order of the header; ValueError for one that can't be, or is too large."""
     for name in reversed([c.strip().lower() for c in (coding or "").split(",") if c.strip()]):
-        if name in ("gzip", "x-gzip"):
-            try:
-                content = gzip.decompress(content)
-            except (OSError, EOFError, zlib.error) as e:
-                raise ValueError(f"gzip: {e}") from e
-        elif name == "deflate":
+        if name in ("gzip", "x-gzip", "deflate"):
             try:
-                content = zlib.decompress(content, -zlib.MAX_WBITS)
-            except zlib.error as e:
-                raise ValueError(f"deflate: {e}") from e
+                content = _inflated(content, -zlib.MAX_WBITS if name == "deflate" else zlib.MAX_WBITS | 16)
+            except (EOFError, zlib.error) as e:
+                raise ValueError(f"{name.removeprefix('x-')}: {e}") from e
         elif name != "identity":
             raise ValueError(f"unsupported content coding {name!r}")
     return content

@@ -28,10 +28,10 @@ def sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a growing file of JSON lines.  Blank lines are skipped; a last line that can't be read and has no line end is being
-    written, and left out; any other line that can't be read is an error.  No file: no rows.
+    """Rows of growing files of JSON lines, of one file or of a folder of them.  Blank lines are skipped; a file's last line that can't be read and has no
+    line end is being written, and left out; any other line that can't be read is an error.  No file: no rows.
 
-    Whether the file ends with a line end follows from the lengths of its lines and of the file, in one pass.
+    Whether a file ends with a line end follows from the lengths of its lines and of the file, in one pass.
     """
     try:
         lines = spark.read.option("lineSep", "\n").text(path)
@@ -40,15 +40,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
             raise
         return spark.createDataFrame([], schema)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = lines.select("value", place.alias("at"), F.col("_metadata.file_size").alias("size"))
+    rows = lines.select("value", place.alias("at"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_path").alias("file"))
     rows = rows.withColumn("x", F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("x._bad").isNotNull() & (F.trim(F.regexp_replace("value", r"[\r\t]", " ")) != "")
-    seen = rows.agg(
+    seen = rows.groupBy("file").agg(
         F.count_if(bad).alias("bad"), F.max_by("value", F.when(bad, F.col("at"))).alias("line"), F.max("at").alias("last"),
         F.max(F.when(bad, F.col("at"))).alias("last_bad"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"),
-    ).first()
-    if seen["bad"] > 1 or seen["bad"] and (seen["last"] != seen["last_bad"] or seen["bytes"] == seen["size"]):
-        raise ValueError(f"unreadable line in {path}: {seen['line'][:80]}")
+    )
+    broken = seen.where("bad > 1 or (bad = 1 and (last <> last_bad or bytes = size))").orderBy("file").limit(1).collect()
+    if broken:
+        raise ValueError(f"unreadable line in {broken[0]['file']}: {broken[0]['line'][:80]}")
     return rows.where(F.col("x._bad").isNull() & (F.trim("value") != "")).select("x.*").drop("_bad")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,10 +20,15 @@ MANIFEST = "number int, run string, output string, rows long, digest string, ver
 
 
 def table_digest(rows: DataFrame) -> str:
-    """A digest of a table, whatever the order of its rows, from counts and sums of hashes of its columns by name."""
-    names = sorted(rows.columns)
-    parts = rows.agg(F.count("*"), F.sum(F.xxhash64(*names).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(*reversed(names), F.lit(1)))).first()
-    return ":".join(map(str, parts))
+    """A SHA-256 of a table, whatever the order of its rows and columns; names, nulls and repeats count.
+
+    Each row is hashed as JSON with its nulls.  The hashes are added up in eight parts, which combine before they are shuffled, and the sums are hashed.
+    """
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    hashed = rows.select(F.sha2(line, 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
+    sums = hashed.agg(F.count("*"), *parts).first()
+    return hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
 
 
 def _manifests(spark: SparkSession, folder: str) -> list:
@@ -103,33 +111,86 @@ def markdown(report: DataFrame, title: str) -> str:
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
-def _content_hash(nodes: DataFrame) -> str:
-    """A digest of (node, content) rows, whatever their order, from counts and sums of hashes."""
-    parts = nodes.agg(F.count("*"), F.sum(F.xxhash64("node", "content").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("content", "node"))).first()
-    return ":".join(map(str, parts))
+class Conflict(ValueError):
+    """Another writer has committed a revision meanwhile."""
 
 
-def commit_revision(nodes: DataFrame, folder: str) -> tuple[int, bool]:
-    """Adds (node, content) as the next revision and returns its number; an unchanged description adds none."""
-    spark = nodes.sparkSession
+INDEX = "revision int, digest string, run string"
+
+
+def _entries(spark: SparkSession, folder: str) -> list:
     try:
-        index = spark.read.schema("revision int, digest string").json(f"{folder}/index").orderBy(F.desc("revision")).limit(1).collect()
-    except Exception as e:  # noqa: BLE001
+        return sorted(spark.read.schema(INDEX).json(f"{folder}/index/*.json").collect(), key=lambda r: r.revision)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        index = []
-    digest, number = _content_hash(nodes), index[0].revision + 1 if index else 1
-    if index and index[0].digest == digest:
-        return index[0].revision, False
-    nodes.write.mode("error").parquet(f"{folder}/r{number:04d}")
-    spark.createDataFrame([(number, digest)], "revision int, digest string").coalesce(1).write.mode("append").json(f"{folder}/index")
+        return []
+
+
+def _claim(spark: SparkSession, path: str, line: str) -> bool:
+    """Makes a new file of one line in one step; false if it is there already."""
+    jvm = spark._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        return False
+    with_line = fs.create(draft, False)
+    with_line.write(bytearray(line.encode()))
+    with_line.close()
+    try:
+        # a file is renamed whole, and never over one that is there
+        return bool(fs.rename(draft, target)) if not fs.exists(target) else False
+    finally:
+        fs.delete(draft, False)
+
+
+def commit_revision(nodes: DataFrame, folder: str, base: int | None = None) -> tuple[int, bool]:
+    """Adds (node, content) as the next revision and returns its number; an unchanged description adds none.
+
+    The rows are written to a folder of their own first; the revision is there as soon as its entry in the index is, and that is made in one step.  A
+    writer that dies before leaves rows that nothing refers to: see drop_orphans.  With base, the revision that the rows were derived from, a
+    commit on top of any other is a Conflict; so is one whose number another writer claims at the same moment.
+    """
+    spark = nodes.sparkSession
+    entries = _entries(spark, folder)
+    last = entries[-1] if entries else None
+    if base is not None and base != (last.revision if last else 0):
+        raise Conflict(f"based on revision {base}, but the last is {last.revision if last else 0}")
+    run = f"rows_{uuid.uuid4().hex}"
+    nodes.write.parquet(f"{folder}/{run}")
+    digest, number = table_digest(spark.read.parquet(f"{folder}/{run}")), last.revision + 1 if last else 1
+    if last and last.digest == digest:
+        _delete(spark, f"{folder}/{run}")
+        return last.revision, False
+    if not _claim(spark, f"{folder}/index/{number:08d}.json", json.dumps({"revision": number, "digest": digest, "run": run}) + "\n"):
+        raise Conflict(f"revision {number} was committed meanwhile")
     return number, True
 
 
 def load_revision(spark: SparkSession, folder: str, number: int) -> DataFrame:
     """A revision, checked against the digest it was committed with."""
-    nodes = spark.read.parquet(f"{folder}/r{number:04d}")
-    known = spark.read.schema("revision int, digest string").json(f"{folder}/index").where(F.col("revision") == number).collect()
-    if [r.digest for r in known] != [_content_hash(nodes)]:
+    known = [r for r in _entries(spark, folder) if r.revision == number]
+    if not known:
+        raise ValueError(f"no revision {number}")
+    nodes = spark.read.parquet(f"{folder}/{known[0].run}")
+    if table_digest(nodes) != known[0].digest:
         raise ValueError(f"revision {number} is not what was committed")
     return nodes
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_orphans(spark: SparkSession, folder: str, older_than: float = 24 * 3600) -> list[str]:
+    """Deletes rows of commits that never came to stand and are older than so many seconds; names what it deleted."""
+    known = {r.run for r in _entries(spark, folder)}
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(root)]
+    gone = sorted(n for n, changed in found if n.startswith("rows_") and n not in known and time.time() - changed >= older_than)
+    for name in gone:
+        _delete(spark, f"{folder}/{name}")
+    return gone

@@ -66,12 +66,50 @@ def unsanitized(entries: DataFrame) -> DataFrame:
     return entries.select("file", "sequence", F.explode(found).alias("found"))
 
 
+#: Stands before a number while it is text; no document may hold it.
+_MARK = "\x00number\x00"
+
+
+class _Number(str):
+    """A number as it is written, so that no digit of it changes."""
+
+
+def _refused(text: str) -> None:
+    raise ValueError(f"{text} is not JSON")
+
+
+def _loads(text: str) -> Any:
+    if _MARK in text or "\\u0000number\\u0000" in text:
+        raise ValueError("a document with the mark of numbers")
+    return json.loads(text, parse_int=lambda t: _Number(_MARK + t), parse_float=lambda t: _Number(_MARK + t), parse_constant=_refused)
+
+
+def _dumps(value: Any, **how: Any) -> str:
+    return re.sub(r'"\\u0000number\\u0000([-+.0-9eE]+)"', r"\1", json.dumps(value, ensure_ascii=False, **how))
+
+
 class _Entry:
     """Redacts one parsed entry in place, and counts what it changed."""
 
     def __init__(self, config: Config):
         self.config, self.counts = config, dict.fromkeys(("headers", "cookies", "params", "body_fields", "stripped"), 0)
 
+    def named_value(self, name: str, value: Any) -> Any:
+        """A value of a list of names and values: redacted by its name, else cleaned inside where it is JSON, as it is or encoded."""
+        if _named(name, self.config.params, self.config.params_with):
+            self.counts["params"] += value != REDACTED
+            return REDACTED
+        if not isinstance(value, str):
+            return value
+        plain = unquote_plus(value)
+        if plain.lstrip()[:1] not in ("{", "["):
+            return value
+        clean = self.body(plain, "application/json")
+        if clean == plain:
+            return value
+        self.counts["params"] += 1
+        return clean if plain == value else quote_plus(clean)
+
     def query(self, raw: str) -> str:
         out = []
         for part in raw.split("&"):
@@ -115,7 +153,7 @@ class _Entry:
             return {k: self.value(x, secret or _named(k, self.config.fields, self.config.fields_with)) for k, x in v.items()}
         if isinstance(v, list):
             return [self.value(x, secret) for x in v]
-        empty = v if v is None or not secret else False if isinstance(v, bool) else REDACTED if isinstance(v, str) else 0
+        empty = v if v is None or not secret else False if isinstance(v, bool) else _Number(_MARK + "0") if isinstance(v, _Number) else REDACTED
         self.counts["body_fields"] += empty != v
         return empty
 
@@ -127,10 +165,10 @@ class _Entry:
         if "json" in mime or body.lstrip()[:1] in ("{", "["):
             before = self.counts["body_fields"]
             try:
-                clean = self.value(json.loads(body))
+                clean = self.value(_loads(body))
             except (ValueError, RecursionError):
                 return body
-            return body if self.counts["body_fields"] == before else json.dumps(clean, ensure_ascii=False, separators=(",", ":"))
+            return body if self.counts["body_fields"] == before else _dumps(clean, separators=(",", ":"))
         return self.query(body) if "x-www-form-urlencoded" in mime else body
 
     def run(self, entry: dict[str, Any], strip: bool) -> dict[str, Any]:
@@ -143,8 +181,8 @@ class _Entry:
             request["url"] = self.url(request["url"])
         post = request.get("postData") or {}
         for p in [*(request.get("queryString") or []), *(post.get("params") or [])]:
-            if "value" in p and _named(p.get("name") or "", self.config.params, self.config.params_with):
-                p["value"] = REDACTED
+            if "value" in p:
+                p["value"] = self.named_value(p.get("name") or "", p["value"])
         if post.get("text"):
             post["text"] = self.body(post["text"], post.get("mimeType") or "")
         if response.get("redirectURL"):
@@ -182,7 +220,7 @@ def sanitize_entries(entries: DataFrame, config: Config = Config()) -> DataFrame
                 out, counts = [], []
                 for text, kind in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     one = _Entry(config)
-                    out.append(json.dumps(one.run(json.loads(text), kind in config.strip_bodies), ensure_ascii=False))
+                    out.append(_dumps(one.run(_loads(text), kind in config.strip_bodies)))
                     counts.append(one.counts)
                 sums = [pa.array([c[n] for c in counts], pa.int64()) for n in COUNTS]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), *sums], ["file", "sequence", "entry", *COUNTS])
@@ -191,7 +229,10 @@ def sanitize_entries(entries: DataFrame, config: Config = Config()) -> DataFrame
 
 
 def write_archives(entries: DataFrame, folder: str) -> None:
-    """Writes entries (file, sequence, entry) as one archive a file: a document holds its entries in order, as it did when it was read."""
+    """Writes entries (file, sequence, entry) as one archive a file: a document holds its entries in order, as it did when it was read.
+
+    An archive's folder is named by its file, path and all, escaped one to one, so that no two files share one.
+    """
     listed = entries.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("sequence", "entry"))).alias("e"))
     text = F.concat(F.lit('{"log": {"version": "1.2", "entries": ['), F.array_join(F.transform("e", lambda x: x["entry"]), ", "), F.lit("]}}"))
-    listed.select(text.alias("value"), F.regexp_replace(F.substring_index("file", "/", -1), r"\W+", "_").alias("archive")).write.mode("overwrite").partitionBy("archive").text(folder)
+    listed.select(text.alias("value"), F.url_encode("file").alias("archive")).write.mode("overwrite").partitionBy("archive").text(folder)
