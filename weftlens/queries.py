@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import har, headers, ids, rewrite, score, shape, text, url
 from .operators import families as fam
-from .operators import answers, decisions, entities, navigation, operations, scoring, secrets, semantics, traces
+from .operators import answers, decisions, entities, navigation, operations, scoring, secrets, semantics, tasks, traces
 from .operators import values as val
 from .lineage import shared_folder, written
 from .sources import sanitize, tables
@@ -1177,3 +1177,51 @@ def secret_places(spark: SparkSession, folder: str) -> DataFrame:
     known = mails.union(table(spark, folder, "benchmark").select(F.substring("text", 1, 40))).distinct().where(F.octet_length("value") >= 16)
     found = secrets.occurrences(d, known.withColumn("label", F.lit("text"))).where("at >= 0")
     return found.groupBy(F.col("value").cast("string").alias("value")).agg(F.count_distinct("id").alias("documents"), F.count("*").alias("places"))
+
+
+# --- closed-choice tasks: brands and sizes of parts are families of requests ---------------------------------------------------
+
+
+SQL_ROLES = """f AS (SELECT p_brand || '/' || p_size AS family, CASE WHEN avg(p_retailprice) >= PRICE THEN 'POST' ELSE 'GET' END AS method, p_size < 12 AS l, p_size >= 12 AND p_size < 24 AS o, p_size >= 24 AND p_size < 36 AS p,
+    p_size >= 36 AND p_size < 42 AS x, count(*) >= 4 AS slots, max(p_retailprice) > 1850 AS free, min(p_retailprice) < 950 AS cookies, p_size BETWEEN 20 AND 40 AS feeds, min(p_partkey) > 100 AS page_host FROM part GROUP BY p_brand, p_size),
+r AS (SELECT *, l OR o OR p OR x AS content, method = 'GET' AS read FROM f),
+s AS (SELECT *, NOT page_host AND (NOT read OR NOT content) AS beacon, NOT read AND NOT content AND page_host AS silent, slots AND NOT l AND NOT free AS one_first FROM r),
+c AS (
+  SELECT family, CASE WHEN one_first THEN 2 ELSE 1 END AS rank, 'collection_read' AS id FROM s WHERE content AND (l OR p)
+  UNION ALL SELECT family, CASE WHEN one_first THEN 1 ELSE 2 END, 'item_read' FROM s WHERE content AND (slots OR o OR p)
+  UNION ALL SELECT family, 3, 'mutation' FROM s WHERE NOT read UNION ALL SELECT family, 4, 'setup_state' FROM s WHERE cookies OR feeds UNION ALL SELECT family, 5, 'presentation' FROM s WHERE content
+  UNION ALL SELECT family, CASE WHEN beacon OR silent THEN 0 ELSE 6 END, 'background' FROM s UNION ALL SELECT family, 7, 'unknown' FROM s)"""
+
+
+def role_features(spark: SparkSession, folder: str, price: float) -> DataFrame:
+    size, flag = F.col("p_size"), F.lit
+    rows = table(spark, folder, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("_a"), F.min("p_retailprice").alias("_l"), F.max("p_retailprice").alias("_h"), F.count("*").alias("_n"), F.min("p_partkey").alias("_k"))
+    some = lambda place, there: F.when(there, F.array(flag(place))).otherwise(F.array().cast("array<string>"))
+    return rows.select(
+        F.concat("p_brand", flag("/"), size.cast("string")).alias("family"), F.when(F.col("_a") >= price, "POST").otherwise("GET").alias("method"), (size < 12).alias("lists"), size.between(12, 23).alias("objects"),
+        size.between(24, 35).alias("pages"), size.between(36, 41).alias("other"), some("path.1", F.col("_n") >= 4).alias("path_slots"), some("query.q", F.col("_h") > 1850).alias("query_slots"),
+        (F.col("_h") > 1850).alias("free_text"), (F.col("_l") < 950).alias("sets_cookies"), size.between(20, 40).cast("int").alias("feeds"), (F.col("_k") > 100).alias("page_host"),
+    )
+
+
+def role_tasks(spark: SparkSession, folder: str, price: float) -> DataFrame:
+    rows = tasks.role_choices(role_features(spark, folder, price))
+    shown = F.transform(F.concat("path_slots", "query_slots"), lambda p: F.struct(F.concat("family", F.lit("#"), p).alias("ref"), F.concat(F.lit("varies at "), p).alias("text")))
+    return tasks.tasks(rows.withColumn("evidence", F.concat(F.array(F.struct(F.col("family").alias("ref"), F.col("method").alias("text"))), shown)), "classify_family", "family", "What does this family do for a person?")
+
+
+@query("WITH " + SQL_ROLES.replace("PRICE", "1500") + " SELECT family, string_agg(id, ',' ORDER BY rank) AS choices FROM c GROUP BY family")
+def role_choices(spark: SparkSession, folder: str) -> DataFrame:
+    """What each family may be, best first."""
+    rows = tasks.role_choices(role_features(spark, folder, 1500))
+    return rows.select("family", F.array_join(F.transform("choices", lambda c: c["id"]), ",").alias("choices"))
+
+
+@query("WITH RECURSIVE " + SQL_ROLES.replace("PRICE", "1500") + """, m AS (SELECT family, arg_min(id, rank) AS choice FROM c GROUP BY family),
+b AS (SELECT p_brand || '/' || p_size AS family, CASE WHEN avg(p_retailprice) >= 1450 THEN 'POST' ELSE 'GET' END AS method FROM part GROUP BY p_brand, p_size)
+SELECT 'classify_family:' || family || ':v1' AS task, 'decided' AS status, choice, f.method = b.method AS reused, CASE WHEN f.method = b.method THEN 0 ELSE 1 END AS calls FROM m JOIN f USING (family) JOIN b USING (family)""")
+def decisions_again(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions after a change of some families: those whose task is as before are taken over, the others are asked again."""
+    before = written(tasks.decide(role_tasks(spark, folder, 1450), tasks.first_choice, "first"))
+    rows = tasks.decide(role_tasks(spark, folder, 1500), tasks.first_choice, "first", prior=before)
+    return rows.select("task", "status", "choice", "reused", F.size("attempts").alias("calls"))
