@@ -13,7 +13,7 @@ from .operators import families as fam
 from .operators import answers, decisions, entities, navigation, operations, scoring, secrets, semantics, tasks, traces
 from .operators import values as val
 from .lineage import shared_folder, written
-from .sources import sanitize, tables
+from .sources import declared, sanitize, tables
 from .sources.tables import table
 from .streaming import flows as streamed
 from .streaming.routes import Routes
@@ -1225,3 +1225,30 @@ def decisions_again(spark: SparkSession, folder: str) -> DataFrame:
     before = written(tasks.decide(role_tasks(spark, folder, 1450), tasks.first_choice, "first"))
     rows = tasks.decide(role_tasks(spark, folder, 1500), tasks.first_choice, "first", prior=before)
     return rows.select("task", "status", "choice", "reused", F.size("attempts").alias("calls"))
+
+
+# --- declared documents: a scenario for each part ------------------------------------------------------------------------------
+
+
+SQL_SCENARIOS = """n AS (SELECT 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, CASE WHEN p_retailprice > 1500 THEN 'P ' || p_partkey ELSE 'part-' || p_size || '-' || lower(left(p_brand, 5)) END AS id,
+  CASE WHEN p_size < 5 THEN ' ' ELSE p_name END AS shown, p_size - 10 AS version, CASE WHEN p_size > 40 THEN 'judge' ELSE 'fields' END AS type, CASE WHEN p_size BETWEEN 20 AND 30 THEN -0.5 ELSE 0.5 END AS tolerance, p_size - 3 AS steps FROM part)"""
+
+
+@query("WITH " + SQL_SCENARIOS + f"""
+SELECT name, 'id' AS path, chr(39) || id || chr(39) || ' doesn' || chr(39) || 't match {declared.ID}' AS issue FROM n WHERE NOT regexp_full_match(id, '{declared.ID}')
+UNION ALL SELECT name, 'name', 'is empty' FROM n WHERE trim(shown) = '' UNION ALL SELECT name, 'version', 'is less than 1' FROM n WHERE version < 1
+UNION ALL SELECT name, 'evaluation.type', chr(39) || 'judge' || chr(39) || ' is not one of fields' FROM n WHERE type <> 'fields' UNION ALL SELECT name, 'evaluation.normalizers.x', 'is not a required field' FROM n
+UNION ALL SELECT name, 'evaluation.normalizers.x.numeric_tolerance', 'is less than 0' FROM n WHERE tolerance < 0 UNION ALL SELECT name, 'limits.answer.max_steps', 'is less than 1' FROM n WHERE steps < 1
+UNION ALL SELECT name, 'color', 'is not known' FROM n WHERE type <> 'fields'
+UNION ALL SELECT name, 'id', 'id ' || id || ' is also in ' || first FROM (SELECT *, min(name) OVER (PARTITION BY id) AS first FROM n) WHERE name <> first""")
+def declared_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues of a scenario made of each part."""
+    p, size = table(spark, folder, "part"), F.col("p_size")
+    named = F.when(F.col("p_retailprice") > 1500, F.concat(F.lit("P "), "p_partkey")).otherwise(F.concat(F.lit("part-"), size.cast("string"), F.lit("-"), F.lower(F.substring("p_brand", 1, 5))))
+    evaluation = F.struct(
+        F.when(size > 40, "judge").otherwise("fields").alias("type"), F.array(F.lit("price")).alias("required_fields"),
+        F.struct(F.struct(F.lit(True).alias("currency")).alias("price"), F.struct(F.when(size.between(20, 30), -0.5).otherwise(0.5).alias("numeric_tolerance")).alias("x")).alias("normalizers"),
+    )
+    text = F.to_json(F.struct(named.alias("id"), F.when(size < 5, " ").otherwise(F.col("p_name")).alias("name"), (size - 10).alias("version"), evaluation.alias("evaluation"), F.struct(F.struct((size - 3).alias("max_steps")).alias("answer")).alias("limits"), F.when(size > 40, "red").alias("color")))
+    found = written(declared.read(p.select(F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("name"), text.alias("text")), declared.SCENARIO))
+    return declared.issues(found, across=("id",))
