@@ -75,3 +75,64 @@ def test_gap_is_strict(spark):
     rows = [("a", i, t, "F", t) for i, t in enumerate((1, 20, 50, 81))]
     out = traces.gap_episodes(spark.createDataFrame(rows, "session string, seq long, t long, family string, end long"), 30)
     assert [r.episode for r in out.orderBy("seq").collect()] == [0, 0, 0, 1]
+
+
+def test_views_follow_a_plain_walk(spark):
+    """Random sessions against a walk over the steps, one after another."""
+    import random
+
+    from weftlens.operators import navigation
+
+    rng = random.Random(9)
+    rows = []
+    for s in range(30):
+        t = 0
+        for k in range(40):
+            t += rng.choice([0, 1, 5, 31]) * 10**9
+            document = rng.random() < 0.4
+            rows.append((f"s{s}", k, t, rng.choice("abcd"), document, rng.choice("abcd") if document and rng.random() < 0.4 else None, rng.choice(["a", "b", "c", "x", "", None]), rng.choice(["none", "same-origin"]), rng.random() < 0.5, rng.choice(["navigate", ""])))
+    want = {}
+    for s in {r[0] for r in rows}:
+        views, waiting, mine = [], {}, {}
+        steps = [r for r in rows if r[0] == s]
+        for r in steps:
+            if r[4]:
+                since = waiting.pop(r[3], None)
+                if since and r[2] - since[1] <= navigation.REDIRECT_WINDOW:
+                    views[since[0]][0], views[since[0]][2], mine[r[1]] = r[3], True, since[0]
+                else:
+                    mine[r[1]] = len(views)
+                    views.append([r[3], r, False])
+                if r[5]:
+                    waiting[r[5]] = (mine[r[1]], r[2])
+        begun = -1
+        for r in steps:
+            if r[4]:
+                begun = max(begun, mine[r[1]])
+            else:
+                mine[r[1]] = next((v for v in range(begun, -1, -1) if r[6] and views[v][0] == r[6]), begun)
+        cause = lambda v: None if v < 0 else "html" if not views[v][1][9] else "typed" if views[v][1][7] == "none" else "user" if views[v][1][8] else "redirect" if views[v][2] else "link"
+        want |= {(s, k): (v, cause(v)) for k, v in mine.items()}
+    df = spark.createDataFrame(rows, "session string, seq long, t long, url string, document boolean, redirect_to string, referer string, site string, user boolean, mode string")
+    got = navigation.page_views(df.repartition(3)).collect()
+    assert {(r.session, r.seq): (r.view, r.trigger) for r in got} == want and len(got) == len(rows)
+
+
+def test_relations_with_many_values(spark):
+    import itertools
+    import random
+
+    from weftlens.operators import values
+
+    rng = random.Random(10)
+    for seed in range(4):
+        rows = [(f"r{k}", e, f"{e}{k // (2 + n) if e != 'd' else rng.randint(0, 3)}") for k in range(24) for n, e in enumerate("abcd") if rng.random() < 0.8]
+        rows += [("r3", "c", "c-other")] if seed % 2 else []
+        pairs = {}
+        for x, y in itertools.permutations(set(rows), 2):
+            if x[0] == y[0] and x[1] != y[1]:
+                pairs.setdefault((x[1], y[1]), {}).setdefault(x[2], []).append(y[2])
+        holds = {ab: sum(len(v) >= 2 for v in to.values()) for ab, to in pairs.items() if all(len(set(v)) == 1 for v in to.values())}
+        want = {(a, b, n, (b, a) in holds) for (a, b), n in holds.items() if n and ((b, a) not in holds or a < b)}
+        got = values.functional_relations(spark.createDataFrame(rows, "ref string, entity string, value string"))
+        assert {tuple(r) for r in got.collect()} == want

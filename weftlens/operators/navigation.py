@@ -3,12 +3,38 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: How long after a redirect its target still belongs to it.
 REDIRECT_WINDOW = 30 * 10**9
 
-VIEWS = "session string, seq long, view int, trigger string, document boolean"
+DOCUMENTS = "session string, seq long, view int, trigger string, final string"
+
+
+def _documents(window: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The view of each document of a session, and the url that the view's redirects end at; one step after another, in one pass."""
+        rows = rows.sort_values(["t", "seq"])
+        first, final, redirected, mine = [], [], [], []
+        waiting: dict[str, tuple[int, int]] = {}
+        for r in rows.itertuples():
+            since = waiting.pop(r.url, None)
+            if since and r.t - since[1] <= window:
+                view = since[0]
+                final[view], redirected[view] = r.url, True
+            else:
+                view = len(first)
+                first.append(r)
+                final.append(r.url)
+                redirected.append(False)
+            mine.append(view)
+            if r.redirect_to:
+                waiting[r.redirect_to] = (view, r.t)
+        cause = ["html" if not f.mode else "typed" if f.site == "none" else "user" if f.user else "redirect" if again else "link" for f, again in zip(first, redirected)]
+        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "view": mine, "trigger": [cause[v] for v in mine], "final": [final[v] for v in mine]})
+
+    return run
 
 
 def page_views(steps: DataFrame, window: int = REDIRECT_WINDOW) -> DataFrame:
@@ -18,46 +44,21 @@ def page_views(steps: DataFrame, window: int = REDIRECT_WINDOW) -> DataFrame:
     other request belongs to the latest view with its referer's url (as it is at the end of the redirects), else to the latest
     view begun.  What comes before the first view has view -1.
 
-    Chains of redirects are sequential, so a session is one group; its steps are what a browser did in one sitting.
+    Only documents, whose redirects are sequential, are one group a session.  Requests find their view by a running maximum, and by
+    session and url: the last view of that url begun by then.
     """
+    documents = steps.where("document").select("session", "seq", "t", "url", "redirect_to", "site", "user", "mode").groupBy("session").applyInPandas(_documents(window), DOCUMENTS)
+    so_far = Window.partitionBy("session").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = steps.select("session", "seq", "t", "document", "referer").join(documents, ["session", "seq"], "left")
+    rows = rows.withColumn("begun", F.max(F.when(F.col("view").isNotNull(), F.struct("view", "trigger"))).over(so_far))
+    none = F.struct(F.lit(-1).alias("view"), F.lit(None).cast("string").alias("trigger"))
+    asked = rows.where("not document").select("session", "seq", F.nullif("referer", F.lit("")).alias("url"), F.coalesce("begun", none).alias("begun"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "seq"]).reset_index(drop=True)
-        views: list[dict] = []
-        waiting: dict[str, tuple[int, int]] = {}
-        mine = [-1] * len(rows)
-        for k, r in enumerate(rows.itertuples()):
-            if not r.document:
-                continue
-            since = waiting.pop(r.url, None)
-            if since and r.t - since[1] <= window:
-                view = since[0]
-                views[view]["url"] = r.url
-                views[view]["redirected"] = True
-            else:
-                view = len(views)
-                views.append({"url": r.url, "t": r.t, "first": r, "redirected": False})
-            mine[k] = view
-            if r.redirect_to:
-                waiting[r.redirect_to] = (view, r.t)
-        begun = -1
-        for k, r in enumerate(rows.itertuples()):
-            if r.document:
-                begun = max(begun, mine[k])
-                continue
-            same = [v for v in range(begun + 1) if r.referer and views[v]["url"] == r.referer]
-            mine[k] = same[-1] if same else begun
-
-        def cause(v: int) -> str | None:
-            if v < 0:
-                return None
-            first = views[v]["first"]
-            if not first.mode:
-                return "html"
-            if first.site == "none":
-                return "typed"
-            return "user" if first.user else "redirect" if views[v]["redirected"] else "link"
-
-        return pd.DataFrame({"session": rows["session"], "seq": rows["seq"], "view": mine, "trigger": [cause(v) for v in mine], "document": rows["document"]})
-
-    return steps.groupBy("session").applyInPandas(run, VIEWS)
+    views = documents.groupBy("session", F.col("final").alias("url"), "view").agg(F.first("trigger").alias("trigger"))
+    both = views.select("session", "url", F.col("view").alias("at"), F.lit(None).cast("long").alias("seq"), F.struct("view", "trigger").alias("of"), F.lit(None).cast("struct<view:int,trigger:string>").alias("begun"))
+    both = both.union(asked.where("url is not null").select("session", "url", "begun.view", "seq", F.lit(None).cast("struct<view:int,trigger:string>"), "begun"))
+    upto = Window.partitionBy("session", "url").orderBy("at", F.col("of").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    referred = both.withColumn("_v", F.coalesce(F.last("of", ignorenulls=True).over(upto), "begun")).where("of is null").select("session", "seq", "_v.view", "_v.trigger")
+    rest = asked.where("url is null").select("session", "seq", "begun.view", "begun.trigger")
+    mine = documents.select("session", "seq", "view", "trigger", F.lit(True).alias("document"))
+    return mine.union(referred.union(rest).withColumn("document", F.lit(False)))

@@ -131,15 +131,21 @@ def held_out(values: DataFrame, pairs: DataFrame) -> DataFrame:
 def functional_relations(sightings: DataFrame, least: int = 2) -> DataFrame:
     """(a, b, support, one_to_one): entities whose values always come with one value of another, from sightings (ref, entity, value).
 
-    Values are paired by exchange.  a relates to b if no value of a is seen with two of b; support is the number of value pairs
+    Values are paired by exchange.  a relates to b if no value of a is seen with two of b; support is the number of a's values
     in at least `least` exchanges, and there must be one.  A relation that holds both ways is listed from the smaller entity.
+
+    An exchange with two values of b refutes all relations to b by itself, so values meet only with the one value that an entity has in their
+    exchange: the rows are values times entities, and the smallest and largest of them are enough.
     """
     seen = sightings.select("ref", "entity", "value").distinct()
-    x = seen.select("ref", F.col("entity").alias("a"), F.col("value").alias("va"))
-    y = seen.select("ref", F.col("entity").alias("b"), F.col("value").alias("vb"))
-    pairs = x.join(y, "ref").where("a <> b").groupBy("a", "b", "va", "vb").agg(F.count("*").alias("_n"))
-    per_value = pairs.groupBy("a", "b", "va").agg(F.count("*").alias("_to"), F.count_if(F.col("_n") >= least).alias("_s"))
-    kinds = per_value.groupBy("a", "b").agg(F.max("_to").alias("_most"), F.sum("_s").alias("support")).where("_most = 1")
+    per = seen.groupBy("ref", "entity").agg(F.count("*").alias("_n"), F.min("value").alias("_v"))
+    one = per.where("_n = 1").select("ref", F.col("entity").alias("b"), F.col("_v").alias("vb"))
+    several = per.where("_n > 1").select("ref", F.col("entity").alias("b"))
+    met = seen.select("ref", F.col("entity").alias("a"), F.col("value").alias("va")).join(one, "ref").where("a <> b")
+    per_value = met.groupBy("a", "b", "va").agg((F.min("vb") == F.max("vb")).alias("_one"), F.count("*").alias("_n"))
+    kinds = per_value.groupBy("a", "b").agg(F.bool_and("_one").alias("_one"), F.count_if(F.col("_n") >= least).alias("support")).where("_one")
+    refuted = per.select("ref", F.col("entity").alias("a")).join(several, "ref").where("a <> b").select("a", "b").distinct()
+    kinds = kinds.join(refuted, ["a", "b"], "left_anti")
     back = kinds.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("_back"))
     rows = kinds.join(back, ["a", "b"], "left").where("support > 0 and (_back is null or a < b)")
     return rows.select("a", "b", "support", F.coalesce("_back", F.lit(False)).alias("one_to_one"))

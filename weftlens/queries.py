@@ -81,7 +81,7 @@ def observed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stepped(spark: SparkSession, folder: str) -> DataFrame:
-    return traces.steps(observed(spark, folder))
+    return written(traces.steps(observed(spark, folder)))
 
 
 def flows(s: DataFrame) -> DataFrame:
@@ -495,7 +495,7 @@ def slot_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def identities(spark: SparkSession, folder: str) -> DataFrame:
-    return val.identity_values(tables.key_values(spark, folder).withColumn("type", F.lit("string")))
+    return written(val.identity_values(tables.key_values(spark, folder).withColumn("type", F.lit("string"))))
 
 
 @query("WITH " + SQL_VALUES + f"""
