@@ -268,12 +268,16 @@ pf AS (SELECT fl.*, a.family AS "from", b.family AS "to", ap.part AS from_part,
     CASE WHEN bp.part = 'cookie' AND ap.part = 'set-cookie' AND ap.place = bp.place THEN 'cookie' WHEN bp.part IN ('cookie', 'header') THEN 'header' WHEN bp.part IN ('query', 'path') THEN bp.part ELSE 'body' END AS carrier
   FROM fl JOIN s a ON a.session = fl.session AND a.pos = fl.from_pos JOIN s b ON b.session = fl.session AND b.pos = fl.to_pos
   JOIN ap ON ap.session = fl.session AND ap.pos = fl.from_pos JOIN bp ON bp.session = fl.session AND bp.pos = fl.to_pos),
-cf AS (SELECT "from", "to", carrier, from_part, from_place, to_part, to_place, count(DISTINCT (session, to_pos)) AS matches, count(DISTINCT value) AS "values", bool_and(strlen(value) <= 3) AS low_information,
-    false AS ubiquitous, array_to_string(list_slice(list(value ORDER BY session, to_pos, from_pos, value), 1, 3), ',') AS examples FROM pf GROUP BY ALL)"""
+cf AS (SELECT "from", "to", carrier, from_part, from_place, to_part, to_place, count(DISTINCT (session, to_pos)) AS matches, count(DISTINCT value) AS "values", bool_and(strlen(value) = 1) AS low_information,
+    false AS ubiquitous, array_to_string(list_slice(list(CASE WHEN strlen(value) = 1 THEN value ELSE 'k0' || value || 'x' END ORDER BY session, to_pos, from_pos, value), 1, 3), ',') AS examples FROM pf GROUP BY ALL)"""
 
 
 def carriers(s: DataFrame) -> DataFrame:
-    flags = s.select(F.col("k").alias("value")).distinct().withColumns({"low_information": text.low_information(F.lit("integer"), F.col("value")), "ubiquitous": F.lit(False)})
+    """Flows of the events by carrier; numbers of two digits are ids of letters and digits, so that they say something."""
+    one = F.length("k") == 1
+    s = s.withColumn("k", F.when(one, F.col("k")).otherwise(F.concat(F.lit("k0"), "k", F.lit("x"))))
+    kind = F.when(F.length("value") == 1, "integer").otherwise("string")
+    flags = s.select(F.col("k").alias("value")).distinct().withColumns({"low_information": text.low_information(kind, F.col("value")), "ubiquitous": F.lit(False)})
     return traces.flow_carriers(traces.placed_flows(flows(s), tables.places(s)), s, flags)
 
 
@@ -323,12 +327,12 @@ def prerequisite_alternates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("WITH " + SQL_FAMILIES + """, sl AS (
-  SELECT family, 'query.k' AS location, k AS value, 'string' AS type, ref FROM f UNION ALL SELECT family, 'query.kind', kind, 'string', ref FROM f UNION ALL SELECT family, 'path.1', k, 'string', ref FROM f)
+  SELECT family, 'query.k' AS location, k AS value, 'string' AS type, ref FROM f UNION ALL SELECT family, 'query.kind', kind, 'string', ref FROM f UNION ALL SELECT family, 'query.q', session || '-' || k, 'string', ref FROM f UNION ALL SELECT family, 'path.1', k, 'string', ref FROM f)
 SELECT family, location, count(DISTINCT ref) AS observations, count(DISTINCT value) AS cardinality FROM sl WHERE location LIKE 'query.%' GROUP BY ALL HAVING count(DISTINCT value) >= 3 AND count(DISTINCT value) * 2 >= count(DISTINCT ref)""".replace("GROUP BY ALL", "GROUP BY family, location"))
 def free_text_slots(spark: SparkSession, folder: str) -> DataFrame:
     rows = observed(spark, folder)
     of = lambda location, value: F.struct(F.lit(location).alias("location"), value.alias("value"))
-    slots = rows.select("family", "ref", F.lit("string").alias("type"), F.inline(F.array(of("query.k", F.col("k")), of("query.kind", F.get("segments", F.lit(0))), of("path.1", F.col("k")))))
+    slots = rows.select("family", "ref", F.lit("string").alias("type"), F.inline(F.array(of("query.k", F.col("k")), of("query.kind", F.get("segments", F.lit(0))), of("query.q", F.concat("session", F.lit("-"), "k")), of("path.1", F.col("k")))))
     return operations.free_text_slots(fam.slot_stats(slots)).select("family", "location", "observations", "cardinality")
 
 
