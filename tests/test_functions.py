@@ -62,3 +62,7 @@ def test_scores(spark):
         score.ratio(F.col("a"), F.col("b")), score.ratio(F.col("a"), F.col("z")), score.coverage(F.col("a"), F.col("b")), score.number(F.col("t"), True), score.plain_text(F.col("t"))
     ).first()
     assert tuple(row) == (0.667, 0.0, 0.666, 1234.5, "price $1,234.50")
+
+
+def test_quantisation_names():
+    assert column(text.quantisation, "/m/a-4B-Q4_K_M.gguf", "x.f16.bin", "plain.gguf", "Qwen-7b.gguf") == ["Q4_K_M", "f16", "", ""]

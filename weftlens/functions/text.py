@@ -119,6 +119,13 @@ def clean_name(name: Column) -> Column:
     return F.when(F.length(kept).between(2, 40) & ~kept.isin(*NO_NAMES) & ~F.contains(kept, F.lit("redacted")), kept)
 
 
+def quantisation(path: Column) -> Column:
+    """The part of a model file's name that says how its numbers are stored, as Q4_K_M in a-4B-Q4_K_M.gguf; empty without one."""
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*\z", "")
+    parts = F.filter(F.split(name, "[-.]"), lambda p: F.upper(p).rlike(r"^(Q[0-9].*|F16|BF16|F32)\z"))
+    return F.coalesce(F.get(F.reverse(parts), F.lit(0)), F.lit(""))
+
+
 def clipped(text: Column, most: int) -> Column:
     """The first characters of a text that take no more than `most` bytes of UTF-8."""
     part = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))

@@ -202,6 +202,39 @@ def browser_contexts(viewed: DataFrame) -> DataFrame:
     return named.select("family", F.inline(pairs)).where("name <> ''").groupBy("family", "counted", "name").agg(F.count("*").alias("n"))
 
 
+def episode_members(with_episodes: DataFrame, most: int = 100) -> DataFrame:
+    """(session, episode, members, families, omitted): the first `most` refs of an episode in order, its first `most` families by name, and how many refs are left out.
+
+    Lists are cut before they are gathered, so an episode of any length is a list of bounded size.
+    """
+    key = ["session", "episode"]
+    order = Window.partitionBy(*key).orderBy("t", "seq")
+    ranked = with_episodes.select(*key, "t", "seq", "ref").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+    refs = ranked.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "ref"))), lambda x: x["ref"]).alias("members"))
+    named = with_episodes.where("family is not null").select(*key, "family").distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("family"))).where(F.col("_r") <= most)
+    families = named.groupBy(*key).agg(F.array_sort(F.collect_list("family")).alias("families"))
+    counts = with_episodes.groupBy(*key).agg(F.greatest(F.lit(0), F.count("*") - most).alias("omitted"))
+    return counts.join(refs, key).join(families, key, "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
+
+
+def browser_summaries(viewed: DataFrame) -> DataFrame:
+    """Per family of steps (family, session, episode, t, trigger, kind): triggers and kinds with their counts, the largest first, sessions, episodes, and the median time since the page view began.
+
+    There are few triggers and kinds, so their lists are short.  Times are counted, never gathered; the median is the lower one, and null where no step
+    has a trigger.
+    """
+    counted = browser_contexts(viewed)
+    lists = counted.groupBy("family", "counted").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), "name", "n"))).alias("l"))
+    lists = lists.withColumn("l", F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))))
+    sides = lists.groupBy("family").agg(*[F.max(F.when(F.col("counted") == c, F.col("l"))).alias(f"{c}s") for c in ("trigger", "kind")])
+    named = viewed.where("family is not null")
+    stats = named.groupBy("family").agg(F.count_distinct("session").alias("sessions"), F.count_distinct(F.when(F.col("trigger").isNotNull(), F.struct("session", "episode"))).alias("episodes"))
+    begun = viewed.where("trigger is not null").groupBy("session", "episode").agg(F.min("t").alias("_begun"))
+    since = written(named.where("trigger is not null").join(begun, ["session", "episode"]).groupBy("family", (F.col("t") - F.col("_begun")).alias("since")).agg(F.count("*").alias("n")))
+    medians = lower_medians(since, ["family"], "since").withColumnRenamed("median", "since_trigger")
+    return stats.join(sides, "family", "left").join(medians, "family", "left").select("family", "triggers", "kinds", "sessions", "episodes", "since_trigger")
+
+
 def neighbours(edge_rows: DataFrame, flow_rows: DataFrame, most: int = 5) -> DataFrame:
     """Each family's first `most` predecessors: those with flows, then by ordered, immediate and name; with how many are left out."""
     rows = edge_rows.join(flow_rows.select("from", "to", "matches"), ["from", "to"], "left")

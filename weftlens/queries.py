@@ -962,10 +962,34 @@ def flows_into_slots(spark: SparkSession, folder: str) -> DataFrame:
     return traces.into_slots(carriers(s), s.select("family", slots.alias("slots"))).select("from", "to", "to_part", "to_place", "matches")
 
 
-@query("""SELECT doc_id, substr(text, 1, 40) AS start FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS text FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN octet_length(encode(text)) <= 40 THEN text ELSE left(text, CAST(list_max(list_filter(range(41), lambda i: octet_length(encode(left(text, i))) <= 40)) AS BIGINT)) END AS start FROM documents""")
 def clipped_texts(spark: SparkSession, folder: str) -> DataFrame:
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
-    return table(spark, folder, "documents").select("doc_id", text.clipped(plain, 40).alias("start"))
+    """Every document's first 40 bytes, to the last whole character."""
+    return table(spark, folder, "documents").select("doc_id", text.clipped(F.coalesce("text", F.lit("")), 40).alias("start"))
+
+
+@query("WITH " + SQL_EPISODES + """, m AS (SELECT *, session || '#' || seq AS r, row_number() OVER (PARTITION BY session, episode ORDER BY t, seq) AS i FROM ep)
+SELECT session, episode, array_to_string(list(r ORDER BY i) FILTER (i <= 3), ',') AS members, array_to_string(list_slice(list_sort(list_distinct(list(family))), 1, 3), ',') AS families, greatest(0, count(*) - 3) AS omitted FROM m GROUP BY session, episode""")
+def episode_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The first exchanges and families of each episode."""
+    rows = traces.episode_members(traces.gap_episodes(observed(spark, folder), GAP), 3)
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("members", "families")})
+
+
+@query("WITH " + SQL_VIEWS + """, c AS (SELECT pv.kind AS family, pv.session, pv.view, x.t, trigger, CASE WHEN document THEN 'document' WHEN pv.kind = 'click' THEN 'fetch' ELSE '' END AS k FROM pv JOIN x ON x.session = pv.session AND x.seq = pv.seq),
+b AS (SELECT session, view, min(t) AS begun FROM c WHERE trigger IS NOT NULL GROUP BY ALL),
+t AS (SELECT family, coalesce(trigger, 'untriggered') AS name, count(*) AS n FROM c GROUP BY ALL), k AS (SELECT family, k AS name, count(*) AS n FROM c WHERE k <> '' GROUP BY ALL)
+SELECT c.family, (SELECT string_agg(name || ':' || n, ',' ORDER BY n DESC, name) FROM t WHERE t.family = c.family) AS triggers, coalesce((SELECT string_agg(name || ':' || n, ',' ORDER BY n DESC, name) FROM k WHERE k.family = c.family), '') AS kinds,
+  count(DISTINCT c.session) AS sessions, count(DISTINCT (c.session, c.view)) FILTER (trigger IS NOT NULL) AS episodes, quantile_disc(c.t - b.begun, 0.5) FILTER (trigger IS NOT NULL) AS since_trigger
+FROM c LEFT JOIN b ON b.session = c.session AND b.view = c.view GROUP BY c.family""")
+def browser_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """What started the page views of each kind of event, and how long before."""
+    steps = written(tables.exchanges(spark, folder).select("session", "seq", "t", F.get("segments", F.lit(0)).alias("family")))
+    rows = navigation.page_views(tables.navigation(spark, folder)).join(steps, ["session", "seq"])
+    kind = F.when(F.col("document"), "document").when(F.col("family") == "click", "fetch").otherwise("")
+    out = traces.browser_summaries(rows.select("family", "session", F.col("view").alias("episode"), "t", "trigger", kind.alias("kind")))
+    shown = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string"))), ","), F.lit(""))
+    return out.withColumns({"triggers": shown("triggers"), "kinds": shown("kinds")})
 
 
 # --- streams over the events table ---------------------------------------------------------------------------------
