@@ -64,5 +64,5 @@ def test_scores(spark):
     assert tuple(row) == (0.667, 0.0, 0.666, 1234.5, "price $1,234.50")
 
 
-def test_quantisation_names():
+def test_quantisation_names(column):
     assert column(text.quantisation, "/m/a-4B-Q4_K_M.gguf", "x.f16.bin", "plain.gguf", "Qwen-7b.gguf") == ["Q4_K_M", "f16", "", ""]

@@ -17,7 +17,7 @@ from .shape import PARSED, parsed_body
 
 #: Bodies of more bytes are not read, and of a part of a multipart body no more than this (fixed values).
 MOST_BYTES, MOST_PART = 8 << 20, 1 << 20
-RECORD = f"ref string, side string, kind string, media string, size long, size_class string, text string, {PARSED}"
+RECORD = f"ref string, side string, kind string, media string, size long, size_class string, text string, {PARSED}, tree string"
 
 
 #: What a body may take once its coding is undone.
@@ -75,7 +75,7 @@ def multipart(content: bytes, boundary: str) -> dict[str, Any]:
 
 def record(content: bytes | None, size: int | None, media: str, kind: str, boundary: str, coding: str | None) -> dict[str, Any]:
     """Kind, text and parsed structure of one body; what can't be read is opaque and says why."""
-    empty = {"kind": "none", "text": None, "shape": "", "truncated": False, "error": None, "scalars": []}
+    empty = {"kind": "none", "text": None, "shape": "", "truncated": False, "error": None, "scalars": [], "tree": None}
     if not size:
         return empty
     opaque = empty | {"kind": "opaque", "shape": f"opaque({media})"}
@@ -107,8 +107,8 @@ def body_records(bodies: DataFrame) -> DataFrame:
         "content_encoding", text.size_class(F.col("size")).alias("size_class"),
     )
     scalar = pa.struct([(name, pa.string()) for name in ("path", "pattern", "type", "value")])
-    types = {"kind": pa.string(), "text": pa.string(), "shape": pa.string(), "truncated": pa.bool_(), "error": pa.string(), "scalars": pa.list_(scalar)}
-    names = ["ref", "side", "kind", "media", "size", "size_class", "text", "shape", "truncated", "error", "scalars"]
+    types = {"kind": pa.string(), "text": pa.string(), "shape": pa.string(), "truncated": pa.bool_(), "error": pa.string(), "scalars": pa.list_(scalar), "tree": pa.string()}
+    names = ["ref", "side", "kind", "media", "size", "size_class", "text", "shape", "truncated", "error", "scalars", "tree"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

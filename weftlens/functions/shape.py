@@ -111,12 +111,12 @@ def parse_form(text: str) -> dict[str, Any]:
 def parsed_body(text: str | None, kind: str | None) -> dict[str, Any]:
     """A row of PARSED: an opaque or unreadable body has no shape, and says why."""
     if not text or kind not in ("json", "form"):
-        return {"shape": "", "truncated": False, "error": None, "scalars": []}
+        return {"shape": "", "truncated": False, "error": None, "scalars": [], "tree": None}
     try:
         shape, scalars, cut = walk(parse_json(text) if kind == "json" else parse_form(text))
     except (ValueError, RecursionError) as e:
-        return {"shape": "", "truncated": False, "error": type(e).__name__, "scalars": []}
-    return {"shape": canonical(shape), "truncated": cut, "error": None, "scalars": [dict(zip(("path", "pattern", "type", "value"), s)) for s in scalars]}
+        return {"shape": "", "truncated": False, "error": type(e).__name__, "scalars": [], "tree": None}
+    return {"shape": canonical(shape), "truncated": cut, "error": None, "scalars": [dict(zip(("path", "pattern", "type", "value"), s)) for s in scalars], "tree": json.dumps(shape)}
 
 
 def body_structures(bodies: DataFrame) -> DataFrame:
@@ -180,8 +180,8 @@ def _containers(shape: Any, path: str, item: bool, level: int | None) -> Iterato
 FIELDS = "ref string, root string, container string, item boolean, level int, field string, type string"
 
 
-def containers(bodies: DataFrame) -> DataFrame:
-    """One row for each field of each object in the shape of JSON bodies (ref, text); one walk over a body finds all.
+def containers(bodies: DataFrame, column: str = "text") -> DataFrame:
+    """One row for each field of each object in the shape of JSON bodies (ref, text), or of their shapes (ref, tree) as body records have them; one walk finds all.
 
     root (array, object, or the body's scalar type), container (as body.a.b[].c), item (whether it is the elements of an array), level (objects
     above it, null below an array), field and type (a scalar type, any, object, array, items for an array of objects).  An object without
@@ -194,7 +194,7 @@ def containers(bodies: DataFrame) -> DataFrame:
             rows = []
             for ref, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    shape = walk(parse_json(text))[0]
+                    shape = json.loads(text) if column == "tree" else walk(parse_json(text))[0]
                 except (ValueError, TypeError, RecursionError):
                     continue
                 root = "array" if isinstance(shape, list) else _kind(shape)
@@ -205,7 +205,7 @@ def containers(bodies: DataFrame) -> DataFrame:
                     rows.append((ref, root, None, None, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, schema.types)], schema=schema)
 
-    return bodies.select(F.col("ref").cast("string"), "text").mapInArrow(run, FIELDS)
+    return bodies.select(F.col("ref").cast("string"), column).mapInArrow(run, FIELDS)
 
 
 def arrays_of_objects(bodies: DataFrame) -> DataFrame:

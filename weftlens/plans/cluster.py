@@ -77,7 +77,10 @@ def cluster(exchanges: DataFrame, hosts: list[str] | None = None, gap: int = 30
         "links": links,
         "occurrences": values.occurrences(located),
         "steps": steps.select("session", "pos", "ref", "t", "family", "previous", "kind"),
+        "carried": carried.select("ref", "session", "pos", "family", "side", "part", "pattern", "type", "value"),
+        "responses": records.where("side = 'response'").select("ref", "kind", "media", "size_class", "tree", "shape").join(place.select("ref", "family"), "ref"),
         "episodes": traces.episode_rows(episodes).join(episodes.groupBy("session", "episode").agg(F.max("trigger").alias("trigger")), ["session", "episode"]),
+        "views": episodes.select("session", "episode", "seq", "family", "trigger"),
         "flows": placed,
         "edges": edges,
         "edge_flows": carriers,
