@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+
 #: How long after a redirect its target still belongs to it.
 REDIRECT_WINDOW = 30 * 10**9
 
@@ -47,12 +49,12 @@ def page_views(steps: DataFrame, window: int = REDIRECT_WINDOW) -> DataFrame:
     Only documents, whose redirects are sequential, are one group a session.  Requests find their view by a running maximum, and by
     session and url: the last view of that url begun by then.
     """
-    documents = steps.where("document").select("session", "seq", "t", "url", "redirect_to", "site", "user", "mode").groupBy("session").applyInPandas(_documents(window), DOCUMENTS)
+    documents = written(steps.where("document").select("session", "seq", "t", "url", "redirect_to", "site", "user", "mode").groupBy("session").applyInPandas(_documents(window), DOCUMENTS))
     so_far = Window.partitionBy("session").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = steps.select("session", "seq", "t", "document", "referer").join(documents, ["session", "seq"], "left")
     rows = rows.withColumn("begun", F.max(F.when(F.col("view").isNotNull(), F.struct("view", "trigger"))).over(so_far))
     none = F.struct(F.lit(-1).alias("view"), F.lit(None).cast("string").alias("trigger"))
-    asked = rows.where("not document").select("session", "seq", F.nullif("referer", F.lit("")).alias("url"), F.coalesce("begun", none).alias("begun"))
+    asked = written(rows.where("not document").select("session", "seq", F.nullif("referer", F.lit("")).alias("url"), F.coalesce("begun", none).alias("begun")))
 
     views = documents.groupBy("session", F.col("final").alias("url"), "view").agg(F.first("trigger").alias("trigger"))
     both = views.select("session", "url", F.col("view").alias("at"), F.lit(None).cast("long").alias("seq"), F.struct("view", "trigger").alias("of"), F.lit(None).cast("struct<view:int,trigger:string>").alias("begun"))
