@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,44 @@ def test_redirects_expire_and_state_shrinks(spark, tmp_path):
     assert [(r[1], r[3]) for r in redirects] == [("x", 3), ("y", 4)]
     assert redirects == whole(spark, first + second + third, flows.REDIRECT_NS)[2]
     assert max(held) >= 1 and held[-1] < max(held)
+
+
+class Held:
+    """A list state in memory that counts how often it is read and written."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers = [], 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = list(rows)
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+
+@pytest.mark.parametrize("processor", [flows._LastSource(), flows._OpenRedirects(1000 * S)])
+def test_calls_into_the_state_grow_with_sessions_not_with_values(processor):
+    held = Held()
+    processor.init(held)
+    columns = ["value", "at", "reads", "t", "pos"]
+    first = pd.DataFrame([(f"v{k}", k * S + 1, False, k * S, k) for k in range(500)], columns=columns)
+    second = pd.DataFrame([(f"v{k}", (500 + k) * S, True, (500 + k) * S, 500 + k) for k in range(500)], columns=columns)
+    out = [tuple(r) for part in (first, second) for rows in processor.handleInputRows(("s",), iter([part]), None) for r in rows.itertuples(index=False)]
+    assert sorted(out) == sorted(("s", f"v{k}", k, 500 + k, 500 * S - 1) for k in range(500))
+    assert held.calls <= 4

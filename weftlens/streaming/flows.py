@@ -1,8 +1,8 @@
 """Value and redirect flows of a growing stream of exchanges, with state that is bounded by what can still be read.
 
 Two streams, with a table between them.  The first puts each session's exchanges in order: it waits until the watermark says that nothing
-earlier can come, or until the session is marked as complete, and numbers them.  The second keeps, by session and value (or url), the
-sources that a later request may still read.  In any number of batches the rows are those of operators.traces over the whole table.
+earlier can come, or until the session is marked as complete, and numbers them.  The second keeps, by session, the
+sources of each value (or url) that a later request may still read.  In any number of batches the rows are those of operators.traces over the whole table.
 """
 
 from __future__ import annotations
@@ -87,31 +87,39 @@ def ordered_steps(exchanges: DataFrame, delay: str = "10 seconds") -> DataFrame:
 
 
 class _LastSource(StatefulProcessor):
-    """By (session, value): the sources that a later request may still read."""
+    """By session: the sources of each value that a later request may still read.
+
+    A call into the state costs far more than a row, so a session has one list of all its values.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._sources = handle.getListState("sources", "at long, pos long")
+        self._sources = handle.getListState("sources", "value string, at long, pos long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        sources = sorted(tuple(r) for r in self._sources.get()) if self._sources.exists() else []
-        asked, now = [], 0
+        sources: dict[str, list[tuple[int, int]]] = {}
+        asked: dict[str, list[tuple[int, int]]] = {}
+        for value, at, pos in self._sources.get():
+            sources.setdefault(value, []).append((at, pos))
+        now, out, kept = 0, [], []
         for part in rows:
-            for reads, at, t, pos in zip(part["reads"], part["at"], part["t"], part["pos"]):
-                (asked if reads else sources).append((int(at), int(pos)))
+            for reads, value, at, t, pos in zip(part["reads"], part["value"], part["at"], part["t"], part["pos"]):
+                (asked if reads else sources).setdefault(value, []).append((int(at), int(pos)))
                 now = max(now, int(t))
-        sources.sort()
-        out, k = [], -1
-        for at, pos in sorted(asked):
-            while k + 1 < len(sources) and sources[k + 1][0] <= at:
-                k += 1
-            if k >= 0 and sources[k][1] != pos:
-                out.append((key[0], key[1], sources[k][1], pos, at - sources[k][0]))
-        # later requests start at `now` or after it: of the sources before, the last one is enough
-        past = sum(at <= now for at, _ in sources)
-        kept = sources[max(past - 1, 0) :]
+        for value, own in sources.items():
+            own.sort()
+            k = -1
+            for at, pos in sorted(asked.get(value, ())):
+                while k + 1 < len(own) and own[k + 1][0] <= at:
+                    k += 1
+                if k >= 0 and own[k][1] != pos:
+                    out.append((key[0], value, own[k][1], pos, at - own[k][0]))
+            # later requests start at `now` or after it: of the sources before, the last one is enough
+            past = sum(at <= now for at, _ in own)
+            kept += [(value, at, pos) for at, pos in own[max(past - 1, 0) :]]
         if kept:
             self._sources.put(kept)
-        yield pd.DataFrame(out, columns=["session", "value", "from_pos", "to_pos", "delay"])
+        if out:
+            yield pd.DataFrame(out, columns=["session", "value", "from_pos", "to_pos", "delay"])
 
     def close(self) -> None:
         pass
@@ -120,7 +128,7 @@ class _LastSource(StatefulProcessor):
 def value_flow_stream(steps: DataFrame) -> DataFrame:
     """The rows of traces.value_flows as a stream, from a stream of ordered steps (session, t, pos, tied, available, given, asked).
 
-    given and asked are the values (arrays) that a step's response and request carry.  One state for each session and value, with the last source
+    given and asked are the values (arrays) that a step's response and request carry.  A session's state holds, for each value, the last source
     available so far and those that will be available later.
     """
     steps.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
@@ -128,46 +136,51 @@ def value_flow_stream(steps: DataFrame) -> DataFrame:
     event = lambda values, at, reads: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(v.alias("value"), at.alias("at"), F.lit(reads).alias("reads")))
     events = F.concat(event(kept, F.col("available"), False), event(F.array_distinct("asked"), F.col("t"), True))
     rows = steps.select("session", "t", "pos", F.inline(events)).where("value is not null")
-    return rows.groupBy("session", "value").transformWithStateInPandas(_LastSource(), FLOWS, "Append", "None")
+    return rows.groupBy("session").transformWithStateInPandas(_LastSource(), FLOWS, "Append", "None")
 
 
 class _OpenRedirects(StatefulProcessor):
-    """By (session, url): redirects that no request has followed yet, until they expire."""
+    """By session: redirects that no request has followed yet, until they expire."""
 
     def __init__(self, within: int):
         self._within = within
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getListState("open", "at long, pos long")
+        self._open = handle.getListState("open", "value string, at long, pos long")
 
-    def _hold(self, sources: list[tuple[int, int]]) -> None:
+    def _hold(self, sources: list[tuple[str, int, int]]) -> None:
         if sources:
             self._open.put(sources)
-            self._handle.registerTimer((min(at for at, _ in sources) + self._within) // 10**6 + 1)
+            self._handle.registerTimer((min(at for _, at, _ in sources) + self._within) // 10**6 + 1)
         else:
             self._open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = [(at, False, pos) for at, pos in self._open.get()] if self._open.exists() else []
+        held = [tuple(r) for r in self._open.get()]
+        events = [(at, False, pos, value) for value, at, pos in held]
         for part in rows:
-            events += [(int(at), bool(reads), int(pos)) for reads, at, pos in zip(part["reads"], part["at"], part["pos"])]
-        out, waiting = [], []
-        for at, reads, pos in sorted(events):
+            events += [(int(at), bool(reads), int(pos), value) for reads, value, at, pos in zip(part["reads"], part["value"], part["at"], part["pos"])]
+        out: list[tuple] = []
+        waiting: dict[str, list[tuple[int, int]]] = {}
+        for at, reads, pos, value in sorted(events):
+            last = waiting.get(value)
             if not reads:
-                waiting.append((at, pos))
-            elif not waiting or waiting[-1][1] != pos:  # a request doesn't take the redirect that it led to itself
-                if waiting and at - waiting[-1][0] <= self._within:
-                    out.append((key[0], key[1], waiting[-1][1], pos, at - waiting[-1][0]))
-                waiting = []
+                waiting.setdefault(value, []).append((at, pos))
+            elif last and last[-1][1] != pos:  # a request doesn't take the redirect that it led to itself
+                if at - last[-1][0] <= self._within:
+                    out.append((key[0], value, last[-1][1], pos, at - last[-1][0]))
+                del waiting[value]
         # redirects that lie after the last request are still open
-        self._hold(waiting)
-        yield pd.DataFrame(out, columns=["session", "value", "from_pos", "to_pos", "delay"])
+        still = [(value, at, pos) for value, own in waiting.items() for at, pos in own]
+        if held or still:
+            self._hold(still)
+        if out:
+            yield pd.DataFrame(out, columns=["session", "value", "from_pos", "to_pos", "delay"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self._open.get()] if self._open.exists() else []
-        self._hold([r for r in held if (r[0] + self._within) // 10**6 + 1 > now])
+        self._hold([r for r in map(tuple, self._open.get()) if (r[1] + self._within) // 10**6 + 1 > now])
         yield pd.DataFrame([], columns=["session", "value", "from_pos", "to_pos", "delay"])
 
     def close(self) -> None:
@@ -184,7 +197,7 @@ def redirect_flow_stream(steps: DataFrame, within: int = REDIRECT_NS, delay: str
     read = F.struct(F.col("url").alias("value"), F.col("t").alias("at"), F.lit(True).alias("reads"))
     rows = steps.withColumn("_at", _moment(F.col("t"))).withWatermark("_at", delay)
     rows = rows.select("session", "pos", "_at", F.inline(F.array_compact(F.array(sent, read))))
-    return rows.groupBy("session", "value").transformWithStateInPandas(_OpenRedirects(within), FLOWS, "Append", "EventTime")
+    return rows.groupBy("session").transformWithStateInPandas(_OpenRedirects(within), FLOWS, "Append", "EventTime")
 
 
 def append(stream: DataFrame, table: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
