@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from weftlens.operators import scoring, semantics
 
 
@@ -152,3 +154,20 @@ def test_best_matches_take_and_split(spark):
     f = spark.createDataFrame([(1, i) for i in "wxy"] + [(2, i) for i in "wxyz"] + [(3, i) for i in "pk"] + [(4, i) for i in "pq"], "id long, item string")
     got = {(r.id, r.name, round(r.overlap, 2), r.taken) for r in semantics.best_matches(e, f).collect()}
     assert got == {(1, "A", 0.75, False), (2, "A", 1.0, True), (4, "B", 1.0, True)}
+
+
+def test_pairs_together_are_counted_from_classes_of_slots(spark):
+    rng = random.Random(5)
+    held = {(run, i, ref) for run in "xy" for i in range(8) for ref in rng.sample(range(40), 9)}
+    owner = {(run, ref): rng.choice(["p", "q", None]) for run in "xy" for ref in range(40)}
+    slots = spark.createDataFrame([(run, f"i{i}", f"r{ref:02}", owner[run, ref]) for run, i, ref in sorted(held)], "run string, id string, ref string, _owner string")
+    got = {r["run"]: (r["c"], r["p"]) for r in scoring._pairs_together(slots).groupBy("run").agg(F.sum("_c").alias("c"), F.sum("_p").alias("p")).collect()}
+    for run in "xy":
+        pairs = {(a, b) for r1, i, a in held for r2, j, b in held if r1 == r2 == run and i == j and a < b}
+        assert got[run] == (sum(owner[run, a] is not None and owner[run, a] == owner[run, b] for a, b in pairs), len(pairs))
+
+
+def test_a_large_id_makes_no_pairs(spark):
+    slots = spark.range(200_000).select(F.lit("x").alias("run"), F.lit("i").alias("id"), F.col("id").cast("string").alias("ref"), F.lit("p").alias("_owner"))
+    sums = scoring._pairs_together(slots).agg(F.sum("_c"), F.sum("_p")).first()
+    assert tuple(sums) == (200_000 * 199_999 // 2,) * 2

@@ -118,6 +118,31 @@ def _sets(measure: str, given: DataFrame, wanted: DataFrame, key: list[str]) ->
     return _rows(measure, both, F.col("_g") & F.col("_w"), F.col("_g"), F.col("_w"))
 
 
+def _half(n: Column) -> Column:
+    return (n * (n - 1) / 2).cast("long")
+
+
+def _pairs_together(slots: DataFrame) -> DataFrame:
+    """(run, _c, _p): how many different pairs of refs some id holds together (_p), and those of one owner (_c), from slots (run, id, ref, _owner).
+
+    Refs of the same ids are one class, and pairs are counted from the sizes of classes: those inside a class, and those of classes that share
+    an id.  So what meets is sets of ids, not refs.
+    """
+    per = slots.groupBy("run", "ref").agg(F.array_sort(F.collect_set("id")).alias("_ids"), F.max("_owner").alias("_owner"))
+    sizes = written(per.groupBy("run", "_ids", "_owner").agg(F.count("*").alias("_n")))
+    every = sizes.groupBy("run", "_ids").agg(F.sum("_n").alias("_n"))
+    ids = every.select("run", "_ids", F.explode("_ids").alias("_id"))
+    met = ids.join(ids.withColumnRenamed("_ids", "_other"), ["run", "_id"]).where("_ids < _other").select("run", "_ids", "_other").distinct()
+
+    def counted(of: DataFrame, key: list[str]) -> DataFrame:
+        two = met.join(of, ["run", "_ids"]).join(of.select("run", F.col("_ids").alias("_other"), *key, F.col("_n").alias("_m")), ["run", "_other", *key])
+        return of.select("run", _half(F.col("_n")).alias("_k")).union(two.select("run", F.col("_n") * F.col("_m")))
+
+    none = F.lit(0).cast("long")
+    rows = counted(every, []).select("run", none.alias("_c"), F.col("_k").alias("_p"))
+    return rows.union(counted(sizes.where("_owner is not null"), ["_owner"]).select("run", "_k", none)).where("_c > 0 or _p > 0")
+
+
 def scores(e: Expected, f: Found, entities: DataFrame | None = None, operations: DataFrame | None = None) -> DataFrame:
     """(run, measure, correct, predicted, expected, precision, recall) of roles, identity joins, entities, their names, fields and relations, operations, merges, required inputs, and outputs; and unscored.
 
@@ -137,10 +162,9 @@ def scores(e: Expected, f: Found, entities: DataFrame | None = None, operations:
     owner = e.identity.select("run", "ref", F.col("entity").alias("_owner")).distinct()
     labelled = owner.select("run", "ref").union(e.not_identity.select("run", "ref")).distinct()
     slots = f.identity.select("run", "id", "ref").distinct().join(labelled, ["run", "ref"]).join(owner.groupBy("run", "ref").agg(F.max("_owner").alias("_owner")), ["run", "ref"], "left")
-    pairs = slots.alias("a").join(slots.alias("b"), (F.col("a.run") == F.col("b.run")) & (F.col("a.id") == F.col("b.id")) & (F.col("a.ref") < F.col("b.ref")))
-    pairs = pairs.select(F.col("a.run").alias("run"), F.col("a.ref").alias("_1"), F.col("b.ref").alias("_2"), (F.col("a._owner") == F.col("b._owner")).alias("_same")).distinct()
-    n = e.identity.groupBy("run", "entity").agg(F.count("*").alias("_n")).select("run", F.lit(False).alias("_same"), F.lit(0).alias("_p"), (F.col("_n") * (F.col("_n") - 1) / 2).alias("_w"))
-    parts.append(_rows("identity_joins", pairs.select("run", "_same", F.lit(1).alias("_p"), F.lit(0.0).alias("_w")).union(n), F.col("_same"), F.col("_p"), F.col("_w")))
+    pairs = _pairs_together(slots)
+    n = e.identity.groupBy("run", "entity").agg(F.count("*").alias("_n")).select("run", F.lit(0).alias("_c"), F.lit(0).alias("_p"), _half(F.col("_n")))
+    parts.append(_rows("identity_joins", pairs.select("run", "_c", "_p", F.lit(0).alias("_w")).union(n), F.col("_c"), F.col("_p"), F.col("_w")))
 
     wanted = e.entities.join(ents.where("taken").select("run", "entity", "id", "name"), ["run", "entity"], "left")
     scored = ents.where("scored")
@@ -161,13 +185,12 @@ def scores(e: Expected, f: Found, entities: DataFrame | None = None, operations:
     rows = ops.where("scored").select("run", F.lit(0).alias("_c"), F.lit(1).alias("_p"), F.lit(0).alias("_e")).union(e.operations.select("run", F.lit(0), F.lit(0), one))
     rows = rows.union(right.where(F.col("role").eqNullSafe(F.col("_role"))).select("run", one, F.lit(0), F.lit(0)))
     parts.append(_rows("operations", rows, F.col("_c"), F.col("_p"), F.col("_e")))
-    half = lambda n: (n * (n - 1) / 2).cast("long")
     inside = e.families.groupBy("run", "family").agg(F.max("operation").alias("_in"))
     mine = f.families.join(inside, ["run", "family"])
     same = mine.groupBy("run", "id", "_in").agg(F.count("*").alias("_n"))
-    rows = same.select("run", half(F.col("_n")).alias("_c"), F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_e"))
-    rows = rows.union(same.groupBy("run", "id").agg(F.sum("_n").alias("_n")).select("run", F.lit(0), half(F.col("_n")), F.lit(0)))
-    rows = rows.union(e.families.groupBy("run", "operation").agg(F.count("*").alias("_n")).select("run", F.lit(0), F.lit(0), half(F.col("_n"))))
+    rows = same.select("run", _half(F.col("_n")).alias("_c"), F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_e"))
+    rows = rows.union(same.groupBy("run", "id").agg(F.sum("_n").alias("_n")).select("run", F.lit(0), _half(F.col("_n")), F.lit(0)))
+    rows = rows.union(e.families.groupBy("run", "operation").agg(F.count("*").alias("_n")).select("run", F.lit(0), F.lit(0), _half(F.col("_n"))))
     parts.append(_rows("operation_merges", rows, F.col("_c"), F.col("_p"), F.col("_e")))
     taken = ops.where("taken").select("run", "id", "operation")
     asked = f.inputs.join(taken, ["run", "id"]).groupBy("run", "operation", "slot").agg(F.count("*").alias("_n"))
