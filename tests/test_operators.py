@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftlens.operators import families, traces
+from weftlens.operators import values as val
 
 WORDS = ["search", "dp"]
 
@@ -136,3 +137,18 @@ def test_relations_with_many_values(spark):
         want = {(a, b, n, (b, a) in holds) for (a, b), n in holds.items() if n and ((b, a) not in holds or a < b)}
         got = values.functional_relations(spark.createDataFrame(rows, "ref string, entity string, value string"))
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_identity_values_and_pairs_of_slots_need_no_join_of_values(spark):
+    rng = random.Random(3)
+    slots, held = [f"s{k}" for k in range(6)], {(f"s{rng.randint(0, 5)}", f"ID{rng.randint(0, 60):06}") for _ in range(150)}
+    values = spark.createDataFrame(sorted(held), "slot string, value string")
+    got = {(r["a"], r["b"]): r["shared"] for r in val.joinable_slots(values).collect()}
+    want = {(a, b): sum((a, v) in held and (b, v) in held for v in {v for _, v in held}) for a in slots for b in slots if a < b}
+    assert got == {k: n for k, n in want.items() if n}
+    halves = {(r["a"], r["b"]): r["even"] + r["odd"] for r in val.held_out(values, val.joinable_slots(values)).collect()}
+    assert halves == got
+    rows = spark.createDataFrame([("ID000001", "string", f, "request", "path", "1") for f in "fg"] + [("ID000002", "string", "f", "request", "path", "1")], "value string, type string, family string, side string, part string, pattern string")
+    found = val.identity_values(rows)
+    assert sorted(tuple(r) for r in found.collect()) == [("ID000001", "request.f.path.1", True), ("ID000001", "request.g.path.1", True)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
