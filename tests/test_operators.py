@@ -152,3 +152,21 @@ def test_identity_values_and_pairs_of_slots_need_no_join_of_values(spark):
     found = val.identity_values(rows)
     assert sorted(tuple(r) for r in found.collect()) == [("ID000001", "request.f.path.1", True), ("ID000001", "request.g.path.1", True)]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relations_are_settled_before_exchanges_meet_again(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(400):
+        order = rng.randint(0, 90)
+        rows += [(f"r{k}", "order", f"o{order}"), (f"r{k}", "customer", f"c{order % 7}"), (f"r{k}", "label", f"c{order % 7}!"), (f"r{k}", "part", f"p{rng.randint(0, 5)}")]
+        if k % 50 == 0:
+            rows += [(f"r{k}", "part", "extra")]
+    out = val.functional_relations(spark.createDataFrame(rows, "ref string, entity string, value string"))
+    seen = {}
+    for ref, e, v in rows:
+        if e == "order":
+            seen.setdefault(v, set()).add(ref)
+    support = sum(len(refs) >= 2 for refs in seen.values())
+    assert sorted(tuple(r) for r in out.collect()) == [("customer", "label", 7, True), ("order", "customer", support, False), ("order", "label", support, False)]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
