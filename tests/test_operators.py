@@ -170,3 +170,20 @@ def test_relations_are_settled_before_exchanges_meet_again(spark):
     support = sum(len(refs) >= 2 for refs in seen.values())
     assert sorted(tuple(r) for r in out.collect()) == [("customer", "label", 7, True), ("order", "customer", support, False), ("order", "label", support, False)]
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_occurrences_of_crowded_places_in_one_exchange_of_narrow_rows(spark):
+    rng = random.Random(6)
+    rows = [(f"v{k % 900}", "f", "request", "path", str(k % 2), f"r{rng.randint(0, 50)}") for k in range(3000)]
+    rows += [("open", "f", "request", "query", "status", f"q{k}") for k in range(6000)] + [("open", "g", "request", "query", None, f"q{k % 2}") for k in range(4000)]
+    rows += [("open", "f", "request", "query", "status", None), ("v1", "f", "request", "path", "1", None), ("", "f", "request", "path", "1", "r1")]
+    want = {}
+    for *key, ref in rows:
+        if key[0]:
+            want.setdefault(tuple(key), []).append(ref)
+    want = {k: (len(refs), [r for r in sorted(set(refs), key=lambda r: (r is not None, r))[:3] if r is not None]) for k, refs in want.items()}
+    out = val.occurrences(spark.createDataFrame(rows, "value string, family string, side string, part string, pattern string, ref string").repartition(3))
+    got = out.collect()
+    assert {tuple(r)[:5]: (r["count"], r.examples) for r in got} == want and len(got) == len(want)
+    # values are sorted once, before they are written: no plan joins counts and examples of all of them
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
