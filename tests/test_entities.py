@@ -61,3 +61,26 @@ def test_names(spark):
     plural = {"categories": "category", "class": "class", "boxes": "box", "uses": "us", "ties": "tie", "items": "item", "gas": "gas", "status": "statu"}
     df = spark.createDataFrame([(c,) for c in plural], "n string")
     assert {r.n: r.c for r in df.select("n", text.singular(F.col("n")).alias("c")).collect()} == plural
+
+
+def test_shapes_without_scalars():
+    bodies = [t for _, t in BODIES if t and t != "{broken"] + ['[1, 12345678901234567890, 9223372036854775807, -9223372036854775808, 9223372036854775808]', '{"a":[[1],[2.5],[]],"b":[true,null],"c":[{"x":1},{"y":"s"}],"d":1e5}', "[" * 30 + "]" * 30]
+    bodies += ["[" + ",".join("[" + ",".join(["1"] * 190) + ',{"z":1}]' for _ in range(150)) + "]", "[" + ",".join(["1"] * 200) + ',"x"]']
+    for t in bodies:
+        assert shape.shape_of(t) == shape.walk(shape.parse_json(t))[0]
+
+
+def test_structure_is_walked_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    structure = shape.containers(spark.createDataFrame(BODIES, "ref string, text string"))
+    held = structure.count()
+    variants = spark.createDataFrame([("v1", "h", 10), ("v2", "h", 5)], "ref string, host string, count long")
+    assert entities.item_fields(structure.mapInArrow(count, shape.FIELDS), variants, least=2).count() == 6 and seen.value == held
+    beside = shape.containers(spark.createDataFrame([("v3", BODIES[2][1], "h1"), ("w1", BODIES[-1][1], "h2")], "ref string, text string, host string"), beside="host")
+    assert {(r.ref, r.host) for r in beside.collect()} == {("v3", "h1"), ("w1", "h2")}
