@@ -70,3 +70,10 @@ def test_yaml(spark):
         assert {i[1] for i in found(spark, [("y", text)], declared.SCENARIO)[1]} == {""}
     else:
         assert found(spark, [("y", text)], declared.SCENARIO)[1] == set()
+
+
+def test_a_small_file_of_documents_is_walked_by_all_tasks(spark):
+    rows = spark.range(40).selectExpr("concat('d', id) AS name", "'{}' AS text").coalesce(1)
+    found = declared.read(rows, declared.SCENARIO)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert found.where("kind = 'value'").select("name").distinct().count() == 40
