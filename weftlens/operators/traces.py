@@ -221,8 +221,9 @@ def browser_summaries(viewed: DataFrame) -> DataFrame:
     """Per family of steps (family, session, episode, t, trigger, kind): triggers and kinds with their counts, the largest first, sessions, episodes, and the median time since the page view began.
 
     There are few triggers and kinds, so their lists are short.  Times are counted, never gathered; the median is the lower one, and null where no step
-    has a trigger.
+    has a trigger.  Steps are written once, since several aggregates read them.
     """
+    viewed = written(viewed.select("family", "session", "episode", "t", "trigger", "kind"))
     counted = browser_contexts(viewed)
     lists = counted.groupBy("family", "counted").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), "name", "n"))).alias("l"))
     lists = lists.withColumn("l", F.transform("l", lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))))
