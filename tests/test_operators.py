@@ -187,3 +187,33 @@ def test_occurrences_of_crowded_places_in_one_exchange_of_narrow_rows(spark):
     assert {tuple(r)[:5]: (r["count"], r.examples) for r in got} == want and len(got) == len(want)
     # values are sorted once, before they are written: no plan joins counts and examples of all of them
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def counting(df, seen):
+    """df, with its rows added to an accumulator as often as they are read."""
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_evidence_reads_links_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("ID000001", "string", f) for f in "ffg"] + [("ID000002", t, f) for t, f in (("string", "f"), ("integer", "g"), ("integer", "h"))] + [("7", "integer", f) for f in "fg"] + [("ID000003", "string", "f"), ("", "string", "f")]
+    values = spark.createDataFrame(rows, "value string, type string, family string")
+    links = {r["value"]: (r["count"], r.families, r.types, r.low_information) for r in val.value_links(counting(values, seen)).collect()}
+    assert links == {"ID000001": (3, ["f", "g"], "string", False), "ID000002": (3, ["f", "g", "h"], "integer|string", False), "7": (2, ["f", "g"], "integer", True)}
+    assert seen.value == len(rows)
+    got = {(r.family, r["rank"], r["value"], r.omitted, r.hidden) for r in traces.evidence_links(val.value_links(counting(values, seen)), most=1).collect()}
+    assert got == {("f", 1, "ID000002", 1, 1), ("g", 1, "ID000002", 1, 1), ("h", 1, "ID000002", 0, 0)} and seen.value == 2 * len(rows)
+
+
+def test_browser_summaries_read_their_steps_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("f", "s", 0, 5, "link", "document"), ("g", "s", 0, 9, "link", "fetch"), ("g", "s", -1, 1, None, ""), ("g", "r", 0, 3, "user", "fetch"), (None, "r", 0, 2, "user", "")]
+    viewed = counting(spark.createDataFrame(rows, "family string, session string, episode int, t long, trigger string, kind string"), seen)
+    got = {r.family: ([tuple(x) for x in r.triggers], r.sessions, r.episodes, r.since_trigger) for r in traces.browser_summaries(viewed).collect()}
+    assert got == {"f": ([("link", 1)], 1, 1, 0), "g": ([("link", 1), ("untriggered", 1), ("user", 1)], 2, 2, 1)} and seen.value == len(rows)

@@ -185,6 +185,7 @@ def in_receiver_order(placed: DataFrame) -> DataFrame:
 
 def evidence_links(links: DataFrame, most: int = 5) -> DataFrame:
     """Each family's first `most` links without flags, from value_links: those of most families, then sightings, then by id; omitted and hidden are counted."""
+    links = written(links.select("link", "value", "count", "n_families", "families", "low_information", "ubiquitous"))
     rows = links.select("link", "value", "count", "n_families", (F.col("low_information") | F.col("ubiquitous")).alias("_f"), F.explode("families").alias("family"))
     totals = rows.groupBy("family").agg(F.count_if(~F.col("_f")).alias("_n"), F.count_if("_f").alias("hidden"))
     best = Window.partitionBy("family").orderBy(F.desc("n_families"), F.desc("count"), "link")
