@@ -217,3 +217,25 @@ def test_browser_summaries_read_their_steps_once(spark):
     viewed = counting(spark.createDataFrame(rows, "family string, session string, episode int, t long, trigger string, kind string"), seen)
     got = {r.family: ([tuple(x) for x in r.triggers], r.sessions, r.episodes, r.since_trigger) for r in traces.browser_summaries(viewed).collect()}
     assert got == {"f": ([("link", 1)], 1, 1, 0), "g": ([("link", 1), ("untriggered", 1), ("user", 1)], 2, 2, 1)} and seen.value == len(rows)
+
+
+def test_edges_of_many_tasks_sort_no_small_tables(spark, monkeypatch):
+    rng = random.Random(8)
+    steps, family = [], {}
+    for s in range(12):
+        for p in range(rng.randint(1, 9)):
+            family[s, p] = rng.choice("abc")
+            steps.append((f"s{s}", p, 10 * p + rng.randint(0, 5), family[s, p], family.get((s, p - 1))))
+    df = spark.createDataFrame(steps, "session string, pos int, t long, family string, previous string")
+    out = traces.edges(df)
+    want = {}
+    for s, p, t, to, previous in steps:
+        for a in "abc":
+            before = [x for x in steps if x[0] == s and x[1] < p and x[3] == a]
+            if before:
+                want.setdefault((a, to), []).append((t - before[-1][2], previous == a))
+    want = {k: (len(v), sum(x for _, x in v), sorted(d for d, _ in v)[(len(v) - 1) // 2]) for k, v in want.items()}
+    assert {(r["from"], r["to"]): (r.ordered, r.immediate, r["median"]) for r in out.collect()} == want
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(traces, "GRID_ROWS", 7)
+    assert sorted(tuple(r) for r in traces.edges(df).collect()) == sorted(tuple(r) for r in out.collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..lineage import written
+from ..lineage import beside, spread, written
 
 
 def in_order() -> WindowSpec:
@@ -49,16 +49,21 @@ def value_flows(sources: DataFrame, receivers: DataFrame) -> DataFrame:
     return out.select("session", "value", F.col("_last.from_pos").alias("from_pos"), "to_pos", (F.col("at") - F.col("_last.at")).alias("delay"))
 
 
+#: About so many steps x families are sorted by one task.
+GRID_ROWS = 1 << 20
+
+
 def lower_medians(counted: DataFrame, key: list[str], value: str) -> DataFrame:
     """(key, median): the lower median of values counted as (key, value, n); values are not negative.
 
     The half of each key's count is looked for among values without their last 32 bits, then without the last 16 among those
-    that begin so, then among these: no step gathers more than a key's ranges of one size.
+    that begin so, then among these: no step gathers more than a key's ranges of one size.  What is left to look for is a row a key, written, so values aren't sorted by key.
     """
+    small = lambda df: beside(written(df))
     left = counted.groupBy(*key).agg(((F.sum("n") + 1) / 2).cast("long").alias("_k")).withColumn("_in", F.lit(0).cast("long"))
     for bits in (32, 16, 0):
         part = F.shiftright(F.col(value), bits)
-        near = counted.join(left, key)
+        near = counted.join(small(left), key)
         if bits < 32:
             near = near.where(F.shiftright(F.col(value), bits + 16) == F.col("_in"))
         sums = near.groupBy(*key, "_k", part.alias("_part")).agg(F.sum("n").alias("_n"))
@@ -75,18 +80,24 @@ def edges(stepped: DataFrame) -> DataFrame:
     ordered: steps of `to` with an earlier `from` in the session; immediate: with `from` just before; without: the other
     steps of `to` in all sessions; together: steps of `to` in sessions that have both.  Deltas are from the latest earlier `from`.
     Each step is paired with the families of its session, not with its steps: the latest earlier step of each comes
-    from a running maximum, so the rows are steps x families.  Deltas are counted, never gathered.
+    from a running maximum, so the rows are steps x families.  Deltas are counted, never gathered.  Families are numbers until the end, and sessions
+    are dealt over as many tasks as these rows need, so that no task sorts more of them as the input grows.
     """
     named = stepped.where("family is not null").select("session", "pos", "t", "family", "previous")
-    kinds = named.select("session", F.col("family").alias("from")).distinct()
+    ids = beside(written(named.select("family").distinct().withColumn("_id", F.monotonically_increasing_id())))
+    number = lambda c, name: ids.select(F.col("family").alias(c), F.col("_id").alias(name))
+    named = written(named.join(beside(number("family", "_f")), "family").join(beside(number("previous", "_p")), "previous", "left").select("session", "pos", "t", F.col("_f").alias("family"), F.col("_p").alias("previous")))
+    per = written(named.groupBy("session", "family").agg(F.count("*").alias("_n")))
+    size = per.groupBy("session").agg(F.sum("_n").alias("_n"), F.count("*").alias("_m")).agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    named = spread(named, "session", least=size // GRID_ROWS + 1)
+    kinds = per.select("session", F.col("family").alias("from"))
     grid = named.join(kinds, "session")
     before = Window.partitionBy("session", "from").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     grid = grid.withColumn("_last", F.max(F.when(F.col("family") == F.col("from"), F.col("t"))).over(before))
     hits = grid.where("_last is not null")
-    per = named.groupBy("session", "family").agg(F.count("*").alias("_n"))
-    totals = per.groupBy(F.col("family").alias("to")).agg(F.sum("_n").alias("to_total"))
+    totals = beside(written(per.groupBy(F.col("family").alias("to")).agg(F.sum("_n").alias("to_total"))))
     pairs = per.select("session", F.col("family").alias("from"), F.col("_n").alias("_m")).join(per.select("session", F.col("family").alias("to"), "_n"), "session")
-    pairs = pairs.where("`from` <> to or _n >= 2").groupBy("from", "to").agg(F.sum("_n").alias("together"), F.count("*").alias("sessions"))
+    pairs = beside(written(pairs.where("`from` <> to or _n >= 2").groupBy("from", "to").agg(F.sum("_n").alias("together"), F.count("*").alias("sessions"))))
     counted = written(
         hits.groupBy("from", F.col("family").alias("to"), (F.col("t") - F.col("_last")).alias("delta")).agg(
             F.count("*").alias("n"), F.count_if(F.col("previous") == F.col("from")).alias("immediate")
@@ -96,7 +107,10 @@ def edges(stepped: DataFrame) -> DataFrame:
         F.sum("n").alias("ordered"), F.sum("immediate").alias("immediate"), F.min("delta").alias("least"), F.max("delta").alias("most")
     )
     out = out.join(lower_medians(counted, ["from", "to"], "delta"), ["from", "to"])
-    return out.join(totals, "to").join(pairs, ["from", "to"]).select(
+    out = out.join(totals, "to").join(pairs, ["from", "to"])
+    for side in ("from", "to"):
+        out = out.withColumnRenamed(side, "_id").join(beside(number(side, "_id")), "_id").drop("_id")
+    return out.select(
         "from", "to", "ordered", "immediate", (F.col("to_total") - F.col("ordered")).alias("without"), "together", "sessions", "least", "median", "most"
     )
 
