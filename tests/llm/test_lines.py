@@ -141,6 +141,33 @@ def test_verification_is_edit_similarity(words):
         assert similar == (1 - distance(x, y) / max(len(x), len(y)) >= 0.9 - 1e-12)
 
 
+def test_few_edits_in_long_lines_leave_no_table_of_distances(words):
+    rng = random.Random(6)
+    for n in (40, 400, 6000):
+        x = [rng.choice(words) for _ in range(n)]
+        y = list(x)
+        y[1], y[n // 2], y[-2] = "qqq", "", "zzzz"
+        a, b = " ".join(x), " ".join(y)
+        assert lines.between(a, b, 0.9) == ("", "", int(0.1 * max(len(a), len(b)) + 1e-6))
+
+
+def test_a_walk_finds_no_fewer_edits_than_there_are():
+    rng = random.Random(11)
+    found = 0
+    for _ in range(400):
+        x = "".join(rng.choice("ab c") for _ in range(rng.randint(0, 60)))
+        y = list(x)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randint(0, len(y))
+            y[at : at + rng.randint(0, 2)] = rng.choice(["", "q", "ab"])
+        y = "".join(y)
+        most = rng.randint(0, 12)
+        if lines.walked(x, y, most):
+            found += 1
+            assert distance(x, y) <= most, (x, y, most)
+    assert found > 100 and lines.walked("", "", 0) and not lines.walked("", "a", 0) and lines.walked("", "a", 1)
+
+
 def test_recall_against_edit_similarity_alone(words):
     """Of lines in which one word is replaced and that are still similar, this share is found."""
     rng = random.Random(8)

@@ -23,6 +23,8 @@ MOST_BITS = 10
 SIMILARITY = 0.9
 #: Lines of a bucket that are all compared by their bits; in larger buckets all stay candidates.
 SMALL = 64
+#: Letters in a row that two lines have in common where a walk along both goes on after an edit.
+ANCHOR = 5
 
 _NORMAL = np.full(256, 0x20, np.uint8)
 _NORMAL[128:] = np.arange(128, 256)
@@ -254,10 +256,43 @@ def _pairs_of_letters(x: str) -> np.ndarray:
     return np.bincount((code[:-1] * np.uint32(31) + code[1:]) & np.uint32(1023), minlength=1024)
 
 
+def walked(x: str, y: str, most: int) -> bool:
+    """Whether a walk along x and y finds a way of at most `most` edits from one to the other; if not, there may still be one.
+
+    Where they part, the walk goes on at the nearest place where both have the same ANCHOR letters; what lies between counts as
+    edits, as many as the longer side has letters.  The radius of the search doubles and never passes the edits left, so a walk
+    costs what the lines and the edits that they have are long, where a table of distances would cost their product.
+    """
+    i = j = 0
+    while max(len(x) - i, len(y) - j) > most:
+        step = 16
+        while i < len(x) and x[i : i + step] == y[j : j + step]:
+            i, j, step = i + step, j + step, 2 * step
+        same = _same_length(x[i : i + step], y[j : j + step], False)
+        i, j = i + same, j + same
+        if i >= len(x) or j >= len(y):
+            return max(len(x) - i, len(y) - j) <= most
+        radius, found = 2, None
+        while not found:
+            reach = min(radius, most)
+            for s in range(reach + 1):
+                if s > reach:
+                    break
+                t = y.find(x[i + s : i + s + ANCHOR], j, j + reach + ANCHOR) - j
+                if 0 <= t <= reach and (not found or max(s, t) < reach):
+                    found, reach = (s, t), max(s, t)
+            if not found and radius >= most:
+                return False
+            radius *= 2
+        i, j, most = i + found[0], j + found[1], most - reach
+    return True
+
+
 def between(x: str, y: str, similarity: float) -> tuple[str, str, int]:
     """x and y without what they have in common at their ends, and the edits that similar ones have at most.
 
-    -1 if there must be more (one edit changes at most four counts of neighbouring letters); two empty strings if there can't be.
+    -1 if there must be more (one edit changes at most four counts of neighbouring letters); two empty strings if there can't be,
+    or a walk finds that there aren't.
     """
     most = int((1 - similarity + 1e-9) * max(len(x), len(y)))
     if abs(len(x) - len(y)) > most:
@@ -266,7 +301,7 @@ def between(x: str, y: str, similarity: float) -> tuple[str, str, int]:
     x, y = x[k:], y[k:]
     k = _same_length(x, y, True)
     x, y = x[: len(x) - k], y[: len(y) - k]
-    if max(len(x), len(y)) <= most:
+    if walked(x, y, most):
         return "", "", most
     if np.abs(_pairs_of_letters(x) - _pairs_of_letters(y)).sum() > 4 * most:
         return "", "", -1
