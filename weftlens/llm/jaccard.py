@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import beside, components, fresh, written
+from .jobs import beside, components, fresh, in_small_batches, written
 from .scan import Texts, mix, texts, windows
 
 #: Counters of the sketch of shingle frequencies: 16 MB whatever the corpus holds; a task counts to 255 in each.
@@ -81,7 +81,7 @@ def _frequency_classes(docs: DataFrame, size: int) -> np.ndarray:
         return run
 
     schema = "chunk int, salt int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
+    parts = in_small_batches(docs).select("text").mapInArrow(count, schema)
     sums = parts.groupBy("chunk", "salt").applyInPandas(add(np.uint8), schema).groupBy("chunk", "salt").applyInPandas(add(np.int32), schema)
     sums = sums.groupBy("chunk").applyInPandas(add(np.int32), schema)
     sketch = np.zeros((SKETCH_CHUNKS, (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int32)
@@ -121,7 +121,7 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 ["doc_id", "n", "node", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, prefix array<long>")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, node long, prefix array<long>")
 
 
 def _open_block(rows: pd.DataFrame, size: int, percent: int) -> list[tuple[int, int]]:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import in_small_batches
 from .scan import Texts, texts
 
 BUCKETS = 1 << 16
@@ -52,7 +53,7 @@ def _grams(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(labelled: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
     """Trigram probabilities of each language from (doc_id, text, lang); at most about rows_a_language rows of each."""
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
+    rows = in_small_batches(labelled).select("doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
@@ -191,7 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang_pred", "score", "languages"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -203,4 +204,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         for batch in batches:
             yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score, _ in _predictions(batch.column(at), shared.value)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import beside, components, fresh, written
+from .jobs import beside, components, fresh, in_small_batches, written
 from .scan import Texts, mix, slices, texts
 
 #: Lines with fewer words are never similar to others, only equal: what short lines share is chance.
@@ -361,7 +361,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float =
     Columns named n_lines or n_removed are replaced; all others are kept, whatever their names.  No rows: no rows.
     """
     row, gone_ = fresh(docs.columns, "row"), fresh(docs.columns, "gone")
-    hashed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    hashed = in_small_batches(docs).withColumn(row, F.xxhash64("doc_id", "text"))
     keyed = hashed.select("doc_id", F.col(row).alias("row"), "text")
     occurrences = written(_occurrences(keyed, min_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .jobs import written
+from .jobs import in_small_batches, written
 from .scan import Texts, texts
 
 #: Pieces that one task ranks, if they are all of one size.
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing: int =
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(docs).select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins(NamedTuple):
