@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from weftlens import queries
 from weftlens.functions import shape, text
+from weftlens.lineage import written
 from weftlens.operators import entities, operations
 
 BODIES = [
@@ -84,3 +86,15 @@ def test_structure_is_walked_once(spark):
     assert entities.item_fields(structure.mapInArrow(count, shape.FIELDS), variants, least=2).count() == 6 and seen.value == held
     beside = shape.containers(spark.createDataFrame([("v3", BODIES[2][1], "h1"), ("w1", BODIES[-1][1], "h2")], "ref string, text string, host string"), beside="host")
     assert {(r.ref, r.host) for r in beside.collect()} == {("v3", "h1"), ("w1", "h2")}
+
+
+def test_no_broadcast_by_file_size(spark, monkeypatch):
+    """A written structure is far smaller than its rows, so its size tells nothing about what the driver would hold."""
+    structure = written(shape.containers(spark.createDataFrame(BODIES, "ref string, text string")))
+    variants = written(spark.createDataFrame([("v1", "f", 2), ("v2", "g", 5)], "ref string, family string, count long"))
+    producers = spark.createDataFrame([("hit", "f", "body.hits[].id")], "entity string, family string, path string")
+    monkeypatch.setattr(entities, "merged_fields", lambda rows, key: rows)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [ref" in plan(entities.keyed_fields(producers, structure, variants))
+    bodies = plan(queries.order_bodies(spark, "/root/testdata/sf0.001"))
+    assert bodies.count("SortMergeJoin") == 2 and "Broadcast" not in bodies
