@@ -1,5 +1,8 @@
 """Entities from nested bodies, held against literals."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from weftlens import queries
@@ -98,3 +101,38 @@ def test_no_broadcast_by_file_size(spark, monkeypatch):
     assert "SortMergeJoin [ref" in plan(entities.keyed_fields(producers, structure, variants))
     bodies = plan(queries.order_bodies(spark, "/root/testdata/sf0.001"))
     assert bodies.count("SortMergeJoin") == 2 and "Broadcast" not in bodies
+
+
+def test_bodies_are_read_whole(spark):
+    wide = [{"id": k} for k in range(300)] + [{"id": "x", "last": True}]
+    many = [{"row": [{"n": k} for k in range(150)]} for _ in range(150)] + [{"late": 1}]
+    deep = "[" * 20_000 + '{"x":1,"x":"s"}' + "]" * 20_000
+    bodies = [("wide", json.dumps(wide)), ("many", json.dumps(many)), ("deep", '{"a":' * 40 + "[1]" + "}" * 40), ("deeper", deep), ("digits", '{"":' + "9" * 5_000 + "}"), ("open", "[" * 20_000)]
+    got = {(r.ref, r.container, r.field, r.type) for r in shape.containers(spark.createDataFrame(bodies, "ref string, text string")).collect()}
+    assert {x[1:] for x in got if x[0] == "wide"} == {("body[]", "id", "any"), ("body[]", "last", "bool")}
+    assert {x[1:] for x in got if x[0] == "many"} == {("body[]", "row", "items"), ("body[].row[]", "n", "integer"), ("body[]", "late", "integer")}
+    assert len([x for x in got if x[0] == "deep"]) == 40 and ("deep", "body" + ".a" * 39, "a", "array") in got
+    assert {x[1:] for x in got if x[0] == "deeper"} == {("body" + "[]" * 20_000, "x", "string")} and {x[1:] for x in got if x[0] == "digits"} == {("body", "", "number")}
+    assert not [x for x in got if x[0] == "open"]
+    for _, text_ in BODIES:
+        if text_ and text_ != "{broken":
+            assert shape.whole_shape(text_) == shape.walk(shape.parse_json(text_))[0]
+
+
+def test_item_fields_of_many_orders(spark, tmp_path):
+    """Of a customer's 250 orders only those after the 200th have a note, which so has two types."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    made = {
+        "customer": "SELECT c AS c_custkey, 'c' || c AS c_name, 'S' AS c_mktsegment FROM range(1, 3) t(c)",
+        "orders": "SELECT o AS o_orderkey, 1 + CAST(o > 250 AS BIGINT) AS o_custkey, 'O' AS o_orderstatus, 1.5::DOUBLE AS o_totalprice, CASE WHEN o <= 200 OR o > 250 THEN '1-URGENT' ELSE '2-HIGH' END AS o_orderpriority FROM range(1, 253) t(o)",
+        "lineitem": "SELECT o AS l_orderkey, o AS l_partkey, 1::DOUBLE AS l_quantity, 2.5::DOUBLE AS l_extendedprice, 'N' AS l_returnflag FROM range(1, 253) t(o)",
+    }
+    for name, sql in made.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    found = con.execute(queries.ORACLE_SQL["item_fields"])
+    columns = [d[0] for d in found.description]
+    want = {tuple(r) for r in found.fetchall()}
+    assert {tuple(r[c] for c in columns) for r in queries.item_fields(spark, str(tmp_path)).collect()} == want
+    assert ("S", "body.orders[]", "note", "null", 1, 1, "2#response.body.orders[].note", 1) in want
