@@ -99,6 +99,8 @@ def test_no_broadcast_by_file_size(spark, monkeypatch):
     monkeypatch.setattr(entities, "merged_fields", lambda rows, key: rows)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [ref" in plan(entities.keyed_fields(producers, structure, variants))
+    items = plan(entities.item_fields(structure, variants.withColumnRenamed("family", "host")))
+    assert "SortMergeJoin [ref" in items and items.count("Exchange") == 2
     bodies = plan(queries.order_bodies(spark, "/root/testdata/sf0.001"))
     assert bodies.count("SortMergeJoin") == 2 and "Broadcast" not in bodies
 
